@@ -1,0 +1,35 @@
+"""Identity of a local checkout, asked from the git program on the driver."""
+
+from __future__ import annotations
+
+import getpass
+import os
+import subprocess
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import paths
+
+SCHEMA = ("root string, directory string, user string, remote_url string, branch string, commit_sha string, "
+          "commit_message string, commit_date string, author string, is_dirty boolean")
+
+
+def _git(root: str, *args: str) -> str | None:
+    done = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, check=False)
+    return done.stdout.strip() if done.returncode == 0 else None
+
+
+def checkout(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on the checkout around `folder`; no row if there is none."""
+    root = _git(folder, "rev-parse", "--show-toplevel")
+    if root is None:
+        return spark.createDataFrame([], SCHEMA + ", repository_id string")
+    url = _git(root, "remote", "get-url", "origin") or _git(root, "remote", "get-url", "upstream")
+    row = (
+        root, os.path.basename(root), getpass.getuser(), url, _git(root, "rev-parse", "--abbrev-ref", "HEAD"),
+        _git(root, "rev-parse", "HEAD"), _git(root, "log", "-1", "--format=%B"), _git(root, "log", "-1", "--format=%cI"),
+        _git(root, "log", "-1", "--format=%an <%ae>"), bool(_git(root, "status", "--porcelain")),
+    )
+    df = spark.createDataFrame([row], SCHEMA)
+    return df.withColumn("repository_id", F.coalesce(
+        paths.normalize_git_url(F.col("remote_url")), paths.local_repository_id(F.col("user"), F.col("directory"))))
