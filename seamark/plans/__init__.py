@@ -1,6 +1,6 @@
 """Named queries over the given tables."""
 
-from . import search_queries  # noqa: F401
+from . import metadata_queries, queue_queries, search_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
