@@ -33,13 +33,13 @@ def name_of_line(line: Column) -> Column:
 # What may stand before an identifier in a definition line.
 IDENTIFIER_KEYWORDS = NAME_KEYWORDS + ["enum", "type", "mod", "record", "namespace", "union", "filter", "workflow",
                                        "const", "let", "var", "FUNCTION", "PROCEDURE", "TABLE", "VIEW", "INDEX", "TRIGGER"]
-_IDENTIFIER = r"(?:^|\s)(?:" + "|".join(IDENTIFIER_KEYWORDS) + r")\s+([\w$]+)"
+_IDENTIFIER = r"(?:^|\s)(?:" + "|".join(IDENTIFIER_KEYWORDS) + r")\s+([\p{IsAlphabetic}\p{N}_$]+)"
 
 
 def identifier_of_line(line: Column) -> Column:
     """The defined identifier: after a keyword, else the one in front of the parameter list."""
     named = F.regexp_extract(line, _IDENTIFIER, 1)
-    called = F.regexp_extract(line, r"([\w$]+)\s*\(", 1)
+    called = F.regexp_extract(line, r"([\p{IsAlphabetic}\p{N}_$]+)\s*\(", 1)
     return F.when(named != "", named).when(called != "", called)
 
 
@@ -273,11 +273,11 @@ MARKUP_KINDS = {"script": "script", "style": "style"}
 
 def markup_spans(content: Column) -> Column:
     """Array of (kind, content): script and style elements, then leaf elements of a page."""
-    raw = [
-        F.transform(F.regexp_extract_all(content, F.lit(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)"), F.lit(1)),
-                    lambda x, k=kind: struct(kind=F.lit(k), content=x))
-        for tag, kind in MARKUP_KINDS.items()
-    ]
+    def of_kind(pattern: str, kind: str, source: Column) -> Column:
+        return F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)),
+                           lambda x: struct(kind=F.lit(kind), content=x))
+
+    raw = [of_kind(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)", kind, content) for tag, kind in MARKUP_KINDS.items()]
     rest = F.regexp_replace(content, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->", " ")
-    leaf = F.regexp_extract_all(rest, F.lit(r"(?s)(<[a-zA-Z][a-zA-Z0-9]*\b[^<>]*>[^<]*</[a-zA-Z][a-zA-Z0-9]*\s*>)"), F.lit(1))
-    return F.concat(*raw, F.transform(leaf, lambda x: struct(kind=F.lit("element"), content=x)))
+    leaf = of_kind(r"(?s)(<[a-zA-Z][a-zA-Z0-9]*\b[^<>]*>[^<]*</[a-zA-Z][a-zA-Z0-9]*\s*>)", "element", rest)
+    return F.concat(*raw, leaf)

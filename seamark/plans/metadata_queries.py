@@ -355,7 +355,8 @@ def jobs_started(spark, folder):
     return J.started_jobs(requests, queued).select("job_id", "status", "files_total", "files_processed")
 
 
-@query("job_status_check", "SELECT 0::BIGINT AS invalid_jobs")
+@query("job_status_check", c.with_sql(c.JOBS, select="""
+SELECT count(*) AS invalid_jobs FROM jobs WHERE status NOT IN ('pending', 'running', 'completed', 'failed', 'cancelled')"""))
 def job_status_check(spark, folder):
     return J.invalid_statuses(c.jobs(spark, folder)).agg(F.count("*").alias("invalid_jobs"))
 

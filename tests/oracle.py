@@ -48,8 +48,12 @@ def duck_rows(con, sql):
 
 
 def difference(df, con, sql) -> str | None:
-    names, mine = spark_rows(df)
-    their_names, theirs = duck_rows(con, sql)
+    """None if both sides agree, else what differs."""
+    return compare(spark_rows(df), duck_rows(con, sql))
+
+
+def compare(left, right) -> str | None:
+    (names, mine), (their_names, theirs) = left, right
     if names != their_names:
         return f"columns {names} / {their_names}"
     if len(mine) != len(theirs):

@@ -20,17 +20,18 @@ for name, run in entry.queries().items():
     if names and not any(n in name for n in names):
         continue
     start = time.time()
+    spent = 0.0
     try:
-        df = run(spark, folder)
+        mine = oracle.spark_rows(run(spark, folder))
+        spent = time.time() - start
         if name in sqls:
-            verdict = oracle.difference(df, con, sqls[name]) or f"ok {len(df.columns)} columns"
-            n = df.count()
-            verdict += f" {n} rows" + ("  EMPTY" if n == 0 else "")
+            verdict = oracle.compare(mine, oracle.duck_rows(con, sqls[name])) or f"ok {len(mine[0])} columns"
         else:
-            verdict = f"rows only: {df.count()}"
+            verdict = "rows only:"
+        verdict += f" {len(mine[1])} rows" + ("  EMPTY" if not mine[1] else "")
     except Exception as error:  # noqa: BLE001
         verdict = f"ERROR {type(error).__name__} {str(error)[:1500]}"
     if not verdict.startswith(("ok", "rows only")):
         bad += 1
-    print(f"{name:36s} {time.time() - start:6.2f}s {verdict}", flush=True)
+    print(f"{name:34s} spark {spent:6.2f}s sql {time.time() - start - spent:6.2f}s {verdict}", flush=True)
 print("failing:", bad)
