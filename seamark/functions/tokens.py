@@ -67,7 +67,7 @@ def zero_counts() -> Column:
 def token_count(content: Column, chars_per_token: float = DEFAULT_CHARS_PER_TOKEN,
                 calibration: dict[str, int] | None = None) -> Column:
     """Estimated tokens; texts in `calibration` return the count recorded there."""
-    estimate = tokens_from_counts(class_counts(content), chars_per_token)
+    estimate = let(class_counts(content), lambda counts: tokens_from_counts(counts, chars_per_token))
     if not calibration:
         return estimate
     known = F.create_map(*[F.lit(x) for text, n in calibration.items() for x in (text, int(n))])

@@ -1,7 +1,7 @@
 """Spans to chunks within a token budget.
 
-Packing is a fold over the spans of one file, done inside the file's own row;
-only index ranges travel in the fold, the text is cut once at the end.
+A file's spans stay in its row: integer arrays are prepared by Spark, a walk
+over them answers with index ranges, and the text is cut once at the end.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text, tokens
+from ..functions import text, tokens, walks
 from ..functions.columns import let, struct
 
 
@@ -31,148 +31,60 @@ BOUNDARY_KINDS = ["function", "method", "class", "struct", "enum", "trait", "imp
 CONTAINER_KINDS = ["class", "struct", "impl"]
 CONTINUED = "    // ... (continued)"
 
-_GROUP = "struct<first:int,last:int,tokens:int,kind:string,name:string,oversize:boolean>"
-_CHUNK = ("struct<content:string,start_line:int,end_line:int,byte_start:bigint,byte_end:bigint,"
-          "kind:string,name:string,token_count:int>")
-
-
-def _no(type_name: str) -> Column:
-    return F.expr(f"cast(array() as array<{type_name}>)")
-
-
-def fixed_line_groups(content: Column, size: int = 5) -> Column:
-    """Array of consecutive groups of `size` lines with line and byte ranges."""
-    zero = struct(out=_no(_CHUNK), pos=F.lit(0).cast("long"))
-
-    def groups(all_lines):
-        def step(acc, first):
-            return let(text.join_lines(F.slice(all_lines, first, F.lit(size))), lambda body: struct(
-                out=F.concat(acc["out"], F.array(struct(
-                    content=body, start_line=first, end_line=F.least(first + size - 1, F.size(all_lines)),
-                    byte_start=acc["pos"], byte_end=acc["pos"] + F.octet_length(body),
-                    kind=F.lit(None).cast("string"), name=F.lit(None).cast("string"),
-                    token_count=F.lit(None).cast("int")).cast(_CHUNK))),
-                pos=acc["pos"] + F.octet_length(body) + 1))
-
-        firsts = F.when(F.size(all_lines) > 0, F.sequence(F.lit(1), F.size(all_lines), F.lit(size))) \
-            .otherwise(F.expr("cast(array() as array<int>)"))
-        return F.aggregate(firsts, zero, step)["out"]
-
-    return let(text.lines(content), groups)
-
-
-def _groups(spans: Column, budget: TokenBudget) -> Column:
-    """Index ranges of spans that share a chunk."""
-    none = F.lit(None).cast("string")
-    zero = struct(done=_no(_GROUP), i=F.lit(0), first=F.lit(0), last=F.lit(0), tokens=F.lit(0), kind=none, name=none,
-                  empty=F.lit(True))
-
-    def group(s, oversize=False):
-        return F.array(struct(first=s["first"], last=s["last"], tokens=s["tokens"], kind=s["kind"], name=s["name"],
-                              oversize=F.lit(oversize)).cast(_GROUP))
-
-    def step(acc, x):
-        i = acc["i"] + 1
-        is_def = F.coalesce(x["kind"].isin(*BOUNDARY_KINDS), F.lit(False))
-        has_def = F.coalesce(acc["kind"].isin(*BOUNDARY_KINDS), F.lit(False))
-        differ = F.coalesce(x["name"] != acc["name"], F.lit(False))
-        boundary = is_def & has_def & differ & (acc["tokens"] * 4 >= budget.soft)
-        flushed = F.when(acc["empty"], acc["done"]).otherwise(F.concat(acc["done"], group(acc)))
-        own = F.array(struct(first=i, last=i, tokens=x["tokens"], kind=x["kind"], name=x["name"],
-                             oversize=F.lit(True)).cast(_GROUP))
-        no_text = x["content"] == ""
-        return F.when(
-            x["tokens"] > budget.hard,
-            struct(done=F.concat(flushed, own), i=i, first=acc["first"], last=acc["last"], tokens=F.lit(0),
-                   kind=acc["kind"], name=acc["name"], empty=F.lit(True)),
-        ).when(
-            ~acc["empty"] & ((acc["tokens"] + x["tokens"] > budget.soft) | boundary),
-            struct(done=flushed, i=i, first=i, last=i, tokens=x["tokens"], kind=x["kind"], name=x["name"], empty=no_text),
-        ).when(
-            acc["empty"],
-            struct(done=acc["done"], i=i, first=i, last=i, tokens=acc["tokens"] + x["tokens"], kind=x["kind"],
-                   name=x["name"], empty=no_text),
-        ).otherwise(
-            struct(done=acc["done"], i=i, first=acc["first"], last=i, tokens=acc["tokens"] + x["tokens"],
-                   kind=F.when(is_def, x["kind"]).otherwise(acc["kind"]),
-                   name=F.when(is_def, x["name"]).otherwise(acc["name"]), empty=F.lit(False)),
-        )
-
-    return F.aggregate(spans, zero, step, lambda s: F.when(s["empty"], s["done"]).otherwise(F.concat(s["done"], group(s))))
-
-
-def _split_lines(span: Column, budget: TokenBudget) -> Column:
-    """Chunks of one oversized span: whole lines up to the soft limit, trailing lines repeated."""
-    zero = struct(out=_no(_CHUNK), i=F.lit(0), first=F.lit(1), tokens=F.lit(0), start=span["start_line"],
-                  pos=span["byte_start"])
-
-    def over(all_lines):
-        counted = F.transform(all_lines, lambda x: tokens.token_count(F.concat(x, F.lit("\n")), budget.chars_per_token))
-        return let(counted, lambda counts: F.aggregate(counts, zero, lambda acc, t: step(all_lines, counts, acc, t),
-                                                       lambda s: finish(all_lines, s)))
-
-    def body(all_lines, acc, upto):
-        return text.join_lines(F.slice(all_lines, acc["first"], upto - acc["first"] + 1))
-
-    def chunk(content, acc, end_line, byte_end):
-        return F.array(struct(
-            content=content, start_line=acc["start"], end_line=end_line, byte_start=acc["pos"], byte_end=byte_end,
-            kind=span["kind"], name=span["name"], token_count=acc["tokens"]).cast(_CHUNK))
-
-    def repeated(counts, acc):
-        """(lines, tokens) carried over: as many trailing lines as fit the overlap."""
-        zero_tail = struct(n=F.lit(0), tokens=F.lit(0), stop=F.lit(False))
-        return F.aggregate(
-            F.reverse(F.slice(counts, acc["first"], acc["i"] - acc["first"] + 1)), zero_tail,
-            lambda a, t: F.when(a["stop"] | (a["tokens"] + t > budget.overlap),
-                                struct(n=a["n"], tokens=a["tokens"], stop=F.lit(True)))
-            .otherwise(struct(n=a["n"] + 1, tokens=a["tokens"] + t, stop=F.lit(False))))
-
-    def step(all_lines, counts, acc, t):
-        held = acc["i"] - acc["first"] + 1
-        plain = struct(out=acc["out"], i=acc["i"] + 1, first=acc["first"], tokens=acc["tokens"] + t,
-                       start=acc["start"], pos=acc["pos"])
-        if budget.overlap > 0:
-            tail = repeated(counts, acc)
-        else:
-            tail = struct(n=F.lit(0), tokens=F.lit(0), stop=F.lit(True))
-
-        def cut(content, kept):
-            size = F.octet_length(content)
-            again = F.when(kept["n"] > 0, F.octet_length(text.join_lines(
-                F.slice(all_lines, acc["i"] - kept["n"] + 1, kept["n"])))).otherwise(0)
-            return struct(
-                out=F.concat(acc["out"], chunk(content, acc, acc["start"] + held - 1, acc["pos"] + size)),
-                i=acc["i"] + 1, first=acc["i"] - kept["n"] + 1, tokens=kept["tokens"] + t,
-                start=acc["start"] + held - kept["n"], pos=acc["pos"] + size - again)
-
-        return F.when((acc["tokens"] + t > budget.soft) & (held > 0),
-                      let(body(all_lines, acc, acc["i"]), lambda c: let(tail, lambda k: cut(c, k)))).otherwise(plain)
-
-    def finish(all_lines, s):
-        return F.when(F.size(all_lines) >= s["first"], F.concat(s["out"], chunk(
-            body(all_lines, s, F.size(all_lines)), s, span["end_line"], span["byte_end"]))).otherwise(s["out"])
-
-    return let(text.lines(span["content"]), over)
+def with_fixed_groups(files: DataFrame, content: str, size: int = 5, into: str = "chunks") -> DataFrame:
+    """Add consecutive groups of `size` lines with line and byte ranges."""
+    df = files.withColumn("_lines", text.lines(F.col(content)))
+    firsts = F.when(F.size("_lines") > 0, F.sequence(F.lit(1), F.size("_lines"), F.lit(size))).otherwise(
+        F.expr("cast(array() as array<int>)"))
+    df = df.withColumn("_bodies", F.transform(firsts, lambda first: text.join_lines(F.slice("_lines", first, F.lit(size)))))
+    sizes = F.transform("_bodies", lambda body: (F.octet_length(body) + 1).cast("long"))
+    first = F.expr("array(cast(0 as bigint))")
+    df = df.withColumn("_starts", F.aggregate(sizes, first, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))))
+    group = lambda body, i: struct(
+        content=body, start_line=i * size + 1, end_line=F.least((i + 1) * size, F.size("_lines")),
+        byte_start=F.element_at("_starts", i + 1), byte_end=F.element_at("_starts", i + 1) + F.octet_length(body))
+    return df.withColumn(into, F.transform("_bodies", group)).drop("_lines", "_bodies", "_starts")
 
 
 def pack_spans(files: DataFrame, budget: TokenBudget = TokenBudget()) -> DataFrame:
-    """Add `chunks`, an array of budgeted chunks, from an ordered `spans` array."""
-    counted = files.withColumn("_sized", F.transform("spans", lambda x: x.withField(
-        "tokens", tokens.token_count(x["content"], budget.chars_per_token))))
-    grouped = counted.withColumn("_groups", _groups(F.col("_sized"), budget))
-
-    def joined(g):
-        part = F.slice("_sized", g["first"], g["last"] - g["first"] + 1)
-        head, tail = F.element_at("_sized", g["first"]), F.element_at("_sized", g["last"])
-        return F.array(struct(
-            content=text.join_lines(F.transform(part, lambda x: x["content"])),
-            start_line=head["start_line"], end_line=tail["end_line"], byte_start=head["byte_start"],
-            byte_end=tail["byte_end"], kind=g["kind"], name=g["name"], token_count=g["tokens"]).cast(_CHUNK))
-
-    chunks = F.flatten(F.transform("_groups", lambda g: F.when(
-        g["oversize"], let(F.element_at("_sized", g["first"]), lambda x: _split_lines(x, budget))).otherwise(joined(g))))
-    return grouped.withColumn("chunks", chunks).drop("_sized", "_groups")
+    """Add `chunks`, budgeted chunks of the ordered `spans` array.
+
+    Spans fill a chunk up to the soft limit; a definition that differs in name
+    starts a new one once the chunk is a quarter full; a span above the hard
+    limit is cut by lines, trailing lines repeated up to the overlap.
+    """
+    ratio, hard = budget.chars_per_token, budget.hard
+    df = files.withColumn("_tokens", F.transform("spans", lambda x: tokens.token_count(x["content"], ratio)))
+    df = df.withColumn("_cut", F.transform("spans", lambda x, i: F.when(
+        F.element_at("_tokens", i + 1) > hard, text.lines(x["content"])).otherwise(F.expr("cast(array() as array<string>)"))))
+    each_line = lambda count: F.transform("_cut", lambda ls: F.transform(ls, count))
+    df = walks.with_walk(
+        df, "_plan", walks.pack_walk(hard, budget.soft, budget.overlap), walks.PACK_FIELDS,
+        tokens=F.col("_tokens"),
+        boundary=F.transform("spans", lambda x: F.coalesce(x["kind"].isin(*BOUNDARY_KINDS), F.lit(False))),
+        names=F.col("spans.name"),
+        filled=F.transform("spans", lambda x: x["content"] != ""),
+        line_tokens=each_line(lambda line: tokens.token_count(F.concat(line, F.lit("\n")), ratio)),
+        line_sizes=each_line(lambda line: F.octet_length(line)))
+
+    def chunk(p):
+        span = lambda n: F.element_at("spans", p[n].cast("int"))
+        first, last = span("first"), span("last")
+        part = F.slice("spans", p["first"].cast("int"), (p["last"] - p["first"] + 1).cast("int"))
+        lines = F.slice(F.element_at("_cut", p["first"].cast("int")), F.greatest(p["line"], F.lit(1)).cast("int"), p["n_lines"].cast("int"))
+        by_line = p["line"] > 0
+        start = first["start_line"] + p["start_line"].cast("int")
+        from_byte = first["byte_start"] + p["byte_start"]
+        rest = p["byte_len"] < 0
+        return struct(
+            content=F.when(by_line, text.join_lines(lines)).otherwise(text.join_lines(F.transform(part, lambda x: x["content"]))),
+            start_line=start,
+            end_line=F.when(by_line & ~rest, start + p["n_lines"].cast("int") - 1).otherwise(last["end_line"]),
+            byte_start=from_byte,
+            byte_end=F.when(by_line & ~rest, from_byte + p["byte_len"]).otherwise(last["byte_end"]),
+            kind=span("kind_of")["kind"], name=span("name_of")["name"], token_count=p["tokens"].cast("int"))
+
+    return df.withColumn("chunks", F.transform("_plan", chunk)).drop("_tokens", "_cut", "_plan")
 
 
 # ------------------------------------------------------ splitting single units
@@ -182,125 +94,76 @@ def pieces(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(r"(\S+\s*|\s+)"), F.lit(1))
 
 
-def split_by_tokens(unit: Column, max_tokens: int, tokenize=pieces) -> Column:
-    """Consecutive windows of `max_tokens` pieces; null if the unit fits."""
-
-    def windows(parts):
-        total = F.size(parts)
-        all_lines = F.size(text.lines(unit["content"]))
-
-        def window(k):
-            return let(F.array_join(F.slice(parts, k * max_tokens + 1, F.lit(max_tokens)), ""), lambda body: let(
-                unit["start_line"] + F.floor(k.cast("long") * max_tokens * all_lines / total).cast("int"),
-                lambda start: struct(
-                    content=body, start_line=start, end_line=start + F.size(text.lines(body)),
-                    byte_start=F.lit(0).cast("long"), byte_end=F.octet_length(body).cast("long"),
-                    kind=F.concat(unit["kind"], F.lit("_part"), (k + 1).cast("string")), name=unit["name"],
-                    token_count=F.size(F.slice(parts, k * max_tokens + 1, F.lit(max_tokens)))).cast(_CHUNK)))
-
-        count = F.ceil(total / F.lit(max_tokens)).cast("int")
-        cut = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), window)
-        # windows follow one another, so their byte ranges are the running sums of their lengths
-        placed = F.aggregate(cut, struct(out=_no(_CHUNK), pos=unit["byte_start"]), lambda acc, c: struct(
-            out=F.concat(acc["out"], F.array(c.withField("byte_start", acc["pos"]).withField(
-                "byte_end", acc["pos"] + F.octet_length(c["content"])))),
-            pos=acc["pos"] + F.octet_length(c["content"])))["out"]
-        return F.when(total > max_tokens, placed)
-
-    return let(tokenize(unit["content"]), windows)
-
-
-def split_by_lines(unit: Column) -> Column:
-    """Two halves, the first running up to ten lines (a tenth of the unit) into the second."""
-
-    def halves(all_lines):
-        n = F.size(all_lines)
-        mid = F.floor(n / 2).cast("int")
-        overlap = F.least(F.lit(10), F.floor(n / 10).cast("int"))
-
-        def part(first, count, start, end, k):
-            body = text.join_lines(F.slice(all_lines, first, count))
-            skipped = F.when(first > 1, F.octet_length(text.join_lines(F.slice(all_lines, F.lit(1), first - 1))) + 1).otherwise(0)
-            return let(body, lambda b: struct(
-                content=b, start_line=start, end_line=end, byte_start=unit["byte_start"] + skipped,
-                byte_end=unit["byte_start"] + skipped + F.octet_length(b),
-                kind=F.concat(unit["kind"], F.lit(f"_part{k}")), name=unit["name"],
-                token_count=tokens.token_count(b)).cast(_CHUNK))
-
-        return F.array(
-            part(F.lit(1), mid + overlap, unit["start_line"], unit["start_line"] + mid + overlap, 1),
-            part(mid + 1, n - mid, unit["start_line"] + mid, unit["start_line"] + n - 1, 2))
-
-    return let(text.lines(unit["content"]), halves)
-
-
-def split_container(unit: Column, max_tokens: int) -> Column:
-    """Parts of a class-like unit: its header repeated in front of each run of body lines."""
-    none = _no(_CHUNK)
-
-    def parts(all_lines):
-        n = F.size(all_lines)
-        opens = F.transform(all_lines, lambda x, i: F.when(
-            F.contains(x, F.lit("{")) | ((i > 0) & x.startswith("    ")), i + 1))
-        header_lines = F.coalesce(F.array_min(opens), n)
-
-        def with_header(header_n):
-            header = text.join_lines(F.slice(all_lines, F.lit(1), header_n))
-            head_counts = tokens.class_counts(F.concat(header, F.lit("\n" + CONTINUED)))
-            zero = struct(out=none, i=header_n, first=header_n + 1, counts=tokens.zero_counts(),
-                          start=unit["start_line"] + header_n,
-                          pos=unit["byte_start"] + F.octet_length(header) + 1)
-
-            def part(s, upto, end_line):
-                run = text.join_lines(F.slice(all_lines, s["first"], upto - s["first"] + 1))
-                return let(run, lambda body: let(F.concat(header, F.lit("\n" + CONTINUED + "\n"), body), lambda b: F.array(
-                    struct(content=b, start_line=s["start"], end_line=end_line,
-                           byte_start=s["pos"], byte_end=s["pos"] + F.octet_length(body),
-                           kind=F.concat(unit["kind"], F.lit("_part")), name=unit["name"],
-                           token_count=tokens.token_count(b)).cast(_CHUNK))))
-
-            def step(hc, s, line_counts):
-                i = s["i"] + 1
-                total = tokens.add_counts(s["counts"], line_counts, 1)
-                line_no = unit["start_line"] + i - 1
-                return let(total, lambda t: F.when(
-                    tokens.tokens_from_counts(tokens.add_counts(hc, t)) >= max_tokens,
-                    let(part(s, i, line_no), lambda done: struct(
-                        out=F.concat(s["out"], done), i=i, first=i + 1, counts=tokens.zero_counts(),
-                        start=line_no + 1, pos=done[0]["byte_end"] + 1)),
-                ).otherwise(struct(out=s["out"], i=i, first=s["first"], counts=t, start=s["start"], pos=s["pos"])))
-
-            def finish(s):
-                rest = n - s["first"] + 1
-                return F.when(rest > 0, F.concat(s["out"], part(s, n, unit["start_line"] + n - 1))).otherwise(s["out"])
-
-            body_counts = F.transform(F.slice(all_lines, header_n + 1, F.greatest(n - header_n, F.lit(0))),
-                                      lambda x: tokens.class_counts(x))
-            return let(head_counts, lambda hc: F.aggregate(body_counts, zero, lambda s, c: step(hc, s, c), finish))
-
-        return let(header_lines, with_header)
-
-    return let(text.lines(unit["content"]), parts)
-
-
-def split_large(unit: Column, max_tokens: int) -> Column:
-    """Parts of one unit that may exceed the limit; a unit that fits stays whole."""
-    whole = F.array(struct(
-        content=unit["content"], start_line=unit["start_line"], end_line=unit["end_line"],
-        byte_start=unit["byte_start"], byte_end=unit["byte_end"], kind=unit["kind"], name=unit["name"],
-        token_count=tokens.token_count(unit["content"])).cast(_CHUNK))
-    body_parts = let(split_container(unit, max_tokens), lambda p: F.when(F.size(p) > 0, p).otherwise(whole))
-    too_large = tokens.token_count(unit["content"]) > max_tokens
-    return F.when(~too_large, whole).when(
-        F.coalesce(unit["kind"].isin(*CONTAINER_KINDS), F.lit(False)), body_parts,
-    ).otherwise(F.coalesce(split_by_tokens(unit, max_tokens), split_by_lines(unit)))
-
-
-def split_large_spans(files: DataFrame, max_tokens: int) -> DataFrame:
-    """Add `chunks` with every oversized span of `spans` split; the others unchanged."""
-    return files.withColumn("chunks", F.flatten(F.transform("spans", lambda u: split_large(u, max_tokens))))
+def _count_list(content: Column) -> Column:
+    return let(tokens.class_counts(content), lambda c: F.array(c["word"], c["space"], c["punct"], c["other"]))
+
+
+def split_large_spans(files: DataFrame, max_tokens: int, tokenize=pieces) -> DataFrame:
+    """Add `chunks`: the spans, those above `max_tokens` in parts.
+
+    A class-like span is cut into runs of its body, each behind the header; any
+    other into windows of `max_tokens` pieces, or in two halves of lines if it
+    has no more pieces than that.
+    """
+    empty = lambda t: F.expr(f"cast(array() as array<{t}>)")
+    df = files.withColumn("_tokens", F.transform("spans", lambda x: tokens.token_count(x["content"])))
+    large = lambda i: F.element_at("_tokens", i + 1) > max_tokens
+    holds = lambda x: F.coalesce(x["kind"].isin(*CONTAINER_KINDS), F.lit(False))
+    df = df.withColumn("_cut", F.transform("spans", lambda x, i: F.when(large(i), text.lines(x["content"])).otherwise(empty("string"))))
+    df = df.withColumn("_pieces", F.transform("spans", lambda x, i: F.when(
+        large(i) & ~holds(x), tokenize(x["content"])).otherwise(empty("string"))))
+    opens = lambda line, j: F.when(F.contains(line, F.lit("{")) | ((j > 0) & line.startswith("    ")), j + 1)
+    df = df.withColumn("_heads", F.transform("_cut", lambda ls: F.coalesce(F.array_min(F.transform(ls, opens)), F.size(ls))))
+    header = lambda i: text.join_lines(F.slice(F.element_at("_cut", i), F.lit(1), F.element_at("_heads", i)))
+    of_container = lambda i, value: F.when(large(i) & holds(F.element_at("spans", i + 1)), value)
+    df = walks.with_walk(
+        df, "_plan", walks.split_walk(max_tokens), walks.SPLIT_FIELDS,
+        large=F.transform("_tokens", lambda t: t > max_tokens),
+        container=F.transform("spans", holds),
+        piece_sizes=F.transform("_pieces", lambda ps: F.transform(ps, lambda p: F.octet_length(p))),
+        n_lines=F.transform("_cut", lambda ls: F.size(ls)),
+        headers=F.col("_heads"),
+        line_sizes=F.transform("_cut", lambda ls: F.transform(ls, lambda line: F.octet_length(line))),
+        line_counts=F.transform("_cut", lambda ls, i: F.coalesce(
+            of_container(i, F.transform(ls, _count_list)), empty("array<int>"))),
+        head_counts=F.transform("_cut", lambda ls, i: F.coalesce(
+            of_container(i, _count_list(F.concat(header(i + 1), F.lit("\n" + CONTINUED)))), empty("int"))))
+
+    def chunk(p):
+        unit = p["unit"].cast("int")
+        span = F.element_at("spans", unit)
+        some = lambda array: F.slice(F.element_at(array, unit), F.greatest(p["first"], F.lit(1)).cast("int"), p["n"].cast("int"))
+        mode, start = p["mode"], span["start_line"] + p["start"].cast("int")
+        content = (
+            F.when(mode == walks.WINDOW, F.array_join(some("_pieces"), ""))
+            .when(mode == walks.PART, F.concat(header(unit), F.lit("\n" + CONTINUED + "\n"), text.join_lines(some("_cut"))))
+            .when(mode == walks.HALF, text.join_lines(some("_cut")))
+            .otherwise(span["content"]))
+        whole = mode == walks.WHOLE
+        suffix = F.when(mode == walks.PART, "_part").otherwise(F.concat(F.lit("_part"), p["part"].cast("string")))
+        return let(content, lambda c: struct(
+            content=c, start_line=start,
+            end_line=F.when(whole, span["end_line"]).when(mode == walks.WINDOW, start + F.size(text.lines(c)))
+            .otherwise(span["start_line"] + p["end"].cast("int")),
+            byte_start=span["byte_start"] + p["byte_start"],
+            byte_end=F.when(whole, span["byte_end"]).otherwise(span["byte_start"] + p["byte_start"] + p["byte_len"]),
+            kind=F.when(whole, span["kind"]).otherwise(F.concat(span["kind"], suffix)), name=span["name"],
+            token_count=F.when(whole, F.element_at("_tokens", unit)).when(mode == walks.WINDOW, p["n"].cast("int"))
+            .otherwise(tokens.token_count(c))))
+
+    return df.withColumn("chunks", F.transform("_plan", chunk)).drop("_tokens", "_cut", "_pieces", "_heads", "_plan")
+
+
+def rows_of(files: DataFrame, array: str, index: str, *keep: str) -> DataFrame:
+    """One row per element of an array of structs, with its 0-based position.
+
+    The outer form plus a filter on the position: from a plain explode Spark
+    infers a filter on the array, pushes it below and computes the array twice.
+    """
+    exploded = files.select(*keep, F.posexplode_outer(array).alias(index, "_element"))
+    return exploded.filter(F.col(index).isNotNull()).select(*keep, index, "_element.*")
 
 
 def chunk_rows(files: DataFrame, *keep: str) -> DataFrame:
     """One row per chunk with its 0-based index in the file."""
-    return files.select(*keep, F.posexplode("chunks").alias("chunk_index", "c")).select(*keep, "chunk_index", "c.*")
+    return rows_of(files, "chunks", "chunk_index", *keep)

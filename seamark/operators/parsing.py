@@ -1,22 +1,18 @@
 """Source text to spans.
 
-A file is one row and stays one row until its spans are known: every fold below
-runs over the row's own line array, so parsing shuffles nothing and a source
-with a third of all files is just more rows.
+A file is one row and stays one row until its spans are known, so parsing
+shuffles nothing and a source with a third of all files is just more rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import languages, text, tokens
+from ..functions import languages, text, tokens, walks
 from ..functions.columns import let, struct
 
 MAX_TOKENS = 512
 
-_SPAN = ("struct<first:int,n:int,start_line:int,end_line:int,byte_start:bigint,kind:string,name:string>")
-_DEF = "struct<line:int,pos:bigint,depth:int,opened:boolean,kind:string,name:string,container:boolean>"
-
 # Words after which a definition's name follows.
 NAME_KEYWORDS = ["def", "fn", "function", "func", "class", "struct", "interface", "impl", "trait"]
 
@@ -47,222 +43,68 @@ def starts_with_any(line: Column, prefixes: Column) -> Column:
     return F.exists(prefixes, lambda p: line.startswith(p))
 
 
-def _only(line: Column, keep: str) -> Column:
-    return F.regexp_replace(line, f"[^{keep}]", "")
-
-
-def _closer_depths(line: Column) -> Column:
-    """Depth, relative to the line's start, right after each closing bracket."""
-    marks = F.translate(_only(line, r"(){}\[\]"), "([{)]}", "+++---")
-    return let(marks, lambda m: F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.length(m), F.lit(1))), lambda k: F.substring(m, k, F.lit(1)) == "-"),
-        lambda k: let(F.substring(m, F.lit(1), k),
-                      lambda head: F.length(F.replace(head, F.lit("-"), F.lit("")))
-                      - F.length(F.replace(head, F.lit("+"), F.lit("")))),
-    ))
-
-
-def _balance(line: Column, opening: str, closing: str) -> Column:
-    return F.length(_only(line, opening)) - F.length(_only(line, closing))
-
-
 def with_lines(files: DataFrame, content: str = "file_content", path: str = "file_path") -> DataFrame:
-    """Add the language and what each fold needs to know of every line."""
+    """Add language, block style, lines, and per line what the walks and names need."""
     df = files if "language" in files.columns else files.withColumn("language", languages.language_of(F.col(path)))
-    df = df.withColumn("_lines", text.lines(text.normalize_newlines(F.col(content))))
     df = (
-        df.withColumn("_fn", languages.function_prefixes(F.col("language")))
+        df.withColumn("_lines", text.lines(text.normalize_newlines(F.col(content))))
+        .withColumn("_fn", languages.function_prefixes(F.col("language")))
         .withColumn("_cl", languages.class_prefixes(F.col("language")))
         .withColumn("_style", languages.block_style(F.col("language")))
     )
-    fact = lambda line, i: let(
-        F.regexp_replace(line, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""),
-        lambda bare: let(
-            starts_with_any(bare, F.col("_fn")) | starts_with_any(bare, F.col("_cl")),
-            lambda opens: struct(
-                no=i + 1,
-                bytes=F.octet_length(line).cast("long"),
-                blank=bare == "",
-                indent=(F.octet_length(line) - F.octet_length(F.regexp_replace(line, r"^\p{IsWhite_Space}+", ""))),
-                fn=opens & starts_with_any(bare, F.col("_fn")),
-                cl=opens & starts_with_any(bare, F.col("_cl")),
-                name=F.when(opens, name_of_line(bare)),
-                ident=F.when(opens, identifier_of_line(bare)),
-                keyword=F.when(opens, F.lower(F.substring_index(
-                    F.rtrim(F.try_element_at(F.filter(F.col("_cl"), lambda p: bare.startswith(p)), F.lit(1))), " ", -1))),
-                delta=F.when(F.col("_style") == "braces", _balance(line, r"(\[{", r")\]}")).otherwise(0),
-                braces=F.when(F.col("_style") == "braces", _balance(line, "{", "}")).otherwise(0),
-                has_open=F.contains(line, F.lit("{")),
-                has_end=F.contains(line, F.lit(";")),
-                closers=F.when(F.col("_style") == "braces", _closer_depths(line))
-                .otherwise(F.expr("cast(array() as array<int>)")),
-                counts=tokens.class_counts(line),
-            ),
-        ),
-    )
-    return df.withColumn("_facts", F.transform("_lines", fact))
-
-
-def _span(first, n, start_line, end_line, byte_start, kind, name) -> Column:
-    return F.array(struct(
-        first=first, n=n, start_line=start_line, end_line=end_line, byte_start=byte_start,
-        kind=kind.cast("string"), name=name.cast("string")).cast(_SPAN))
-
-
-def heuristic_spans(max_tokens: int = MAX_TOKENS) -> Column:
-    """Line-by-line definition finder over the `_facts` column.
-
-    Any bracket kind counts towards the depth and a definition ends when the
-    depth first returns to zero; in indented languages it ends at the next line
-    that is not indented deeper, which can be the defining line itself.  Text
-    outside definitions goes in front of the next one, or becomes an unnamed
-    span once it reaches `max_tokens`.
-    """
-    zero = struct(
-        spans=F.expr(f"cast(array() as array<{_SPAN}>)"), first=F.lit(0), first_pos=F.lit(0).cast("long"), n=F.lit(0),
-        start=F.lit(1), depth=F.lit(0), indent=F.lit(0), fn=F.lit(False), cl=F.lit(False),
-        name=F.lit(None).cast("string"), counts=tokens.zero_counts(), pos=F.lit(0).cast("long"),
-    )
-    fields = ["spans", "first", "first_pos", "n", "start", "depth", "indent", "fn", "cl", "name", "counts", "pos"]
-
-    def having(s: Column, **new: Column) -> Column:
-        return struct(**{f: new.get(f, s[f]) for f in fields})
-
-    def kind(s: Column) -> Column:
-        return F.when(s["cl"], "class").otherwise("function")
-
-    def open_definition(s, f):
-        emit = (s["n"] > 0) & (s["fn"] | s["cl"])
-        done = F.when(emit, F.concat(s["spans"], _span(
-            s["first"], s["n"], s["start"], f["no"] - 1, s["first_pos"], kind(s), s["name"]))).otherwise(s["spans"])
-        return F.when(f["fn"] | f["cl"], having(
-            s, spans=done, n=F.when(emit, 0).otherwise(s["n"]), start=f["no"], fn=f["fn"], cl=f["cl"],
-            name=f["name"], depth=F.lit(0), indent=f["indent"])).otherwise(s)
-
-    def push(s, f):
-        fresh = s["n"] == 0
-        return having(
-            s, n=s["n"] + 1,
-            first=F.when(fresh, f["no"]).otherwise(s["first"]),
-            first_pos=F.when(fresh, s["pos"]).otherwise(s["first_pos"]),
-            counts=F.when(fresh, f["counts"]).otherwise(tokens.add_counts(s["counts"], f["counts"], 1)),
-            pos=s["pos"] + f["bytes"] + 1,
-        )
-
-    def close(s, f):
-        inside = s["fn"] | s["cl"]
-        by_bracket = (F.col("_style") == "braces") & inside & F.array_contains(f["closers"], -s["depth"])
-        by_indent = (F.col("_style") == "indent") & inside & (f["indent"] <= s["indent"]) & ~f["blank"]
-        none = F.lit(None).cast("string")
-        return F.when(by_bracket, having(
-            s, spans=F.concat(s["spans"], _span(s["first"], s["n"], s["start"], f["no"], s["first_pos"], kind(s), s["name"])),
-            n=F.lit(0), fn=F.lit(False), cl=F.lit(False), name=none, start=f["no"] + 1, depth=s["depth"] + f["delta"],
-        )).when(by_indent, having(
-            s, spans=F.concat(s["spans"], _span(s["first"], s["n"] - 1, s["start"], f["no"] - 1, s["first_pos"], kind(s), s["name"])),
-            first=f["no"], first_pos=s["pos"] - f["bytes"] - 1, n=F.lit(1), counts=f["counts"],
-            fn=F.lit(False), cl=F.lit(False), name=none, start=f["no"],
-        )).otherwise(having(s, depth=s["depth"] + f["delta"]))
-
-    def flush(s, f):
-        full = ~s["fn"] & ~s["cl"] & (s["n"] > 0) & (tokens.tokens_from_counts(s["counts"]) >= max_tokens)
-        none = F.lit(None).cast("string")
-        return F.when(full, having(
-            s, spans=F.concat(s["spans"], _span(s["first"], s["n"], s["start"], f["no"], s["first_pos"], none, none)),
-            n=F.lit(0), start=f["no"] + 1)).otherwise(s)
-
-    def step(acc, f):
-        return let(open_definition(acc, f), lambda a: let(push(a, f), lambda b: let(
-            close(b, f), lambda c: flush(c, f))))
-
-    def finish(s):
-        last_kind = F.when(s["fn"], "function").when(s["cl"], "class")
-        return F.when(s["n"] > 0, F.concat(s["spans"], _span(
-            s["first"], s["n"], s["start"], F.size("_facts"), s["first_pos"], last_kind,
-            F.when(s["fn"] | s["cl"], s["name"])))).otherwise(s["spans"])
-
-    return F.aggregate("_facts", zero, step, finish)
-
-
-def definition_spans() -> Column:
-    """One span per definition with its whole body; a class and its methods overlap.
-
-    A stack of open definitions is folded over the lines: in braced languages a
-    definition closes when the brace depth is back where it began (or at a `;`
-    before any body), in indented ones before the next line that is not deeper.
-    """
-    zero = struct(
-        spans=F.expr(f"cast(array() as array<{_SPAN}>)"), open=F.expr(f"cast(array() as array<{_DEF}>)"),
-        depth=F.lit(0), pos=F.lit(0).cast("long"), filled=F.lit(0),
-    )
-
-    def closed(defs: Column, end: Column) -> Column:
-        return F.transform(defs, lambda d: struct(
-            first=d["line"], n=end - d["line"] + 1, start_line=d["line"], end_line=end,
-            byte_start=d["pos"], kind=d["kind"], name=d["name"]).cast(_SPAN))
-
-    def step(acc, f):
-        style = F.col("_style")
-        is_def = f["fn"] | f["cl"]
-        before = F.when(style == "indent", F.when(~f["blank"], F.filter(acc["open"], lambda d: f["indent"] <= d["depth"]))) \
-            .when((style == "none") & is_def, acc["open"])
-        gone = F.coalesce(before, F.expr(f"cast(array() as array<{_DEF}>)"))
-
-        def opened(left_open):
-            in_class = F.exists(left_open, lambda d: d["container"])
-            kind = F.when(f["fn"], F.when(in_class, "method").otherwise("function")).otherwise(f["keyword"])
-            new = struct(
-                line=f["no"], pos=acc["pos"], depth=F.when(style == "indent", f["indent"]).otherwise(acc["depth"]),
-                opened=F.lit(False), kind=kind, name=f["ident"], container=~f["fn"]).cast(_DEF)
-            return F.when(is_def, F.concat(left_open, F.array(new))).otherwise(left_open)
-
-        def after(stack, spans):
-            depth = acc["depth"] + f["braces"]
-            marked = F.transform(stack, lambda d: d.withField("opened", d["opened"] | f["has_open"]))
-            ends = lambda d: (style == "braces") & (depth <= d["depth"]) & (d["opened"] | f["has_end"])
-            return let(marked, lambda m: struct(
-                spans=F.concat(spans, closed(F.filter(m, ends), f["no"])),
-                open=F.filter(m, lambda d: ~ends(d)),
-                depth=depth, pos=acc["pos"] + f["bytes"] + 1,
-                filled=F.when(f["blank"], acc["filled"]).otherwise(f["no"])))
-
-        return let(gone, lambda g: let(
-            F.when(F.size(g) > 0, F.filter(acc["open"], lambda d: ~F.exists(g, lambda x: x["line"] == d["line"])))
-            .otherwise(acc["open"]),
-            lambda left: let(opened(left), lambda stack: after(
-                stack, F.concat(acc["spans"], closed(g, acc["filled"]))))))
-
-    def finish(s):
-        return F.concat(s["spans"], closed(s["open"], F.greatest(s["filled"], F.lit(1))))
-
-    ordered = lambda spans: F.array_sort(spans, lambda a, b: F.when(
-        a["start_line"] != b["start_line"], a["start_line"] - b["start_line"]).otherwise(b["end_line"] - a["end_line"]))
-    return let(F.aggregate("_facts", zero, step, finish), ordered)
-
-
-def spans_with_text(df: DataFrame, spans: Column) -> DataFrame:
-    """Give each span its text and byte end; helper columns are dropped."""
-    full = lambda s: let(text.join_lines(F.slice("_lines", F.greatest(s["first"], F.lit(1)), s["n"])),
-                         lambda body: struct(
-        content=body, start_line=s["start_line"], end_line=s["end_line"], byte_start=s["byte_start"],
-        byte_end=s["byte_start"] + F.octet_length(body), kind=s["kind"], name=s["name"]))
-    return df.withColumn("_spans", spans).withColumn("spans", F.transform("_spans", full)).drop(
-        "_facts", "_fn", "_cl", "_style", "_spans")
+    bit = lambda condition, value: F.when(condition, value).otherwise(0)
+
+    def fact(line):
+        return let(F.regexp_replace(line, r"^\p{IsWhite_Space}+", ""), lambda left: let(
+            F.regexp_replace(left, r"\p{IsWhite_Space}+$", ""), lambda bare: let(
+                bit(starts_with_any(bare, F.col("_fn")), walks.FUNCTION) + bit(starts_with_any(bare, F.col("_cl")), walks.CLASS),
+                lambda opens: struct(
+                    flags=opens + bit(bare == "", walks.BLANK) + bit(F.contains(line, F.lit("{")), walks.OPENS)
+                    + bit(F.contains(line, F.lit(";")), walks.ENDS),
+                    size=F.octet_length(line),
+                    indent=F.octet_length(line) - F.octet_length(left),
+                    marks=F.when(F.col("_style") == "braces", F.regexp_replace(line, r"[^(){}\[\]]+", "")).otherwise(""),
+                    name=F.when(opens > 0, name_of_line(bare)),
+                    ident=F.when(opens > 0, identifier_of_line(bare)),
+                    keyword=F.when(opens.bitwiseAND(walks.CLASS) > 0, F.lower(F.substring_index(F.rtrim(
+                        F.try_element_at(F.filter(F.col("_cl"), lambda p: bare.startswith(p)), F.lit(1))), " ", -1))),
+                ))))
+
+    return df.withColumn("_facts", F.transform("_lines", fact)).drop("_fn", "_cl")
 
 
 def parse_spans(files: DataFrame, mode: str = "definitions", max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Files with a `spans` array.
+    """Files with an array of spans in place of helper columns; nothing is shuffled.
 
-    `definitions` captures whole definitions and falls back to `heuristic` for a
-    file that has none; `heuristic` is the line machine on its own.
+    `definitions` captures whole definitions, a class and its methods overlapping,
+    and takes the line machine for a file that has none.  `heuristic` is the line
+    machine alone: text outside definitions goes in front of the next one or, from
+    `max_tokens` on, becomes an unnamed span.
     """
-    df = with_lines(files)
-    if mode == "heuristic":
-        return spans_with_text(df, heuristic_spans(max_tokens)).drop("_lines")
-    if mode != "definitions":
+    if mode not in ("definitions", "heuristic"):
         raise ValueError("mode must be definitions or heuristic")
-    df = df.withColumn("_found", definition_spans())
-    spans = F.when(F.size("_found") > 0, F.col("_found")).otherwise(heuristic_spans(max_tokens))
-    return spans_with_text(df, spans).drop("_lines", "_found")
+    df = with_lines(files)
+    has_definition = F.exists("_facts", lambda f: f["flags"].bitwiseAND(walks.FUNCTION | walks.CLASS) > 0)
+    # token counts decide nothing where whole definitions are taken
+    no_counts = F.expr("cast(array() as array<struct<word:int,space:int,punct:int,other:int>>)")
+    counts = F.transform("_lines", lambda line: tokens.class_counts(line))
+    df = df.withColumn("_counts", F.when(has_definition, no_counts).otherwise(counts) if mode == "definitions" else counts)
+    df = walks.with_walk(
+        df, "_walk", walks.span_walk(mode, max_tokens), walks.SPAN_FIELDS, style=F.col("_style"), flags=F.col("_facts.flags"),
+        indents=F.col("_facts.indent"), sizes=F.col("_facts.size"), marks=F.col("_facts.marks"), words=F.col("_counts.word"),
+        spaces=F.col("_counts.space"), puncts=F.col("_counts.punct"), others=F.col("_counts.other"))
+
+    def span(s):
+        fact = F.try_element_at("_facts", F.when(s["name_line"] > 0, s["name_line"].cast("int")))
+        kind = (F.when(s["kind"].isin(walks.FUNCTION, walks.WHOLE_FUNCTION), "function").when(s["kind"] == walks.CLASS, "class")
+                .when(s["kind"] == walks.WHOLE_METHOD, "method").when(s["kind"] == walks.WHOLE_CLASS, fact["keyword"]))
+        name = F.when(s["kind"] >= walks.WHOLE_FUNCTION, fact["ident"]).when(s["kind"] > 0, fact["name"])
+        body = text.join_lines(F.slice("_lines", F.greatest(s["first"], F.lit(1)).cast("int"), s["n"].cast("int")))
+        return let(body, lambda content: struct(
+            content=content, start_line=s["start_line"].cast("int"), end_line=s["end_line"].cast("int"),
+            byte_start=s["byte_start"], byte_end=s["byte_start"] + F.octet_length(content), kind=kind, name=name))
+
+    return df.withColumn("spans", F.transform("_walk", span)).drop("_lines", "_style", "_facts", "_counts", "_walk")
 
 
 # ---------------------------------------------------------------- markup

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, walks
 from ..functions.columns import struct
 from ..operators import chunking as C
 from ..operators import parsing as P
@@ -110,7 +110,7 @@ _COLUMNS = ["doc_id", "content", "start_line", "end_line", "byte_start", "byte_e
 SELECT {_CHUNK_COLUMNS} FROM grouped WHERE NOT big AND content <> '' UNION ALL SELECT {_CHUNK_COLUMNS} FROM parts"""))
 def chunk_pack_budget(spark, folder):
     """Two-line spans packed into budgeted chunks, oversized ones split with overlap."""
-    base = c.table(spark, folder, "documents").select("doc_id", C.fixed_line_groups(F.col("text"), 2).alias("spans"))
+    base = C.with_fixed_groups(c.table(spark, folder, "documents").select("doc_id", "text"), "text", 2, "spans")
     named = base.withColumn("spans", F.transform("spans", lambda x, i: struct(
         content=x["content"], start_line=x["start_line"], end_line=x["end_line"], byte_start=x["byte_start"], byte_end=x["byte_end"],
         kind=c._pick(i % 4, ["function", "class", "comment", None]),
@@ -143,23 +143,33 @@ def split_overlap(spark, folder):
 
 @query("split_by_tokens", f"""
 SELECT doc_id, k AS part, array_to_string(parts[k * {WINDOW} + 1:(k + 1) * {WINDOW}], '') AS content,
-  (1 + (k * {WINDOW} * nl) // len(parts))::INTEGER AS start_line, k * {WINDOW} + len(parts[k * {WINDOW} + 1:(k + 1) * {WINDOW}]) AS upto FROM (
+  (1 + (k * {WINDOW} * nl) // len(parts))::INTEGER AS start_line, len(parts[k * {WINDOW} + 1:(k + 1) * {WINDOW}])::INTEGER AS token_count,
+  CASE WHEN k = 0 THEN 0 ELSE strlen(array_to_string(parts[1:k * {WINDOW}], '')) END AS byte_start FROM (
   SELECT doc_id, parts, nl, unnest(range(0, ceil(len(parts) / {WINDOW}::DOUBLE)::BIGINT)) AS k FROM (
     SELECT doc_id, regexp_extract_all(text, '(\\S+\\s*|\\s+)', 1) AS parts, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS nl
-    FROM documents) WHERE len(parts) > {WINDOW})""")
+    FROM documents WHERE {count_sql("text")} > {WINDOW}) WHERE len(parts) > {WINDOW})""")
 def split_by_tokens(spark, folder):
-    units = _whole_units(spark, folder).select("doc_id", F.posexplode(C.split_by_tokens(F.col("u"), WINDOW)).alias("k", "x"))
-    return units.select("doc_id", F.col("k").cast("long").alias("part"), F.col("x.content").alias("content"),
-                        F.col("x.start_line").alias("start_line"), (F.col("k") * WINDOW + F.col("x.token_count")).cast("long").alias("upto"))
+    """Documents above the limit in windows of pieces."""
+    units = _whole_units(spark, folder).withColumn("spans", F.array("u"))
+    rows = C.chunk_rows(C.split_large_spans(units, WINDOW), "doc_id").filter(F.col("kind").startswith("function_part") & (F.col("token_count") > 0))
+    windows = rows.filter(F.size(C.pieces(F.col("content"))) == F.col("token_count"))
+    return windows.select("doc_id", F.col("chunk_index").cast("long").alias("part"), "content", "start_line", "token_count", "byte_start")
 
 
-@query("split_by_lines", c.with_sql(_WHOLE, select="""
+_HALVED = 100
+
+
+@query("split_by_lines", c.with_sql(_WHOLE, select=f"""
 SELECT doc_id, 'function_part1' AS kind, array_to_string(ls[1:n // 2 + least(10, n // 10)], chr(10)) AS content, 1 AS start_line,
-  (1 + n // 2 + least(10, n // 10))::INTEGER AS end_line FROM (SELECT *, len(ls) AS n FROM whole)
-UNION ALL SELECT doc_id, 'function_part2', array_to_string(ls[n // 2 + 1:n], chr(10)), (1 + n // 2)::INTEGER, n::INTEGER FROM (SELECT *, len(ls) AS n FROM whole)"""))
+  (1 + n // 2 + least(10, n // 10))::INTEGER AS end_line, 0 AS byte_start FROM (SELECT *, len(ls) AS n FROM whole) WHERE {count_sql("text")} > {_HALVED}
+UNION ALL SELECT doc_id, 'function_part2', array_to_string(ls[n // 2 + 1:n], chr(10)), (1 + n // 2)::INTEGER, n::INTEGER,
+  CASE WHEN n // 2 = 0 THEN 0 ELSE strlen(array_to_string(ls[1:n // 2], chr(10))) + 1 END FROM (SELECT *, len(ls) AS n FROM whole) WHERE {count_sql("text")} > {_HALVED}"""))
 def split_by_lines(spark, folder):
-    units = _whole_units(spark, folder).select("doc_id", F.explode(C.split_by_lines(F.col("u"))).alias("x"))
-    return units.select("doc_id", "x.kind", "x.content", "x.start_line", "x.end_line")
+    """The way of units that do not fall into pieces: two overlapping halves."""
+    units = _whole_units(spark, folder).withColumn("spans", F.array("u"))
+    one_piece = lambda content: F.array(content)
+    rows = C.chunk_rows(C.split_large_spans(units, _HALVED, one_piece), "doc_id").filter(F.col("kind") != "function")
+    return rows.select("doc_id", "kind", "content", "start_line", "end_line", "byte_start")
 
 
 _CONTAINER = f"""code_units AS (
@@ -195,9 +205,9 @@ def split_container(spark, folder):
         content=F.col("file_content"), start_line=F.lit(1), end_line=F.size(text.lines(F.col("file_content"))),
         byte_start=F.lit(0).cast("long"), byte_end=F.octet_length("file_content").cast("long"), kind=F.lit("class"),
         name=F.lit("c")).alias("u"))
-    parts = units.select("doc_id", F.explode(C.split_container(F.col("u"), PART_TOKENS)).alias("x"))
-    return parts.select("doc_id", F.col("x.start_line").cast("long").alias("start_line"), F.col("x.end_line").cast("long").alias("end_line"),
-                        "x.content", "x.byte_start")
+    parts = C.chunk_rows(C.split_large_spans(units.select("doc_id", F.array("u").alias("spans")), PART_TOKENS), "doc_id")
+    return parts.filter(F.col("kind") == "class_part").select(
+        "doc_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content", "byte_start")
 
 
 # ------------------------------------------------------------------- parsing
@@ -267,7 +277,7 @@ bodies AS (SELECT doc_id, list(code ORDER BY k) AS ls FROM code_lines GROUP BY d
 
 
 def _spans(df):
-    return df.select("doc_id", F.inline("spans")).select(
+    return C.rows_of(df, "spans", "i", "doc_id").select(
         "doc_id", "kind", "name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"),
         "content", F.col("byte_start"))
 
@@ -314,9 +324,10 @@ def parse_definitions(spark, folder):
 
 @query("definition_names", c.with_sql(c.FILES, c.CODE, _FACTS, select="SELECT doc_id, no AS line, fn AS is_function, cl AS is_class, name FROM facts"))
 def definition_names(spark, folder):
-    lined = P.with_lines(c.code_files(spark, folder)).select("doc_id", F.explode("_facts").alias("x"))
-    return lined.select("doc_id", F.col("x.no").cast("long").alias("line"), F.col("x.fn").alias("is_function"),
-                        F.col("x.cl").alias("is_class"), F.col("x.name").alias("name"))
+    lined = P.with_lines(c.code_files(spark, folder)).select("doc_id", F.posexplode("_facts").alias("i", "x"))
+    bit = lambda value: F.col("x.flags").bitwiseAND(value) > 0
+    return lined.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), bit(walks.FUNCTION).alias("is_function"),
+                        bit(walks.CLASS).alias("is_class"), F.col("x.name").alias("name"))
 
 
 @query("parse_html", """

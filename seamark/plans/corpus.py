@@ -110,11 +110,11 @@ INDEXED = "indexed AS (SELECT * FROM files WHERE doc_id % 10 <> 1)"
 
 def chunks(spark: SparkSession, folder: str, with_content: bool = True) -> DataFrame:
     """Five-line chunks of every file."""
-    from ..operators.chunking import chunk_rows, fixed_line_groups
+    from ..operators.chunking import chunk_rows, with_fixed_groups
 
     base = files(spark, folder)
     keep = [c for c in base.columns if c not in ("file_content",)]
-    rows = chunk_rows(base.withColumn("chunks", fixed_line_groups(F.col("file_content"), 5)), *keep)
+    rows = chunk_rows(with_fixed_groups(base, "file_content", 5), *keep)
     rows = rows.withColumn("kind", _pick(F.col("chunk_index") % 4, ["function", "class", "comment", None])).withColumn(
         "name", F.nullif(F.regexp_extract("content", r"([\p{IsAlphabetic}]+)", 1), F.lit(""))).withColumn(
         "chunk_id", ids.chunk_id("repository_id", "branch", "file_path", "generation", "byte_start", "byte_end")
