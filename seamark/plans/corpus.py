@@ -263,7 +263,8 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
         return F.when(F.col("language") == "python", indent).otherwise(braces)
 
     code = text.join_lines(F.transform(text.lines(F.col("file_content")), written))
-    return base.withColumn("file_content", code)
+    return base.withColumn("file_content", code).withColumn("content_hash", ids.content_hash(F.col("file_content"))).withColumn(
+        "size_bytes", F.octet_length("file_content").cast("long"))
 
 
 _WORD_SQL = "lower(regexp_extract(line, '(\\p{L}+)', 1))"

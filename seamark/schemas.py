@@ -55,7 +55,7 @@ VECTORS = T.StructType(
      _s("file_path", False), _i("chunk_index"), _l("generation"), _s("content"), _i("start_line"),
      _i("end_line"), _l("byte_start"), _l("byte_end"), _s("language"), _s("kind"), _s("name"),
      _i("token_count"), _s("repository_url"), _s("commit_sha"), _s("commit_message"), _t("commit_date"),
-     _s("author"), T.StructField("embedding", T.ArrayType(T.FloatType(), False))]
+     _s("author"), T.StructField("embedding", T.ArrayType(T.FloatType()))]
 )
 
 INDEXING_JOBS = T.StructType(
