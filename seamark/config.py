@@ -1,0 +1,32 @@
+"""Settings from defaults, a TOML file and the environment, later ones winning."""
+
+from __future__ import annotations
+
+import os
+import tomllib
+from dataclasses import dataclass, fields, replace
+
+
+@dataclass(frozen=True)
+class Settings:
+    index_root: str = "index"
+    embedding_dimension: int = 768
+    max_tokens: int = 512
+    overlap_tokens: int = 0
+    visibility_seconds: int = 300
+    max_files_per_trigger: int = 1000
+
+
+def _typed(values: dict) -> dict:
+    kinds = {f.name: int if f.type in (int, "int") else str for f in fields(Settings)}
+    return {name: kinds[name](value) for name, value in values.items() if name in kinds}
+
+
+def load(toml_path: str | None = None, environ: dict[str, str] | None = None, prefix: str = "SEAMARK_") -> Settings:
+    settings = Settings()
+    if toml_path:
+        with open(toml_path, "rb") as file:
+            settings = replace(settings, **_typed(tomllib.load(file)))
+    env = os.environ if environ is None else environ
+    found = {k[len(prefix):].lower(): v for k, v in env.items() if k.startswith(prefix)}
+    return replace(settings, **_typed(found))
