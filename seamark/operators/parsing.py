@@ -29,7 +29,7 @@ def name_of_line(line: Column) -> Column:
 # What may stand before an identifier in a definition line.
 IDENTIFIER_KEYWORDS = NAME_KEYWORDS + ["enum", "type", "mod", "record", "namespace", "union", "filter", "workflow",
                                        "const", "let", "var", "FUNCTION", "PROCEDURE", "TABLE", "VIEW", "INDEX", "TRIGGER"]
-_IDENTIFIER = r"(?:^|\s)(?:" + "|".join(IDENTIFIER_KEYWORDS) + r")\s+([\p{IsAlphabetic}\p{N}_$]+)"
+_IDENTIFIER = r"(?:^|\s)(?:" + "|".join(IDENTIFIER_KEYWORDS) + r")\s+(?:\([^)]*\)\s*)?([\p{IsAlphabetic}\p{N}_$]+)"
 
 
 def identifier_of_line(line: Column) -> Column:

@@ -292,7 +292,7 @@ def parse_heuristic(spark, folder):
     return _spans(P.parse_spans(c.code_files(spark, folder), "heuristic", FLUSH))
 
 
-_IDENT = (f"coalesce(nullif(regexp_extract(bare, '(?:^|\\s)(?:{'|'.join(P.IDENTIFIER_KEYWORDS)})\\s+([\\p{{L}}\\p{{N}}_$]+)', 1), ''), "
+_IDENT = (f"coalesce(nullif(regexp_extract(bare, '(?:^|\\s)(?:{'|'.join(P.IDENTIFIER_KEYWORDS)})\\s+(?:\\([^)]*\\)\\s*)?([\\p{{L}}\\p{{N}}_$]+)', 1), ''), "
           "nullif(regexp_extract(bare, '([\\p{L}\\p{N}_$]+)\\s*\\(', 1), ''))")
 
 _BLOCKS = f"""leveled AS (
