@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -25,18 +26,18 @@ def words(content: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def hashed_features(content: Column, dimension: int) -> Column:
-    """Per word the number `2 * bucket + sign`, from the word's MD5."""
-    return F.transform(words(content), lambda w: F.pmod(
-        F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(2 * dimension)).cast("int"))
+def word_number(word: str) -> int:
+    """First 32 bits of the word's MD5."""
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
 
 
 class HashedEmbedding:
     """Signed feature hashing of words, scaled to unit length.
 
     It stands where a neural model would be plugged in: deterministic, any
-    dimension, texts that share words are near each other.  Words are cut and
-    hashed by Spark; Python only sums one Arrow batch at a time.
+    dimension, texts that share words are near each other.  Spark cuts the
+    words; each Arrow batch is dictionary-encoded, so a word is hashed once
+    per batch at most, and summed as one matrix.
     """
 
     def __init__(self, dimension: int = DIMENSION):
@@ -51,7 +52,9 @@ class HashedEmbedding:
             if isinstance(batch, pa.ChunkedArray):
                 batch = batch.combine_chunks()
             n = len(batch)
-            feature = batch.flatten().to_numpy(zero_copy_only=False)
+            found = batch.flatten().dictionary_encode()
+            number = np.array([word_number(w) for w in found.dictionary.to_pylist()], dtype=np.int64) % (2 * dimension)
+            feature = number[found.indices.to_numpy()]
             row = np.repeat(np.arange(n), np.diff(batch.offsets.to_numpy()))
             sums = np.bincount(row * dimension + feature // 2, weights=1.0 - 2.0 * (feature % 2),
                                minlength=n * dimension).reshape(n, dimension)
@@ -60,7 +63,7 @@ class HashedEmbedding:
             offsets = np.arange(0, (n + 1) * dimension, dimension, dtype=np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(unit.astype(np.float32).ravel()))
 
-        return accumulate(F.coalesce(hashed_features(content, dimension), F.expr("cast(array() as array<int>)")))
+        return accumulate(F.coalesce(words(content), F.expr("cast(array() as array<string>)")))
 
 
 class ModelEmbedding:

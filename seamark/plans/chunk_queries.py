@@ -150,10 +150,10 @@ SELECT doc_id, k AS part, array_to_string(parts[k * {WINDOW} + 1:(k + 1) * {WIND
     FROM documents WHERE {count_sql("text")} > {WINDOW}) WHERE len(parts) > {WINDOW})""")
 def split_by_tokens(spark, folder):
     """Documents above the limit in windows of pieces."""
-    units = _whole_units(spark, folder).withColumn("spans", F.array("u"))
-    rows = C.chunk_rows(C.split_large_spans(units, WINDOW), "doc_id").filter(F.col("kind").startswith("function_part") & (F.col("token_count") > 0))
-    windows = rows.filter(F.size(C.pieces(F.col("content"))) == F.col("token_count"))
-    return windows.select("doc_id", F.col("chunk_index").cast("long").alias("part"), "content", "start_line", "token_count", "byte_start")
+    long_ones = _whole_units(spark, folder).filter(F.size(C.pieces(F.col("text"))) > WINDOW)
+    units = long_ones.select("doc_id", F.array("u").alias("spans"))
+    rows = C.chunk_rows(C.split_large_spans(units, WINDOW), "doc_id").filter(F.col("kind") != "function")
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("part"), "content", "start_line", "token_count", "byte_start")
 
 
 _HALVED = 100
