@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .columns import let, struct
+from .columns import let, running_starts, struct
 
 CONTEXT_LINES = 3
 DEFAULT_RADIUS = 20
@@ -29,17 +29,17 @@ def contains_nul(content: Column) -> Column:
 
 
 def _ranges(content: Column, needle: str, size) -> Column:
-    found = needle.lower()
-    parts = F.split(F.lower(content), F.lit("\\Q" + found.replace("\\E", "\\E\\\\E\\Q") + "\\E"), -1)
-    zero = struct(pos=F.lit(0), out=F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-    step = lambda acc, part: let(
-        acc["pos"] + size(part),
-        lambda at: struct(
-            pos=at + size(F.lit(needle)),
-            out=F.concat(acc["out"], F.array(struct(start=at, end=at + size(F.lit(needle))))),
-        ),
-    )
-    return let(parts, lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), zero, step)["out"])
+    pattern = "\\Q" + needle.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    parts = F.split(F.lower(content), F.lit(pattern), -1)
+    width = size(F.lit(needle))
+
+    def found(before: Column) -> Column:
+        starts = running_starts(F.transform(before, lambda n: n + width))
+        return F.zip_with(starts, before, lambda start, n: struct(
+            start=(start + n).cast("int"), end=(start + n + width).cast("int")))
+
+    # lengths of the text in front of each hit
+    return let(F.transform(parts, lambda part: size(part)), lambda n: let(F.slice(n, F.lit(1), F.size(n) - 1), found))
 
 
 def highlight_ranges(content: Column, query: str) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text, tokens, walks
-from ..functions.columns import let, struct
+from ..functions.columns import let, running_starts, struct
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,7 @@ def with_fixed_groups(files: DataFrame, content: str, size: int = 5, into: str =
     firsts = F.when(F.size("_lines") > 0, F.sequence(F.lit(1), F.size("_lines"), F.lit(size))).otherwise(
         F.expr("cast(array() as array<int>)"))
     df = df.withColumn("_bodies", F.transform(firsts, lambda first: text.join_lines(F.slice("_lines", first, F.lit(size)))))
-    sizes = F.transform("_bodies", lambda body: (F.octet_length(body) + 1).cast("long"))
-    first = F.expr("array(cast(0 as bigint))")
-    df = df.withColumn("_starts", F.aggregate(sizes, first, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))))
+    df = df.withColumn("_starts", running_starts(F.transform("_bodies", lambda body: F.octet_length(body) + 1)))
     group = lambda body, i: struct(
         content=body, start_line=i * size + 1, end_line=F.least((i + 1) * size, F.size("_lines")),
         byte_start=F.element_at("_starts", i + 1), byte_end=F.element_at("_starts", i + 1) + F.octet_length(body))

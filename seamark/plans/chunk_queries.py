@@ -324,10 +324,10 @@ def parse_definitions(spark, folder):
 
 @query("definition_names", c.with_sql(c.FILES, c.CODE, _FACTS, select="SELECT doc_id, no AS line, fn AS is_function, cl AS is_class, name FROM facts"))
 def definition_names(spark, folder):
-    lined = P.with_lines(c.code_files(spark, folder)).select("doc_id", F.posexplode("_facts").alias("i", "x"))
-    bit = lambda value: F.col("x.flags").bitwiseAND(value) > 0
+    lined = C.rows_of(P.with_lines(c.code_files(spark, folder)), "_facts", "i", "doc_id")
+    bit = lambda value: F.col("flags").bitwiseAND(value) > 0
     return lined.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), bit(walks.FUNCTION).alias("is_function"),
-                        bit(walks.CLASS).alias("is_class"), F.col("x.name").alias("name"))
+                        bit(walks.CLASS).alias("is_class"), "name")
 
 
 @query("parse_html", """

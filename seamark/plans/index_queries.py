@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import embedding, vectors
+from ..functions import embedding, ids, vectors
 from ..functions.columns import struct
-from ..operators import chunking, indexing
+from ..operators import chunking, indexing, parsing
 from ..operators import search as S
+from ..schemas import FILE_KEY
 from ..session import shared_dir
 from ..sources.tables import IndexTables
 from ..streaming.index_stream import start_indexing
@@ -35,7 +36,7 @@ norms AS (SELECT {key}, sqrt(sum(x * x)) AS norm FROM buckets GROUP BY {key})"""
 SELECT doc_id, dim, round((x / norm)::FLOAT::DOUBLE, 5) AS value FROM buckets JOIN norms USING (doc_id) WHERE x <> 0"""))
 def embed_hashed(spark, folder):
     v = c.table(spark, folder, "documents").select("doc_id", embedding.HashedEmbedding(D).embed(F.col("text")).alias("v"))
-    return v.select("doc_id", F.posexplode("v").alias("p", "x")).filter(F.col("x") != 0).select(
+    return v.select("doc_id", F.posexplode_outer("v").alias("p", "x")).filter(F.col("x") != 0).select(
         "doc_id", F.col("p").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("value"))
 
 
@@ -75,12 +76,20 @@ SELECT doc_id, kind, name, start_line, end_line, {c.UUID5_SQL.format(h='h')} AS
   SELECT *, CASE WHEN fn THEN 'function' ELSE 'class' END AS kind, ident AS name,
     {c.sha1_sql("repository_id || ':' || branch || ':' || file_path || ':1:' || byte_start || ':' || (byte_start + n)")} AS h FROM keyed)"""))
 def index_chunk_ids(spark, folder):
-    """Source files to identified chunks, as an index batch makes them."""
-    rows = indexing.chunked_files(c.code_files(spark, folder), max_tokens=LARGE)
+    """Whole definitions of the source files with their ids."""
+    spans = chunking.rows_of(parsing.parse_spans(c.code_files(spark, folder)), "spans", "i", "doc_id", *FILE_KEY, "generation")
+    rows = spans.withColumn("chunk_id", ids.chunk_id(*FILE_KEY[1:], "generation", "byte_start", "byte_end"))
     return rows.select("doc_id", "kind", "name", F.col("start_line").cast("long").alias("start_line"),
                        F.col("end_line").cast("long").alias("end_line"), "chunk_id")
 
 
+@query("index_chunks")
+def index_chunks(spark, folder):
+    """Source files to chunks as an index batch makes them, those above 512 tokens in parts."""
+    rows = indexing.chunked_files(c.code_files(spark, folder))
+    return rows.select("doc_id", "chunk_index", "chunk_id", "kind", "name", "start_line", "end_line", "token_count")
+
+
 @query("index_packed_chunks")
 def index_packed_chunks(spark, folder):
     """Source files packed to the default token budget."""

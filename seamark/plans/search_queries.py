@@ -74,7 +74,7 @@ def vector_normalize(spark, folder):
     longer = c.table(spark, folder, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id") % 3)).alias("v"))
     unit = longer.select("vec_id", vectors.l2_normalize(F.col("v")).alias("v"))
-    return unit.select("vec_id", F.posexplode("v").alias("p", "x")).select(
+    return unit.select("vec_id", F.posexplode_outer("v").alias("p", "x")).select(
         "vec_id", (F.col("p") + 1).cast("long").alias("dim"), F.round("x", 6).alias("value"))
 
 

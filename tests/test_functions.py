@@ -175,3 +175,17 @@ def test_settings(tmp_path):
     file.write_text("max_tokens = 100\nindex_root = '/a'\n")
     got = config.load(str(file), {"SEAMARK_MAX_TOKENS": "200", "OTHER": "x"})
     assert got.max_tokens == 200 and got.index_root == "/a" and got.embedding_dimension == 768
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 512, 1000])
+def test_running_starts(spark, n):
+    from seamark.functions.columns import running_starts
+
+    sizes = [(i * 7) % 13 for i in range(n)]
+    assert one(spark, running_starts(F.col("x")), sizes, "array<int>") == [sum(sizes[:i]) for i in range(n)]
+
+
+def test_many_highlights_in_one_text(spark):
+    content = "é x " * 3000
+    got = [tuple(r) for r in one(spark, text.highlight_ranges(F.col("x"), "X"), content)]
+    assert got == [(3 + 5 * i, 4 + 5 * i) for i in range(3000)]
