@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .paths import is_test_path
-from .text import ascii_lower
+from .text import ascii_lower, contains_ascii_ci
 
 # Multiplicative score adjustments and the kinds that count as definitions.
 NAME_BOOST = 1.15
@@ -36,4 +36,4 @@ def is_definition(name: Column, kind: Column, symbol: str) -> Column:
 
 
 def is_reference(name: Column, kind: Column, content: Column, symbol: str) -> Column:
-    return ~is_definition(name, kind, symbol) & F.contains(ascii_lower(content), ascii_lower(F.lit(symbol)))
+    return ~is_definition(name, kind, symbol) & contains_ascii_ci(content, symbol)

@@ -29,8 +29,7 @@ def contains_nul(content: Column) -> Column:
 
 
 def _ranges(content: Column, needle: str, size) -> Column:
-    pattern = "\\Q" + needle.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    parts = F.split(F.lower(content), F.lit(pattern), -1)
+    parts = F.split(F.lower(content), F.lit(quoted(needle.lower())), -1)
     width = size(F.lit(needle))
 
     def found(before: Column) -> Column:
@@ -92,6 +91,16 @@ def ascii_lower(content: Column) -> Column:
     return F.translate(content, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def contains_ascii_ci(content: Column, needle: str) -> Column:
+    """Whether the text holds `needle`, A to Z matching either case and nothing else folded."""
+    return content.rlike("(?i)" + quoted(needle))
+
+
+def quoted(needle: str) -> str:
+    """`needle` as a literal pattern."""
+    return "\\Q" + needle.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def decode_bytes(raw: Column) -> Column:
     """Struct (content, encoding) of a binary column, null where it is not text.
 

@@ -40,6 +40,21 @@ def _conformed(df: DataFrame, schema) -> DataFrame:
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+LITERAL_BRANCHES = 1000
+
+
+def within_branches(table: DataFrame, touched: DataFrame, rows: list) -> DataFrame:
+    """Rows of the touched branches.
+
+    Up to a bounded number of branches their names go into the scan as literals,
+    so that only their partitions are read; the join alone decides otherwise.
+    """
+    if len(rows) <= LITERAL_BRANCHES:
+        for key in BRANCH_KEY:
+            table = table.filter(F.col(key).isin(sorted({row[key] for row in rows})))
+    return table.join(touched, BRANCH_KEY, "left_semi")
+
+
 def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, provider: EmbeddingProvider,
                 batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS) -> DataFrame:
     """Bring the index up to date with `incoming` files; returns counts per branch.
@@ -68,18 +83,19 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
     points = spark.read.schema(VECTORS).parquet(staged_points)
 
     touched = changed.select(*BRANCH_KEY).distinct()
+    branches = touched.limit(LITERAL_BRANCHES + 1).collect()
     updates = changed.select(*FILE_KEY, F.col("generation").alias("new_generation"))
 
-    old_points = tables.read(spark, "vectors").join(touched, BRANCH_KEY, "left_semi").select(*VECTORS.names)
+    old_points = within_branches(tables.read(spark, "vectors"), touched, branches).select(*VECTORS.names)
     tables.replace_partitions(changes.upsert_points(changes.without_replaced(old_points, updates), points), "vectors")
 
     new_chunks = _conformed(points.withColumn("created_at", indexed_at), CHUNK_METADATA)
-    old_chunks = tables.read(spark, "chunk_metadata").join(touched, BRANCH_KEY, "left_semi").select(*CHUNK_METADATA.names)
+    old_chunks = within_branches(tables.read(spark, "chunk_metadata"), touched, branches).select(*CHUNK_METADATA.names)
     kept = changes.without_replaced(old_chunks, updates)
     tables.replace_partitions(kept.unionByName(changes.insert_chunks(kept, new_chunks).select(*CHUNK_METADATA.names)),
                               "chunk_metadata")
 
-    old_files = indexed.join(touched, BRANCH_KEY, "left_semi").select(*INDEXED_FILES.names)
+    old_files = within_branches(indexed, touched, branches).select(*INDEXED_FILES.names)
     tables.replace_partitions(changes.upsert_files(old_files, _conformed(changed, INDEXED_FILES)), "indexed_files")
 
     files_done = seen.groupBy(*BRANCH_KEY).agg(

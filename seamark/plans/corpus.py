@@ -256,7 +256,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def written(line, k):
         head = F.when(k % 12 == 8, F.lit("class")).otherwise(keyword[F.col("language")])
-        body = F.concat(F.lit("    "), F.translate(line, "(){}[]", ""))
+        body = F.concat(F.lit("    "), F.regexp_replace(line, r"[(){}\[\]]", ""))
         named = let(word(line), lambda w: F.when(w == "", "unnamed").otherwise(w))
         braces = F.when(k % 4 == 0, F.concat(head, F.lit(" "), named, F.lit("(a) {"))).when(k % 4 == 3, "}").otherwise(body)
         indent = F.when(k % 4 == 0, F.concat(head, F.lit(" "), named, F.lit("(a):"))).otherwise(body)

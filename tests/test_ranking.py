@@ -143,3 +143,12 @@ def test_stale_generations_vanish(spark):
     pts = spark.createDataFrame([("t", "r", "b", "f", 1, "old"), ("t", "r", "b", "f", 2, "new"), ("t", "r", "b", "g", 1, "kept")], cols)
     files = spark.createDataFrame([("t", "r", "b", "f", 2), ("t", "r", "b", "g", 1)], cols.rsplit(",", 1)[0])
     assert sorted(r.chunk_id for r in S.current_points(pts, files).collect()) == ["kept", "new"]
+
+
+@pytest.mark.parametrize("content, symbol, expected", [
+    ("call PARSE(x)", "parse", True), ("É", "é", False), ("é", "é", True), ("a.b", "A.B", True), ("axb", "a.b", False), ("\u212a", "k", False),
+    ("line\nFoo_Bar", "foo_bar", True), ("\\E+", "\\e+", True)])
+def test_reference_folds_ascii_only(spark, content, symbol, expected):
+    df = spark.createDataFrame([(content,)], "content string")
+    found = df.select(ranking.is_reference(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("content"), symbol).alias("r"))
+    assert found.first().r is expected
