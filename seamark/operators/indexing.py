@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ids, tokens
 from ..functions.embedding import EmbeddingProvider
-from ..schemas import BRANCH_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, VECTORS
+from ..schemas import (
+    ALL, BRANCH_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, PROJECT_BRANCHES, VECTORS,
+)
 from ..sources.tables import IndexTables
 from . import changes, chunking, parsing
 
@@ -57,15 +59,17 @@ def within_branches(table: DataFrame, touched: DataFrame, rows: list) -> DataFra
 
 def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, provider: EmbeddingProvider,
                 batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS) -> DataFrame:
-    """Bring the index up to date with `incoming` files; returns counts per branch.
+    """Bring the index up to date with `incoming` files; returns the job of each branch with its counts.
 
     Two staged tables cut the work in three: which files changed, their points,
-    the merge.  The file rows with the new hashes are written last, so a batch
-    that dies half-way is simply done again and changes nothing twice.
+    the merge.  The file rows with the new hashes are written after all chunks,
+    so a batch that dies half-way is simply done again and changes nothing twice.
     """
+    arrived = incoming.select(*BRANCH_KEY).distinct()
+    all_branches = arrived.limit(LITERAL_BRANCHES + 1).collect()
     indexed = tables.read(spark, "indexed_files")
     unique = changes.first_per_key(incoming, FILE_KEY, F.asc("content_hash"))
-    states = changes.file_states(unique, indexed)
+    states = changes.file_states(unique, within_branches(indexed, arrived, all_branches))
     staged_files = tables.staging(batch, "files")
     for column in ("repository_url", "encoding", "size_bytes", *COMMIT_COLUMNS):
         if column not in states.columns:
@@ -98,13 +102,37 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
     old_files = within_branches(indexed, touched, branches).select(*INDEXED_FILES.names)
     tables.replace_partitions(changes.upsert_files(old_files, _conformed(changed, INDEXED_FILES)), "indexed_files")
 
+    report = _batch_report(seen, points, batch)
+    _record_jobs(spark, tables, report, indexed_at, all_branches)
+    return report.select("job_id", *BRANCH_KEY, "files_processed", "new_files", "updated_files", "unchanged_files", "chunks_created")
+
+
+def _batch_report(seen: DataFrame, points: DataFrame, batch: str) -> DataFrame:
+    """Per branch: job id, counts, and the commit it was pushed with."""
     files_done = seen.groupBy(*BRANCH_KEY).agg(
         F.count("*").alias("files_processed"), F.count_if(F.col("state") == "new").alias("new_files"),
         F.count_if(F.col("state") == "updated").alias("updated_files"),
-        F.count_if(F.col("state") == "unchanged").alias("unchanged_files"))
+        F.count_if(F.col("state") == "unchanged").alias("unchanged_files"),
+        F.max(F.struct("commit_date", "commit_sha", "commit_message", "author", "repository_url")).alias("_commit"))
     chunks_done = points.groupBy(*BRANCH_KEY).agg(F.count("*").alias("chunks_created"))
-    return files_done.join(chunks_done, BRANCH_KEY, "left").withColumn(
-        "chunks_created", F.coalesce("chunks_created", F.lit(0).cast("long")))
+    # a batch repeated under its name is the same job
+    job = ids.uuid5(ids.CHUNK_NAMESPACE, F.concat_ws(":", F.lit(batch), *BRANCH_KEY))
+    return files_done.join(chunks_done, BRANCH_KEY, "left").withColumn("job_id", job).withColumn(
+        "chunks_created", F.coalesce("chunks_created", F.lit(0).cast("long"))).withColumn("correlation_id", F.lit(batch))
+
+
+def _record_jobs(spark: SparkSession, tables: IndexTables, report: DataFrame, at: Column, branches: list) -> None:
+    """Job rows and branch rows of a finished batch."""
+    keys = report.select(*BRANCH_KEY)
+    done = _conformed(report.select("*", "_commit.*").withColumn("status", F.lit("completed")).withColumn(
+        "files_total", F.col("files_processed")).withColumn("started_at", at).withColumn("completed_at", at), INDEXING_JOBS)
+    earlier = within_branches(tables.read(spark, "indexing_jobs"), keys, branches).select(*INDEXING_JOBS.names)
+    tables.replace_partitions(earlier.join(done.select("job_id"), "job_id", "left_anti").select(
+        *INDEXING_JOBS.names).unionByName(done), "indexing_jobs")
+
+    known = within_branches(tables.read(spark, "project_branches"), keys, branches).select(*PROJECT_BRANCHES.names)
+    now = changes.upsert_branches(known, report.select(*BRANCH_KEY, "_commit.repository_url", at.alias("seen_at")))
+    tables.replace_partitions(now.withColumn("last_indexed", at), "project_branches")
 
 
 def clean(spark: SparkSession, tables: IndexTables, removed: DataFrame) -> IndexTables:
@@ -125,8 +153,6 @@ def compact(spark: SparkSession, tables: IndexTables) -> IndexTables:
 
 
 def _carry(spark, tables, after, skip=()):
-    from ..schemas import ALL
-
     for name in ALL:
         if name not in skip:
             after.write_all(tables.read(spark, name), name)

@@ -215,7 +215,18 @@ def test_repeating_a_batch_changes_nothing(spark, index):
         index.index(files.limit(0), "none", "t", at())
     with pytest.raises(NotFound):
         index.job_status("none")
-    assert index.jobs("t", "org/a:main").count() == 0 and index.status().first().total_files == 1
+    job = index.jobs("t", "org/a:main").collect()
+    assert [(r.status, r.files_total, r.branch) for r in job] == [("completed", 1, "main")]
+    assert index.job_status(job[0].job_id).first().progress_percent == 100.0
+    index.index(files, "two", "t", at())
+    assert index.jobs("t").count() == 2 and index.jobs("u").count() == 0
+    status = index.status().first()
+    assert (status.total_files, status.project_branches, str(status.last_indexed_at)) == (1, 1, "2024-01-01 00:00:00")
+
+
+def test_tables_exist_and_drop(spark, index):
+    assert index.tables.exists(spark) and not index.tables.next().exists(spark)
+    assert index.tables.drop(spark) and not index.tables.exists(spark) and not index.tables.drop(spark)
 
 
 def test_stream_of_pushes(spark, index, tmp_path):
