@@ -1,0 +1,82 @@
+"""Token counters by model name; where no tokenizer fits, the heuristic count."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
+from pyspark.sql import Column, functions as F
+
+from .tokens import token_count
+
+Counter = Callable[[Column], Column]
+
+# Vocabulary of a model, by prefix or part of its name, first match first.
+ENCODINGS = [
+    ("prefix", "gpt-4", "cl100k_base"),
+    ("prefix", "gpt-3.5", "cl100k_base"),
+    ("prefix", "o1", "o200k_base"),
+    ("prefix", "text-davinci", "p50k_base"),
+    ("prefix", "text-curie", "p50k_base"),
+    ("prefix", "code-", "p50k_base"),
+    ("part", "-edit", "p50k_edit"),
+    ("prefix", "davinci", "r50k_base"),
+    ("prefix", "curie", "r50k_base"),
+]
+DEFAULT_ENCODING = "cl100k_base"
+
+
+def encoding_of(model: str) -> str:
+    for how, text, encoding in ENCODINGS:
+        if model.startswith(text) if how == "prefix" else text in model:
+            return encoding
+    return DEFAULT_ENCODING
+
+
+def tokenizer_counter(load: Callable[[], Callable[[str], Sequence]]) -> Counter:
+    """Counter around any tokenizer; `load` runs once per Arrow batch and should cache by itself.
+
+    A text the tokenizer rejects counts 0.
+    """
+
+    def count(content: Column) -> Column:
+        @F.arrow_udf("int")
+        def run(texts: pa.Array) -> pa.Array:
+            encode = load()
+
+            def size(text: str | None) -> int | None:
+                if text is None:
+                    return None
+                try:
+                    return len(encode(text))
+                except Exception:  # noqa: BLE001
+                    return 0
+
+            return pa.array([size(text) for text in texts.to_pylist()], pa.int32())
+
+        return run(content)
+
+    return count
+
+
+def bpe_counter(model: str) -> Counter:
+    """Byte-pair counter of a model; its vocabulary must be at hand on the executors."""
+    encoding = encoding_of(model)
+
+    def load():
+        import tiktoken
+
+        return tiktoken.get_encoding(encoding).encode_ordinary
+
+    return tokenizer_counter(load)
+
+
+def counter_for(model: str, registered: dict[str, Counter] | None = None) -> Counter:
+    """The counter registered for a model or for a longer or shorter form of its name, else the heuristic one."""
+    known = registered or {}
+    if model in known:
+        return known[model]
+    for name in sorted(known, key=len, reverse=True):
+        if model.startswith(name) or name.startswith(model):
+            return known[name]
+    return token_count

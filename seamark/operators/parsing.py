@@ -6,6 +6,8 @@ shuffles nothing and a source with a third of all files is just more rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import languages, text, tokens, walks
@@ -107,6 +109,27 @@ def parse_spans(files: DataFrame, mode: str = "definitions", max_tokens: int = M
     return df.withColumn("spans", F.transform("_walk", span)).drop("_lines", "_style", "_facts", "_counts", "_walk")
 
 
+Parser = Callable[[DataFrame], DataFrame]
+
+
+def parse_composite(files: DataFrame, parsers: list[tuple[set[str], Parser]], fallback: Parser = parse_spans) -> DataFrame:
+    """Each file by the first parser that takes its language, else by the fallback.
+
+    Parsers map files to files with `spans`; the languages partition the input,
+    so every file is parsed once.
+    """
+    df = files if "language" in files.columns else files.withColumn("language", languages.language_of(F.col("file_path")))
+    taken: set[str] = set()
+    out = None
+    for wanted, parser in parsers:
+        own = wanted - taken
+        taken |= own
+        part = parser(df.filter(F.col("language").isin(sorted(own))))
+        out = part if out is None else out.unionByName(part)
+    rest = fallback(df.filter(~F.coalesce(F.col("language").isin(sorted(taken)), F.lit(False))))
+    return rest if out is None else out.unionByName(rest)
+
+
 # ---------------------------------------------------------------- markup
 
 # Elements whose text is taken from markup pages.

@@ -73,10 +73,11 @@ def branches_with_jobs(spark, folder):
 SELECT tenant_id, repository_id, file_path, branch, content_hash, indexed_at FROM (
   SELECT *, row_number() OVER (PARTITION BY tenant_id, repository_id, file_path ORDER BY
     CASE branch WHEN 'main' THEN 1 WHEN 'master' THEN 2 ELSE 3 END, indexed_at DESC, branch DESC) AS rn
-  FROM files WHERE doc_id % 5 <> 0) WHERE rn = 1"""))
+  FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN 'feature-' || branch ELSE branch END AS branch) FROM files)) WHERE rn = 1"""))
 def context_by_preference(spark, folder):
     """The version each path resolves to when no branch is asked for."""
-    return context.preferred_files(c.files(spark, folder).filter(F.col("doc_id") % 5 != 0))
+    branch = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("feature-"), F.col("branch"))).otherwise(F.col("branch"))
+    return context.preferred_files(c.files(spark, folder).withColumn("branch", branch))
 
 
 @query("context_lookup", c.with_sql(c.FILES, select="""
@@ -242,14 +243,14 @@ def cascade_delete(spark, folder):
 
 
 @query("vector_upsert", c.with_sql(c.POINTS, select="""
-SELECT vec_id, chunk_id, generation, round(embedding[1]::DOUBLE, 6) AS first_value FROM points WHERE vec_id % 3 = 0 AND NOT (vec_id % 2 = 0 AND vec_id % 5 <> 0)
+SELECT vec_id, chunk_id, generation, round(embedding[1]::DOUBLE, 6) AS first_value FROM points WHERE NOT (vec_id % 2 = 0 AND vec_id % 5 <> 0)
 UNION ALL SELECT vec_id, chunk_id, 2, round(-embedding[1]::DOUBLE, 6) FROM points WHERE vec_id % 2 = 0 AND vec_id % 5 <> 0"""))
 def vector_upsert(spark, folder):
     """New points replace stored ones; points without a vector are skipped."""
     p = c.points(spark, folder)
     new = p.filter(F.col("vec_id") % 2 == 0).withColumn("generation", F.lit(2).cast("long")).withColumn(
         "embedding", F.when(F.col("vec_id") % 5 != 0, F.transform("embedding", lambda x: -x)))
-    after = changes.upsert_points(p.filter(F.col("vec_id") % 3 == 0), new)
+    after = changes.upsert_points(p, new)
     return after.select("vec_id", "chunk_id", "generation", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
 
 

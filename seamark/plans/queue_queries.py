@@ -104,11 +104,10 @@ def file_queue_depth(spark, folder):
 @query("jobs_done", c.with_sql(*_FQ, select="""
 SELECT job_id, count(*) FILTER (WHERE status IN ('queued', 'processing')) AS open_items,
   CASE WHEN count(*) FILTER (WHERE status IN ('queued', 'processing')) > 0 THEN 'running' WHEN bool_or(status = 'failed') THEN 'failed' ELSE 'completed' END AS status
-FROM (SELECT job_id, status FROM file_queue WHERE id::BIGINT % 3 <> 0 UNION ALL SELECT job_id, status FROM chunk_queue) GROUP BY job_id"""))
+FROM (SELECT job_id, status FROM file_queue UNION ALL SELECT job_id, status FROM chunk_queue) GROUP BY job_id"""))
 def jobs_done(spark, folder):
     """Completion needs both queues empty."""
-    files = c.file_queue(spark, folder).filter(F.col("id").cast("long") % 3 != 0)
-    return Q.jobs_done(files, c.chunk_queue(spark, folder))
+    return Q.jobs_done(c.file_queue(spark, folder), c.chunk_queue(spark, folder))
 
 
 @query("chunks_per_job", "SELECT 'job-' || user_id AS job_id, count(*) AS chunks FROM events GROUP BY user_id")

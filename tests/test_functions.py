@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark import config
 from seamark.errors import InvalidRequest
-from seamark.functions import durations, embedding, ids, languages, paths, text, tokens, vectors
+from seamark.functions import counters, durations, embedding, ids, languages, paths, text, tokens, vectors
 from seamark.operators import catalog, payload
 
 
@@ -189,3 +189,21 @@ def test_many_highlights_in_one_text(spark):
     content = "é x " * 3000
     got = [tuple(r) for r in one(spark, text.highlight_ranges(F.col("x"), "X"), content)]
     assert got == [(3 + 5 * i, 4 + 5 * i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("model, encoding", [
+    ("gpt-4o", "cl100k_base"), ("o1-mini", "o200k_base"), ("code-davinci-002", "p50k_base"), ("text-davinci-003", "p50k_base"),
+    ("some-edit-1", "p50k_edit"), ("curie", "r50k_base"), ("other", "cl100k_base")])
+def test_encoding_of_a_model(model, encoding):
+    assert counters.encoding_of(model) == encoding
+
+
+def test_counter_registry(spark):
+    words = counters.tokenizer_counter(lambda: str.split)
+    known = {"m-large": words}
+    assert one(spark, counters.counter_for("m-large", known)(F.col("x")), "a b c") == 3
+    assert one(spark, counters.counter_for("m-large-v2", known)(F.col("x")), "a b c") == 3
+    assert one(spark, counters.counter_for("m", known)(F.col("x")), None) is None
+    assert one(spark, counters.counter_for("other", known)(F.col("x")), "abcd") == 1
+    broken = counters.tokenizer_counter(lambda: lambda text: 1 / 0)
+    assert one(spark, broken(F.col("x")), "abcd") == 0

@@ -68,6 +68,18 @@ def test_line_machine_flushes_long_text(spark):
     assert [(r.start_line, r.end_line) for r in found] == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_composite_parser_takes_the_first_that_fits(spark):
+    df = spark.createDataFrame([("a.rs", RUST), ("a.py", PYTHON), ("a.zz", "text")], "file_path string, file_content string")
+    machine = lambda files: P.parse_spans(files, "heuristic")
+    whole = lambda files: P.parse_spans(files)
+    rows = C.rows_of(P.parse_composite(df, [({"rust"}, whole), ({"rust", "python"}, machine)]), "spans", "i", "file_path").collect()
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r.file_path, []).append(r.kind)
+    assert kinds["a.rs"] == ["function", "struct", "impl", "method"] and kinds["a.zz"] == [None]
+    assert kinds["a.py"] == [r.kind for r in spans(spark, "a.py", PYTHON, mode="heuristic")]
+
+
 def test_bad_mode(spark):
     with pytest.raises(ValueError):
         spans(spark, "a.rs", "x", mode="other")
