@@ -89,12 +89,16 @@ def upsert_files(indexed: DataFrame, recorded: DataFrame) -> DataFrame:
     return indexed.join(newest.select(*FILE_KEY), FILE_KEY, "left_anti").unionByName(newest)
 
 
-def insert_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of `new` that are really inserted: ids and positions not yet taken."""
+def unique_chunks(new: DataFrame) -> DataFrame:
+    """One row per chunk id and one per position in a file; the first wins."""
     order = [F.asc("generation"), F.asc("chunk_index"), F.asc("byte_start"), F.asc("chunk_id")]
     unique = first_per_key(new, CHUNK_KEY, *order)
-    unique = first_per_key(unique, CHUNK_POSITION_KEY, F.asc("byte_start"), F.asc("chunk_id"))
-    return unique.join(existing.select(*CHUNK_KEY), CHUNK_KEY, "left_anti").join(
+    return first_per_key(unique, CHUNK_POSITION_KEY, F.asc("byte_start"), F.asc("chunk_id"))
+
+
+def insert_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of `new` that are really inserted: ids and positions not yet taken."""
+    return unique_chunks(new).join(existing.select(*CHUNK_KEY), CHUNK_KEY, "left_anti").join(
         existing.select(*CHUNK_POSITION_KEY), CHUNK_POSITION_KEY, "left_anti")
 
 

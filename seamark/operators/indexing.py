@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import ids, tokens
 from ..functions.embedding import EmbeddingProvider
 from ..schemas import (
-    ALL, BRANCH_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, PROJECT_BRANCHES, VECTORS,
+    ALL, BRANCH_KEY, CHUNK_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, PROJECT_BRANCHES, VECTORS,
 )
 from ..sources.tables import IndexTables
 from . import changes, chunking, parsing
@@ -61,25 +61,32 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
                 batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS) -> DataFrame:
     """Bring the index up to date with `incoming` files; returns the job of each branch with its counts.
 
-    Two staged tables cut the work in three: which files changed, their points,
-    the merge.  The file rows with the new hashes are written after all chunks,
-    so a batch that dies half-way is simply done again and changes nothing twice.
+    Three staged tables cut the work: the state of every file (without its text),
+    the changed files, their points.  The file rows with the new hashes are
+    written after all chunks, so a batch that dies half-way is simply done again
+    and changes nothing twice.
     """
     arrived = incoming.select(*BRANCH_KEY).distinct()
     all_branches = arrived.limit(LITERAL_BRANCHES + 1).collect()
     indexed = tables.read(spark, "indexed_files")
-    unique = changes.first_per_key(incoming, FILE_KEY, F.asc("content_hash"))
-    states = changes.file_states(unique, within_branches(indexed, arrived, all_branches))
-    staged_files = tables.staging(batch, "files")
+    given = incoming
     for column in ("repository_url", "encoding", "size_bytes", *COMMIT_COLUMNS):
-        if column not in states.columns:
-            states = states.withColumn(column, F.lit(None).cast(
+        if column not in given.columns:
+            given = given.withColumn(column, F.lit(None).cast(
                 "long" if column == "size_bytes" else "timestamp_ntz" if column == "commit_date" else "string"))
-    states.withColumn("encoding", F.coalesce("encoding", F.lit("UTF-8"))).withColumn(
+    unique = changes.first_per_key(given.drop("file_content"), FILE_KEY, F.asc("content_hash"))
+    states = changes.file_states(unique, within_branches(indexed, arrived, all_branches))
+    states.withColumnRenamed("new_generation", "generation").write.mode("overwrite").parquet(tables.staging(batch, "states"))
+    seen = spark.read.parquet(tables.staging(batch, "states"))
+
+    # text is moved for changed files only; most files of an incremental push are not
+    texts = incoming.select(*FILE_KEY, F.col("content_hash").alias("_hash"), "file_content")
+    with_text = seen.filter(F.col("state") != "unchanged").join(texts, FILE_KEY).filter(F.col("_hash") == F.col("content_hash"))
+    changes.first_per_key(with_text.drop("_hash"), FILE_KEY, F.asc("content_hash")).withColumn(
+        "encoding", F.coalesce("encoding", F.lit("UTF-8"))).withColumn(
         "size_bytes", F.coalesce("size_bytes", F.octet_length("file_content").cast("long"))).withColumn(
-        "indexed_at", indexed_at).withColumnRenamed("new_generation", "generation").write.mode("overwrite").parquet(staged_files)
-    seen = spark.read.parquet(staged_files)
-    changed = seen.filter(F.col("state") != "unchanged")
+        "indexed_at", indexed_at).write.mode("overwrite").parquet(tables.staging(batch, "files"))
+    changed = spark.read.parquet(tables.staging(batch, "files"))
 
     staged_points = tables.staging(batch, "points")
     fresh = embedded(chunked_files(changed, max_tokens), provider)
@@ -88,16 +95,16 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
 
     touched = changed.select(*BRANCH_KEY).distinct()
     branches = touched.limit(LITERAL_BRANCHES + 1).collect()
-    updates = changed.select(*FILE_KEY, F.col("generation").alias("new_generation"))
+    rewritten = changed.select(*FILE_KEY)
 
+    # everything a changed file had goes, also what a batch that died left behind
     old_points = within_branches(tables.read(spark, "vectors"), touched, branches).select(*VECTORS.names)
-    tables.replace_partitions(changes.upsert_points(changes.without_replaced(old_points, updates), points), "vectors")
+    new_points = changes.first_per_key(points, CHUNK_KEY, F.asc("chunk_index"))
+    tables.replace_partitions(old_points.join(rewritten, FILE_KEY, "left_anti").unionByName(new_points), "vectors")
 
-    new_chunks = _conformed(points.withColumn("created_at", indexed_at), CHUNK_METADATA)
+    new_chunks = changes.unique_chunks(_conformed(points.withColumn("created_at", indexed_at), CHUNK_METADATA))
     old_chunks = within_branches(tables.read(spark, "chunk_metadata"), touched, branches).select(*CHUNK_METADATA.names)
-    kept = changes.without_replaced(old_chunks, updates)
-    tables.replace_partitions(kept.unionByName(changes.insert_chunks(kept, new_chunks).select(*CHUNK_METADATA.names)),
-                              "chunk_metadata")
+    tables.replace_partitions(old_chunks.join(rewritten, FILE_KEY, "left_anti").unionByName(new_chunks), "chunk_metadata")
 
     old_files = within_branches(indexed, touched, branches).select(*INDEXED_FILES.names)
     tables.replace_partitions(changes.upsert_files(old_files, _conformed(changed, INDEXED_FILES)), "indexed_files")

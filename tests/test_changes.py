@@ -275,3 +275,30 @@ def test_indexing_shuffles_only_for_the_merge(spark):
     df = spark.createDataFrame([("t", "r", "b", "a.rs", 1, RUST)], "tenant_id string, repository_id string, branch string, file_path string, generation long, file_content string")
     plan = indexing.embedded(indexing.chunked_files(df), HashedEmbedding(16))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_the_same_file_twice_in_a_push(spark, index):
+    files = push(spark, *[("org/a:main", "src/config.rs", RUST)] * 3, ("org/a:main", "src/draw.py", PYTHON), ("org/a:main", "src/draw.py", "x = 1\n"))
+    row = index.index(files, "one", "t", at()).first()
+    assert (row.files_processed, row.new_files) == (2, 2)
+    assert index.table("indexed_files").count() == 2 and index.table("vectors").filter("file_path = 'src/config.rs'").count() == 2
+
+
+def test_leftovers_of_a_dead_batch_go(spark, index, monkeypatch):
+    """Points are written, the file rows are not; the next push of the file has other content."""
+    first = push(spark, ("org/a:main", "src/config.rs", RUST))
+    whole = IndexTables.replace_partitions
+
+    def dies(self, df, name):
+        if name == "indexed_files":
+            raise RuntimeError("lost")
+        whole(self, df, name)
+
+    monkeypatch.setattr(IndexTables, "replace_partitions", dies)
+    with pytest.raises(RuntimeError):
+        index.index(first, "one", "t", at())
+    monkeypatch.setattr(IndexTables, "replace_partitions", whole)
+    assert index.table("indexed_files").count() == 0 and index.table("vectors").count() == 2
+    index.index(push(spark, ("org/a:main", "src/config.rs", "fn only() {\n}\n")), "two", "t", at())
+    assert [r.name for r in index.table("vectors").collect()] == ["only"]
+    assert index.table("chunk_metadata").count() == 1 and index.table("indexed_files").count() == 1
