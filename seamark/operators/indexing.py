@@ -45,16 +45,16 @@ def _conformed(df: DataFrame, schema) -> DataFrame:
 LITERAL_BRANCHES = 1000
 
 
-def within_branches(table: DataFrame, touched: DataFrame, rows: list) -> DataFrame:
-    """Rows of the touched branches.
+def within_branches(table: DataFrame, touched: DataFrame, rows: list, keys: list[str] = BRANCH_KEY) -> DataFrame:
+    """Rows of the touched branches (or tenants).
 
     Up to a bounded number of branches their names go into the scan as literals,
     so that only their partitions are read; the join alone decides otherwise.
     """
     if len(rows) <= LITERAL_BRANCHES:
-        for key in BRANCH_KEY:
+        for key in keys:
             table = table.filter(F.col(key).isin(sorted({row[key] for row in rows})))
-    return table.join(touched, BRANCH_KEY, "left_semi")
+    return table.join(touched, keys, "left_semi")
 
 
 def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, provider: EmbeddingProvider,
@@ -130,16 +130,17 @@ def _batch_report(seen: DataFrame, points: DataFrame, batch: str) -> DataFrame:
 
 def _record_jobs(spark: SparkSession, tables: IndexTables, report: DataFrame, at: Column, branches: list) -> None:
     """Job rows and branch rows of a finished batch."""
-    keys = report.select(*BRANCH_KEY)
     done = _conformed(report.select("*", "_commit.*").withColumn("status", F.lit("completed")).withColumn(
         "files_total", F.col("files_processed")).withColumn("started_at", at).withColumn("completed_at", at), INDEXING_JOBS)
-    earlier = within_branches(tables.read(spark, "indexing_jobs"), keys, branches).select(*INDEXING_JOBS.names)
+    tenants = report.select("tenant_id").distinct()
+    earlier = within_branches(tables.read(spark, "indexing_jobs"), tenants, branches, ["tenant_id"]).select(*INDEXING_JOBS.names)
     tables.replace_partitions(earlier.join(done.select("job_id"), "job_id", "left_anti").select(
         *INDEXING_JOBS.names).unionByName(done), "indexing_jobs")
 
-    known = within_branches(tables.read(spark, "project_branches"), keys, branches).select(*PROJECT_BRANCHES.names)
-    now = changes.upsert_branches(known, report.select(*BRANCH_KEY, "_commit.repository_url", at.alias("seen_at")))
-    tables.replace_partitions(now.withColumn("last_indexed", at), "project_branches")
+    known = within_branches(tables.read(spark, "project_branches"), tenants, branches, ["tenant_id"]).select(*PROJECT_BRANCHES.names)
+    seen = report.select(*BRANCH_KEY, "_commit.repository_url", at.alias("seen_at"))
+    now = changes.upsert_branches(known, seen).join(seen.select(*BRANCH_KEY, "seen_at"), BRANCH_KEY, "left")
+    tables.replace_partitions(now.withColumn("last_indexed", F.coalesce("seen_at", "last_indexed")), "project_branches")
 
 
 def clean(spark: SparkSession, tables: IndexTables, removed: DataFrame) -> IndexTables:

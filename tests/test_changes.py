@@ -219,9 +219,12 @@ def test_repeating_a_batch_changes_nothing(spark, index):
     assert [(r.status, r.files_total, r.branch) for r in job] == [("completed", 1, "main")]
     assert index.job_status(job[0].job_id).first().progress_percent == 100.0
     index.index(files, "two", "t", at())
-    assert index.jobs("t").count() == 2 and index.jobs("u").count() == 0
+    index.index(push(spark, ("org/b:dev", "d.py", PYTHON)), "three", "t", F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"))
+    assert index.jobs("t").count() == 3 and index.jobs("u").count() == 0
+    seen = {r.repository_id: (str(r.first_seen)[:10], str(r.last_indexed)[:10]) for r in index.table("project_branches").collect()}
+    assert seen == {"org/a": ("2024-01-01", "2024-01-01"), "org/b": ("2024-01-05", "2024-01-05")}
     status = index.status().first()
-    assert (status.total_files, status.project_branches, str(status.last_indexed_at)) == (1, 1, "2024-01-01 00:00:00")
+    assert (status.total_files, status.project_branches, str(status.last_indexed_at)) == (2, 2, "2024-01-05 00:00:00")
 
 
 def test_tables_exist_and_drop(spark, index):
