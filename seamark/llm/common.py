@@ -12,10 +12,23 @@ from ..session import shared_dir
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+# A batch sent to Python holds so many rows and bytes at most: rows are whole texts here, and 10,000 of them,
+# Spark's own bound, can be any size.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, where the session still has Spark's defaults."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """A folder of its own, below the shared folder, for the tables one call writes."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/seamark-llm/{name}-{uuid.uuid4().hex}"
         self._n = 0
@@ -50,24 +63,32 @@ def held_out(doc_id: Column) -> Column:
 def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(vertex, component): the smallest vertex that links lead to, for every vertex that has a link.
 
-    Each round takes the smallest label among the neighbours, then follows labels
-    two steps (a label is a vertex too), so that long chains shrink by halves.
-    A vertex with very many links is pre-aggregated on the map side; its rows in
-    the joins are split by adaptive execution.  Nothing but a count reaches the driver.
+    Each round gives every vertex its smallest neighbour as label, follows labels to their end, and goes on with
+    the ends as vertices, at most half as many; links inside a label are done, and in dense groups those are
+    nearly all after the first round.  A vertex with very many links is pre-aggregated on the map side, and its
+    rows in the joins are split by adaptive execution.  Nothing but a yes or no reaches the driver.
     """
     both = links.select(F.col(a).alias("v"), F.col(b).alias("u")).filter("v <> u")
-    edges = scratch.keep(both.unionByName(both.select(F.col("u").alias("v"), F.col("v").alias("u"))).distinct(), "edges")
-    labels = scratch.keep(edges.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "labels")
+    edges = scratch.keep(both.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u")).distinct(), "edges")
+    found = None
     for _ in range(max_rounds):
-        near = edges.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("lower"))
-        lower = scratch.keep(lower, "lower")
-        jump = lower.select(F.col("v").alias("lower"), F.col("lower").alias("jump"))
-        step = lower.join(jump, "lower", "left").select("v", F.col("label").alias("old"), F.least("lower", "jump").alias("label"))
-        step = scratch.keep(step, "labels")
-        labels = step.select("v", "label")
-        if step.filter("old <> label").isEmpty():
-            return labels.select(F.col("v").alias("vertex"), F.col("label").alias("component"))
+        ends = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        step = scratch.keep(ends.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")), "nearest")
+        for _ in range(max_rounds):     # follow labels to their end, doubling the steps; one row per vertex
+            further = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
+            step = scratch.keep(step.join(further, "label").select("v", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), "labels")
+            if step.filter("moved").isEmpty():
+                break
+        if found is None:
+            found = step.select(F.col("v").alias("vertex"), F.col("label").alias("component"))
+        else:
+            moved = found.join(step.select(F.col("v").alias("component"), F.col("label").alias("lower")), "component", "left")
+            found = scratch.keep(moved.select("vertex", F.coalesce("lower", "component").alias("component")), "found")
+        first = edges.join(step.select("v", F.col("label").alias("x")), "v")
+        second = first.join(step.select(F.col("v").alias("u"), F.col("label").alias("y")), "u").filter("x <> y")
+        edges = scratch.keep(second.select(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("u")).distinct(), "edges")
+        if edges.isEmpty():
+            return found
     raise RuntimeError("components did not settle")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import textbytes
+from .common import bounded_batches
 from .fmindex import FMIndex
 
 HITS = T.StructType([
@@ -147,6 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     or empty text has no words.  Windows of items without an id count as hits and name no
     item.  Each row is judged by itself: ties, repeated rows and other columns change nothing.
     """
+    bounded_batches(docs.sparkSession)
     known = load_phrases(benchmark, width, max_bytes=max_bytes)
     found = docs.withColumn(column, hits(F.col(text_col), known))
     part = F.col(column)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import textbytes
-from .common import bounded_sample, held_out
+from .common import bounded_batches, bounded_sample, held_out
 
 WORDS, SHAPES = 1 << 16, 1 << 15
 DENSE = ("repeated", "distinct", "length", "word_length", "upper", "digit", "mark")
@@ -130,6 +130,7 @@ def train(docs: DataFrame, graded: DataFrame, levels: int, id_col: str = "doc_id
 
     Held-out ids (a fifth, by CRC-32) are never used.  A document graded twice has its lower grade.
     """
+    bounded_batches(docs.sparkSession)
     given = graded.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade")).filter(
         F.col("id").isNotNull() & F.col("grade").between(0, levels - 1) & ~held_out(F.col("id")))
     chosen = bounded_sample(given.groupBy("id").agg(F.min("grade").alias("grade")), F.col("id"), sample)

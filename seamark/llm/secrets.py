@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bounded_sample
+from .common import bounded_batches, bounded_sample
 
 KINDS = ("assign", "access", "hex", "learned")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -170,6 +170,7 @@ def _labelled(texts: pa.Array) -> pa.Array:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> CharNet:
     """Fit on the labelled findings of at most `sample` documents, chosen by a hash of the id."""
+    bounded_batches(docs.sparkSession)
     chosen = bounded_sample(docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct(), F.col("id"), sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")  # at most `sample` ids
     rows = texts.select(F.explode(_labelled("text")).alias("f")).select("f.window", "f.secret").groupBy("window").agg(

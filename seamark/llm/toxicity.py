@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import textbytes
-from .common import bounded_sample, held_out
+from .common import bounded_batches, bounded_sample, held_out
 
 BITS = 20
 SIZE = 1 << BITS
@@ -89,6 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     A document labelled twice counts as toxic if one of its labels says so; null labels are left out.
     """
+    bounded_batches(docs.sparkSession)
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(
         F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
     chosen = bounded_sample(given.groupBy("id").agg(F.max("y").alias("y")), F.col("id"), sample)
