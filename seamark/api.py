@@ -45,7 +45,7 @@ class Index:
         return S.as_similar(S.with_content(found, points)).orderBy(F.desc("similarity"), "file", "line_start")
 
     def usages(self, symbol: str, tenant_id: str = NIL_TENANT, repository_id: str | None = None, branch: str | None = None,
-               usage_type: str = "all", limit: int | None = None, mode: str = "semantic") -> DataFrame:
+               usage_type: str = "all", limit: int | None = None, mode: str = "exact") -> DataFrame:
         symbol = S.checked_symbol(symbol)
         found = S.usages(self.table("vectors"), symbol, self._vector(symbol), tenant_id, repository_id, branch, usage_type,
                          limit, mode)
@@ -63,7 +63,11 @@ class Index:
 
     def index(self, files: DataFrame, batch: str, tenant_id: str = NIL_TENANT, indexed_at: Column | None = None,
               max_tokens: int = MAX_TOKENS) -> DataFrame:
-        """Index a push of (project_id, path, content) rows; `batch` names it, repeating a name repeats the batch."""
+        """Index a push of (project_id, path, content) rows; `batch` names it, repeating a name repeats the batch.
+
+        repository_url, commit_sha, commit_message, commit_date, author and pushed_at are kept if present;
+        `content` may be bytes, which are decoded.
+        """
         if files.isEmpty():
             raise InvalidRequest("files cannot be empty")
         at = F.localtimestamp() if indexed_at is None else indexed_at
@@ -76,10 +80,10 @@ class Index:
             raise NotFound(f"no such job: {job_id}")
         return found
 
-    def jobs(self, tenant_id: str | None = None, project_id: str | None = None) -> DataFrame:
-        """Recent jobs; of `repository:branch` the repository filters."""
+    def jobs(self, tenant_id: str | None = None, project_id: str | None = None, limit: int | None = 100) -> DataFrame:
+        """The newest jobs, all of them with `limit=None`; of `repository:branch` the repository filters."""
         repository = project_id.split(":", 1)[0] if project_id else None
-        return jobs.recent_jobs(self.table("indexing_jobs"), tenant_id, repository)
+        return jobs.recent_jobs(self.table("indexing_jobs"), tenant_id, repository, limit)
 
     # ----------------------------------------------------------- maintenance
 
@@ -91,10 +95,23 @@ class Index:
         return catalog.status(self.table("indexed_files"), self.table("chunk_metadata"), self.table("project_branches"))
 
     def clean(self, missing_files: bool = False, older_than: str | None = None, now: str | None = None) -> tuple[Index, DataFrame]:
-        """The cleaned index and a report; this version stays readable."""
+        """The cleaned index and a report; this object goes on reading the version before."""
         age = None if older_than is None else seconds(older_than)
-        gone = catalog.stale_chunks(self.table("chunk_metadata"), self.table("indexed_files"), missing_files, age, now)
-        return Index(self.spark, indexing.clean(self.spark, self.tables, gone), self.provider), catalog.clean_report(gone)
+        before = self._stay()
+        gone = catalog.stale_chunks(before.table("chunk_metadata"), before.table("indexed_files"), missing_files, age, now)
+        indexing.clean(self.spark, self.tables.latest(), gone)
+        return Index(self.spark, self.tables.latest(), self.provider), catalog.clean_report(gone)
 
     def compact(self) -> Index:
-        return Index(self.spark, indexing.compact(self.spark, self.tables), self.provider)
+        """The compacted index; this object goes on reading the version before."""
+        self._stay()
+        indexing.compact(self.spark, self.tables.latest())
+        return Index(self.spark, self.tables.latest(), self.provider)
+
+    def move(self, moves: DataFrame) -> None:
+        """Apply pending file moves; those onto a path that stays taken are left out."""
+        indexing.move(self.spark, self.tables.latest(), moves)
+
+    def _stay(self) -> Index:
+        self.tables = self.tables.pinned(self.spark)
+        return self

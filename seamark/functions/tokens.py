@@ -50,20 +50,6 @@ def tokens_from_counts(counts: Column, chars_per_token: float = DEFAULT_CHARS_PE
     return F.ceil(estimate).cast("int")
 
 
-def add_counts(a: Column, b: Column, newlines: Column | int = 0) -> Column:
-    extra = F.lit(newlines) if isinstance(newlines, int) else newlines
-    return struct(
-        word=a["word"] + b["word"],
-        space=a["space"] + b["space"] + extra,
-        punct=a["punct"] + b["punct"],
-        other=a["other"] + b["other"],
-    )
-
-
-def zero_counts() -> Column:
-    return struct(word=F.lit(0), space=F.lit(0), punct=F.lit(0), other=F.lit(0))
-
-
 def token_count(content: Column, chars_per_token: float = DEFAULT_CHARS_PER_TOKEN,
                 calibration: dict[str, int] | None = None) -> Column:
     """Estimated tokens; texts in `calibration` return the count recorded there."""

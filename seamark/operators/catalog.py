@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..errors import InvalidRequest
 from ..schemas import BRANCH_KEY, FILE_KEY
 
-JOB_LIST_LIMIT = 100  # Fixed value: length of a job listing.
 _MB = 1048576.0
 
 
@@ -48,8 +47,8 @@ def branches_in(branches: DataFrame, tenant_id: str, pairs: Sequence[tuple[str,
 
 
 def branches_among(branches: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The same for a table of wanted pairs of any size."""
-    return branches.join(wanted.select("repository_id", "branch"), ["repository_id", "branch"], "left_semi")
+    """The same for a table of wanted branches of any size, tenant included; a branch wanted often is asked for once."""
+    return branches.join(wanted.select(*BRANCH_KEY).distinct(), BRANCH_KEY, "left_semi")
 
 
 # -------------------------------------------------------------------- counts
@@ -57,15 +56,16 @@ def branches_among(branches: DataFrame, wanted: DataFrame) -> DataFrame:
 def index_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per branch: files, chunks that belong to a file, latest indexing, distinct commits.
 
-    Files and chunks are counted apart, so no file row is multiplied by its chunks.
+    Files and chunks are counted apart, so no file row is multiplied by its chunks;
+    paths and chunk ids are keys, so counting rows counts them.
     """
     of_files = files.groupBy(*BRANCH_KEY).agg(
-        F.countDistinct("file_path").alias("total_files"),
+        F.count("*").alias("total_files"),
         F.max("indexed_at").alias("last_indexed"),
         F.countDistinct("commit_sha").alias("unique_commits"),
     )
     of_chunks = chunks.join(files.select(*FILE_KEY), FILE_KEY, "left_semi").groupBy(*BRANCH_KEY).agg(
-        F.countDistinct("chunk_id").alias("total_chunks"))
+        F.count("*").alias("total_chunks"))
     return of_files.join(of_chunks, BRANCH_KEY, "left").select(
         *BRANCH_KEY, "total_files", F.coalesce("total_chunks", F.lit(0).cast("long")).alias("total_chunks"),
         F.lit(0).cast("long").alias("total_size_bytes"), "last_indexed", "unique_commits")
@@ -81,13 +81,19 @@ def _one_row(parts: dict[str, tuple[DataFrame, dict]]) -> DataFrame:
     return rows.agg(*[F.max(c).alias(c) for c in columns])
 
 
-def stats(files: DataFrame, chunks: DataFrame, points: DataFrame, branches: DataFrame) -> DataFrame:
-    """Index totals in one row; the size is that of the stored text and vectors."""
+def stats(files: DataFrame, chunks: DataFrame, points: DataFrame, branches: DataFrame, dimension: int | None = None) -> DataFrame:
+    """Index totals in one row; the size is that of the stored text and vectors.
+
+    Sizes come from short columns: files know theirs, and vectors of one index are equally long
+    (`dimension`; if not given, the first vector tells).
+    """
+    if dimension is None:
+        first = points.select(F.size("embedding").alias("n")).filter("n >= 0").limit(1).collect()
+        dimension = first[0]["n"] if first else 0
     out = _one_row({
-        "files": (files, {"files": F.count("*"), "_text": F.coalesce(F.sum(F.octet_length("file_content")), F.lit(0))}),
+        "files": (files, {"files": F.count("*"), "_text": F.coalesce(F.sum("size_bytes"), F.lit(0))}),
         "chunks": (chunks, {"chunks": F.count("*")}),
-        "points": (points, {"vectors": F.count("*"),
-                            "_vec": F.coalesce(F.sum(F.size("embedding").cast("long") * 4), F.lit(0))}),
+        "points": (points, {"vectors": F.count("*"), "_vec": F.count("*") * dimension * 4}),
         "branches": (branches, {"last_indexed": F.max("last_indexed")}),
     })
     return out.select("files", "chunks", "vectors", F.round((F.col("_text") + F.col("_vec")) / _MB, 2).alias("db_size_mb"),
@@ -98,7 +104,7 @@ def status(files: DataFrame, chunks: DataFrame, branches: DataFrame) -> DataFram
     """Index part of the status answer."""
     out = _one_row({
         "files": (files, {"total_files": F.count("*"),
-                          "_text": F.coalesce(F.sum(F.octet_length("file_content")), F.lit(0))}),
+                          "_text": F.coalesce(F.sum("size_bytes"), F.lit(0))}),
         "chunks": (chunks, {"total_chunks": F.count("*")}),
         "branches": (branches, {"project_branches": F.count("*"), "last_indexed_at": F.max("last_indexed")}),
     })
@@ -133,11 +139,3 @@ def clean_report(removed: DataFrame) -> DataFrame:
         F.count("*").alias("removed_chunks"),
         F.coalesce(F.round(F.sum(F.col("byte_end") - F.col("byte_start")) / _MB, 6), F.lit(0.0)).alias("freed_space_mb"),
     )
-
-
-def memory_estimate_mb(model: str, dimension: int, batch: int, connections: int, concurrency: int) -> int:
-    """Rough memory need of an indexing service of this configuration, in MB."""
-    # Base, per model size, per connection, per concurrent task.
-    sizes = [("base", 2048), ("small", 512), ("test", 10)]
-    of_model = next((mb for word, mb in sizes if word in model), 1024)
-    return 100 + of_model + dimension * 4 * batch // 1048576 + 2 * connections + 50 * concurrency

@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ids, text
-from ..functions.languages import language_of
 from ..functions.paths import split_project_id
-from ..schemas import BRANCH_KEY, CHUNK_KEY, CHUNK_POSITION_KEY, FILE_KEY
+from ..schemas import BRANCH_KEY, CHUNK_KEY, CHUNK_POSITION_KEY, COMMIT_COLUMNS, FILE_KEY
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
@@ -28,15 +27,27 @@ def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFra
 
 # ------------------------------------------------------------------ incoming
 
+# Columns a push may carry beside its key and text.
+PUSH_EXTRAS = ["repository_url", *COMMIT_COLUMNS, "pushed_at"]
+
+
 def pushed_files(files: DataFrame, tenant_id: Column | str = ids.NIL_TENANT, project_id: Column | None = None) -> DataFrame:
-    """Content push: (path, content) rows keyed, hashed, binary ones left out."""
+    """Content push: (path, content) rows keyed, hashed, binary ones left out; commit, url and time of the push are kept.
+
+    `content` is text, or bytes that are decoded (those that are no text are left out).
+    An empty branch is `main`; a push without a repository belongs to `unknown`.
+    """
     tenant = F.lit(tenant_id) if isinstance(tenant_id, str) else tenant_id
     repository, branch = split_project_id(F.col("project_id") if project_id is None else project_id)
-    return files.filter(~text.contains_nul(F.col("content"))).select(
-        tenant.alias("tenant_id"), repository.alias("repository_id"), branch.alias("branch"),
-        F.col("path").alias("file_path"), F.col("content").alias("file_content"),
-        ids.content_hash(F.col("content")).alias("content_hash"),
-    )
+    named = lambda part, other: F.coalesce(F.when(part != "", part), F.lit(other))
+    if dict(files.dtypes)["content"] == "binary":
+        rows = decoded_files(files)
+    else:
+        rows = files.filter(~text.contains_nul(F.col("content"))).withColumn("file_content", F.col("content"))
+    extras = [c for c in (*PUSH_EXTRAS, "encoding", "size_bytes") if c in rows.columns]
+    return rows.select(
+        tenant.alias("tenant_id"), named(repository, "unknown").alias("repository_id"), named(branch, "main").alias("branch"),
+        F.col("path").alias("file_path"), "file_content", ids.content_hash(F.col("file_content")).alias("content_hash"), *extras)
 
 
 def decoded_files(raw: DataFrame, content: str = "content") -> DataFrame:
@@ -138,10 +149,6 @@ def orphaned_chunks(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files.select(*FILE_KEY), FILE_KEY, "left_anti")
 
 
-def without_orphans(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    return chunks.join(files.select(*FILE_KEY), FILE_KEY, "left_semi")
-
-
 def cascade(kept: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Follow deletions down the foreign keys.
 
@@ -152,6 +159,7 @@ def cascade(kept: dict[str, DataFrame]) -> dict[str, DataFrame]:
         ("project_branches", "tenants", ["tenant_id"]),
         ("indexed_files", "project_branches", BRANCH_KEY),
         ("chunk_metadata", "indexed_files", FILE_KEY),
+        ("vectors", "indexed_files", FILE_KEY),
         ("indexing_jobs", "project_branches", BRANCH_KEY),
         ("indexing_job_file_queue", "indexing_jobs", ["job_id"]),
         ("chunk_processing_queue", "indexing_jobs", ["job_id"]),
@@ -165,6 +173,16 @@ def cascade(kept: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 # --------------------------------------------------------------------- moves
 
+def valid_moves(moves: DataFrame, files: DataFrame) -> DataFrame:
+    """Pending moves whose new path is free, or becomes free by another move; of several to one path the latest."""
+    pending = first_per_key(moves.filter(~F.col("processed")), [*BRANCH_KEY, "old_path"], F.desc("detected_at"), F.desc("id"))
+    taken = files.select(*BRANCH_KEY, F.col("file_path").alias("new_path"))
+    leaving = pending.select(*BRANCH_KEY, F.col("old_path").alias("new_path"))
+    blocked = taken.join(leaving, [*BRANCH_KEY, "new_path"], "left_anti")
+    free = pending.join(blocked, [*BRANCH_KEY, "new_path"], "left_anti").select(*moves.columns)
+    return first_per_key(free, [*BRANCH_KEY, "new_path"], F.desc("detected_at"), F.desc("id"))
+
+
 def apply_moves(table: DataFrame, moves: DataFrame) -> DataFrame:
     """Rewrite `file_path` of files or chunks by pending moves; the latest move of a path counts."""
     pending = first_per_key(moves.filter(~F.col("processed")), [*BRANCH_KEY, "old_path"],
@@ -183,10 +201,6 @@ def marked_processed(moves: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def created_tenants(names: DataFrame, at: Column) -> DataFrame:
-    """Tenant rows for `name`s, with a fresh id each."""
-    return names.select(F.uuid().alias("tenant_id"), "name", at.alias("created_at"),
+    """Tenant rows for `name`s; the id comes from the name, so a task done again makes the same."""
+    return names.select(ids.uuid5(ids.CHUNK_NAMESPACE, F.concat(F.lit("tenant:"), "name")).alias("tenant_id"), "name", at.alias("created_at"),
                         F.lit(None).cast("timestamp_ntz").alias("updated_at"), F.lit(None).cast("string").alias("metadata"))
-
-
-def with_language(files: DataFrame) -> DataFrame:
-    return files.withColumn("language", language_of(F.col("file_path")))

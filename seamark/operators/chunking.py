@@ -1,7 +1,7 @@
 """Spans to chunks within a token budget.
 
-A file's spans stay in its row: integer arrays are prepared by Spark, a walk
-over them answers with index ranges, and the text is cut once at the end.
+A file's spans stay in its row: integer arrays are prepared by Spark, searches in
+their running sums answer with index ranges, and the text is cut once at the end.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def pack_spans(files: DataFrame, budget: TokenBudget = TokenBudget()) -> DataFra
         df, "_plan", walks.pack_walk(hard, budget.soft, budget.overlap), walks.PACK_FIELDS,
         tokens=F.col("_tokens"),
         boundary=F.transform("spans", lambda x: F.coalesce(x["kind"].isin(*BOUNDARY_KINDS), F.lit(False))),
-        names=F.col("spans.name"),
+        names=F.transform("spans", lambda x: F.when(x["name"].isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(x["name"]))),
         filled=F.transform("spans", lambda x: x["content"] != ""),
         line_tokens=each_line(lambda line: tokens.token_count(F.concat(line, F.lit("\n")), ratio)),
         line_sizes=each_line(lambda line: F.octet_length(line)))
@@ -123,7 +123,7 @@ def split_large_spans(files: DataFrame, max_tokens: int, tokenize=pieces) -> Dat
         headers=F.col("_heads"),
         line_sizes=F.transform("_cut", lambda ls: F.transform(ls, lambda line: F.octet_length(line))),
         line_counts=F.transform("_cut", lambda ls, i: F.coalesce(
-            of_container(i, F.transform(ls, _count_list)), empty("array<int>"))),
+            of_container(i, F.flatten(F.transform(ls, _count_list))), empty("int"))),
         head_counts=F.transform("_cut", lambda ls, i: F.coalesce(
             of_container(i, _count_list(F.concat(header(i + 1), F.lit("\n" + CONTINUED)))), empty("int"))))
 

@@ -45,8 +45,8 @@ def preferred_files(files: DataFrame) -> DataFrame:
     ).select("tenant_id", "repository_id", "file_path", "f.*")
 
 
-def excerpt(files: DataFrame, line: int | None = None, radius: int | None = None) -> DataFrame:
-    """Excerpt rows for the given files; an empty file has no lines."""
+def excerpt(files: DataFrame, line: int | None = None, radius: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Excerpt rows for the given files, with the columns to `keep`; an empty file has no lines."""
     lined = files.withColumn("_lines", text.lines(F.col("file_content")))
     cut = lined.withColumn("_cut", text.line_range(F.col("_lines"), line, radius))
     return cut.select(
@@ -55,6 +55,6 @@ def excerpt(files: DataFrame, line: int | None = None, radius: int | None = None
         F.struct("_cut.start", "_cut.end", "_cut.requested", "_cut.total").alias("lines"),
         excerpt_language(F.col("file_path")).alias("language"),
         F.coalesce("encoding", F.lit("UTF-8")).alias("encoding"),
-        F.octet_length("file_content").cast("long").alias("size_bytes"),
+        F.octet_length("file_content").cast("long").alias("size_bytes"), *keep,
     )
 

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import ids, tokens
 from ..functions.embedding import EmbeddingProvider
 from ..schemas import (
-    ALL, BRANCH_KEY, CHUNK_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, PROJECT_BRANCHES, VECTORS,
+    ALL, BRANCH_KEY, CHUNK_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, VECTORS,
 )
-from ..sources.tables import IndexTables
+from ..sources.tables import IndexTables, VersionTaken, partition_keys, unique_batch
 from . import changes, chunking, parsing
 
 
@@ -42,76 +42,129 @@ def _conformed(df: DataFrame, schema) -> DataFrame:
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-LITERAL_BRANCHES = 1000
-
-
-def within_branches(table: DataFrame, touched: DataFrame, rows: list, keys: list[str] = BRANCH_KEY) -> DataFrame:
-    """Rows of the touched branches (or tenants).
-
-    Up to a bounded number of branches their names go into the scan as literals,
-    so that only their partitions are read; the join alone decides otherwise.
-    """
-    if len(rows) <= LITERAL_BRANCHES:
-        for key in keys:
-            table = table.filter(F.col(key).isin(sorted({row[key] for row in rows})))
-    return table.join(touched, keys, "left_semi")
+def _given(incoming: DataFrame) -> DataFrame:
+    """A push with all columns a batch reads, those it came without as nulls."""
+    kinds = {"repository_url": "string", "encoding": "string", "size_bytes": "long", "pushed_at": "timestamp_ntz",
+             **{c: "timestamp_ntz" if c == "commit_date" else "string" for c in COMMIT_COLUMNS}}
+    for column, kind in kinds.items():
+        if column not in incoming.columns:
+            incoming = incoming.withColumn(column, F.lit(None).cast(kind))
+    return incoming
 
 
 def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, provider: EmbeddingProvider,
                 batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS) -> DataFrame:
     """Bring the index up to date with `incoming` files; returns the job of each branch with its counts.
 
-    Three staged tables cut the work: the state of every file (without its text),
-    the changed files, their points.  The file rows with the new hashes are
-    written after all chunks, so a batch that dies half-way is simply done again
-    and changes nothing twice.
+    The push is staged once.  Its jobs are `running` in a version of their own; all new files, chunks, points, jobs and
+    branches then become visible together with the last version, or not at all: then the jobs are `failed`, and
+    the batch is simply done again.  Of a file pushed twice the later push counts (`pushed_at`; without it, or
+    at the same time, the smaller content hash).  If another writer was faster, the merge is made again on what it left.
     """
-    arrived = incoming.select(*BRANCH_KEY).distinct()
-    all_branches = arrived.limit(LITERAL_BRANCHES + 1).collect()
-    indexed = tables.read(spark, "indexed_files")
-    given = incoming
-    for column in ("repository_url", "encoding", "size_bytes", *COMMIT_COLUMNS):
-        if column not in given.columns:
-            given = given.withColumn(column, F.lit(None).cast(
-                "long" if column == "size_bytes" else "timestamp_ntz" if column == "commit_date" else "string"))
-    unique = changes.first_per_key(given.drop("file_content"), FILE_KEY, F.asc("content_hash"))
-    states = changes.file_states(unique, within_branches(indexed, arrived, all_branches))
-    states.withColumnRenamed("new_generation", "generation").write.mode("overwrite").parquet(tables.staging(batch, "states"))
-    seen = spark.read.parquet(tables.staging(batch, "states"))
-
-    # text is moved for changed files only; most files of an incremental push are not
-    texts = incoming.select(*FILE_KEY, F.col("content_hash").alias("_hash"), "file_content")
-    with_text = seen.filter(F.col("state") != "unchanged").join(texts, FILE_KEY).filter(F.col("_hash") == F.col("content_hash"))
-    changes.first_per_key(with_text.drop("_hash"), FILE_KEY, F.asc("content_hash")).withColumn(
-        "encoding", F.coalesce("encoding", F.lit("UTF-8"))).withColumn(
-        "size_bytes", F.coalesce("size_bytes", F.octet_length("file_content").cast("long"))).withColumn(
-        "indexed_at", indexed_at).write.mode("overwrite").parquet(tables.staging(batch, "files"))
-    changed = spark.read.parquet(tables.staging(batch, "files"))
-
-    staged_points = tables.staging(batch, "points")
-    fresh = embedded(chunked_files(changed, max_tokens), provider)
-    _conformed(fresh, VECTORS).write.mode("overwrite").parquet(staged_points)
-    points = spark.read.schema(VECTORS).parquet(staged_points)
-
-    touched = changed.select(*BRANCH_KEY).distinct()
-    branches = touched.limit(LITERAL_BRANCHES + 1).collect()
-    rewritten = changed.select(*FILE_KEY)
-
-    # everything a changed file had goes, also what a batch that died left behind
-    old_points = within_branches(tables.read(spark, "vectors"), touched, branches).select(*VECTORS.names)
-    new_points = changes.first_per_key(points, CHUNK_KEY, F.asc("chunk_index"))
-    tables.replace_partitions(old_points.join(rewritten, FILE_KEY, "left_anti").unionByName(new_points), "vectors")
-
-    new_chunks = changes.unique_chunks(_conformed(points.withColumn("created_at", indexed_at), CHUNK_METADATA))
-    old_chunks = within_branches(tables.read(spark, "chunk_metadata"), touched, branches).select(*CHUNK_METADATA.names)
-    tables.replace_partitions(old_chunks.join(rewritten, FILE_KEY, "left_anti").unionByName(new_chunks), "chunk_metadata")
-
-    old_files = within_branches(indexed, touched, branches).select(*INDEXED_FILES.names)
-    tables.replace_partitions(changes.upsert_files(old_files, _conformed(changed, INDEXED_FILES)), "indexed_files")
-
-    report = _batch_report(seen, points, batch)
-    _record_jobs(spark, tables, report, indexed_at, all_branches)
-    return report.select("job_id", *BRANCH_KEY, "files_processed", "new_files", "updated_files", "unchanged_files", "chunks_created")
+    tables = tables.latest()
+    run = unique_batch(batch)
+    staged = tables.staging(run, "push")
+    _given(incoming).write.parquet(staged)
+    push = spark.read.parquet(staged)
+    branches = partition_keys(push, BRANCH_KEY)
+    at = spark.range(1).select(indexed_at.alias("at")).first()["at"]
+    moment = F.lit(at).cast("timestamp_ntz")
+    started = push.groupBy(*BRANCH_KEY).agg(F.countDistinct("file_path").cast("int").alias("files_total"), F.max(F.struct(
+        "commit_date", "commit_sha", "commit_message", "author", "repository_url")).alias("_commit")).withColumn("job_id", _job_id(batch)).select(
+        "*", "_commit.*", F.lit(batch).alias("correlation_id"), moment.alias("started_at"), F.lit(0).alias("files_processed"), F.lit(0).alias("chunks_created"))
+    _jobs_only(spark, tables, started.withColumn("status", F.lit("running")), branches, batch)
+    try:
+        report = _merged(spark, tables, push, branches, provider, batch, run, moment, max_tokens)
+    except Exception as error:
+        failed = started.withColumn("status", F.lit("failed")).withColumn("completed_at", moment).withColumn("error_message", F.lit(str(error)[:500]))
+        _jobs_only(spark, tables, failed, branches, batch)
+        raise
+    tables.discard(spark, run)
+    return report
+
+
+def _job_id(batch: str) -> Column:
+    """A batch repeated under its name is the same job."""
+    return ids.uuid5(ids.CHUNK_NAMESPACE, F.concat_ws(":", F.lit(batch), *BRANCH_KEY))
+
+
+def _retried(attempt, most: int = 20):
+    """Do a merge again as long as other writers come first."""
+    for _ in range(most):
+        try:
+            return attempt()
+        except VersionTaken:
+            continue
+    raise VersionTaken(f"{most} times")
+
+
+def _jobs_only(spark: SparkSession, tables: IndexTables, jobs: DataFrame, branches: set, batch: str) -> None:
+    def attempt() -> None:
+        base, own = tables.current(spark), unique_batch(batch)
+        tenants = _with_jobs(spark, tables.at(base), jobs, branches, own)
+        tables.commit(spark, base, own, {"indexing_jobs": tenants})
+    _retried(attempt)
+
+
+def _with_jobs(spark: SparkSession, tables: IndexTables, jobs: DataFrame, branches: set, own: str) -> set:
+    """Write the tenants' job rows with `jobs` in the place of those of the same id."""
+    tenants = {(key[0],) for key in branches}
+    new = _conformed(jobs, INDEXING_JOBS)
+    old = tables.read(spark, "indexing_jobs", tenants).join(new.select("job_id"), "job_id", "left_anti").select(*INDEXING_JOBS.names)
+    tables.write(old.unionByName(new), "indexing_jobs", own)
+    return tenants
+
+
+def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches: set, provider: EmbeddingProvider, batch: str, run: str,
+            at: Column, max_tokens: int) -> DataFrame:
+    def attempt() -> DataFrame:
+        base, own = tables.current(spark), unique_batch(batch)
+        seen_from = tables.at(base)
+
+        def stage(df: DataFrame, name: str) -> DataFrame:
+            path = tables.staging(run, f"{own}-{name}")
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        late = F.desc_nulls_last("pushed_at")
+        unique = changes.first_per_key(push.drop("file_content"), FILE_KEY, late, F.asc("content_hash"))
+        states = changes.file_states(unique, seen_from.read(spark, "indexed_files", branches).select(*FILE_KEY, "content_hash", "generation"))
+        seen = stage(states.withColumnRenamed("new_generation", "generation"), "states")
+
+        # text is moved for changed files only; most files of an incremental push are not
+        texts = push.select(*FILE_KEY, F.col("content_hash").alias("_hash"), "file_content")
+        with_text = seen.filter(F.col("state") != "unchanged").join(texts, FILE_KEY).filter(F.col("_hash") == F.col("content_hash"))
+        changed = stage(changes.first_per_key(with_text.drop("_hash"), FILE_KEY, F.asc("content_hash")).withColumn(
+            "encoding", F.coalesce("encoding", F.lit("UTF-8"))).withColumn(
+            "size_bytes", F.coalesce("size_bytes", F.octet_length("file_content").cast("long"))).withColumn("indexed_at", at), "files")
+        points = stage(_conformed(embedded(chunked_files(changed, max_tokens), provider), VECTORS), "points")
+
+        touched = partition_keys(changed, BRANCH_KEY)
+        rewritten = changed.select(*FILE_KEY)
+
+        def merge(name: str, fresh: DataFrame) -> None:
+            old = seen_from.read(spark, name, touched).join(rewritten, FILE_KEY, "left_anti").select(*ALL[name].names)
+            tables.write(old.unionByName(fresh.select(*ALL[name].names)), name, own)
+
+        if touched:
+            merge("vectors", changes.first_per_key(points, CHUNK_KEY, F.asc("chunk_index")))
+            merge("chunk_metadata", changes.unique_chunks(_conformed(points.withColumn("created_at", at), CHUNK_METADATA)))
+            merge("indexed_files", _conformed(changed, INDEXED_FILES))
+
+        report = _batch_report(seen, points, batch)
+        done = report.select("*", "_commit.*").withColumn("status", F.lit("completed")).withColumn(
+            "files_total", F.col("files_processed")).withColumn("started_at", at).withColumn("completed_at", at)
+        tenants = _with_jobs(spark, seen_from, done, branches, own)
+        known = seen_from.read(spark, "project_branches", tenants)
+        arrived = report.select(*BRANCH_KEY, "_commit.repository_url", at.alias("seen_at"))
+        now = changes.upsert_branches(known, arrived).join(arrived.select(*BRANCH_KEY, "seen_at"), BRANCH_KEY, "left")
+        tables.write(now.withColumn("last_indexed", F.coalesce("seen_at", "last_indexed")), "project_branches", own)
+        kept = f"{tables.root.rstrip('/')}/reports/{own}"
+        report.select("job_id", *BRANCH_KEY, "files_processed", "new_files", "updated_files", "unchanged_files", "chunks_created").write.parquet(kept)
+        tables.commit(spark, base, own, {"vectors": touched, "chunk_metadata": touched, "indexed_files": touched, "indexing_jobs": tenants, "project_branches": tenants})
+        return spark.read.parquet(kept)
+
+    return _retried(attempt)
 
 
 def _batch_report(seen: DataFrame, points: DataFrame, batch: str) -> DataFrame:
@@ -122,45 +175,50 @@ def _batch_report(seen: DataFrame, points: DataFrame, batch: str) -> DataFrame:
         F.count_if(F.col("state") == "unchanged").alias("unchanged_files"),
         F.max(F.struct("commit_date", "commit_sha", "commit_message", "author", "repository_url")).alias("_commit"))
     chunks_done = points.groupBy(*BRANCH_KEY).agg(F.count("*").alias("chunks_created"))
-    # a batch repeated under its name is the same job
-    job = ids.uuid5(ids.CHUNK_NAMESPACE, F.concat_ws(":", F.lit(batch), *BRANCH_KEY))
-    return files_done.join(chunks_done, BRANCH_KEY, "left").withColumn("job_id", job).withColumn(
+    return files_done.join(chunks_done, BRANCH_KEY, "left").withColumn("job_id", _job_id(batch)).withColumn(
         "chunks_created", F.coalesce("chunks_created", F.lit(0).cast("long"))).withColumn("correlation_id", F.lit(batch))
 
 
-def _record_jobs(spark: SparkSession, tables: IndexTables, report: DataFrame, at: Column, branches: list) -> None:
-    """Job rows and branch rows of a finished batch."""
-    done = _conformed(report.select("*", "_commit.*").withColumn("status", F.lit("completed")).withColumn(
-        "files_total", F.col("files_processed")).withColumn("started_at", at).withColumn("completed_at", at), INDEXING_JOBS)
-    tenants = report.select("tenant_id").distinct()
-    earlier = within_branches(tables.read(spark, "indexing_jobs"), tenants, branches, ["tenant_id"]).select(*INDEXING_JOBS.names)
-    tables.replace_partitions(earlier.join(done.select("job_id"), "job_id", "left_anti").select(
-        *INDEXING_JOBS.names).unionByName(done), "indexing_jobs")
-
-    known = within_branches(tables.read(spark, "project_branches"), tenants, branches, ["tenant_id"]).select(*PROJECT_BRANCHES.names)
-    seen = report.select(*BRANCH_KEY, "_commit.repository_url", at.alias("seen_at"))
-    now = changes.upsert_branches(known, seen).join(seen.select(*BRANCH_KEY, "seen_at"), BRANCH_KEY, "left")
-    tables.replace_partitions(now.withColumn("last_indexed", F.coalesce("seen_at", "last_indexed")), "project_branches")
-
+def clean(spark: SparkSession, tables: IndexTables, removed: DataFrame) -> None:
+    """The next version is without the `removed` chunks and their points.
 
-def clean(spark: SparkSession, tables: IndexTables, removed: DataFrame) -> IndexTables:
-    """Write the next version of the index without the `removed` chunks and their points."""
-    after = tables.next()
-    gone = removed.select("tenant_id", "chunk_id").distinct()
-    for name in ("vectors", "chunk_metadata"):
-        after.write_all(changes.delete_points(tables.read(spark, name), gone), name)
-    _carry(spark, tables, after, skip=("vectors", "chunk_metadata"))
-    return after
-
-
-def compact(spark: SparkSession, tables: IndexTables) -> IndexTables:
-    """Write the next version with evenly sized, sorted files."""
-    after = tables.next()
-    _carry(spark, tables, after)
-    return after
-
-
-def _carry(spark, tables, after, skip=()):
-    for name in ALL:
-        if name not in skip:
-            after.write_all(tables.read(spark, name), name)
+    Their files are marked as changed (no content hash), so that the next push of one is indexed again.
+    """
+    def attempt() -> None:
+        base, own = tables.current(spark), unique_batch("clean")
+        now = tables.at(base)
+        gone = removed.select(*FILE_KEY, "chunk_id").distinct()
+        touched = partition_keys(removed, BRANCH_KEY)
+        if not touched:
+            return
+        for name in ("vectors", "chunk_metadata"):
+            tables.write(changes.delete_points(now.read(spark, name, touched), gone), name, own)
+        hit = gone.select(*FILE_KEY, F.lit(True).alias("_hit")).distinct()
+        files = now.read(spark, "indexed_files", touched).join(hit, FILE_KEY, "left").withColumn(
+            "content_hash", F.when(F.col("_hit"), F.lit("")).otherwise(F.col("content_hash")))
+        tables.write(files, "indexed_files", own)
+        tables.commit(spark, base, own, {name: touched for name in ("vectors", "chunk_metadata", "indexed_files")})
+    _retried(attempt)
+
+
+def compact(spark: SparkSession, tables: IndexTables) -> None:
+    """The next version holds the same rows in evenly sized, sorted files."""
+    def attempt() -> None:
+        base, own = tables.current(spark), unique_batch("compact")
+        for name in ALL:
+            tables.write(tables.at(base).read(spark, name), name, own)
+        tables.commit(spark, base, own, dict.fromkeys(ALL))
+    _retried(attempt)
+
+
+def move(spark: SparkSession, tables: IndexTables, moves: DataFrame) -> None:
+    """Rename files by pending moves, in files, chunks and points alike; ids stay."""
+    def attempt() -> None:
+        base, own = tables.current(spark), unique_batch("move")
+        now, touched = tables.at(base), partition_keys(moves, BRANCH_KEY)
+        files = now.read(spark, "indexed_files", touched)
+        valid = changes.valid_moves(moves, files)
+        for name in ("indexed_files", "chunk_metadata", "vectors"):
+            tables.write(changes.apply_moves(now.read(spark, name, touched), valid), name, own)
+        tables.commit(spark, base, own, {name: touched for name in ("vectors", "chunk_metadata", "indexed_files")})
+    _retried(attempt)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import BRANCH_KEY, JOB_STATUSES
-from .catalog import JOB_LIST_LIMIT, where_key
+from .catalog import where_key
 
 ACTIVE = ["pending", "running"]
 
@@ -59,11 +59,11 @@ def job_row(jobs: DataFrame, job_id: str) -> DataFrame:
     return where_key(jobs, job_id=job_id)
 
 
-def recent_jobs(jobs: DataFrame, tenant_id: str | None = None, repository_id: str | None = None) -> DataFrame:
-    """The newest jobs, at most a listing's length; both filters apply when given."""
+def recent_jobs(jobs: DataFrame, tenant_id: str | None = None, repository_id: str | None = None, limit: int | None = 100) -> DataFrame:
+    """The newest jobs, `limit` of them or, without one, all; both filters apply when given."""
     key = {"tenant_id": tenant_id, "repository_id": repository_id}
-    return where_key(jobs, **{k: v for k, v in key.items() if v is not None}).orderBy(
-        F.desc("started_at"), F.asc("job_id")).limit(JOB_LIST_LIMIT)
+    found = where_key(jobs, **{k: v for k, v in key.items() if v is not None}).orderBy(F.desc("started_at"), F.asc("job_id"))
+    return found if limit is None else found.limit(limit)
 
 
 def running_flags(jobs: DataFrame) -> DataFrame:

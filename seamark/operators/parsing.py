@@ -91,8 +91,9 @@ def parse_spans(files: DataFrame, mode: str = "definitions", max_tokens: int = M
     no_counts = F.expr("cast(array() as array<struct<word:int,space:int,punct:int,other:int>>)")
     counts = F.transform("_lines", lambda line: tokens.class_counts(line))
     df = df.withColumn("_counts", F.when(has_definition, no_counts).otherwise(counts) if mode == "definitions" else counts)
+    style = F.coalesce(*[F.when(F.col("_style") == name, number) for name, number in walks.STYLES.items()], F.lit(0))
     df = walks.with_walk(
-        df, "_walk", walks.span_walk(mode, max_tokens), walks.SPAN_FIELDS, style=F.col("_style"), flags=F.col("_facts.flags"),
+        df, "_walk", walks.span_walk(mode, max_tokens), walks.SPAN_FIELDS, style=style, flags=F.col("_facts.flags"),
         indents=F.col("_facts.indent"), sizes=F.col("_facts.size"), marks=F.col("_facts.marks"), words=F.col("_counts.word"),
         spaces=F.col("_counts.space"), puncts=F.col("_counts.punct"), others=F.col("_counts.other"))
 

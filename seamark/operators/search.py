@@ -34,11 +34,14 @@ def checked_symbol(symbol: str) -> str:
     return symbol.strip()
 
 
-def checked_limit(limit: int | None, default: int) -> int:
+def checked_limit(limit: int | None, default: int, max_limit: int = MAX_LIMIT) -> int:
+    """A request's limit; one above `max_limit` is refused, not cut."""
     limit = default if limit is None else limit
     if limit < 0:
         raise InvalidRequest("limit cannot be negative")
-    return min(limit, MAX_LIMIT)
+    if limit > max_limit:
+        raise InvalidRequest(f"limit exceeds {max_limit}")
+    return limit
 
 
 def scoped(points: DataFrame, tenant_id: str | None, repository_id: str | None = None,
@@ -204,11 +207,11 @@ def as_usages(labelled: DataFrame) -> DataFrame:
 
 def usages(points: DataFrame, symbol: str, symbol_vector: Sequence[float] | None, tenant_id: str,
            repository_id: str | None = None, branch: str | None = None, usage_type: str = "all",
-           limit: int | None = None, mode: str = "semantic") -> DataFrame:
+           limit: int | None = None, mode: str = "exact") -> DataFrame:
     """Definitions and references of a symbol, definitions first.
 
-    `semantic` looks among the nearest chunks only; `exact` reads every chunk in
-    scope, so it finds all of them, and needs no vector.
+    `exact` reads every chunk in scope, so it finds all of them, and needs no vector; chunks without
+    a vector have no similarity and come last.  `semantic` looks among the nearest chunks only.
     """
     symbol = checked_symbol(symbol)
     limit = checked_limit(limit, USAGES_LIMIT)
@@ -222,7 +225,8 @@ def usages(points: DataFrame, symbol: str, symbol_vector: Sequence[float] | None
         if symbol_vector is None:
             pool = pool.withColumn("similarity", F.lit(None).cast("double"))
         else:
-            pool = rerank(pool.withColumn("similarity", vectors.cosine_to(F.col("embedding"), symbol_vector)), symbol)
+            scored = vectors.cosine_to(F.coalesce("embedding", F.array(*[F.lit(0.0).cast("float")] * len(symbol_vector))), symbol_vector)
+            pool = rerank(pool.withColumn("similarity", F.when(F.col("embedding").isNotNull(), scored)), symbol)
     else:
         raise InvalidRequest("mode must be semantic or exact")
     return ranked_usages(classified(pool, symbol, usage_type), limit)

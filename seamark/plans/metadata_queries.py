@@ -64,7 +64,7 @@ def branches_in_pairs(spark, folder):
 
 @query("branches_with_jobs", c.with_sql(c.FILES, c.BRANCHES, c.JOBS, select="""
 SELECT tenant_id, repository_id, branch FROM branches b
-WHERE EXISTS (SELECT 1 FROM jobs j WHERE j.repository_id = b.repository_id AND j.branch = b.branch)"""))
+WHERE EXISTS (SELECT 1 FROM jobs j WHERE j.tenant_id = b.tenant_id AND j.repository_id = b.repository_id AND j.branch = b.branch)"""))
 def branches_with_jobs(spark, folder):
     return catalog.branches_among(c.branches(spark, folder), c.jobs(spark, folder)).select("tenant_id", "repository_id", "branch")
 
@@ -243,15 +243,17 @@ def cascade_delete(spark, folder):
 
 
 @query("vector_upsert", c.with_sql(c.POINTS, select="""
-SELECT vec_id, chunk_id, generation, round(embedding[1]::DOUBLE, 6) AS first_value FROM points WHERE NOT (vec_id % 2 = 0 AND vec_id % 5 <> 0)
-UNION ALL SELECT vec_id, chunk_id, 2, round(-embedding[1]::DOUBLE, 6) FROM points WHERE vec_id % 2 = 0 AND vec_id % 5 <> 0"""))
+SELECT vec_id, chunk_id, generation, unnest(range(1, len(embedding) + 1)) AS dim,
+  unnest([round((CASE WHEN vec_id % 2 = 0 AND vec_id % 5 <> 0 THEN -x ELSE x END)::DOUBLE, 6) FOR x IN embedding]) AS value
+FROM (SELECT vec_id, chunk_id, CASE WHEN vec_id % 2 = 0 AND vec_id % 5 <> 0 THEN 2 ELSE generation END AS generation, embedding FROM points)"""))
 def vector_upsert(spark, folder):
     """New points replace stored ones; points without a vector are skipped."""
     p = c.points(spark, folder)
     new = p.filter(F.col("vec_id") % 2 == 0).withColumn("generation", F.lit(2).cast("long")).withColumn(
         "embedding", F.when(F.col("vec_id") % 5 != 0, F.transform("embedding", lambda x: -x)))
     after = changes.upsert_points(p, new)
-    return after.select("vec_id", "chunk_id", "generation", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_value"))
+    return after.select("vec_id", "chunk_id", "generation", F.posexplode("embedding").alias("p", "x")).select(
+        "vec_id", "chunk_id", "generation", (F.col("p") + 1).cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
 @query("vector_delete", c.with_sql(c.POINTS, select="""

@@ -79,15 +79,16 @@ def vector_normalize(spark, folder):
 
 
 @query("masked_mean_pooling", """
-SELECT label, d AS dim, round(sum(m * x) / greatest(sum(m)::DOUBLE, 1e-9), 6) AS value FROM (
-  SELECT label, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS m, unnest(range(1, 5)) AS d, unnest(embedding[1:4]::DOUBLE[]) AS x
-  FROM embeddings) GROUP BY label, d""")
+SELECT g AS vec_group, d AS dim, round(sum(m * x) / greatest(sum(m)::DOUBLE, 1e-9), 6) AS value FROM (
+  SELECT vec_id // 8 AS g, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS m, unnest(range(1, len(embedding) + 1)) AS d, unnest(embedding::DOUBLE[]) AS x
+  FROM embeddings) GROUP BY g, d""")
 def masked_mean_pooling(spark, folder):
-    """Mean over the masked-in vectors of a label, per dimension; sums combine before the shuffle."""
+    """Eight neighbouring vectors as the token states of one text, every third masked out, pooled over all dimensions."""
     v = c.table(spark, folder, "embeddings").select(
-        "label", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("m"), F.posexplode(F.slice("embedding", 1, 4)).alias("p", "x"))
-    return v.groupBy("label", (F.col("p") + 1).cast("long").alias("dim")).agg(
-        F.round(F.sum(F.col("m") * F.col("x").cast("double")) / F.greatest(F.sum("m").cast("double"), F.lit(1e-9)), 6).alias("value"))
+        F.expr("vec_id div 8").alias("vec_group"), F.struct("vec_id", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("m"), "embedding").alias("state"))
+    texts = v.groupBy("vec_group").agg(F.sort_array(F.collect_list("state")).alias("states"))    # eight of them
+    pooled = texts.select("vec_group", vectors.masked_mean(F.col("states.embedding"), F.col("states.m")).alias("v"))
+    return pooled.select("vec_group", F.posexplode("v").alias("p", "x")).select("vec_group", (F.col("p") + 1).cast("long").alias("dim"), F.round("x", 6).alias("value"))
 
 
 @query("rerank_scores", c.with_sql(c.POINTS, select=f"""
@@ -156,11 +157,13 @@ _USAGE_COLUMNS = f"""SELECT regexp_extract(file_path, '[^/]*$') AS file, file_pa
   regexp_extract(repository_url, '[^/]*$') AS repository, commit_sha FROM found"""
 
 
+_WHOLE_SCOPE = f"scored AS (SELECT *, {_SIM} * ({BOOST_SQL}) AS similarity FROM points WHERE tenant_id = '{TENANT}')"
+
+
 def _usages(spark, folder, usage_type, limit=20):
-    """Candidates by vector first; text only for them (nine times the limit)."""
-    near = S.nearest(S.scoped(c.points(spark, folder), TENANT), c.query_vector(spark, folder), 9 * limit)
-    pool = c.with_point_content(S.top(S.rerank(near, WORD), 3 * limit), c.point_sources(spark, folder), most=3 * limit)
-    return S.ranked_usages(S.classified(pool, WORD, usage_type), limit)
+    """Every chunk of the tenant is read, so no usage is missed."""
+    p = c.with_point_content(S.scoped(c.points(spark, folder), TENANT), c.point_sources(spark, folder))
+    return S.usages(p, WORD, c.query_vector(spark, folder), TENANT, usage_type=usage_type, limit=limit)
 
 
 def _usage_rows(found: DataFrame) -> DataFrame:
@@ -173,7 +176,7 @@ _NO_COMMIT = _USAGE_COLUMNS
 
 
 def _register_usages(kind: str) -> None:
-    sql = c.with_sql(c.POINTS, c.SOURCES, _ranked_sql(TENANT, 180, 60), _usages_sql(_KEEP[kind], 20, "ranked"), select=_USAGE_COLUMNS)
+    sql = c.with_sql(c.POINTS, c.SOURCES, _WHOLE_SCOPE, _usages_sql(_KEEP[kind], 20, "scored"), select=_USAGE_COLUMNS)
 
     @query(f"usages_{kind}", sql)
     def run(spark, folder):
@@ -184,7 +187,7 @@ for _kind in _KEEP:
     _register_usages(_kind)
 
 
-@query("usages_counts", c.with_sql(c.POINTS, c.SOURCES, _ranked_sql(TENANT, 180, 60), _usages_sql(_KEEP["all"], 20, "ranked"), select="""
+@query("usages_counts", c.with_sql(c.POINTS, c.SOURCES, _WHOLE_SCOPE, _usages_sql(_KEEP["all"], 20, "scored"), select="""
 SELECT count(*) AS total_usages, count(*) FILTER (WHERE usage_type = 'definition') AS definitions,
   count(*) FILTER (WHERE usage_type = 'reference') AS "references" FROM found"""))
 def usages_counts(spark, folder):

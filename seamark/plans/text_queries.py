@@ -140,9 +140,8 @@ FROM (SELECT *, len(ls) AS n FROM (SELECT doc_id, size_bytes, CASE WHEN l[-1] =
   FROM (SELECT doc_id, size_bytes, string_split(file_content, chr(10)) AS l FROM files)))"""))
 def context_window(spark, folder):
     f = c.files(spark, folder)
-    cut = context.excerpt(f, line=10, radius=3)
-    keyed = cut.join(f.select("tenant_id", "repository_id", "branch", "file_path", "doc_id"), ["tenant_id", "repository_id", "branch", "file_path"])
-    return keyed.select("doc_id", "content", F.col("lines.start").alias("line_start"), F.col("lines.end").alias("line_end"),
+    cut = context.excerpt(f, line=10, radius=3, keep=("doc_id",))
+    return cut.select("doc_id", "content", F.col("lines.start").alias("line_start"), F.col("lines.end").alias("line_end"),
                         F.col("lines.requested").alias("requested"), F.col("lines.total").alias("total"), "size_bytes")
 
 
@@ -219,16 +218,16 @@ def binary_reject(spark, folder):
 
 @query("encoding_detect", """
 SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'UTF-16LE' ELSE 'UTF-8' END AS encoding,
-  CASE WHEN doc_id % 4 = 3 THEN chr(20001) || chr(20002) ELSE text END AS content FROM documents WHERE doc_id % 4 IN (0, 3)""")
+  CASE WHEN doc_id % 4 = 3 THEN regexp_replace(text, '[\x00-\xFF]', chr(20001), 'g') ELSE text END AS content FROM documents WHERE doc_id % 4 IN (0, 3)""")
 def encoding_detect(spark, folder):
     """UTF-8, UTF-16 with NUL bytes, broken UTF-8, UTF-16 without any NUL byte."""
     bom = F.unhex(F.lit("FFFE"))
     d = F.col("doc_id")
-    short = F.lit("\u4e21\u4e22")
+    wide = F.regexp_replace("text", r"[\x00-\xFF]", "\u4e21")   # every character in two bytes, neither of them 0
     raw = F.when(d % 4 == 0, F.encode("text", "UTF-8")) \
         .when(d % 4 == 1, F.concat(bom, F.encode("text", "UTF-16LE"))) \
         .when(d % 4 == 2, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))) \
-        .otherwise(F.concat(bom, F.encode(short, "UTF-16LE")))
+        .otherwise(F.concat(bom, F.encode(wide, "UTF-16LE")))
     return changes.decoded_files(_docs(spark, folder).select("doc_id", raw.alias("content"))).select(
         "doc_id", "encoding", F.col("file_content").alias("content"))
 

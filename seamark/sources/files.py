@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import ids, paths
 from ..operators.changes import decoded_files
 
-PUSH_SCHEMA = "project_id string, path string, content string"
+PUSH_SCHEMA = ("project_id string, path string, content string, repository_url string, commit_sha string, commit_message string, "
+               "commit_date timestamp_ntz, author string, pushed_at timestamp_ntz")
 
 
 def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

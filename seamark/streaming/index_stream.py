@@ -19,13 +19,14 @@ def start_indexing(pushes: DataFrame, tables: IndexTables, provider: EmbeddingPr
                    on_report: Callable[[int, DataFrame], None] | None = None, **trigger) -> StreamingQuery:
     """Index a stream of (project_id, path, content) rows.
 
-    The batch id names the staging folder, so a batch repeated after a failure
-    overwrites its own leftovers and merges to the same result.
+    Jobs are named by the query and the batch, so a batch repeated after a failure is the same
+    job, and two streams on one index have jobs of their own.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         report = index_batch(batch.sparkSession, tables, pushed_files(batch, tenant_id), provider,
-                             f"stream-{batch_id}", F.localtimestamp() if indexed_at is None else indexed_at, max_tokens)
+                             f"stream-{query}-{batch_id}", F.localtimestamp() if indexed_at is None else indexed_at, max_tokens)
         if on_report is not None:
             on_report(batch_id, report)
 

@@ -11,7 +11,6 @@ from seamark.functions.embedding import HashedEmbedding
 from seamark.operators import catalog, changes, indexing, jobs, queues
 from seamark.schemas import ALL
 from seamark.sources import files as sources
-from seamark.sources import git
 from seamark.sources.tables import IndexTables
 from seamark.streaming.index_stream import start_indexing
 from seamark.streaming.queue_stream import apply_operation, queue_states
@@ -201,8 +200,8 @@ def test_index_search_update_and_clean(spark, index):
     assert (stats.files, stats.chunks, stats.vectors) == (4, 4, 4)
     cleaned, report = index.clean(older_than="1d", now="2024-02-01 00:00:00")
     assert report.first().removed_chunks == 4 and cleaned.stats().first().chunks == 0 and index.stats().first().chunks == 4
-    compacted = index.compact()
-    assert compacted.stats().first().asDict() == index.stats().first().asDict()
+    compacted = cleaned.compact()    # of the newest version, whoever asks
+    assert compacted.stats().first().asDict() == cleaned.stats().first().asDict()
 
 
 def test_repeating_a_batch_changes_nothing(spark, index):
@@ -228,7 +227,7 @@ def test_repeating_a_batch_changes_nothing(spark, index):
 
 
 def test_tables_exist_and_drop(spark, index):
-    assert index.tables.exists(spark) and not index.tables.next().exists(spark)
+    assert index.tables.exists(spark) and not index.tables.pinned(spark).next().exists(spark)
     assert index.tables.drop(spark) and not index.tables.exists(spark) and not index.tables.drop(spark)
 
 
@@ -252,13 +251,6 @@ def test_read_tree(spark, tmp_path):
     assert [(r.file_path, r.encoding, r.size_bytes) for r in rows] == [("a/x.rs", "UTF-8", len(RUST))]
 
 
-def test_checkout(spark, tmp_path):
-    assert git.checkout(spark, str(tmp_path)).count() == 0
-    row = git.checkout(spark, "/root/repo").first()
-    if row is not None:
-        assert len(row.commit_sha) == 40 and row.repository_id
-
-
 def test_cascade(spark):
     key = "tenant_id string, repository_id string, branch string"
     tables = {
@@ -287,21 +279,96 @@ def test_the_same_file_twice_in_a_push(spark, index):
     assert index.table("indexed_files").count() == 2 and index.table("vectors").filter("file_path = 'src/config.rs'").count() == 2
 
 
-def test_leftovers_of_a_dead_batch_go(spark, index, monkeypatch):
-    """Points are written, the file rows are not; the next push of the file has other content."""
-    first = push(spark, ("org/a:main", "src/config.rs", RUST))
-    whole = IndexTables.replace_partitions
+@pytest.mark.parametrize("stage", ["vectors", "chunk_metadata", "indexed_files", "project_branches", "commit"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_dead_batch_leaves_the_index_as_it_was(spark, index, monkeypatch, stage, after):
+    """It fails before or after each write; what readers see does not change, and doing it again works."""
+    index.index(push(spark, ("org/a:main", "src/config.rs", RUST)), "zero", "t", at())
+    before = sorted(map(str, index.table("vectors").collect()))
+    write, commit = IndexTables.write, IndexTables.commit
 
-    def dies(self, df, name):
-        if name == "indexed_files":
+    def dies(self, df, name, batch):
+        if name == stage and not after:
+            raise RuntimeError("lost")
+        write(self, df, name, batch)
+        if name == stage:
             raise RuntimeError("lost")
-        whole(self, df, name)
 
-    monkeypatch.setattr(IndexTables, "replace_partitions", dies)
+    def no_commit(self, spark, base, batch, touched):
+        if stage == "commit" and "vectors" in touched:
+            raise RuntimeError("lost")
+        return commit(self, spark, base, batch, touched)
+
+    monkeypatch.setattr(IndexTables, "write", dies)
+    monkeypatch.setattr(IndexTables, "commit", no_commit)
+    change = push(spark, ("org/a:main", "src/config.rs", "fn only() {\n}\n"))
     with pytest.raises(RuntimeError):
-        index.index(first, "one", "t", at())
-    monkeypatch.setattr(IndexTables, "replace_partitions", whole)
-    assert index.table("indexed_files").count() == 0 and index.table("vectors").count() == 2
-    index.index(push(spark, ("org/a:main", "src/config.rs", "fn only() {\n}\n")), "two", "t", at())
+        index.index(change, "one", "t", at())
+    monkeypatch.setattr(IndexTables, "write", write)
+    monkeypatch.setattr(IndexTables, "commit", commit)
+    assert sorted(map(str, index.table("vectors").collect())) == before
+    assert {r.status for r in index.jobs("t").filter("correlation_id = 'one'").collect()} == {"failed"}
+    index.index(change, "one", "t", at())
     assert [r.name for r in index.table("vectors").collect()] == ["only"]
     assert index.table("chunk_metadata").count() == 1 and index.table("indexed_files").count() == 1
+    assert {r.status for r in index.jobs("t").filter("correlation_id = 'one'").collect()} == {"completed"}
+
+
+def test_no_ghosts_no_lost_files(spark, index):
+    """Emptied files leave nothing behind, odd branches keep their files, a clean file can come back."""
+    index.index(push(spark, ("q:", "a.rs", RUST), ("q:", "b.py", PYTHON), (":", "c.py", PYTHON), (None, "d.py", PYTHON)), "one", "t", at())
+    assert {(r.repository_id, r.branch) for r in index.table("indexed_files").collect()} == {("q", "main"), ("unknown", "main")}
+    index.index(push(spark, ("q:", "a.rs", "")), "two", "t", at())
+    assert {r.file_path for r in index.table("vectors").filter("repository_id = 'q'").collect()} == {"b.py"}
+    assert index.table("indexed_files").filter("repository_id = 'q'").count() == 2
+    index.index(push(spark, ("q:", "b.py", "")), "three", "t", at())
+    assert index.table("vectors").filter("repository_id = 'q'").count() == 0 and index.table("chunk_metadata").filter("repository_id = 'q'").count() == 0
+    for _ in range(2):     # a second clean finds nothing, and empties nothing else
+        cleaned, _report = index.clean(older_than="1d", now="2024-02-01 00:00:00")
+        assert cleaned.table("vectors").count() == 0 and cleaned.table("indexed_files").count() == 4
+        index = cleaned
+    again = index.index(push(spark, (":", "c.py", PYTHON)), "four", "t", at()).first()
+    assert (again.updated_files, again.chunks_created) == (1, 1)
+
+
+def test_the_later_push_wins(spark, index):
+    df = spark.createDataFrame([("r", "a.py", "def new():\n    pass\n", "2024-01-02 00:00:00", "https://h/o/r.git", "abc"), ("r", "a.py", "def old():\n    pass\n", "2024-01-01 00:00:00", None, None)],
+                               "project_id string, path string, content string, pushed_at string, repository_url string, commit_sha string").withColumn("pushed_at", F.col("pushed_at").cast("timestamp_ntz"))
+    for i, rows in enumerate((df, df.orderBy("pushed_at"))):
+        index.index(rows.withColumn("commit_message", F.lit("m")).withColumn("author", F.lit("me")).withColumn("commit_date", F.col("pushed_at")), f"b{i}", "t", at())
+        assert [r.name for r in index.table("vectors").collect()] == ["new"]
+    hit = index.search("new", "t").first()
+    assert hit.repository == "r.git" and hit.commit.sha == "abc"
+
+
+def test_two_writers_one_index(spark, index, monkeypatch):
+    """The slower one merges again on what the faster one left."""
+    commit = IndexTables.commit
+    state = {"once": True}
+
+    def late(self, spark, base, batch, touched):
+        if "vectors" in touched and state.pop("once", None):
+            Index(spark, index.tables, index.provider).index(push(spark, ("org/a:main", "b.py", PYTHON)), "fast", "t", at())
+        return commit(self, spark, base, batch, touched)
+
+    monkeypatch.setattr(IndexTables, "commit", late)
+    index.index(push(spark, ("org/a:main", "a.rs", RUST)), "slow", "t", at())
+    assert {r.file_path for r in index.table("vectors").collect()} == {"a.rs", "b.py"}
+    assert index.jobs("t", limit=None).count() == 2 and index.jobs("t", limit=1).count() == 1
+
+
+def test_many_branches_in_a_batch_read_touched_partitions_only(spark, index):
+    index.index(push(spark, ("other:main", "z.py", PYTHON)), "zero", "t", at())
+    index.index(spark.range(60).select(F.concat(F.lit("org/r"), "id", F.lit(":b")).alias("project_id"), F.lit("a.py").alias("path"), F.lit(PYTHON).alias("content")), "one", "t", at())
+    keys = {("t", f"org/r{i}", "b") for i in range(60)}
+    some = index.tables.read(spark, "vectors", keys)
+    assert some.count() == 60 and not any("other" in f for f in some.inputFiles()) and index.table("vectors").count() == 61
+
+
+def test_moves_through_the_api(spark, index):
+    index.index(push(spark, ("r:main", "a.py", PYTHON), ("r:main", "b.rs", RUST)), "one", "t", at())
+    kind = "id long, tenant_id string, repository_id string, branch string, old_path string, new_path string, detected_at timestamp_ntz, processed boolean"
+    moment = datetime.datetime(2024, 1, 1)
+    index.move(spark.createDataFrame([(1, "t", "r", "main", "a.py", "c.py", moment, False), (2, "t", "r", "main", "b.rs", "c.py", moment, False)], kind))
+    assert {r.file_path for r in index.table("vectors").collect()} == {"a.py", "c.py"} or {r.file_path for r in index.table("indexed_files").collect()} == {"a.py", "c.py"}
+    assert index.table("indexed_files").count() == 2 and index.table("indexed_files").select("file_path").distinct().count() == 2
