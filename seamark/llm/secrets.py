@@ -23,7 +23,7 @@ _PROSE = re.compile(r"[^\x20\x09-\x0D]{8,}")
 # What the network sees: characters before, of and after a candidate.
 BEFORE, BODY, AFTER = 24, 40, 12
 WIDTH, FILTERS, SIGNS = 5, 24, 48
-SAMPLE_DOCS = 20000
+SAMPLE_DOCS = 10000
 
 _SIGN = np.zeros(128, dtype=np.int64)
 for _k, _c in enumerate("abcdefghijklmnopqrstuvwxyz"):
@@ -65,8 +65,8 @@ def window(text: str, start: int, end: int) -> str:
 
 
 def encode(windows: list[str]) -> np.ndarray:
-    points = np.array([[min(ord(c), 127) if ord(c) < 127 else 127 for c in w] for w in windows], dtype=np.int64).reshape(len(windows), BEFORE + BODY + AFTER)
-    return np.where(points == 127, SIGNS - 1, _SIGN[points])
+    points = np.frombuffer("".join(windows).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(windows), BEFORE + BODY + AFTER)
+    return np.where(points < 127, _SIGN[np.minimum(points, 127)], SIGNS - 1).astype(np.int8)
 
 
 @dataclass
@@ -82,16 +82,18 @@ class CharNet:
 
     def _forward(self, codes: np.ndarray):
         steps = codes.shape[1] - WIDTH + 1
-        answer = np.broadcast_to(self.shift, (len(codes), steps, FILTERS)).copy()
+        answer = np.broadcast_to(self.shift.astype(np.float32), (len(codes), steps, FILTERS)).copy()
         for k in range(WIDTH):
-            answer += self.kernel[k][codes[:, k:k + steps]]
+            answer += self.kernel[k].astype(np.float32)[codes[:, k:k + steps]]
         np.maximum(answer, 0, out=answer)
         pooled = np.concatenate([answer.max(axis=1), answer.mean(axis=1)], axis=1)
         return answer, pooled, pooled @ self.out + self.bias
 
-    def probability(self, codes: np.ndarray, block: int = 512) -> np.ndarray:
-        logits = [self._forward(codes[at:at + block])[2] for at in range(0, len(codes), block)]
-        value = np.concatenate(logits) if logits else np.zeros(0)
+    def logits(self, codes: np.ndarray, block: int = 512) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._forward(codes[at:at + block])[2] for at in range(0, len(codes), block))])
+
+    def probability(self, codes: np.ndarray) -> np.ndarray:
+        value = self.logits(codes)
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * value + self.scale[1], -50, 50)))
 
 
@@ -137,7 +139,7 @@ def fit(codes: np.ndarray, labels: np.ndarray, recall: float = 0.98, false_alarm
                 move = rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
                 setattr(net, k, getattr(net, k) - move)
     net.bias = float(net.bias)
-    logit, truth = net._forward(codes[held])[2], labels[held]
+    logit, truth = net.logits(codes[held]), labels[held]
     a, b = 1.0, 0.0
     for _ in range(200):   # calibration: logistic regression on the one logit
         p = 1 / (1 + np.exp(-np.clip(a * logit + b, -50, 50)))
@@ -177,7 +179,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         F.max("secret").alias("secret")).toArrow().sort_by([("window", "ascending")])
     # sorted by a hash, so that the part held back is a fair one
     order = np.argsort([hash_of(w) for w in rows["window"].to_pylist()], kind="stable") if len(rows) else np.zeros(0, np.int64)
-    codes = encode(rows["window"].to_pylist())[order] if len(rows) else np.zeros((0, BEFORE + BODY + AFTER), np.int64)
+    codes = encode(rows["window"].to_pylist())[order] if len(rows) else np.zeros((0, BEFORE + BODY + AFTER), np.int8)
     return fit(codes, rows["secret"].to_numpy().astype(float)[order])
 
 
