@@ -10,7 +10,8 @@ quickly.  A pair is lost only if all trees lose it.
 What keeps the work linear:
 
 * Documents with equal shingle sets are one class from the start; the rest works on classes.
-* A node whose documents are all near its leader is done: they are linked through the leader.
+* A node whose documents are all near one leader is done: they are linked through the leader.
+* Pairs are compared on whole signatures before any set is fetched.
 * Hot nodes never meet in a task.  Nodes are counted with map-side sums, rows join these
   counts (adaptive execution splits the hot side), and only nodes of at most `small` rows are collected.
 
@@ -160,17 +161,37 @@ def _pair(x: Column, y: Column) -> Column:
     return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
-def _pairs_in_small_nodes(rows: DataFrame, percent: int) -> DataFrame:
-    """All plausible pairs of nodes that hold few rows; pairs known to hang together are left out."""
-    members = F.collect_list(F.struct("cid", "n", "b1", "b2", "label"))
+def _equal(x: Column, y: Column) -> Column:
+    """On how many coordinates two minwise signatures agree."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda total, one: total + one)
+
+
+def _least_equal(percent: int, deviations: float = 3.3) -> int:
+    """Coordinates on which a linked pair agrees at least, but for one in 2,000 of those right at the threshold."""
+    mean = COORDINATES * percent / 100
+    return int(mean - deviations * (mean * (1 - percent / 100)) ** 0.5)
+
+
+def _pairs_in_small_nodes(rows: DataFrame, percent: int, signed: bool) -> DataFrame:
+    """All plausible pairs of nodes that hold few rows; pairs known to hang together are left out.
+
+    `signed`: the rows have their whole signatures and `home`, the first leader they were near to.
+    """
+    members = F.collect_list(F.struct("cid", "n", "b1", "b2", "label", *(["home", "sig"] if signed else [])))
     nodes = rows.groupBy("node").agg(members.alias("m"))
+
+    def open_(x: Column, y: Column) -> Column:
+        apart = (x["label"] != y["label"]) & (x["cid"] != y["cid"]) & _plausible(x, y, percent)
+        if signed:
+            apart = apart & ~F.coalesce(x["home"] == y["home"], F.lit(False)) & (_equal(x["sig"], y["sig"]) >= _least_equal(percent))
+        return apart
+
     found = F.flatten(F.transform("m", lambda x, i: F.transform(
-        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (x["label"] != y["label"]) & (x["cid"] != y["cid"]) & _plausible(x, y, percent)),
-        lambda y: _pair(x["cid"], y["cid"]))))
+        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: open_(x, y)), lambda y: _pair(x["cid"], y["cid"]))))
     return nodes.select(F.explode(found).alias("p")).select("p.a", "p.b")
 
 
-def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, trees: int = 16, small: int = 48, depth: int = 10) -> DataFrame:
+def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, trees: int = 16, small: int = 48, depth: int = 6) -> DataFrame:
     """Candidate pairs (a, b) of classes, to be confirmed on the full sets.
 
     `classes` has cid, n, b1, b2, sig.  `trees` times independent roots; a pair at the
@@ -185,13 +206,13 @@ def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, tre
         *base, _node(F.lit("tree"), F.col("r.tree"), F.col("r.value")).alias("node"))
     counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     shared = scratch.keep(rows.join(counts, "node"), "nodes")
-    pairs = [_pairs_in_small_nodes(shared.filter(F.col("size") <= small), percent)]
+    pairs = [_pairs_in_small_nodes(shared.filter(F.col("size") <= small), percent, False)]
 
     large = shared.filter(F.col("size") > small)
     # how many others a document met in large nodes: the centre of a group of near copies meets most
     weight = large.groupBy("cid").agg(F.sum("size").alias("weight"))
-    large = scratch.keep(large.join(weight, "cid").join(classes.select("cid", "sig"), "cid").drop("size"), "large")
-    near = int(COORDINATES * min(0.99, percent / 100 + 0.07))
+    large = scratch.keep(large.join(weight, "cid").join(classes.select("cid", "sig"), "cid").drop("size").withColumn("home", F.lit(None).cast("long")), "large")
+    near = int(COORDINATES * min(0.99, percent / 100 + 0.09))    # agreements that less than the threshold has once in 400 times
     for level in range(depth):
         if large.isEmpty():
             break
@@ -200,20 +221,23 @@ def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, tre
         best = F.max_by(F.struct("cid", "n", "b1", "b2", "sig"), F.struct(*([] if level == 0 else [own.cast("int").alias("own")]), rank.alias("rank"), "cid"))
         led = large.join(large.groupBy("node").agg(best.alias("lead")), "node")
         me = F.struct("cid", "n", "b1", "b2")
-        equal = F.aggregate(F.zip_with("sig", "lead.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        asked = (F.col("label") != F.col("lead.cid")) & (F.col("cid") != F.col("lead.cid")) & _plausible(me, F.col("lead"), percent)
+        led = led.withColumn("equal", _equal(F.col("sig"), F.col("lead.sig")))
+        asked = ((F.col("label") != F.col("lead.cid")) & (F.col("cid") != F.col("lead.cid")) & _plausible(me, F.col("lead"), percent)
+                 & (F.col("equal") >= _least_equal(percent)))
+        taken = F.when(F.col("equal") >= near, F.col("lead.cid"))
         led = scratch.keep(led.withColumn("pair", F.when(asked, _pair(F.col("cid"), F.col("lead.cid")))).withColumn(
-            "label", F.when(equal >= near, F.col("lead.cid")).otherwise(F.col("label"))).drop("lead"), "led")
+            "home", F.coalesce("home", taken)).withColumn("label", F.coalesce(taken, "label")).drop("lead", "equal"), "led")
         pairs.append(led.filter("pair is not null").select("pair.a", "pair.b"))
         # one coordinate, and another in part of the nodes: 1 / threshold on average
         second = F.pmod(_node(F.lit("more"), F.lit(level), F.col("node")), F.lit(percent)) < 100 - percent
         steps = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         rows = led.drop("pair").select("*", F.explode(steps).alias("step")).withColumn("node", _node(
             F.col("node"), F.col("step"), coordinate(F.lit("next"), F.lit(level), F.col("node"), F.col("step")))).drop("step")
-        kept = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).filter(
-            "size > 1 and low <> high").select("node", "size")
+        kept = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
+                                        F.min(F.coalesce("home", "cid")).alias("first"), F.max(F.coalesce("home", "cid")).alias("last")).filter(
+            "size > 1 and low <> high and first <> last").select("node", "size")
         rows = scratch.keep(rows.join(kept, "node"), "nodes")
-        pairs.append(_pairs_in_small_nodes(rows.filter(F.col("size") <= small), percent))
+        pairs.append(_pairs_in_small_nodes(rows.filter(F.col("size") <= small), percent, True))
         large = rows.filter(F.col("size") > small).drop("size")
     out = pairs[0]
     for more in pairs[1:]:

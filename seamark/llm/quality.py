@@ -15,7 +15,7 @@ from .common import bounded_batches, bounded_sample, held_out
 WORDS, SHAPES = 1 << 16, 1 << 15
 DENSE = ("repeated", "distinct", "length", "word_length", "upper", "digit", "mark")
 SIZE = WORDS + SHAPES + len(DENSE)
-SAMPLE = 8000
+SAMPLE = 4000
 
 _SHAPE = np.full(256, 1 << 13, dtype=np.int32)   # any other sign
 _SHAPE[textbytes.table([(0x00, 0x20)])] = 0
@@ -112,7 +112,7 @@ def fit(texts: np.ndarray, features: np.ndarray, values: np.ndarray, grades: np.
     return OrdinalModel(weights, thresholds)
 
 
-@F.arrow_udf(T.StructType([T.StructField("f", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.DoubleType()))]))
+@F.arrow_udf(T.StructType([T.StructField("f", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))]))
 def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         lists: tuple[list, list] = ([], [])
@@ -121,8 +121,8 @@ def _extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             order = np.argsort(text, kind="stable")
             cuts = np.searchsorted(text[order], np.arange(1, w.texts))
             lists[0].extend(np.split(feature[order].astype(np.int32), cuts))
-            lists[1].extend(np.split(value[order], cuts))
-        yield pa.StructArray.from_arrays([pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.float64()))], names=["f", "v"])
+            lists[1].extend(np.split(value[order].astype(np.float32), cuts))
+        yield pa.StructArray.from_arrays([pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.float32()))], names=["f", "v"])
 
 
 def train(docs: DataFrame, graded: DataFrame, levels: int, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel:
@@ -139,7 +139,7 @@ def train(docs: DataFrame, graded: DataFrame, levels: int, id_col: str = "doc_id
     rows = rows.sort_by([("id", "ascending"), ("grade", "ascending")])
     feature, value = rows["f"].combine_chunks(), rows["v"].combine_chunks()
     size = np.diff(feature.offsets.to_numpy()) if len(rows) else np.zeros(0, np.int64)
-    return fit(np.repeat(np.arange(len(rows)), size), feature.flatten().to_numpy(), value.flatten().to_numpy(),
+    return fit(np.repeat(np.arange(len(rows), dtype=np.int32), size), feature.flatten().to_numpy(), value.flatten().to_numpy(),
                rows["grade"].to_numpy().astype(np.int64), levels)
 
 
