@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamark.llm import decontam, mixing, neardup, quality, secrets
-from seamark.llm.common import Scratch, read
+from seamark.llm.common import Scratch, read, unused
 
 
 def grade(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are probably of a grade above the lowest."""
     model = quality.train(docs, quality.grades_of(read(spark, sf_dir, "labels")), 3)
-    return quality.select_quality(docs, model, column="_grade").filter("_grade.kept").select(*_names(docs))
+    own = unused(docs, "_grade")
+    return quality.select_quality(docs, model, column=own).filter(F.col(own)["kept"]).select(*_names(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,24 +26,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that have no smaller one in their group.
     """
     found = neardup.near_duplicates(spark, docs, shingle=5)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*_names(docs))
+    own = unused(docs, "_gone")
+    gone = found.filter("not kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti").select(*_names(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents of which a twentieth or more is benchmark text."""
-    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"), column="_hits")
-    return found.filter(~F.col("_hits.contaminated")).select(*_names(docs))
+    own = unused(docs, "_hits")
+    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"), column=own)
+    return found.filter(~F.col(own)["contaminated"]).select(*_names(docs))
 
 
 def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes a mark over every secret, found by a rule or by the network; n_chars follows, if there is one."""
-    found = secrets.find_secrets(docs, secrets.train(docs), column="_secrets")
-    clean = found.withColumn("_clean", secrets.redact(F.col("text"), F.col("_secrets.all")))
-    changed = {"text": F.col("_clean")}
+    own = unused(docs, "_secrets")
+    spans = F.col(own)["all"]
+    found = secrets.find_secrets(docs, secrets.train(docs), column=own)
+    fresh = unused(found, "_clean")
+    clean = found.withColumn(fresh, secrets.redact(F.col("text"), spans))
+    changed = {"text": F.col(fresh)}
     if "n_chars" in docs.columns:
-        length = F.char_length("_clean").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.size("_secrets.all") > 0, length).otherwise(F.col("n_chars"))
+        length = F.char_length(fresh).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size(spans) > 0, length).otherwise(F.col("n_chars"))
     return clean.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
