@@ -31,7 +31,9 @@ class Nested:
 
 
 def _plain(values: pa.Array) -> np.ndarray:
-    return values.fill_null(0).to_numpy(zero_copy_only=False) if values.null_count else values.to_numpy(zero_copy_only=False)
+    if values.null_count:
+        values = values.fill_null(False if pa.types.is_boolean(values.type) else 0)
+    return values.to_numpy(zero_copy_only=False)
 
 
 def _by_row(column: pa.Array) -> Callable[[int], object]:
@@ -42,6 +44,9 @@ def _by_row(column: pa.Array) -> Callable[[int], object]:
         plain = _plain(column)
         return lambda i: plain[i]
     outer, inner = column.offsets.to_numpy(), column.values
+    if not len(inner) and not pa.types.is_primitive(inner.type):      # nothing in any row: there may be no buffers at all
+        nothing = Nested(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        return lambda i: nothing
     if pa.types.is_list(inner.type):
         starts, flat = inner.offsets.to_numpy(), _plain(inner.values)
         return lambda i: Nested(flat, starts[outer[i]:outer[i + 1] + 1])
