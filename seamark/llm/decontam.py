@@ -101,7 +101,7 @@ def _search(w: textbytes.Words, known: Phrases) -> tuple[np.ndarray, dict[int, s
     return np.cumsum(hit[:-1]) > 0, names
 
 
-def hits(text: Column, known: Phrases, shard_bytes: int = 2_000_000) -> Column:
+def hits(text: Column, known: Phrases, shard_bytes: int = 500_000) -> Column:
     """n_words, n_hit, sorted items, and the removal spans (code points, end exclusive, touching words merged)."""
 
     @F.arrow_udf(HITS)
