@@ -5,12 +5,12 @@ minimum there share a node.  Small nodes are compared exhaustively.  A large nod
 compares all its documents with one leader and branches again: it chooses
 1 / threshold coordinates on average, so that a pair at the threshold keeps one
 common path on average however deep the tree gets, while unlike pairs part
-quickly.  A pair is lost only if all trees lose it.
+quickly.  Nothing ends before it is small or compared.  A pair is lost only if all trees lose it.
 
 What keeps the work linear:
 
 * Documents with equal shingle sets are one class from the start; the rest works on classes.
-* A node whose documents are all near one leader is done: they are linked through the leader.
+* A node whose documents are all linked with one leader, by their full sets, is done.
 * Pairs are compared on whole signatures before any set is fetched.
 * Hot nodes never meet in a task.  Nodes are counted with map-side sums, rows join these
   counts (adaptive execution splits the hot side), and only nodes of at most `small` rows are collected.
@@ -22,7 +22,7 @@ hash of its set; among n classes two share a name with a chance of n * n / 2**65
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -172,16 +172,19 @@ def _least_equal(percent: int, deviations: float = 3.3) -> int:
     return int(mean - deviations * (mean * (1 - percent / 100)) ** 0.5)
 
 
-def _pairs_in_small_nodes(rows: DataFrame, percent: int, signed: bool) -> DataFrame:
+def _pairs_in_small_nodes(rows: DataFrame, percent: int, signed: bool, blocks: bool = False) -> DataFrame:
     """All plausible pairs of nodes that hold few rows; pairs known to hang together are left out.
 
-    `signed`: the rows have their whole signatures and `home`, the first leader they were near to.
+    `signed`: the rows have their whole signatures and `home`, the first leader they are linked with.
+    `blocks`: a node holds two blocks of a larger one, and only pairs across them are meant, or one block alone.
     """
-    members = F.collect_list(F.struct("cid", "n", "b1", "b2", "label", *(["home", "sig"] if signed else [])))
+    members = F.collect_list(F.struct("cid", "n", "b1", "b2", "label", *(["home", "sig"] if signed else []), *(["block", "alone"] if blocks else [])))
     nodes = rows.groupBy("node").agg(members.alias("m"))
 
     def open_(x: Column, y: Column) -> Column:
         apart = (x["label"] != y["label"]) & (x["cid"] != y["cid"]) & _plausible(x, y, percent)
+        if blocks:
+            apart = (x["alone"] | (x["block"] != y["block"])) & apart
         if signed:
             apart = apart & ~F.coalesce(x["home"] == y["home"], F.lit(False)) & (_equal(x["sig"], y["sig"]) >= _least_equal(percent))
         return apart
@@ -191,11 +194,32 @@ def _pairs_in_small_nodes(rows: DataFrame, percent: int, signed: bool) -> DataFr
     return nodes.select(F.explode(found).alias("p")).select("p.a", "p.b")
 
 
-def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, trees: int = 16, small: int = 48, depth: int = 6) -> DataFrame:
-    """Candidate pairs (a, b) of classes, to be confirmed on the full sets.
+def _pairs_in_blocks(rows: DataFrame, percent: int, small: int) -> DataFrame:
+    """The same of nodes of any `size`: every two blocks of a node meet in a small node of their own."""
+    count = F.ceil(F.col("size") * 2 / small)
+    spread = rows.withColumn("block", F.pmod(_node(F.lit("block"), F.col("cid")), count)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn("alone", F.col("block") == F.col("other"))
+    return _pairs_in_small_nodes(spread.withColumn("node", _node(
+        F.col("node"), F.least("block", "other"), F.greatest("block", "other"))), percent, True, True)
 
-    `classes` has cid, n, b1, b2, sig.  `trees` times independent roots; a pair at the
-    threshold of 0.8 meets in the first level of one tree with a chance of 0.8.
+
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are linked by their full sets."""
+    sides = pairs.join(full.select(F.col("cid").alias("a"), F.col("shingles").alias("left")), "a").join(
+        full.select(F.col("cid").alias("b"), F.col("shingles").alias("right")), "b")
+    size = F.octet_length("left") / 8 + F.octet_length("right") / 8
+    return sides.withColumn("both", _common("left", "right")).filter(
+        F.col("both") * 100 >= (size - F.col("both")) * percent).select("a", "b")
+
+
+def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, sets_of: Callable[[DataFrame], DataFrame], trees: int = 16,
+                         small: int = 48, depth: int = 10) -> DataFrame:
+    """Links (a, b) of classes, confirmed on the full sets.
+
+    `classes` has cid, n, b1, b2, sig; `sets_of` gives (cid, shingles) of the classes in a table with cid.  `trees` times
+    independent roots; a pair at the threshold of 0.8 meets in the first level of one tree with a chance of 0.8.
+    Nodes branch until none is large; those that after `depth` levels still hold up to 16 times as many as a
+    small one are compared exhaustively, block by block, and so are all that are left after 8 * `depth` levels.
     """
     def coordinate(*parts: Column) -> Column:
         return F.element_at("sig", (F.pmod(_node(*parts), F.lit(COORDINATES)) + 1).cast("int"))
@@ -206,42 +230,54 @@ def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, tre
         *base, _node(F.lit("tree"), F.col("r.tree"), F.col("r.value")).alias("node"))
     counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     shared = scratch.keep(rows.join(counts, "node"), "nodes")
-    pairs = [_pairs_in_small_nodes(shared.filter(F.col("size") <= small), percent, False)]
+    pairs = [scratch.keep(_pairs_in_small_nodes(shared.filter(F.col("size") <= small), percent, False).distinct(), "pairs")]
 
     large = shared.filter(F.col("size") > small)
     # how many others a document met in large nodes: the centre of a group of near copies meets most
     weight = large.groupBy("cid").agg(F.sum("size").alias("weight"))
     large = scratch.keep(large.join(weight, "cid").join(classes.select("cid", "sig"), "cid").drop("size").withColumn("home", F.lit(None).cast("long")), "large")
-    near = int(COORDINATES * min(0.99, percent / 100 + 0.09))    # agreements that less than the threshold has once in 400 times
-    for level in range(depth):
-        if large.isEmpty():
-            break
+    full = sets_of(pairs[0].select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct())
+    links = []
+    level = 0
+    while not large.isEmpty():
         rank = F.col("weight") if level == 0 else _node(F.lit(level), F.col("node"), F.col("cid"))
         own = F.col("label") == F.col("cid")   # from the second level on, lead by one that no leader has taken
         best = F.max_by(F.struct("cid", "n", "b1", "b2", "sig"), F.struct(*([] if level == 0 else [own.cast("int").alias("own")]), rank.alias("rank"), "cid"))
-        led = large.join(large.groupBy("node").agg(best.alias("lead")), "node")
-        me = F.struct("cid", "n", "b1", "b2")
-        led = led.withColumn("equal", _equal(F.col("sig"), F.col("lead.sig")))
-        asked = ((F.col("label") != F.col("lead.cid")) & (F.col("cid") != F.col("lead.cid")) & _plausible(me, F.col("lead"), percent)
-                 & (F.col("equal") >= _least_equal(percent)))
-        taken = F.when(F.col("equal") >= near, F.col("lead.cid"))
-        led = scratch.keep(led.withColumn("pair", F.when(asked, _pair(F.col("cid"), F.col("lead.cid")))).withColumn(
-            "home", F.coalesce("home", taken)).withColumn("label", F.coalesce(taken, "label")).drop("lead", "equal"), "led")
-        pairs.append(led.filter("pair is not null").select("pair.a", "pair.b"))
+        leads = scratch.keep(large.groupBy("node").agg(best.alias("lead")), "leads")
+        met = large.join(leads, "node")
+        asked = ((F.col("label") != F.col("lead.cid")) & (F.col("cid") != F.col("lead.cid")) & _plausible(F.struct("cid", "n", "b1", "b2"), F.col("lead"), percent)
+                 & (_equal(F.col("sig"), F.col("lead.sig")) >= _least_equal(percent)))
+        asked = scratch.keep(met.filter(asked).select("node", "cid", F.col("lead.cid").alias("by"), _pair(F.col("cid"), F.col("lead.cid")).alias("p")).select(
+            "node", "cid", "by", "p.a", "p.b"), "asked")
+        links.append(scratch.keep(_confirmed(asked.select("a", "b").distinct(), full, percent), "links"))
+        # only a link confirmed on the full sets makes a leader stand for a row; a leader stands for itself
+        taken = asked.join(links[-1], ["a", "b"]).select("node", "cid", "by").unionByName(
+            leads.select("node", F.col("lead.cid").alias("cid"), F.col("lead.cid").alias("by")))
+        led = scratch.keep(large.join(taken, ["node", "cid"], "left").withColumn("home", F.coalesce("home", "by")).withColumn(
+            "label", F.coalesce("by", "label")).drop("by"), "led")
         # one coordinate, and another in part of the nodes: 1 / threshold on average
         second = F.pmod(_node(F.lit("more"), F.lit(level), F.col("node")), F.lit(percent)) < 100 - percent
         steps = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        rows = led.drop("pair").select("*", F.explode(steps).alias("step")).withColumn("node", _node(
+        rows = led.select("*", F.explode(steps).alias("step")).withColumn("node", _node(
             F.col("node"), F.col("step"), coordinate(F.lit("next"), F.lit(level), F.col("node"), F.col("step")))).drop("step")
         kept = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
                                         F.min(F.coalesce("home", "cid")).alias("first"), F.max(F.coalesce("home", "cid")).alias("last")).filter(
             "size > 1 and low <> high and first <> last").select("node", "size")
         rows = scratch.keep(rows.join(kept, "node"), "nodes")
         pairs.append(_pairs_in_small_nodes(rows.filter(F.col("size") <= small), percent, True))
-        large = rows.filter(F.col("size") > small).drop("size")
+        level += 1
+        rest = F.col("size") > small
+        if level >= depth:
+            ripe = rest & (F.col("size") <= 16 * small) if level < 8 * depth else rest
+            pairs.append(_pairs_in_blocks(rows.filter(ripe), percent, small))
+            rest = rest & ~ripe
+        large = rows.filter(rest).drop("size")
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
+    out = _confirmed(out.distinct() if len(pairs) > 1 else out, full, percent)
+    for more in links:
+        out = out.unionByName(more)
     return out.distinct()
 
 
@@ -260,19 +296,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sets = scratch.keep(given.select("id", sketch(F.col("text"), shingle).alias("s")).select("id", "s.*"), "sketches")
     classes = scratch.keep(sets.filter("cid is not null").groupBy("cid").agg(
         F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b1", "b2", "sig")]), "classes")
-    pairs = scratch.keep(near_duplicate_links(classes, scratch, percent, trees), "pairs")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
-    wanted = scratch.keep(wanted, "wanted")
-    texts = given.join(wanted.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi").select(
-        shingle_set(F.col("text"), shingle).alias("s")).select("s.*")
-    full = scratch.keep(texts.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    sides = pairs.join(full.select(F.col("cid").alias("a"), F.col("shingles").alias("left")), "a").join(
-        full.select(F.col("cid").alias("b"), F.col("shingles").alias("right")), "b")
-    size = F.octet_length("left") / 8 + F.octet_length("right") / 8
-    links = scratch.keep(sides.withColumn("both", _common("left", "right")).filter(
-        F.col("both") * 100 >= (size - F.col("both")) * percent).select("a", "b"), "links")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = scratch.keep(wanted.join(classes.select("cid", "rep"), "cid"), "wanted")
+        texts = given.join(wanted.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi").select(
+            shingle_set(F.col("text"), shingle).alias("s")).select("s.*")
+        return scratch.keep(texts.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
+    links = scratch.keep(near_duplicate_links(classes, scratch, percent, sets_of, trees), "links")
     parts = connected_components(links, scratch)
     named = parts.join(classes.select(F.col("cid").alias("vertex"), "rep"), "vertex")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamark.llm import decontam, fmindex, neardup, pii, queries, secrets, textbytes
+from seamark.llm.common import Scratch
 from tests.llm import brute
 
 CLASH = {"row": "x", "id": "y", "kind": "z", "node": "n", "base": "b", "n": "1", "label": "l", "cid": "c"}
@@ -123,6 +124,31 @@ def test_near_duplicates(spark, size):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == want
 
 
+def test_near_duplicates_in_a_large_node_without_words_of_their_own(spark):
+    # two words for each of 150 places, one of them rare: 0.78 between any two, no word tells copies (one place differs) from the rest
+    rng = np.random.default_rng(3)
+    rare = rng.random((240, 150)) < 0.066
+    rare[1:80:2] = rare[0:80:2]
+    rare[np.arange(1, 80, 2), rng.integers(0, 150, 40)] ^= True
+    rows = [(i, " ".join(f"w{k}{'r' if x else 'm'}" for k, x in enumerate(line))) for i, line in enumerate(rare)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark, documents(spark, rows), shingle=1, percent=95, trees=4).collect()}
+    want = brute.components([brute.shingles(t, 1) for _, t in rows], lambda a, b: brute.similar(a, b, 95))
+    assert [i for i in got if got[i] != want[i]] == [] and len(set(want)) <= 200
+
+
+def test_near_duplicates_compares_what_is_left_block_by_block(spark):
+    rows = [(i, " ".join([f"c{k}" for k in range(130)] + [f"p{i // 2}x{k}" for k in range(10)] + [f"o{i}x{k}" for k in range(8)])) for i in range(60)]
+    scratch = Scratch(spark, "t")
+    docs = scratch.keep(spark.createDataFrame(rows, "doc_id long, text string"))
+    classes = scratch.keep(docs.select("doc_id", neardup.sketch(docs.text, 1).alias("s")).select("doc_id", "s.*"))
+    flat = classes.select("cid", "n", "b1", "b2", "sig", "doc_id").selectExpr("*", "cid label", "cid home", "1L node", "60L size")
+    names = {r.cid: r.doc_id for r in classes.collect()}
+    found = neardup._pairs_in_blocks(flat, 80, 8).collect()
+    assert len(found) == len(set(found))
+    pairs = {tuple(sorted((names[r.a], names[r.b]))) for r in found}
+    assert {(i, i + 1) for i in range(0, 60, 2)} <= pairs
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark, documents(spark, [])).collect() == []
 
