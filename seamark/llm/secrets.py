@@ -19,6 +19,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")    # runs are whole, so a shorter one
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 _PROSE = re.compile(r"[^\x20\x09-\x0D]{8,}")
+_WORD = re.compile(r"(?=.*[AEIOUYaeiouy]|.*[^\x00-\x7F]|.{1,3}$)[^\W\d_][^\W\d_A-Z]*")
 
 # What the network sees: characters before, of and after a candidate.
 BEFORE, BODY, AFTER = 24, 40, 12
@@ -58,6 +59,12 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def is_plain(token: str) -> bool:
+    """Nothing but words, in small letters or capitalised, and short numbers, parted by signs."""
+    parts = [p for p in re.split(r"[\W_]+", token) if p]
+    return bool(parts) and all(p.isdigit() and len(p) <= 8 or _WORD.fullmatch(p) for p in parts)
+
+
 def window(text: str, start: int, end: int) -> str:
     """The candidate (its head and tail, if it is long) between its neighbours, at fixed places."""
     body = text[start:end] if end - start <= BODY else text[start:start + BODY - 10] + text[end - 10:end]
@@ -79,6 +86,8 @@ class CharNet:
     bias: float
     scale: tuple[float, float] = (1.0, 0.0)   # calibration of the logit
     threshold: float = 1.1                    # above 1: nothing is added
+    recall: float | None = None               # of held-back findings at the threshold
+    false_alarms: float | None = None         # share of held-back others that pass
 
     def _forward(self, codes: np.ndarray):
         steps = codes.shape[1] - WIDTH + 1
@@ -97,11 +106,11 @@ class CharNet:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * value + self.scale[1], -50, 50)))
 
 
-def fit(codes: np.ndarray, labels: np.ndarray, recall: float = 0.98, false_alarms: float = 0.001, rounds: int = 8, rate: float = 0.005) -> CharNet:
+def fit(codes: np.ndarray, labels: np.ndarray, recall: float = 0.98, rounds: int = 8, rate: float = 0.005) -> CharNet:
     """Train on two thirds of the labelled findings; calibrate and set the threshold on the rest.
 
-    The threshold is the highest that keeps `recall` of the held-back findings, raised, if
-    need be, until at most `false_alarms` of the held-back others pass.  Without findings of both
+    The threshold is the highest that keeps `recall` of the held-back findings; what part of the
+    held-back others passes it is told in `false_alarms`.  Without findings of both
     sorts nothing is learned and nothing is added to the rules.
     """
     rng = np.random.default_rng(5)
@@ -147,23 +156,29 @@ def fit(codes: np.ndarray, labels: np.ndarray, recall: float = 0.98, false_alarm
     net.scale = (a, b)
     p = net.probability(codes[held])
     keeps = np.quantile(p[truth == 1], 1 - recall, method="lower")
-    rejects = np.quantile(p[truth == 0], 1 - false_alarms, method="higher")
-    net.threshold = float(max(keeps, np.nextafter(rejects, 2), 0.5))
+    net.threshold = float(keeps)
+    net.recall, net.false_alarms = float((p[truth == 1] >= keeps).mean()), float((p[truth == 0] >= keeps).mean())
     return net
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("window", T.StringType()), T.StructField("secret", T.IntegerType())])))
 def _labelled(texts: pa.Array) -> pa.Array:
-    """Findings with their label: the rules' ones are secrets; other candidates and the longest plain word are not."""
+    """Findings with their label: the rules' ones are secrets, also without their cue; candidates of plain words and the
+    longest run of plain words are not.  Other candidates may be secrets that no rule knows, and have no label."""
     out = []
     for text in texts.to_pylist():
         rows = []
         if text:
             base = base_spans(text)
-            rows += [{"window": window(text, *((s, e) if k != "assign" else (s + text[s:e].rfind(_ASSIGN.match(text, s)[2]), e))), "secret": 1} for k, s, e in base]
-            rows += [{"window": window(text, s, e), "secret": 0} for s, e in candidates(text) if not any(s < be and bs < e for _, bs, be in base)]
-            plain = max((m.span() for m in _PROSE.finditer(text) if not any(m.start() < be and bs < m.end() for _, bs, be in base)),
-                        key=lambda s: s[1] - s[0], default=None)
+            for k, s, e in base:
+                value = s + text[s:e].rfind(_ASSIGN.match(text, s)[2]) if k == "assign" else s
+                bare = value if k == "assign" else s + len("AKIA") if k == "access" else s
+                rows.append({"window": window(text, value, e), "secret": 1})
+                if bare > s:
+                    rows.append({"window": window(text[:s] + text[bare:], s, s + e - bare), "secret": 1})
+            free = lambda s, e: not any(s < be and bs < e for _, bs, be in base)
+            rows += [{"window": window(text, s, e), "secret": 0} for s, e in candidates(text) if free(s, e) and is_plain(text[s:e])]
+            plain = max((m.span() for m in _PROSE.finditer(text) if free(*m.span()) and is_plain(m[0])), key=lambda s: s[1] - s[0], default=None)
             if plain:
                 rows.append({"window": window(text, *plain), "secret": 0})
         out.append(rows)

@@ -82,6 +82,30 @@ def test_secret_network_learns(spark):
     assert net.threshold <= 1 and chance[0] > chance[1] and chance[1] < net.threshold
 
 
+def test_secret_threshold_keeps_recall():
+    rng = random.Random(5)
+    token = lambda: "".join(rng.choice("0123456789abcdefXYZ") for _ in range(32))
+    texts = [(f"key {token()} ", 1) for _ in range(300)] + [(f"key report-{rng.randint(1, 99)}-overview-and-summary ", 0) for _ in range(300)]
+    texts += [(f"key {token()} ", 0) for _ in range(12)]     # others that look like findings
+    rng.shuffle(texts)
+    codes = secrets.encode([secrets.window(t, 4, len(t) - 1) for t, _ in texts])
+    labels = np.array([float(y) for _, y in texts])
+    net = secrets.fit(codes, labels)
+    held = np.arange(len(labels)) % 3 == 2
+    assert (net.probability(codes[held & (labels == 1)]) >= net.threshold).mean() >= 0.98
+    assert net.recall >= 0.98 and net.false_alarms > 0
+
+
+def test_secrets_without_rule_are_no_counter_examples(spark):
+    text = "the service Zx9Kq2/Lm8Pw4+Rt6Yv3Bn1 answers; password=abcdefabcdefzz12 report-2023-4-overview-and-more"
+    rows = spark.createDataFrame([(text,)], "text string").select(secrets._labelled("text")).first()[0]
+    other = [r.window.replace("\0", "") for r in rows if not r.secret]
+    assert not any(w[min(24, text.index("Zx9")):].startswith("Zx9") for w in other)
+    assert any("report-2023-4-overview-and-more" in w for w in other)
+    bare = [r.window for r in rows if r.secret and "password" not in r.window]
+    assert bare and all("abcdefabcdefzz12" in w for w in bare)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a password=abcdefabcdefabcdef12 b"), (2, None), (3, "clean")], "doc_id long, text string")
     net = secrets.fit(np.zeros((0, secrets.BEFORE + secrets.BODY + secrets.AFTER), np.int64), np.zeros(0))
