@@ -4,7 +4,7 @@ import pytest
 
 from seamark.api import Index
 from seamark.functions.embedding import HashedEmbedding
-from seamark.operators import changes, context, indexing
+from seamark.operators import changes, context
 from seamark.operators import search as S
 from seamark.plans import QUERIES
 from seamark.sources.tables import IndexTables
@@ -69,10 +69,10 @@ def test_no_query_multiplies_two_tables(spark):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
-def test_a_batch_reads_touched_partitions_only(index):
-    table = index.table("vectors")
-    touched = table.filter("repository_id = 'org/b'").select("tenant_id", "repository_id", "branch").distinct()
-    found = indexing.within_branches(table, touched, touched.collect())
-    scan = next(line for line in plan(found).split("\n") if "FileScan" in line and "embedding" in line)
-    assert "repository_id" in scan.split("PartitionFilters")[1].split("]")[0] and found.count() == 1
-    assert indexing.within_branches(table, touched, [None] * 2000).count() == 1
+def test_a_batch_reads_touched_partitions_only(spark, index):
+    """What a batch reads of the index is a list of folders, none of another branch."""
+    whole = index.table("vectors")
+    touched = index.tables.read(spark, "vectors", {("t", "org/b", "main")})
+    assert touched.count() == 1 and whole.count() > 1
+    files = touched.inputFiles()
+    assert files and all("p_repository_id=korg%25252Fb" in f for f in files) and len(whole.inputFiles()) > len(files)

@@ -127,7 +127,9 @@ def test_bad_requests(call):
 
 
 def test_limits():
-    assert S.checked_limit(None, 10) == 10 and S.checked_limit(999999, 10) == 100 and S.checked_limit(0, 10) == 0
+    assert S.checked_limit(None, 10) == 10 and S.checked_limit(100, 10) == 100 and S.checked_limit(0, 10) == 0
+    with pytest.raises(InvalidRequest):     # refused, not cut
+        S.checked_limit(101, 10)
     assert S.checked_query("日本語 🎉") == "日本語 🎉"
 
 
