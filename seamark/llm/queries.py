@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chatformat, decontam, embeddup, mixing, neardup, pii, quality, secrets, toxicity, urls
+from . import chatformat, decontam, embeddup, langid, mixing, neardup, pii, quality, repair, runs, secrets, toxicity, urls
 from .common import of_kind, read
 
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -76,5 +76,22 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return graded.select("doc_id", g["expected"].alias("expected_grade"), g["tail"].alias("p_good"), g["kept"].alias("kept"))
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs, out = read(spark, folder, "documents"), langid.held_out(F.col("doc_id"))
+    found = langid.identify(docs, langid.train(docs.filter(~out)))
+    said = F.col("language")
+    return found.select("doc_id", out.alias("held_out"), said["lang"].alias("lang_pred"), said["score"].alias("score"), said["rejected"].alias("rejected"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.repeating(read(spark, folder, "documents"))))
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = repair.damaged(read(spark, folder, "conversations"))
+    return repair.digest(repair.repair_conversations(repair.gather(turns, F.col("copies"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_pii, op2_secrets, op3_mixing, op4_minhash_dedup, op5_decontaminate, op6_toxicity, op7_url_filter, op8_embedding_dedup, op9_chat_format, op10_quality)}
+    op1_pii, op2_secrets, op3_mixing, op4_minhash_dedup, op5_decontaminate, op6_toxicity, op7_url_filter, op8_embedding_dedup, op9_chat_format, op10_quality,
+    op11_language_id, op12_periodic_runs, op13_conversation_repair)}

@@ -86,4 +86,97 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM written GROUP BY conv_id
 """
 
-SQL = {"op3_mixing": OP3, "op4_minhash_dedup": OP4, "op5_decontaminate": OP5, "op8_embedding_dedup": OP8, "op9_chat_format": OP9}
+# CRC-32 of a text's bytes, bit by bit.
+def crc32_sql(key: str) -> str:
+    bits = f"flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[] FOR c IN string_split({key}, '')])"
+    step = "lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), {step}), 4294967295::BIGINT)"
+
+
+OP12 = rf"""
+WITH base AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql("doc_id::VARCHAR")} AS h FROM documents),
+placed AS (
+  SELECT doc_id, w, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM base),
+words AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) + 1] END
+    FOR i IN range(0, len(w))] END AS w FROM placed),
+grams AS MATERIALIZED (
+  SELECT doc_id, n, i, array_to_string(w[i + 1:i + 8], ' ') AS g FROM (SELECT doc_id, w, len(w) AS n, unnest(range(0, len(w) - 7)) AS i FROM words)),
+pairs AS MATERIALIZED (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+islands AS (
+  SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 8 + q AS len FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) t GROUP BY doc_id, q, island),
+found AS MATERIALIZED (
+  SELECT doc_id, s, len, min(q) AS q FROM islands WHERE len >= greatest(24, 3 * q) GROUP BY doc_id, s, len),
+told AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         first({{'s': s, 'n': len, 'q': q}} ORDER BY len::DOUBLE / q DESC, s, q) AS best FROM found GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM found),
+lost AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+rest AS (
+  SELECT words.doc_id, CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE (
+    SELECT coalesce(string_agg(x.word, ' ' ORDER BY x.i), '') FROM (SELECT unnest(w) AS word, unnest(range(0, len(w))) AS i) x WHERE NOT list_contains(gone, x.i)) END AS text
+  FROM words LEFT JOIN lost USING (doc_id))
+SELECT rest.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s AS start, best.n AS length, best.q AS period, (1000 * best.n) // best.q AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(text) AS collapsed_sha256
+FROM rest LEFT JOIN told USING (doc_id)
+"""
+
+_WHITE = r"[\x20\x09-\x0D]"
+
+
+def _op13() -> str:
+    """Costs from the last turn backward, each with its edits and text, by the recursion over turns."""
+    writes = [2, 2, 3, 2]
+    keeps = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+    role = {2: "user", 3: "assistant"}
+    new = lambda c, a, r: f"{{'c': {c}, 'a': {a}, 'r': {r}}}"
+
+    def taken(q: int) -> str:
+        ways = [new(f"v{q}.c + 3", f"'D' || v{q}.a", f"v{q}.r")]
+        for (at, initial), to in keeps.items():
+            if at == q:
+                ways.append(f"CASE WHEN NOT must AND left(role, 1) = '{initial}' THEN {new(f'v{to}.c + cut', f"'K' || v{to}.a", f"list_prepend(role || ':' || text, v{to}.r)")} END")
+        to = writes[q]
+        ways.append(f"CASE WHEN NOT must THEN {new(f'v{to}.c + 2 + cut', f"'R' || v{to}.a", f"list_prepend('{role[to]}:' || text, v{to}.r)")} END")
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda z: z IS NOT NULL))[1]"
+
+    def inserted(q: int, source: str) -> str:
+        to = writes[q]
+        return f"list_sort([b{q}, {new(f'{source}{to}.c + 2', f"'I' || {source}{to}.a", f"list_prepend('{role[to]}:', {source}{to}.r)")}])[1]"
+
+    return rf"""
+WITH RECURSIVE asked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+hurt AS (
+  SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM asked WHERE f <> 0),
+turns AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+         regexp_replace(text, '{_WHITE}+$', '') AS bare FROM hurt),
+faults AS MATERIALIZED (
+  SELECT *, bare = '' AS blank, bare <> '' AND again AS twice, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS broken,
+         coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS off FROM turns),
+counted AS MATERIALIZED (
+  SELECT conv_id, max(k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (twice) AS duplicate,
+         count(*) FILTER (broken) AS truncated, count(*) FILTER (off) AS illegal FROM faults GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n AS k, {new('0', "''", '[]::VARCHAR[]')} AS v0, {new('4', "'II'", "['user:', 'assistant:']")} AS v1, {new('2', "'I'", "['assistant:']")} AS v2, {new('0', "''", '[]::VARCHAR[]')} AS v3 FROM counted
+  UNION ALL
+  SELECT conv_id, k, {inserted(0, 'c')}, {inserted(1, 'c')}, c2, c3
+  FROM (SELECT conv_id, k, b0, b1, {inserted(2, 'b')} AS c2, {inserted(3, 'b')} AS c3
+    FROM (SELECT conv_id, k - 1 AS k, {taken(0)} AS b0, {taken(1)} AS b1, {taken(2)} AS b2, {taken(3)} AS b3
+      FROM (SELECT walk.*, f.role, f.text, f.blank OR f.twice AS must, f.broken::INTEGER AS cut FROM walk JOIN faults f ON f.conv_id IS NOT DISTINCT FROM walk.conv_id AND f.k = walk.k WHERE walk.k > 0)))),
+ended AS (SELECT conv_id, v0 FROM walk WHERE k = 0)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+SQL = {"op3_mixing": OP3, "op4_minhash_dedup": OP4, "op5_decontaminate": OP5, "op8_embedding_dedup": OP8, "op9_chat_format": OP9,
+       "op12_periodic_runs": OP12, "op13_conversation_repair": _op13()}

@@ -24,10 +24,10 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name,least", [("op1_pii", 200), ("op2_secrets", 200), ("op6_toxicity", 200), ("op7_url_filter", 50), ("op10_quality", 200)])
+@pytest.mark.parametrize("name,least", [("op1_pii", 200), ("op2_secrets", 200), ("op6_toxicity", 200), ("op7_url_filter", 50), ("op10_quality", 200), ("op11_language_id", 200)])
 def test_query_without_sql(spark, name, least):
     assert entry.queries()[name](spark, SMALL).count() == least
 
