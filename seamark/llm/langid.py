@@ -46,24 +46,28 @@ def letters(text: Column) -> Column:
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", passages: int = 700, passage: int = 160,
           most_bytes: int = 16 << 20) -> LanguageModel:
-    """Dictionaries from at most `passages` texts a language, in the order of a hash of text and id, `passage` characters of each.
+    """Dictionaries from at most `passages` texts a language, `passage` characters of each.
 
-    The place of a passage is drawn by the same hash.  Texts without a letter or language teach nothing.  If so many
-    languages come that their dictionaries would exceed `most_bytes`, all passages get shorter; no language is left out.
-    Raises ValueError if there is nothing to learn from.
+    A hash of text and id deals the texts of a language to `passages` bins and draws the place of a passage; of each
+    bin the text of the smallest hash is taken, so that tasks send one short passage a bin at most.  Texts without
+    a letter there, or without a language, teach nothing.  If so many languages come that their dictionaries would
+    exceed `most_bytes`, all passages get shorter; no language is left out.  Raises ValueError if there is nothing to
+    learn from.
     """
-    known = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), letters(F.col(text_col)).alias("text"),
-                                                            F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("order")).filter("text <> ''")
-    number = known.select("lang").distinct().count()
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    number = known.select(lang_col).distinct().count()
     if not number:
         raise ValueError("no text with a language to learn from")
     size = max(8, min(passage, most_bytes // (number * passages * 4)))
-    first = F.pmod(F.col("order"), F.greatest(F.char_length("text") - size, F.lit(0)) + 1) + 1
-    rank = F.expr("row_number() over (partition by lang order by order, text)")
-    taken = known.withColumn("rank", rank).filter(F.col("rank") <= passages).select("lang", "rank", F.col("text").substr(first.cast("int"), F.lit(size)).alias("text"))
+    drawn = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("order"))
+    first = F.pmod(F.shiftright("order", 20), F.greatest(F.char_length("text") - size, F.lit(0)) + 1) + 1
+    cut = drawn.select("lang", "order", letters(F.col("text").substr(first.cast("int"), F.lit(size))).alias("text")).filter("text <> ''")
+    bins = cut.groupBy("lang", F.pmod("order", F.lit(passages)).alias("bin")).agg(F.min_by("text", F.struct("order", "text")).alias("text"))
     held: dict[str, list[tuple[int, str]]] = {}
-    for lang, at, text in taken.collect():      # bounded by most_bytes
+    for lang, at, text in bins.collect():      # bounded by most_bytes
         held.setdefault(lang, []).append((at, text))
+    if not held:
+        raise ValueError("no text with a language to learn from")
     return LanguageModel({lang: "".join(text for _, text in sorted(held[lang])).encode() for lang in sorted(held)})
 
 
