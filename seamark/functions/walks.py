@@ -117,7 +117,7 @@ class TokenSums:
 
 
 # Bits of a line's flags.
-FUNCTION, CLASS, BLANK, OPENS, ENDS = 1, 2, 4, 8, 16
+FUNCTION, CLASS = 1, 2
 # Block styles as numbers.
 STYLES = {"none": 0, "braces": 1, "indent": 2}
 
@@ -126,8 +126,6 @@ SPAN_FIELDS = ["first", "n", "start_line", "end_line", "byte_start", "kind", "na
 _STEP = np.zeros(256, dtype=np.int64)
 _STEP[[ord(c) for c in "([{"]] = 1
 _STEP[[ord(c) for c in ")]}"]] = -1
-_CURLY = np.zeros(256, dtype=np.int64)
-_CURLY[ord("{")], _CURLY[ord("}")] = 1, -1
 
 
 def heuristic_walk(max_tokens: int) -> Callable[..., list[tuple]]:
@@ -138,7 +136,7 @@ def heuristic_walk(max_tokens: int) -> Callable[..., list[tuple]]:
     the budget goes in front of the next definition.
     """
 
-    def decide(style, flags, indents, sizes, marks, words, spaces, puncts, others):
+    def decide(style, flags, sizes, marks, words, spaces, puncts, others):
         total = len(flags)
         starts = np.flatnonzero(flags & (FUNCTION | CLASS))
         at_byte = sums_before(sizes + 1)
@@ -195,56 +193,6 @@ def heuristic_walk(max_tokens: int) -> Callable[..., list[tuple]]:
     return decide
 
 
-# Kinds of whole definitions; FUNCTION and CLASS above are those of the line cuts.
-WHOLE_FUNCTION, WHOLE_METHOD, WHOLE_CLASS = 3, 4, 5
-
-
-def definition_walk(style, flags, indents, sizes, marks) -> list[tuple]:
-    """Every definition with its whole body; nested ones overlap."""
-    total = len(flags)
-    starts = np.flatnonzero(flags & (FUNCTION | CLASS))
-    at_byte = sums_before(sizes + 1)
-    blank = (flags & BLANK) > 0
-    filled = np.maximum.accumulate(np.where(blank, 0, np.arange(1, total + 1))) if total else np.zeros(0, np.int64)
-    filled = np.maximum(filled, 1)
-    curly = sums_before(_CURLY[marks.values])[marks.offsets] if total else np.zeros(1, np.int64)
-    out: list[tuple] = []
-    open_ends: list[tuple[int, bool]] = []     # of the definitions a line is inside of: last line, whether a class
-    for d in starts.tolist():
-        if style == STYLES["indent"]:
-            later = np.flatnonzero(~blank[d + 1:] & (indents[d + 1:] <= indents[d]))
-            upto = d + 1 + int(later[0]) if len(later) else total     # first line that is not deeper
-            end = max(int(filled[upto - 1]), d + 1)
-        elif style == STYLES["braces"]:
-            opened = np.maximum.accumulate((flags[d:] & OPENS) > 0)
-            closing = np.flatnonzero((curly[d + 1:] - curly[d] <= 0) & (opened | ((flags[d:] & ENDS) > 0)))
-            upto = d + 1 + int(closing[0]) if len(closing) else total
-            end = d + 1 + int(closing[0]) if len(closing) else max(int(filled[-1]), d + 1)
-        else:
-            later = starts[np.searchsorted(starts, d + 1):]
-            upto = int(later[0]) if len(later) else total
-            end = max(int(filled[upto - 1]), d + 1)
-        open_ends = [e for e in open_ends if e[0] > d]
-        inside = any(is_class for _, is_class in open_ends)
-        function = bool(flags[d] & FUNCTION)
-        kind = (WHOLE_METHOD if inside else WHOLE_FUNCTION) if function else WHOLE_CLASS
-        out.append((d + 1, end - d, d + 1, end, int(at_byte[d]), kind, d + 1))
-        open_ends.append((upto, not function))
-    return sorted(out)
-
-
-def span_walk(mode: str, max_tokens: int) -> Callable[..., list[tuple]]:
-    """Whole definitions where a file has any and `mode` asks for them, else cuts by lines."""
-    by_lines = heuristic_walk(max_tokens)
-
-    def decide(style, flags, indents, sizes, marks, words, spaces, puncts, others):
-        if mode == "definitions" and (flags & (FUNCTION | CLASS)).any():
-            return definition_walk(style, flags, indents, sizes, marks)
-        return by_lines(style, flags, indents, sizes, marks, words, spaces, puncts, others)
-
-    return decide
-
-
 PACK_FIELDS = ["first", "last", "tokens", "kind_of", "name_of", "line", "n_lines", "start_line", "byte_start", "byte_len"]
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import languages, text, tokens, walks
+from ..functions import languages, scanning, text, tokens, walks
 from ..functions.columns import let, struct
 
 MAX_TOKENS = 512
@@ -28,86 +28,87 @@ def name_of_line(line: Column) -> Column:
     return F.try_element_at(F.filter(found, lambda x: x != ""), F.lit(1))
 
 
-# What may stand before an identifier in a definition line.
-IDENTIFIER_KEYWORDS = NAME_KEYWORDS + ["enum", "type", "mod", "record", "namespace", "union", "filter", "workflow",
-                                       "const", "let", "var", "FUNCTION", "PROCEDURE", "TABLE", "VIEW", "INDEX", "TRIGGER"]
-_IDENTIFIER = r"(?:^|\s)(?:" + "|".join(IDENTIFIER_KEYWORDS) + r")\s+(?:\([^)]*\)\s*)?([\p{IsAlphabetic}\p{N}_$]+)"
-
-
-def identifier_of_line(line: Column) -> Column:
-    """The defined identifier: after a keyword, else the one in front of the parameter list."""
-    named = F.regexp_extract(line, _IDENTIFIER, 1)
-    called = F.regexp_extract(line, r"([\p{IsAlphabetic}\p{N}_$]+)\s*\(", 1)
-    return F.when(named != "", named).when(called != "", called)
-
-
 def starts_with_any(line: Column, prefixes: Column) -> Column:
     return F.exists(prefixes, lambda p: line.startswith(p))
 
 
-def with_lines(files: DataFrame, content: str = "file_content", path: str = "file_path") -> DataFrame:
-    """Add language, block style, lines, and per line what the walks and names need."""
-    df = files if "language" in files.columns else files.withColumn("language", languages.language_of(F.col(path)))
+def _known(files: DataFrame, path: str = "file_path") -> DataFrame:
+    return files if "language" in files.columns else files.withColumn("language", languages.language_of(F.col(path)))
+
+
+def with_lines(files: DataFrame, content: str = "file_content", path: str = "file_path", wanted: Column | None = None) -> DataFrame:
+    """Add language, lines, and per line what the line machine and names need; no lines where `wanted` is false."""
+    split = text.lines(text.normalize_newlines(F.col(content)))
     df = (
-        df.withColumn("_lines", text.lines(text.normalize_newlines(F.col(content))))
+        _known(files, path)
+        .withColumn("_lines", split if wanted is None else F.when(wanted, split).otherwise(F.expr("cast(array() as array<string>)")))
         .withColumn("_fn", languages.function_prefixes(F.col("language")))
         .withColumn("_cl", languages.class_prefixes(F.col("language")))
-        .withColumn("_style", languages.block_style(F.col("language")))
+        .withColumn("_braces", languages.block_style(F.col("language")) == "braces")
     )
     bit = lambda condition, value: F.when(condition, value).otherwise(0)
 
     def fact(line):
-        return let(F.regexp_replace(line, r"^\p{IsWhite_Space}+", ""), lambda left: let(
-            F.regexp_replace(left, r"\p{IsWhite_Space}+$", ""), lambda bare: let(
-                bit(starts_with_any(bare, F.col("_fn")), walks.FUNCTION) + bit(starts_with_any(bare, F.col("_cl")), walks.CLASS),
-                lambda opens: struct(
-                    flags=opens + bit(bare == "", walks.BLANK) + bit(F.contains(line, F.lit("{")), walks.OPENS)
-                    + bit(F.contains(line, F.lit(";")), walks.ENDS),
-                    size=F.octet_length(line),
-                    indent=F.octet_length(line) - F.octet_length(left),
-                    marks=F.when(F.col("_style") == "braces", F.regexp_replace(line, r"[^(){}\[\]]+", "")).otherwise(""),
-                    name=F.when(opens > 0, name_of_line(bare)),
-                    ident=F.when(opens > 0, identifier_of_line(bare)),
-                    keyword=F.when(opens.bitwiseAND(walks.CLASS) > 0, F.lower(F.substring_index(F.rtrim(
-                        F.try_element_at(F.filter(F.col("_cl"), lambda p: bare.startswith(p)), F.lit(1))), " ", -1))),
-                ))))
-
-    return df.withColumn("_facts", F.transform("_lines", fact)).drop("_fn", "_cl")
+        return let(F.regexp_replace(F.regexp_replace(line, r"^\p{IsWhite_Space}+", ""), r"\p{IsWhite_Space}+$", ""), lambda bare: let(
+            bit(starts_with_any(bare, F.col("_fn")), walks.FUNCTION) + bit(starts_with_any(bare, F.col("_cl")), walks.CLASS),
+            lambda opens: struct(
+                flags=opens, size=F.octet_length(line), marks=F.when(F.col("_braces"), F.regexp_replace(line, r"[^(){}\[\]]+", "")).otherwise(""),
+                name=F.when(opens > 0, name_of_line(bare)))))
+
+    return df.withColumn("_facts", F.transform("_lines", fact)).drop("_fn", "_cl", "_braces")
+
+
+def _line_spans(df: DataFrame, max_tokens: int) -> DataFrame:
+    """Add `_walk`, the cuts of the line machine over `_lines`."""
+    style = F.coalesce(*[F.when(F.col("_style") == name, number) for name, number in walks.STYLES.items()], F.lit(0))
+    df = df.withColumn("_counts", F.transform("_lines", lambda line: tokens.class_counts(line)))
+    return walks.with_walk(
+        df, "_walk", walks.heuristic_walk(max_tokens), walks.SPAN_FIELDS, style=style, flags=F.col("_facts.flags"), sizes=F.col("_facts.size"),
+        marks=F.col("_facts.marks"), words=F.col("_counts.word"), spaces=F.col("_counts.space"), puncts=F.col("_counts.punct"),
+        others=F.col("_counts.other"))
+
+
+def _from_lines(s: Column) -> Column:
+    fact = F.try_element_at("_facts", F.when(s["name_line"] > 0, s["name_line"].cast("int")))
+    kind = F.when(s["kind"] == walks.FUNCTION, "function").when(s["kind"] == walks.CLASS, "class")
+    body = text.join_lines(F.slice("_lines", F.greatest(s["first"], F.lit(1)).cast("int"), s["n"].cast("int")))
+    return let(body, lambda content: struct(
+        content=content, start_line=s["start_line"].cast("int"), end_line=s["end_line"].cast("int"), byte_start=s["byte_start"],
+        byte_end=s["byte_start"] + F.octet_length(content), kind=kind, name=F.when(s["kind"] > 0, fact["name"])))
+
+
+def _from_bytes(found: Column, raw: Column) -> Column:
+    """Spans out of byte ranges; the bytes are bound once, as Spark would copy them for every span."""
+    kinds = F.array(*[F.lit(k) for k in scanning.KINDS])
+
+    def span(s, code):
+        part = lambda a, b: F.substring(code, a.cast("int") + 1, (b - a).cast("int")).cast("string")
+        return struct(
+            content=part(s["byte_start"], s["byte_end"]), start_line=s["start_line"].cast("int"), end_line=s["end_line"].cast("int"),
+            byte_start=s["byte_start"], byte_end=s["byte_end"], kind=F.nullif(F.get(kinds, s["kind"].cast("int")), F.lit("")),
+            name=F.when(s["name_end"] > s["name_start"], part(s["name_start"], s["name_end"])))
+
+    return let(raw, lambda code: F.transform(found, lambda s: span(s, code)))
 
 
 def parse_spans(files: DataFrame, mode: str = "definitions", max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Files with an array of spans in place of helper columns; nothing is shuffled.
 
-    `definitions` captures whole definitions, a class and its methods overlapping,
-    and takes the line machine for a file that has none.  `heuristic` is the line
-    machine alone: text outside definitions goes in front of the next one or, from
-    `max_tokens` on, becomes an unnamed span.
+    `definitions` captures whole definitions, a class and its methods overlapping, and between them what the file
+    holds beside them, as spans without kind or name; only brackets and separators are left out.  A file without
+    a definition goes to the line machine.  `heuristic` is the line machine alone: text outside definitions goes in
+    front of the next one or, from `max_tokens` on, becomes an unnamed span.
     """
     if mode not in ("definitions", "heuristic"):
         raise ValueError("mode must be definitions or heuristic")
-    df = with_lines(files)
-    has_definition = F.exists("_facts", lambda f: f["flags"].bitwiseAND(walks.FUNCTION | walks.CLASS) > 0)
-    # token counts decide nothing where whole definitions are taken
-    no_counts = F.expr("cast(array() as array<struct<word:int,space:int,punct:int,other:int>>)")
-    counts = F.transform("_lines", lambda line: tokens.class_counts(line))
-    df = df.withColumn("_counts", F.when(has_definition, no_counts).otherwise(counts) if mode == "definitions" else counts)
-    style = F.coalesce(*[F.when(F.col("_style") == name, number) for name, number in walks.STYLES.items()], F.lit(0))
-    df = walks.with_walk(
-        df, "_walk", walks.span_walk(mode, max_tokens), walks.SPAN_FIELDS, style=style, flags=F.col("_facts.flags"),
-        indents=F.col("_facts.indent"), sizes=F.col("_facts.size"), marks=F.col("_facts.marks"), words=F.col("_counts.word"),
-        spaces=F.col("_counts.space"), puncts=F.col("_counts.punct"), others=F.col("_counts.other"))
-
-    def span(s):
-        fact = F.try_element_at("_facts", F.when(s["name_line"] > 0, s["name_line"].cast("int")))
-        kind = (F.when(s["kind"].isin(walks.FUNCTION, walks.WHOLE_FUNCTION), "function").when(s["kind"] == walks.CLASS, "class")
-                .when(s["kind"] == walks.WHOLE_METHOD, "method").when(s["kind"] == walks.WHOLE_CLASS, fact["keyword"]))
-        name = F.when(s["kind"] >= walks.WHOLE_FUNCTION, fact["ident"]).when(s["kind"] > 0, fact["name"])
-        body = text.join_lines(F.slice("_lines", F.greatest(s["first"], F.lit(1)).cast("int"), s["n"].cast("int")))
-        return let(body, lambda content: struct(
-            content=content, start_line=s["start_line"].cast("int"), end_line=s["end_line"].cast("int"),
-            byte_start=s["byte_start"], byte_end=s["byte_start"] + F.octet_length(content), kind=kind, name=name))
-
-    return df.withColumn("spans", F.transform("_walk", span)).drop("_lines", "_style", "_facts", "_counts", "_walk")
+    df = _known(files).withColumn("_style", languages.block_style(F.col("language")))
+    if mode == "heuristic":
+        return _line_spans(with_lines(df), max_tokens).withColumn("spans", F.transform("_walk", _from_lines)).drop("_lines", "_style", "_facts", "_counts", "_walk")
+    df = df.withColumn("_text", text.normalize_newlines(F.col("file_content")))
+    df = df.withColumn("_found", scanning.definition_spans(F.col("_text"), F.col("language"), F.col("_style")))
+    df = _line_spans(with_lines(df, "_text", wanted=F.size("_found") == 0), max_tokens)
+    whole = _from_bytes(F.col("_found"), F.coalesce(F.col("_text"), F.lit("")).cast("binary"))
+    return df.withColumn("spans", F.concat(whole, F.transform("_walk", _from_lines))).drop("_lines", "_style", "_facts", "_counts", "_walk", "_text", "_found")
 
 
 Parser = Callable[[DataFrame], DataFrame]

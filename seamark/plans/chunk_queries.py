@@ -292,36 +292,95 @@ def parse_heuristic(spark, folder):
     return _spans(P.parse_spans(c.code_files(spark, folder), "heuristic", FLUSH))
 
 
-_IDENT = (f"coalesce(nullif(regexp_extract(bare, '(?:^|\\s)(?:{'|'.join(P.IDENTIFIER_KEYWORDS)})\\s+(?:\\([^)]*\\)\\s*)?([\\p{{L}}\\p{{N}}_$]+)', 1), ''), "
-          "nullif(regexp_extract(bare, '([\\p{L}\\p{N}_$]+)\\s*\\(', 1), ''))")
-
-_BLOCKS = f"""leveled AS (
-  SELECT *, sum(len(regexp_replace(code, '[^{{]', '', 'g')) - len(regexp_replace(code, '[^}}]', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY no) AS after_,
-    {_IDENT} AS ident FROM facts),
-leveled_before AS (SELECT *, coalesce(lag(after_) OVER (PARTITION BY doc_id ORDER BY no), 0) AS before_ FROM leveled),
+# Definitions: strings and comments are cut out as tokens, heads read line by line, ends found by nesting or indentation.
+_STRING_SQL = r'"(?:\\.|[^"\\])*"'
+_TOKEN_SQL = {
+    "python": r'"""(?:\\.|.)*?"""|' + _STRING_SQL + r'|#[^\n]*|[^"#]+|.',
+    "rust": r'r#".*?"#|' + _STRING_SQL + r'|//[^\n]*|/\*.*?(?:/\*.*?\*/.*?)?\*/|[^"/r]+|.',
+    "javascript": r'`(?:\\.|[^`\\])*`|' + _STRING_SQL + r'|//[^\n]*|/\*.*?\*/|[^"`/]+|.',
+    "other": _STRING_SQL + r'|//[^\n]*|/\*.*?\*/|[^"/]+|.',
+}
+_NAME_OF = r"([\p{L}\p{N}_$]+)"
+_HEAD_OF = {
+    "rust": rf"^\s*(?:pub |async )*(fn|impl) {_NAME_OF}", "python": rf"^\s*(?:async )?(def|class) {_NAME_OF}",
+    "javascript": rf"^\s*(?:export |default |async )*(?:(function|class) )?{_NAME_OF}(?:\(a\))? \{{", "go": rf"^\s*(func|type) {_NAME_OF}",
+    "java": rf"^\s*(?:public |static |final |private )*(class|int|void) {_NAME_OF}", "c": rf"^\s*(?:static )?(struct|int) {_NAME_OF}",
+}
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _by_language(value, table) -> str:
+    return "CASE language " + " ".join(f"WHEN '{lang}' THEN {value(p)}" for lang, p in table.items() if lang != "other") + (
+        f" ELSE {value(table['other'])}" if "other" in table else "") + " END"
+
+
+_BLOCKS = f"""code_text AS MATERIALIZED (SELECT doc_id, language, string_agg(code, chr(10) ORDER BY k) AS code FROM code_lines GROUP BY doc_id, language),
+code_masked AS (
+  SELECT doc_id, language, code, array_to_string(list_transform({_by_language(lambda p: f"regexp_extract_all(code, '(?s){p}')", _TOKEN_SQL)},
+    lambda t: CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') OR (language = 'python' AND starts_with(t, '#')) THEN regexp_replace(t, '[^\n]', ' ', 'g')
+      WHEN left(t, 1) IN ('"', '`') OR starts_with(t, 'r#"') THEN '"' || regexp_replace(substr(t, 2), '[^\n]', chr(1), 'g') ELSE t END), '') AS masked
+  FROM code_text),
+seen AS MATERIALIZED (
+  SELECT *, coalesce(sum(strlen(raw) + 1) OVER before_it, 0)::BIGINT AS at_byte, coalesce(sum(length(raw) + 1) OVER before_it, 0)::BIGINT AS at_char,
+    length(m) - length(ltrim(m)) AS ind, sum(length(m) - length(replace(m, '{{', '')) - length(m) + length(replace(m, '}}', ''))) OVER (PARTITION BY doc_id ORDER BY no) AS after_,
+    {_by_language(lambda p: f"regexp_extract(m, '{p}', 1)", _HEAD_OF)} AS kw, {_by_language(lambda p: f"regexp_extract(m, '{p}', 2)", _HEAD_OF)} AS ident
+  FROM (SELECT doc_id, language, unnest(string_split(code, chr(10))) AS raw, unnest(string_split(masked, chr(10))) AS m, unnest(range(1, len(string_split(code, chr(10))) + 1)) AS no FROM code_masked)
+  WINDOW before_it AS (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+heads AS (
+  SELECT *, kw IN ('impl', 'class', 'type', 'struct') AS holder, coalesce(lag(after_) OVER (PARTITION BY doc_id ORDER BY no), 0) AS before_ FROM seen),
 closed AS (
-  SELECT d.doc_id, d.no, d.fn, d.ident,
-    CASE WHEN d.language = 'python' THEN min(CASE WHEN e.no > d.no AND e.bare <> '' AND e.ind <= d.ind THEN e.no END)
-         ELSE min(CASE WHEN e.after_ <= d.before_ THEN e.no END) END AS stop, d.language
-  FROM leveled_before d JOIN leveled_before e ON e.doc_id = d.doc_id AND e.no >= d.no WHERE d.fn OR d.cl
-  GROUP BY d.doc_id, d.no, d.fn, d.ident, d.language, d.ind, d.before_),
-blocks AS (
-  SELECT c.doc_id, c.no, c.fn, c.ident, CASE WHEN c.stop IS NOT NULL AND c.language <> 'python' THEN c.stop
-    ELSE (SELECT max(f.no) FROM facts f WHERE f.doc_id = c.doc_id AND f.bare <> '' AND f.no < coalesce(c.stop, 1000000000)) END AS last_
-  FROM closed c),
-bodies AS (SELECT doc_id, list(code ORDER BY k) AS ls FROM code_lines GROUP BY doc_id)"""
+  SELECT d.doc_id, d.no, min(CASE WHEN d.language = 'python' THEN CASE WHEN trim(e.m) <> '' AND left(e.m, 1) <> chr(1) AND e.ind <= d.ind THEN e.no END
+    WHEN e.after_ <= d.before_ THEN e.no END) AS stop
+  FROM heads d LEFT JOIN seen e ON e.doc_id = d.doc_id AND e.no > d.no WHERE d.ident <> '' GROUP BY d.doc_id, d.no),
+ended AS (
+  SELECT c.doc_id, c.no, max(e.no) AS last_ FROM closed c JOIN seen e ON e.doc_id = c.doc_id AND e.no >= c.no
+    AND CASE WHEN e.language = 'python' THEN e.no < coalesce(c.stop, 1000000000) AND trim(e.m) <> '' ELSE e.no <= coalesce(c.stop, 1000000000) AND trim(e.raw, {_WS}) <> '' END
+  GROUP BY c.doc_id, c.no),
+blocks AS MATERIALIZED (
+  SELECT h.doc_id, h.no, h.kw, h.holder, h.ident, e.last_, h.at_byte + h.ind AS byte_start, l.at_byte + strlen(rtrim(l.raw, {_WS})) AS byte_end,
+    h.at_char + h.ind AS char_start, l.at_char + length(rtrim(l.raw, {_WS})) AS char_end
+  FROM heads h JOIN ended e ON e.doc_id = h.doc_id AND e.no = h.no JOIN seen l ON l.doc_id = e.doc_id AND l.no = e.last_),
+within AS (
+  SELECT b.doc_id, b.no, bool_or(o.no IS NOT NULL) AS nested, bool_or(coalesce(o.holder, false)) AS held
+  FROM blocks b LEFT JOIN blocks o ON o.doc_id = b.doc_id AND o.no < b.no AND b.no <= o.last_ GROUP BY b.doc_id, b.no),
+outer_blocks AS (SELECT b.* FROM blocks b JOIN within w ON w.doc_id = b.doc_id AND w.no = b.no WHERE NOT nested),
+gaps AS (
+  SELECT doc_id, code, coalesce(lag(char_end) OVER (PARTITION BY doc_id ORDER BY no), 0) AS a, char_start AS b FROM outer_blocks JOIN code_text USING (doc_id)
+  UNION ALL SELECT doc_id, any_value(code), max(char_end), any_value(length(code)) FROM outer_blocks JOIN code_text USING (doc_id) GROUP BY doc_id),
+gap_texts AS (
+  SELECT doc_id, code, trim(part, {_WS}) AS content, a + length(part) - length(ltrim(part, {_WS})) AS c FROM (SELECT *, substr(code, a + 1, b - a) AS part FROM gaps)),
+code_spans AS MATERIALIZED (
+  SELECT b.doc_id, CASE WHEN holder THEN kw WHEN held THEN 'method' ELSE 'function' END AS kind, ident AS name, b.no::BIGINT AS start_line, last_::BIGINT AS end_line,
+    substr(code, char_start + 1, char_end - char_start) AS content, byte_start, byte_end
+  FROM blocks b JOIN within w ON w.doc_id = b.doc_id AND w.no = b.no JOIN code_text t ON t.doc_id = b.doc_id
+  UNION ALL
+  SELECT doc_id, NULL, NULL, 1 + length(left(code, c)) - length(replace(left(code, c), chr(10), '')), 1 + length(left(code, c + length(content))) - length(replace(left(code, c + length(content)), chr(10), '')),
+    content, strlen(left(code, c)), strlen(left(code, c + length(content)))
+  FROM gap_texts WHERE regexp_matches(content, '[0-9A-Za-z]|[^\\x00-\\x7F]'))"""
 
 
-@query("parse_definitions", c.with_sql(c.FILES, c.CODE, _FACTS, _BLOCKS, select="""
-SELECT doc_id, CASE WHEN fn THEN 'function' ELSE 'class' END AS kind, ident AS name, no AS start_line, last_ AS end_line,
-  array_to_string(ls[no:last_], chr(10)) AS content,
-  CASE WHEN no = 1 THEN 0 ELSE strlen(array_to_string(ls[1:no - 1], chr(10))) + 1 END AS byte_start
-FROM blocks JOIN bodies USING (doc_id)"""))
+@query("parse_definitions", c.with_sql(c.FILES, c.CODE, _BLOCKS, select="SELECT doc_id, kind, name, start_line, end_line, content, byte_start FROM code_spans"))
 def parse_definitions(spark, folder):
-    """Whole definitions of every source file."""
+    """Whole definitions of every source file, and what lies between them."""
     return _spans(P.parse_spans(c.code_files(spark, folder)))
 
 
+@query("parse_cover", c.with_sql(c.FILES, c.CODE, select="""
+SELECT doc_id, length(regexp_replace(string_agg(code, chr(10)), '[^\\p{L}\\p{N}]', '', 'g'))::BIGINT AS told, 0::BIGINT AS lost FROM code_lines GROUP BY doc_id"""))
+def parse_cover(spark, folder):
+    """Letters and digits of every source file, and how many of them no span holds."""
+    known = P.parse_spans(c.code_files(spark, folder)).filter(F.size("spans") > 0)
+    part = lambda a, b: F.substring(F.col("_raw"), a.cast("int") + 1, (b - a).cast("int")).cast("string")
+    bare = lambda value: F.regexp_replace(value, r"[^\p{L}\p{N}]", "")
+    # spans by their beginning; what lies between the furthest end so far and the next beginning is in none
+    reach = F.aggregate("_spans", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("lost")), lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["byte_end"]).alias("at"), F.when(s["byte_start"] > acc["at"], F.concat(acc["lost"], bare(part(acc["at"], s["byte_start"])))).otherwise(acc["lost"]).alias("lost")))
+    seen = known.select("doc_id", "file_content", F.col("file_content").cast("binary").alias("_raw"), F.sort_array(F.transform("spans", lambda s: F.struct(
+        s["byte_start"].alias("byte_start"), s["byte_end"].alias("byte_end")))).alias("_spans")).withColumn("_reach", reach)
+    rest = F.concat(F.col("_reach")["lost"], bare(part(F.col("_reach")["at"], F.octet_length("file_content").cast("long"))))
+    return seen.select("doc_id", F.char_length(bare(F.col("file_content"))).cast("long").alias("told"), F.char_length(rest).cast("long").alias("lost"))
+
+
 @query("definition_names", c.with_sql(c.FILES, c.CODE, _FACTS, select="SELECT doc_id, no AS line, fn AS is_function, cl AS is_class, name FROM facts"))
 def definition_names(spark, folder):
     lined = C.rows_of(P.with_lines(c.code_files(spark, folder)), "_facts", "i", "doc_id")

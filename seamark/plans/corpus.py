@@ -245,44 +245,89 @@ def similarity_sql(column: str = "embedding", vec_id: int = 0) -> str:
 
 # ------------------------------------------------------------------ source code
 
-_KEYWORDS = {"rust": "fn", "python": "def", "javascript": "function", "go": "func", "java": "public", "c": "int"}
+# Per language: head of a function, of a class, of a function inside of one; `@` is the name.
+_HEADS = {"rust": ("pub fn @(a)", "impl @", "pub async fn @(a)"), "python": ("def @(a)", "class @", "async def @(a)"),
+          "javascript": ("export function @(a)", "export default class @", "async @(a)"), "go": ("func @(a)", "type @ struct", "func @(a)"),
+          "java": ("public static int @(a)", "public final class @", "private void @(a)"), "c": ("static int @(a)", "struct @", "int @(a)")}
+# What each line of a document becomes, by its number modulo 4, in a function and in a class: lines of code that hold it whole
+# (`$` in a string, `%` in a comment) with heads and brackets beside it, some of them in strings and comments.
+_WRITTEN = {
+    False: [["@F {", "    // %"], ['    s = "} $"'], ["    /* % {", "    } */"], ["}", "use @;", "// %"]],
+    True: [["@C {", "    // %"], ["    @M {", '        s = "$"'], ["        // %", "    }"], ["}", "use @;", "// %"]],
+}
+_RUST = {False: [["@F {", "    // %"], ['    s = r#"} $"#;'], ["    /* % /* { */", "    } */"], ["}", "use @;", "// %"]], True: _WRITTEN[True]}
+_SCRIPT = {False: [["@F {", "    // %"], ["    s = `} $`"], ["    /* % {", "    } */"], ["}", "use @;", "// %"]], True: _WRITTEN[True]}
+_PYTHON = {
+    False: [["@F:", '    """$', "def fake(a):", '    """'], ['    s = "$"'], ["    # %", "    return s"], ["", "import @", "# %"]],
+    True: [["@C:", "    # %"], ["    @M:", '        s = "$"'], ["        # %", "        return s"], ["", "import @", "# %"]],
+}
+_STYLE = {"python": _PYTHON, "rust": _RUST, "javascript": _SCRIPT}
+
+
+def _templates() -> list[tuple[str, bool, int, list[str]]]:
+    """(language, in a class, line modulo 4, lines of code) with the heads put in."""
+    return [(lang, inside, k, [t.replace("@F", f).replace("@C", c).replace("@M", m) for t in lines])
+            for lang, (f, c, m) in _HEADS.items() for inside, rows in _STYLE.get(lang, _WRITTEN).items() for k, lines in enumerate(rows)]
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
-    """documents written as source code: each run of four lines becomes a definition and its body."""
+    """documents written as source code: each run of four lines becomes a definition, every third one a class with a method.
+
+    Every line is kept whole, in a string or a comment; there the signs that end it are escaped or parted.
+    """
     base = files(spark, folder).withColumn("language", language_of(F.col("file_path")))
-    word = lambda line: F.lower(F.regexp_extract(line, r"([\p{IsAlphabetic}]+)", 1))
-    keyword = F.create_map(*[F.lit(x) for pair in _KEYWORDS.items() for x in pair])
+    name = lambda line, k: F.concat(let(F.lower(F.regexp_extract(line, r"([\p{IsAlphabetic}]+)", 1)), lambda w: F.when(w == "", "unnamed").otherwise(w)), F.lit("_"), k.cast("string"))
+    quoted = lambda line: F.replace(F.replace(F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("`"), F.lit("\\`")), F.lit('"#'), F.lit('" #'))
+    noted = lambda line: F.replace(F.replace(line, F.lit("*/"), F.lit("* /")), F.lit("/*"), F.lit("/ *"))
 
     def written(line, k):
-        head = F.when(k % 12 == 8, F.lit("class")).otherwise(keyword[F.col("language")])
-        body = F.concat(F.lit("    "), F.regexp_replace(line, r"[(){}\[\]]", ""))
-        named = let(word(line), lambda w: F.when(w == "", "unnamed").otherwise(w))
-        braces = F.when(k % 4 == 0, F.concat(head, F.lit(" "), named, F.lit("(a) {"))).when(k % 4 == 3, "}").otherwise(body)
-        indent = F.when(k % 4 == 0, F.concat(head, F.lit(" "), named, F.lit("(a):"))).otherwise(body)
-        return F.when(F.col("language") == "python", indent).otherwise(braces)
-
-    code = text.join_lines(F.transform(text.lines(F.col("file_content")), written))
+        def fill(template, named):
+            before, sign, after = next((template.partition(s) for s in "$%" if s in template), (template, "", ""))
+            part = lambda t: F.concat_ws("", *[x for i, p in enumerate(t.split("@")) for x in ([named] if i else []) + ([F.lit(p)] if p else [])])
+            middle = [quoted(line)] if sign == "$" else [noted(line)] if sign == "%" else []
+            return F.concat(*([part(before)] if before else []), *middle, *([part(after)] if after else []), F.lit(""))
+        def lines(named):
+            out = None
+            for lang, inside, rest, templates in _templates():
+                here = (F.col("language") == lang) & (((k / 4).cast("int") % 3 == 2) == inside) & (k % 4 == rest)
+                value = F.array(*[fill(t, named) for t in templates])
+                out = F.when(here, value) if out is None else out.when(here, value)
+            return out
+        return let(name(line, k), lines)
+
+    code = text.join_lines(F.flatten(F.transform(text.lines(F.col("file_content")), written)))
     return base.withColumn("file_content", code).withColumn("content_hash", ids.content_hash(F.col("file_content"))).withColumn(
         "size_bytes", F.octet_length("file_content").cast("long"))
 
 
 _WORD_SQL = "lower(regexp_extract(line, '(\\p{L}+)', 1))"
-_NAMED_SQL = f"(CASE WHEN {_WORD_SQL} = '' THEN 'unnamed' ELSE {_WORD_SQL} END)"
-_HEAD_SQL = ("(CASE WHEN k % 12 = 8 THEN 'class' ELSE CASE language "
-             + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _KEYWORDS.items()) + " END END)")
+_NAMED_SQL = f"((CASE WHEN {_WORD_SQL} = '' THEN 'unnamed' ELSE {_WORD_SQL} END) || '_' || n)"
+
+
+def _filled_sql(template: str) -> str:
+    sign = next((s for s in "$%" if s in template), None)
+    before, _, after = template.partition(sign) if sign else (template, "", "")
+    named = f"replace('{before}', '@', {_NAMED_SQL})"
+    return named + (f" || {'quoted' if sign == '$' else 'noted'} || '{after}'" if sign else "")
+
+
+def _lines_sql() -> str:
+    whens = " ".join(f"WHEN language = '{lang}' AND (n // 4 % 3 = 2) = {str(inside).lower()} AND n % 4 = {rest} THEN [{', '.join(_filled_sql(t) for t in lines)}]"
+                     for lang, inside, rest, lines in _templates())
+    return f"(CASE {whens} END)"
+
 
 # One row per source line of the code files: doc_id, k (0-based), code line.
 CODE = f"""code_files AS (SELECT *, {_LANG_SQL} AS language FROM files),
 code_source AS (
-  SELECT * EXCLUDE (l), unnest({_LINES_SQL}) AS line, unnest(range(0, len({_LINES_SQL}))) AS k
+  SELECT * EXCLUDE (l), unnest({_LINES_SQL}) AS line, unnest(range(0, len({_LINES_SQL}))) AS n
   FROM (SELECT doc_id, language, string_split(file_content, chr(10)) AS l FROM code_files)),
+code_escaped AS (
+  SELECT *, replace(replace(replace(replace(line, '\\', '\\\\'), '"', '\\"'), '`', '\\`'), '"#', '" #') AS quoted, replace(replace(line, '*/', '* /'), '/*', '/ *') AS noted FROM code_source),
+code_parts AS (SELECT doc_id, language, n, {_lines_sql()} AS parts FROM code_escaped),
 code_lines AS (
-  SELECT doc_id, language, k, CASE
-      WHEN k % 4 = 0 THEN {_HEAD_SQL} || ' ' || {_NAMED_SQL} || CASE WHEN language = 'python' THEN '(a):' ELSE '(a) {{' END
-      WHEN k % 4 = 3 AND language <> 'python' THEN '}}'
-      ELSE '    ' || translate(line, '(){{}}[]', '') END AS code
-  FROM code_source)"""
+  SELECT doc_id, language, row_number() OVER (PARTITION BY doc_id ORDER BY n, j) - 1 AS k, code
+  FROM (SELECT doc_id, language, n, unnest(parts) AS code, unnest(range(0, len(parts))) AS j FROM code_parts))"""
 
 
 # ------------------------------------------------------------------ jobs and queues

@@ -16,7 +16,7 @@ from ..sources.tables import IndexTables
 from ..streaming.index_stream import start_indexing
 from ..streaming.queue_stream import queue_states
 from . import corpus as c
-from .chunk_queries import _BLOCKS, _FACTS
+from .chunk_queries import _BLOCKS
 from .registry import query
 
 D = 64
@@ -64,19 +64,11 @@ def search_text_end_to_end(spark, folder):
     return found.withColumn("similarity", F.round("similarity", 5))
 
 
-_KEYED = """keyed AS (
-  SELECT f.tenant_id, f.repository_id, f.branch, f.file_path, f.doc_id, b.fn, b.ident, b.no AS start_line, b.last_ AS end_line,
-    CASE WHEN b.no = 1 THEN 0 ELSE strlen(array_to_string(ls[1:b.no - 1], chr(10))) + 1 END AS byte_start,
-    strlen(array_to_string(ls[b.no:b.last_], chr(10))) AS n
-  FROM blocks b JOIN bodies USING (doc_id) JOIN files f USING (doc_id))"""
-
-
-@query("index_chunk_ids", c.with_sql(c.FILES, c.CODE, _FACTS, _BLOCKS, _KEYED, select=f"""
+@query("index_chunk_ids", c.with_sql(c.FILES, c.CODE, _BLOCKS, select=f"""
 SELECT doc_id, kind, name, start_line, end_line, {c.UUID5_SQL.format(h='h')} AS chunk_id FROM (
-  SELECT *, CASE WHEN fn THEN 'function' ELSE 'class' END AS kind, ident AS name,
-    {c.sha1_sql("repository_id || ':' || branch || ':' || file_path || ':1:' || byte_start || ':' || (byte_start + n)")} AS h FROM keyed)"""))
+  SELECT s.*, {c.sha1_sql("repository_id || ':' || branch || ':' || file_path || ':1:' || byte_start || ':' || byte_end")} AS h FROM code_spans s JOIN files f USING (doc_id))"""))
 def index_chunk_ids(spark, folder):
-    """Whole definitions of the source files with their ids."""
+    """Spans of the source files with their ids."""
     spans = chunking.rows_of(parsing.parse_spans(c.code_files(spark, folder)), "spans", "i", "doc_id", *FILE_KEY, "generation")
     rows = spans.withColumn("chunk_id", ids.chunk_id(*FILE_KEY[1:], "generation", "byte_start", "byte_end"))
     return rows.select("doc_id", "kind", "name", F.col("start_line").cast("long").alias("start_line"),

@@ -18,30 +18,85 @@ def spans(spark, path, code, **kw):
     return C.rows_of(P.parse_spans(df, **kw), "spans", "i").orderBy("i").collect()
 
 
+def named(found):
+    """Definitions, without what lies between them."""
+    return [(r.kind, r.name, r.start_line, r.end_line) for r in found if r.kind]
+
+
 def test_rust_definitions(spark):
     found = spans(spark, "a.rs", RUST)
-    assert [(r.kind, r.name, r.start_line, r.end_line) for r in found] == [
+    assert [r.content for r in found if not r.kind] == ["use x;"]
+    assert named(found) == [
         ("function", "main", 3, 5), ("struct", "Point", 7, 9), ("impl", "Point", 11, 15), ("method", "new", 12, 14)]
     assert all(RUST.encode()[r.byte_start:r.byte_end].decode() == r.content for r in found)
 
 
 def test_python_definitions(spark):
     found = spans(spark, "a.py", PYTHON)
-    assert [(r.kind, r.name, r.start_line, r.end_line) for r in found] == [
+    assert [r.content for r in found if not r.kind] == ["import os"]
+    assert named(found) == [
         ("function", "hello", 3, 4), ("class", "Greeter", 6, 11), ("method", "greet", 7, 8), ("method", "later", 10, 11), ("function", "top", 13, 14)]
     assert all(PYTHON.encode()[r.byte_start:r.byte_end].decode() == r.content for r in found)
 
 
 @pytest.mark.parametrize("path, code, expected", [
-    ("a.js", "class A {\n  x() {\n  }\n}\nfunction f(\n  a,\n)\n{\n}\n", [("class", "A", 1, 4), ("function", "f", 5, 9)]),
+    ("a.js", "class A {\n  x() {\n  }\n}\nfunction f(\n  a,\n)\n{\n}\n", [("class", "A", 1, 4), ("method", "x", 2, 3), ("function", "f", 5, 9)]),
+    ("a.ts", "import x from 'y';\nexport default class A extends B {\n  async get(b) {\n    if (b) { run(b); }\n    return `}${b}`;\n  }\n}\nexport const f = async (a, b) => {\n  call(a);\n};\n"
+             "const g = x => x + 1\nlet z = 3;\ntype T = { a: number };\n",
+     [("class", "A", 2, 7), ("method", "get", 3, 6), ("function", "f", 8, 10), ("function", "g", 11, 11), ("type", "T", 13, 13)]),
+    ("b.rs", "pub(crate) struct Zed<T> { a: T }\nstruct Unit;\n/* a /* fn no() { */ b } */\npub const fn a(x: &'a str) -> char {\n  let s = \"}\"; // {\n  let r = r#\"fn fake() { \"#;\n  '}'\n}\n"
+             "impl<T> Display for Zed<T>\n{\n  async fn new() -> Self { Zed { a: 1 } }\n}\n",
+     [("struct", "Zed", 1, 1), ("struct", "Unit", 2, 2), ("function", "a", 4, 8), ("impl", "Zed", 9, 12), ("method", "new", 11, 11)]),
+    ("b.py", "@dec\ndef hello(\n    a,\n):\n    \"\"\"doc\ndef fake():\n    \"\"\"\n    return {\n1: 2}\n# tail\nclass G(B):\n    x = '#'\n    async def later(self):\n        pass\n    # end\ndef top(): return 1\n",
+     [("function", "hello", 2, 9), ("class", "G", 11, 14), ("method", "later", 13, 14), ("function", "top", 16, 16)]),
+    ("b.java", "public final class W<T> extends Q {\n  private int n = 0;\n  @Override\n  public static <T> List<T> get(int a, T b) throws E {\n    return new Foo(a);\n  }\n  int x() { String s = \"{\"; foo(s); return 1; }\n}\ninterface I { void m(int a); }\n",
+     [("class", "W", 1, 8), ("method", "get", 4, 6), ("method", "x", 7, 7), ("interface", "I", 9, 9), ("method", "m", 9, 9)]),
+    ("b.c", "#include <a.h>\nstruct point { int x; };\nstatic int add(int a, int b) {\n  if (a) { return f(a); }\n  struct point p;\n}\nint main() { char c = '{'; return 0; }\n",
+     [("struct", "point", 2, 2), ("function", "add", 3, 6), ("function", "main", 7, 7)]),
+    ("b.cs", "public class A {\n  public int X { get; set; }\n  public async Task<int> F(int a) { return 1; }\n}\n", [("class", "A", 1, 4), ("property", "X", 2, 2), ("method", "F", 3, 3)]),
+    ("b.sh", "x=1\nfoo() {\n  echo '}'\n}\nfunction bar { ls; }\n", [("function", "foo", 2, 4), ("function", "bar", 5, 5)]),
+    ("b.ps1", "<# function no { #>\nfunction Get-It { \"}\" }\n", [("function", "Get-It", 2, 2)]),
+    ("b.sql", "CREATE OR REPLACE FUNCTION f() AS $$ begin; end $$ language x;\n-- CREATE TABLE no\ncreate view v as select ';';\n", [("function", "f", 1, 1), ("view", "v", 3, 3)]),
+    ("b.kt", "open class A {\n  fun f(a: Int) = a\n  fun g(): Int { return 1 }\n}\nclass action is no definition\n", [("class", "A", 1, 4), ("method", "f", 2, 2), ("method", "g", 3, 3)]),
     ("a.go", "func (s *T) Run() {\n}\n\ntype T struct {\n}\n", [("function", "Run", 1, 2), ("type", "T", 4, 5)]),
     ("a.c", "int add(int a);\nint add(int a) {\n  return a;\n}\n", [("function", "add", 1, 1), ("function", "add", 2, 4)]),
     ("a.sql", "CREATE TABLE t (\n a int\n);\nCREATE FUNCTION f() AS x;\n", [("table", "t", 1, 3), ("function", "f", 4, 4)]),
     ("a.rs", "fn f() {\n  loop {\n", [("function", "f", 1, 2)]),
 ])
 def test_other_languages(spark, path, code, expected):
-    assert [(r.kind, r.name, r.start_line, r.end_line) for r in spans(spark, path, code)] == expected
-
+    found = spans(spark, path, code)
+    assert named(found) == expected
+    raw = code.encode()
+    assert all(raw[r.byte_start:r.byte_end].decode() == r.content for r in found)
+
+
+@pytest.mark.parametrize("path", ["a.rs", "a.py", "a.js", "a.java", "a.c", "a.zz", "a.sql", "a.json"])
+def test_spans_cover_every_word(spark, path):
+    """Whatever a file holds, each letter and digit is in some span."""
+    rng = random.Random(path)
+    parts = ["fn a() {", "}", "class B {", "def c(x):", "    return 1", "public int d(int e) {", "use x;", "// é {", '"open', "/* x", "*/", "", "word ", "CREATE TABLE f (", ");", "# g", "'", "`", "  static void h();", "((", "#define k {"]
+    codes = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    df = spark.createDataFrame([(i, path, c) for i, c in enumerate(codes)], "i int, file_path string, file_content string")
+    for row in P.parse_spans(df).collect():
+        raw = codes[row.i].encode()
+        seen = bytearray(len(raw))
+        for s in row.spans:
+            assert raw[s.byte_start:s.byte_end].decode() == s.content
+            seen[s.byte_start:s.byte_end] = b"1" * (s.byte_end - s.byte_start)
+        assert all(seen[k] for k, byte in enumerate(raw) if chr(byte).isalnum() or byte > 127), codes[row.i]
+
+
+def test_long_files_take_time_in_proportion():
+    import time
+
+    from seamark.functions.scanning import definitions
+    for style, language, unit in (("braces", "rust", 'pub fn a(x: i32) -> i32 {\n    let s = "}"; // {\n    x\n}\n'), ("indent", "python", "class A:\n    def f(self):\n        return 'x'\n\n")):
+        took = []
+        for n in (10_000, 40_000):
+            start = time.perf_counter()
+            assert len(definitions((unit * (n // 4)).encode(), language, style)) >= n // 4
+            took.append(time.perf_counter() - start)
+        assert took[1] < 10 * took[0]
 
 def test_unknown_language_becomes_one_span(spark):
     found = spans(spark, "notes.zz", "hello\r\nworld\r\n")
@@ -76,7 +131,7 @@ def test_composite_parser_takes_the_first_that_fits(spark):
     kinds = {}
     for r in rows:
         kinds.setdefault(r.file_path, []).append(r.kind)
-    assert kinds["a.rs"] == ["function", "struct", "impl", "method"] and kinds["a.zz"] == [None]
+    assert kinds["a.rs"] == [None, "function", "struct", "impl", "method"] and kinds["a.zz"] == [None]
     assert kinds["a.py"] == [r.kind for r in spans(spark, "a.py", PYTHON, mode="heuristic")]
 
 
