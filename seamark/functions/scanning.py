@@ -125,7 +125,9 @@ def _compiled(table: dict[str, str], same: dict[str, str], wrap: str, flags: int
 
 
 _LEXERS = _compiled(_TOKENS, _SAME, "%s", re.S)
-_HEAD_PATTERNS = _compiled(_HEADS, _SAME_HEAD, r"(?:^|(?<=[;{}]))[ \t]*(?P<head>%s)", re.M | re.X)
+_HEAD_PATTERNS = _compiled(_HEADS, _SAME_HEAD, "%s", re.M | re.X)
+# Where a statement can begin; heads are looked for there alone.
+_STARTS = re.compile(rb"[\n;{}][ \t]*(?=[^\s;{}\x01])")
 
 
 @dataclass(frozen=True)
@@ -139,13 +141,17 @@ class Head:
 
 def heads(text: bytes, language: str) -> list[Head]:
     """What looks like the beginning of a definition, in masked text."""
-    out = []
-    for m in _HEAD_PATTERNS.get(language, _HEAD_PATTERNS["other"]).finditer(text):
-        found = m.groupdict()
+    out, at = [], 0
+    match = _HEAD_PATTERNS.get(language, _HEAD_PATTERNS["other"]).match
+    for start in [len(text) - len(text.lstrip(b" \t")), *(m.end() for m in _STARTS.finditer(text))]:
+        m = match(text, start) if start >= at else None
+        if m is None:
+            continue
+        found, at = m.groupdict(), m.end()
         of = next((g for g in ("name", "type", "arrow", "bare", "property") if found.get(g) is not None), None)
         word = (found.get("kw") or found.get("impl") or b"function").split()[0].lower()
         kind = "property" if of == "property" else _WORD_KINDS.get(word, word.decode())
-        out.append(Head(m.start("head"), m.end(), kind, m.span(of) if of else (0, 0), of == "bare"))
+        out.append(Head(m.start(), at, kind, m.span(of) if of else (0, 0), of == "bare"))
     return out
 
 
@@ -283,10 +289,13 @@ _TYPE = "array<struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ">>"
 
 
 def definition_spans(content: Column, language: Column, style: Column) -> Column:
-    """The definitions of a file as an array of numbers (FIELDS); empty for a null text and where there is none."""
+    """The definitions of a file as an array of numbers (FIELDS); empty for a null text and where there is none.
+
+    `content` should be a column: it is named twice, which keeps its computation in a projection of its own, and sent once.
+    """
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for contents, languages, styles in batches:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for contents, languages, styles, _same in batches:
             # Arrow holds the texts as UTF-8: bytes are taken as they are
             rows = [definitions(code, of, how) if code is not None and of is not None else []
                     for code, of, how in zip(contents.cast(pa.binary()).to_pylist(), languages.to_pylist(), styles.to_pylist())]
@@ -294,4 +303,4 @@ def definition_spans(content: Column, language: Column, style: Column) -> Column
             spans = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, i])) for i in range(len(FIELDS))], FIELDS)
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32)), spans)
 
-    return F.arrow_udf(run, _TYPE).asNondeterministic()(content, F.coalesce(language, F.lit("")), style)
+    return F.arrow_udf(run, _TYPE).asNondeterministic()(content, F.coalesce(language, F.lit("")), style, content)

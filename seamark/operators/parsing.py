@@ -39,23 +39,20 @@ def _known(files: DataFrame, path: str = "file_path") -> DataFrame:
 def with_lines(files: DataFrame, content: str = "file_content", path: str = "file_path", wanted: Column | None = None) -> DataFrame:
     """Add language, lines, and per line what the line machine and names need; no lines where `wanted` is false."""
     split = text.lines(text.normalize_newlines(F.col(content)))
-    df = (
-        _known(files, path)
-        .withColumn("_lines", split if wanted is None else F.when(wanted, split).otherwise(F.expr("cast(array() as array<string>)")))
-        .withColumn("_fn", languages.function_prefixes(F.col("language")))
-        .withColumn("_cl", languages.class_prefixes(F.col("language")))
-        .withColumn("_braces", languages.block_style(F.col("language")) == "braces")
-    )
+    df = _known(files, path).withColumn(
+        "_lines", split if wanted is None else F.when(wanted, split).otherwise(F.expr("cast(array() as array<string>)")))
     bit = lambda condition, value: F.when(condition, value).otherwise(0)
+    signs = struct(fn=languages.function_prefixes(F.col("language")), cl=languages.class_prefixes(F.col("language")), braces=languages.block_style(F.col("language")) == "braces")
 
-    def fact(line):
-        return let(F.regexp_replace(F.regexp_replace(line, r"^\p{IsWhite_Space}+", ""), r"\p{IsWhite_Space}+$", ""), lambda bare: let(
-            bit(starts_with_any(bare, F.col("_fn")), walks.FUNCTION) + bit(starts_with_any(bare, F.col("_cl")), walks.CLASS),
+    def facts(of):
+        """Facts of all lines; `of` is bound once, where a column would be computed again for every line."""
+        return F.transform("_lines", lambda line: let(F.regexp_replace(F.regexp_replace(line, r"^\p{IsWhite_Space}+", ""), r"\p{IsWhite_Space}+$", ""), lambda bare: let(
+            bit(starts_with_any(bare, of["fn"]), walks.FUNCTION) + bit(starts_with_any(bare, of["cl"]), walks.CLASS),
             lambda opens: struct(
-                flags=opens, size=F.octet_length(line), marks=F.when(F.col("_braces"), F.regexp_replace(line, r"[^(){}\[\]]+", "")).otherwise(""),
-                name=F.when(opens > 0, name_of_line(bare)))))
+                flags=opens, size=F.octet_length(line), marks=F.when(of["braces"], F.regexp_replace(line, r"[^(){}\[\]]+", "")).otherwise(""),
+                name=F.when(opens > 0, name_of_line(bare))))))
 
-    return df.withColumn("_facts", F.transform("_lines", fact)).drop("_fn", "_cl", "_braces")
+    return df.withColumn("_facts", let(signs, facts))
 
 
 def _line_spans(df: DataFrame, max_tokens: int) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import ids, text
-from ..functions.columns import let
+from ..functions.columns import let, struct
 from ..functions.languages import language_of
 from ..operators.search import pinned
 
@@ -277,25 +277,26 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     """
     base = files(spark, folder).withColumn("language", language_of(F.col("file_path")))
     name = lambda line, k: F.concat(let(F.lower(F.regexp_extract(line, r"([\p{IsAlphabetic}]+)", 1)), lambda w: F.when(w == "", "unnamed").otherwise(w)), F.lit("_"), k.cast("string"))
-    quoted = lambda line: F.replace(F.replace(F.replace(F.replace(line, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("`"), F.lit("\\`")), F.lit('"#'), F.lit('" #'))
-    noted = lambda line: F.replace(F.replace(line, F.lit("*/"), F.lit("* /")), F.lit("/*"), F.lit("/ *"))
-
-    def written(line, k):
-        def fill(template, named):
-            before, sign, after = next((template.partition(s) for s in "$%" if s in template), (template, "", ""))
-            part = lambda t: F.concat_ws("", *[x for i, p in enumerate(t.split("@")) for x in ([named] if i else []) + ([F.lit(p)] if p else [])])
-            middle = [quoted(line)] if sign == "$" else [noted(line)] if sign == "%" else []
-            return F.concat(*([part(before)] if before else []), *middle, *([part(after)] if after else []), F.lit(""))
-        def lines(named):
-            out = None
-            for lang, inside, rest, templates in _templates():
-                here = (F.col("language") == lang) & (((k / 4).cast("int") % 3 == 2) == inside) & (k % 4 == rest)
-                value = F.array(*[fill(t, named) for t in templates])
-                out = F.when(here, value) if out is None else out.when(here, value)
-            return out
-        return let(name(line, k), lines)
-
-    code = text.join_lines(F.flatten(F.transform(text.lines(F.col("file_content")), written)))
+    replaced = lambda value, *pairs: value if not pairs else replaced(F.replace(value, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:])
+    quoted = replaced(F.col("file_content"), ("\\", "\\\\"), ('"', '\\"'), ("`", "\\`"), ('"#', '" #'))
+    noted = replaced(F.col("file_content"), ("*/", "* /"), ("/*", "/ *"))
+    # the marks of the templates as signs that no text holds
+    marks = str.maketrans("@$%", "\x01\x02\x03")
+    rows: dict[str, list] = {}
+    for lang, _, _, lines in _templates():
+        rows.setdefault(lang, []).append(F.array(*[F.lit(t.translate(marks)) for t in lines]))
+    templates = F.create_map(*[x for lang, all_lines in rows.items() for x in (F.lit(lang), F.array(*all_lines))])
+
+    def written(of):
+        """Lines of code of each line; `of` is bound once, where a column would be computed again for every line."""
+        def lines(line, k):
+            which = F.when((k / 4).cast("int") % 3 == 2, 4).otherwise(0) + k % 4
+            return let(name(line, k), lambda named: F.transform(F.get(of["templates"], which), lambda t: F.replace(F.replace(F.replace(
+                t, F.lit("\x01"), named), F.lit("\x02"), F.get(of["quoted"], k)), F.lit("\x03"), F.get(of["noted"], k))))
+        return F.transform(of["plain"], lines)
+
+    parts = struct(templates=templates[F.col("language")], plain=text.lines(F.col("file_content")), quoted=text.lines(quoted), noted=text.lines(noted))
+    code = text.join_lines(F.flatten(let(parts, written)))
     return base.withColumn("file_content", code).withColumn("content_hash", ids.content_hash(F.col("file_content"))).withColumn(
         "size_bytes", F.octet_length("file_content").cast("long"))
 
