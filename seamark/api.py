@@ -20,8 +20,10 @@ class Index:
         self.spark, self.tables = spark, tables
         self.provider = provider or HashedEmbedding()
 
-    def table(self, name: str) -> DataFrame:
-        return self.tables.read(self.spark, name)
+    def table(self, name: str, tenant_id: str | None = None, repository_id: str | None = None, branch: str | None = None) -> DataFrame:
+        """A table; given part of a key, only the folders of that scope are listed and read."""
+        scope = (tenant_id, repository_id, branch)
+        return self.tables.read(self.spark, name, lambda key: all(want is None or want == have for want, have in zip(scope, key)))
 
     def _vector(self, text: str) -> list[float]:
         return embed_text(self.spark, self.provider, text)
@@ -31,29 +33,29 @@ class Index:
     def search(self, query: str, tenant_id: str = NIL_TENANT, repository_id: str | None = None, branch: str | None = None,
                limit: int | None = None) -> DataFrame:
         S.checked_query(query)
-        points = self.table("vectors")
+        points = self.table("vectors", tenant_id, repository_id, branch)
         best = S.search(points, query, self._vector(query), tenant_id, repository_id, branch, limit)
-        full = S.with_file_context(S.with_content(best, points), self.table("indexed_files"))
+        full = S.with_file_context(S.with_content(best, points), self.table("indexed_files", tenant_id, repository_id, branch))
         return S.as_matches(full, query).orderBy(F.desc_nulls_last("similarity"), "path", "lines.start")
 
     def similar(self, code: str, tenant_id: str = NIL_TENANT, repository_id: str | None = None, branch: str | None = None,
                 exclude_file: str | None = None, limit: int | None = None) -> DataFrame:
         if not code.strip():
             raise InvalidRequest("code cannot be empty")
-        points = self.table("vectors")
+        points = self.table("vectors", tenant_id, repository_id, branch)
         found = S.similar(points, self._vector(code), tenant_id, repository_id, branch, exclude_file, limit)
         return S.as_similar(S.with_content(found, points)).orderBy(F.desc("similarity"), "file", "line_start")
 
     def usages(self, symbol: str, tenant_id: str = NIL_TENANT, repository_id: str | None = None, branch: str | None = None,
                usage_type: str = "all", limit: int | None = None, mode: str = "exact") -> DataFrame:
         symbol = S.checked_symbol(symbol)
-        found = S.usages(self.table("vectors"), symbol, self._vector(symbol), tenant_id, repository_id, branch, usage_type,
+        found = S.usages(self.table("vectors", tenant_id, repository_id, branch), symbol, self._vector(symbol), tenant_id, repository_id, branch, usage_type,
                          limit, mode)
         return S.as_usages(found)
 
     def context(self, file_path: str, tenant_id: str = NIL_TENANT, repository_id: str | None = None, branch: str | None = None,
                 line: int | None = None, radius: int | None = None) -> DataFrame:
-        found = context.preferred_file(self.table("indexed_files"), file_path, tenant_id, repository_id, branch)
+        found = context.preferred_file(self.table("indexed_files", tenant_id, repository_id, branch), file_path, tenant_id, repository_id, branch)
         excerpt = context.excerpt(found, line, radius)
         if excerpt.isEmpty():
             raise NotFound(f"file is not in the index: {file_path}")
@@ -108,6 +110,17 @@ class Index:
         indexing.compact(self.spark, self.tables.latest())
         return Index(self.spark, self.tables.latest(), self.provider)
 
+    def reclaim(self, keep: int = 1, grace_hours: float = 24.0) -> DataFrame:
+        """Free what the newest `keep` versions do not need; bytes before and after, folders and versions that went.
+
+        Objects that read an older version cannot go on; this one then reads the newest.
+        """
+        tables = self.tables.latest()
+        before = tables.size(self.spark)
+        folders, versions = tables.sweep(self.spark, keep, grace_hours)
+        self.tables = tables
+        return self.spark.createDataFrame([(before, tables.size(self.spark), folders, versions)], "size_before long, size_after long, folders long, versions long")
+
     def move(self, moves: DataFrame) -> None:
         """Apply pending file moves; those onto a path that stays taken are left out."""
         indexing.move(self.spark, self.tables.latest(), moves)

@@ -9,7 +9,7 @@ from ..functions.embedding import EmbeddingProvider
 from ..schemas import (
     ALL, BRANCH_KEY, CHUNK_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, VECTORS,
 )
-from ..sources.tables import IndexTables, VersionTaken, partition_keys, unique_batch
+from ..sources.tables import IndexTables, Version, VersionTaken, partition_keys, unique_batch
 from . import changes, chunking, parsing
 
 
@@ -53,15 +53,19 @@ def _given(incoming: DataFrame) -> DataFrame:
 
 
 def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, provider: EmbeddingProvider,
-                batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS) -> DataFrame:
+                batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS, mark: tuple[str, int] | None = None) -> DataFrame:
     """Bring the index up to date with `incoming` files; returns the job of each branch with its counts.
 
     The push is staged once.  Its jobs are `running` in a version of their own; all new files, chunks, points, jobs and
     branches then become visible together with the last version, or not at all: then the jobs are `failed`, and
     the batch is simply done again.  Of a file pushed twice the later push counts (`pushed_at`; without it, or
     at the same time, the smaller content hash).  If another writer was faster, the merge is made again on what it left.
+    `mark` names a stream and the number of its batch; a batch that the index holds already changes nothing.
     """
     tables = tables.latest()
+    known = _held(spark, tables, tables.current(spark), mark)
+    if known is not None:
+        return known
     run = unique_batch(batch)
     staged = tables.staging(run, "push")
     _given(incoming).write.parquet(staged)
@@ -74,15 +78,32 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
         "*", "_commit.*", F.lit(batch).alias("correlation_id"), moment.alias("started_at"), F.lit(0).alias("files_processed"), F.lit(0).alias("chunks_created"))
     _jobs_only(spark, tables, started.withColumn("status", F.lit("running")), branches, batch)
     try:
-        report = _merged(spark, tables, push, branches, provider, batch, run, moment, max_tokens)
+        report = _merged(spark, tables, push, branches, provider, batch, run, moment, max_tokens, mark)
     except Exception as error:
         failed = started.withColumn("status", F.lit("failed")).withColumn("completed_at", moment).withColumn("error_message", F.lit(str(error)[:500]))
-        _jobs_only(spark, tables, failed, branches, batch)
+        try:
+            _jobs_only(spark, tables, failed, branches, batch)
+        except Exception as second:
+            error.add_note(f"the failed job could not be written: {second}")
         raise
-    tables.discard(spark, run)
+    finally:
+        tables.discard(spark, run)
     return report
 
 
+def _report_of(tables: IndexTables, own: str) -> str:
+    return f"{tables.root.rstrip('/')}/reports/{own}"
+
+
+def _held(spark: SparkSession, tables: IndexTables, version: Version, mark: tuple[str, int] | None) -> DataFrame | None:
+    """The report of a stream's batch that is in the index; of an older one than the last an empty report."""
+    last = version.marks.get(mark[0]) if mark else None
+    if last is None or last[0] < mark[1]:
+        return None
+    report = spark.read.parquet(_report_of(tables, last[1]))
+    return report if last[0] == mark[1] else report.limit(0)
+
+
 def _job_id(batch: str) -> Column:
     """A batch repeated under its name is the same job."""
     return ids.uuid5(ids.CHUNK_NAMESPACE, F.concat_ws(":", F.lit(batch), *BRANCH_KEY))
@@ -116,9 +137,12 @@ def _with_jobs(spark: SparkSession, tables: IndexTables, jobs: DataFrame, branch
 
 
 def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches: set, provider: EmbeddingProvider, batch: str, run: str,
-            at: Column, max_tokens: int) -> DataFrame:
+            at: Column, max_tokens: int, mark: tuple[str, int] | None = None) -> DataFrame:
     def attempt() -> DataFrame:
         base, own = tables.current(spark), unique_batch(batch)
+        known = _held(spark, tables, base, mark)
+        if known is not None:
+            return known
         seen_from = tables.at(base)
 
         def stage(df: DataFrame, name: str) -> DataFrame:
@@ -159,9 +183,9 @@ def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches:
         arrived = report.select(*BRANCH_KEY, "_commit.repository_url", at.alias("seen_at"))
         now = changes.upsert_branches(known, arrived).join(arrived.select(*BRANCH_KEY, "seen_at"), BRANCH_KEY, "left")
         tables.write(now.withColumn("last_indexed", F.coalesce("seen_at", "last_indexed")), "project_branches", own)
-        kept = f"{tables.root.rstrip('/')}/reports/{own}"
+        kept = _report_of(tables, own)
         report.select("job_id", *BRANCH_KEY, "files_processed", "new_files", "updated_files", "unchanged_files", "chunks_created").write.parquet(kept)
-        tables.commit(spark, base, own, {"vectors": touched, "chunk_metadata": touched, "indexed_files": touched, "indexing_jobs": tenants, "project_branches": tenants})
+        tables.commit(spark, base, own, {"vectors": touched, "chunk_metadata": touched, "indexed_files": touched, "indexing_jobs": tenants, "project_branches": tenants}, mark)
         return spark.read.parquet(kept)
 
     return _retried(attempt)

@@ -20,13 +20,14 @@ def start_indexing(pushes: DataFrame, tables: IndexTables, provider: EmbeddingPr
     """Index a stream of (project_id, path, content) rows.
 
     Jobs are named by the query and the batch, so a batch repeated after a failure is the same
-    job, and two streams on one index have jobs of their own.
+    job, and two streams on one index have jobs of their own.  The version that holds a batch names it too: one
+    that is done again after its commit is recognised and changes nothing.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         report = index_batch(batch.sparkSession, tables, pushed_files(batch, tenant_id), provider,
-                             f"stream-{query}-{batch_id}", F.localtimestamp() if indexed_at is None else indexed_at, max_tokens)
+                             f"stream-{query}-{batch_id}", F.localtimestamp() if indexed_at is None else indexed_at, max_tokens, (query, batch_id))
         if on_report is not None:
             on_report(batch_id, report)
 

@@ -293,10 +293,10 @@ def test_a_dead_batch_leaves_the_index_as_it_was(spark, index, monkeypatch, stag
         if name == stage:
             raise RuntimeError("lost")
 
-    def no_commit(self, spark, base, batch, touched):
+    def no_commit(self, spark, base, batch, touched, mark=None):
         if stage == "commit" and "vectors" in touched:
             raise RuntimeError("lost")
-        return commit(self, spark, base, batch, touched)
+        return commit(self, spark, base, batch, touched, mark)
 
     monkeypatch.setattr(IndexTables, "write", dies)
     monkeypatch.setattr(IndexTables, "commit", no_commit)
@@ -345,10 +345,10 @@ def test_two_writers_one_index(spark, index, monkeypatch):
     commit = IndexTables.commit
     state = {"once": True}
 
-    def late(self, spark, base, batch, touched):
+    def late(self, spark, base, batch, touched, mark=None):
         if "vectors" in touched and state.pop("once", None):
             Index(spark, index.tables, index.provider).index(push(spark, ("org/a:main", "b.py", PYTHON)), "fast", "t", at())
-        return commit(self, spark, base, batch, touched)
+        return commit(self, spark, base, batch, touched, mark)
 
     monkeypatch.setattr(IndexTables, "commit", late)
     index.index(push(spark, ("org/a:main", "a.rs", RUST)), "slow", "t", at())
