@@ -51,7 +51,9 @@ _SPANS = f"""spans AS (
     FROM (SELECT doc_id, ls, unnest(range(0, len(ls), 2)) AS f
           FROM (SELECT doc_id, {_LS} AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))))"""
 
-_PACK = f"""{_RECURSIVE} packed AS (
+def _pack_sql(hard: int, soft: int, kinds: str) -> str:
+    """`spans` in order, each with the group it is packed into."""
+    return f"""{_RECURSIVE} packed AS (
   SELECT doc_id, 0::BIGINT AS i, 0 AS g, 0 AS tokens, NULL::VARCHAR AS kind, NULL::VARCHAR AS name, false AS filled, false AS big FROM (SELECT DISTINCT doc_id FROM spans)
   UNION ALL
   SELECT doc_id, i, CASE WHEN big OR fresh THEN g + 1 ELSE g END,
@@ -60,22 +62,23 @@ _PACK = f"""{_RECURSIVE} packed AS (
     CASE WHEN big THEN name WHEN fresh OR is_def THEN new_name ELSE name END,
     NOT big AND (NOT fresh OR content <> ''), big
   FROM (
-    SELECT p.doc_id, s.i, p.g, p.tokens, p.kind, p.name, s.t, s.kind AS new_kind, s.name AS new_name, s.content, s.t > {HARD} AS big,
-      coalesce(s.kind IN ('function', 'class'), false) AS is_def,
-      NOT p.filled OR p.tokens + s.t > {SOFT} OR (coalesce(s.kind IN ('function', 'class') AND p.kind IN ('function', 'class')
-        AND s.name <> p.name, false) AND p.tokens * 4 >= {SOFT}) AS fresh
+    SELECT p.doc_id, s.i, p.g, p.tokens, p.kind, p.name, s.t, s.kind AS new_kind, s.name AS new_name, s.content, s.t > {hard} AS big,
+      coalesce(s.kind IN ({kinds}), false) AS is_def,
+      NOT p.filled OR p.tokens + s.t > {soft} OR (coalesce(s.kind IN ({kinds}) AND p.kind IN ({kinds})
+        AND s.name <> p.name, false) AND p.tokens * 4 >= {soft}) AS fresh
     FROM packed p JOIN spans s ON s.doc_id = p.doc_id AND s.i = p.i + 1))"""
 
 _GROUPED = """grouped AS (
-  SELECT p.doc_id, p.g, bool_or(p.big) AS big, string_agg(s.content, chr(10) ORDER BY s.i) AS content, min(s.start_line) AS start_line,
-    max(s.end_line) AS end_line, min(s.byte_start) AS byte_start, max(s.byte_end) AS byte_end, arg_max(p.kind, p.i) AS kind,
+  SELECT p.doc_id, p.g, bool_or(p.big) AS big, string_agg(s.content, chr(10) ORDER BY s.i) AS content, arg_min(s.start_line, p.i) AS start_line,
+    arg_max(s.end_line, p.i) AS end_line, arg_min(s.byte_start, p.i) AS byte_start, arg_max(s.byte_end, p.i) AS byte_end, min(p.i) AS first_i, arg_max(p.kind, p.i) AS kind,
     arg_max(p.name, p.i) AS name, arg_max(p.tokens, p.i) AS token_count
   FROM packed p JOIN spans s ON s.doc_id = p.doc_id AND s.i = p.i GROUP BY p.doc_id, p.g)"""
 
 # kind and name of an oversized span are the span's own
-_BIG = f"""big_spans AS (
+def _big_sql(hard: int) -> str:
+    return f"""big_spans AS (
   SELECT s.doc_id, s.i AS unit, {_LS} AS ls, s.start_line, s.end_line, s.byte_start, s.byte_end, s.kind, s.name
-  FROM (SELECT *, string_split(content, chr(10)) AS l FROM spans WHERE t > {HARD}) s)"""
+  FROM (SELECT *, string_split(content, chr(10)) AS l FROM spans WHERE t > {hard}) s)"""
 
 
 def _split_sql(units: str, soft: int, overlap: int) -> str:
@@ -106,7 +109,7 @@ _CHUNK_COLUMNS = "doc_id, content, start_line, end_line, byte_start, byte_end, k
 _COLUMNS = ["doc_id", "content", "start_line", "end_line", "byte_start", "byte_end", "kind", "name", "token_count"]
 
 
-@query("chunk_pack_budget", c.with_sql(_SPANS, _PACK, _GROUPED, _BIG, _split_sql("big_spans", SOFT, OVERLAP), select=f"""
+@query("chunk_pack_budget", c.with_sql(_SPANS, _pack_sql(HARD, SOFT, "'function', 'class'"), _GROUPED, _big_sql(HARD), _split_sql("big_spans", SOFT, OVERLAP), select=f"""
 SELECT {_CHUNK_COLUMNS} FROM grouped WHERE NOT big AND content <> '' UNION ALL SELECT {_CHUNK_COLUMNS} FROM parts"""))
 def chunk_pack_budget(spark, folder):
     """Two-line spans packed into budgeted chunks, oversized ones split with overlap."""
@@ -172,11 +175,11 @@ def split_by_lines(spark, folder):
     return rows.select("doc_id", "kind", "content", "start_line", "end_line", "byte_start")
 
 
-_CONTAINER = f"""code_units AS (
-  SELECT doc_id, list(code ORDER BY k) AS ls FROM code_lines GROUP BY doc_id),
-headed AS (
+def _container_sql(limit: int) -> str:
+    """Parts of `code_units` (doc_id, ls) above `limit`: runs of lines behind the header, `runs` (doc_id, r.f, r.t, head)."""
+    return f"""headed AS (
   SELECT *, coalesce(list_min(list_filter(range(1, len(ls) + 1), lambda j: contains(ls[j], '{{') OR (j > 1 AND starts_with(ls[j], '    ')))), len(ls)) AS h FROM code_units
-  WHERE {count_sql("array_to_string(ls, chr(10))")} > {PART_TOKENS}),
+  WHERE {count_sql("array_to_string(ls, chr(10))")} > {limit}),
 head_counts AS (SELECT *, {_classes("head")} FROM (SELECT *, array_to_string(ls[1:h], chr(10)) || chr(10) || '{C.CONTINUED}' AS head FROM headed)),
 {_RECURSIVE} body AS (
   SELECT doc_id, h AS i, h + 1 AS first, 0 AS bw, 0 AS bs, 0 AS bp, 0 AS bo, []::STRUCT(f BIGINT, t BIGINT)[] AS done FROM head_counts
@@ -184,7 +187,7 @@ head_counts AS (SELECT *, {_classes("head")} FROM (SELECT *, array_to_string(ls[
   SELECT doc_id, i + 1, CASE WHEN full_ THEN i + 2 ELSE first END, CASE WHEN full_ THEN 0 ELSE nw END, CASE WHEN full_ THEN 0 ELSE ns END,
     CASE WHEN full_ THEN 0 ELSE np END, CASE WHEN full_ THEN 0 ELSE no END,
     CASE WHEN full_ THEN list_append(done, {{'f': first, 't': i + 1}}) ELSE done END
-  FROM (SELECT *, {_tokens('w + nw', 's + ns', 'p + np', 'o + no')} >= {PART_TOKENS} AS full_ FROM (
+  FROM (SELECT *, {_tokens('w + nw', 's + ns', 'p + np', 'o + no')} >= {limit} AS full_ FROM (
     SELECT b.*, u.w, u.s, u.p, u.o, (b.bw + {_n('u.ls[b.i + 1]', _W)})::INTEGER AS nw, (b.bs + {_n('u.ls[b.i + 1]', _S)} + 1)::INTEGER AS ns,
       (b.bp + {_n('u.ls[b.i + 1]', _P)})::INTEGER AS np,
       (b.bo + length(u.ls[b.i + 1]) - {_n('u.ls[b.i + 1]', _W)} - {_n('u.ls[b.i + 1]', _S)} - {_n('u.ls[b.i + 1]', _P)})::INTEGER AS no
@@ -194,7 +197,10 @@ runs AS (
   FROM body JOIN head_counts USING (doc_id) WHERE i = len(ls))"""
 
 
-@query("split_container", c.with_sql(c.FILES, c.CODE, _CONTAINER, select="""
+_CODE_UNITS = "code_units AS (SELECT doc_id, list(code ORDER BY k) AS ls FROM code_lines GROUP BY doc_id)"
+
+
+@query("split_container", c.with_sql(c.FILES, c.CODE, _CODE_UNITS, _container_sql(PART_TOKENS), select="""
 SELECT doc_id, r.f AS start_line, r.t AS end_line, head || chr(10) || array_to_string(ls[r.f:r.t], chr(10)) AS content,
   strlen(array_to_string(ls[1:r.f - 1], chr(10))) + 1 AS byte_start FROM runs"""))
 def split_container(spark, folder):

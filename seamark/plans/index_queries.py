@@ -16,8 +16,9 @@ from ..sources.tables import IndexTables
 from ..streaming.index_stream import start_indexing
 from ..streaming.queue_stream import queue_states
 from . import corpus as c
-from .chunk_queries import _BLOCKS
+from .chunk_queries import _BLOCKS, _GROUPED, _LS, _big_sql, _container_sql, _pack_sql, _split_sql
 from .registry import query
+from .text_queries import count_sql
 
 D = 64
 ASKED = "the and of"
@@ -75,17 +76,70 @@ def index_chunk_ids(spark, folder):
                        F.col("end_line").cast("long").alias("end_line"), "chunk_id")
 
 
-@query("index_chunks")
+MOST = 512
+_CONTAINERS = ", ".join(f"'{k}'" for k in chunking.CONTAINER_KINDS)
+
+# Spans in the order of their file, each whole or cut: behind a header, in windows of pieces, or in two halves.
+_SPLIT = f"""numbered AS MATERIALIZED (
+  SELECT *, doc_id * 100000 + i AS unit, {count_sql('content')} AS t FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY byte_start, byte_end) AS i FROM code_spans)),
+code_units AS (SELECT unit AS doc_id, {_LS} AS ls FROM (SELECT unit, string_split(content, chr(10)) AS l FROM numbered WHERE t > {MOST} AND kind IN ({_CONTAINERS}))),
+{_container_sql(MOST)},
+loose AS MATERIALIZED (
+  SELECT *, {_LS} AS ls, regexp_extract_all(content, '(\\S+\\s*|\\s+)', 1) AS pieces FROM (
+    SELECT *, string_split(content, chr(10)) AS l FROM numbered WHERE t > {MOST} AND coalesce(kind NOT IN ({_CONTAINERS}), true))),
+cuts AS (
+  SELECT unit, 0 AS part, kind AS k, start_line AS a, end_line AS b, byte_start AS p, byte_end AS q, t FROM numbered WHERE t <= {MOST}
+  UNION ALL
+  SELECT n.unit, r.f, n.kind || '_part', n.start_line + r.f - 1, n.start_line + r.t - 1, n.byte_start + strlen(array_to_string(ls[1:r.f - 1], chr(10))) + 1,
+    n.byte_start + strlen(array_to_string(ls[1:r.t], chr(10))), {count_sql("(head || chr(10) || array_to_string(ls[r.f:r.t], chr(10)))")}
+  FROM runs JOIN numbered n ON n.unit = runs.doc_id
+  UNION ALL
+  SELECT unit, k, kind || '_part' || (k + 1), start_line + (k * {MOST} * len(ls)) // len(pieces),
+    start_line + (k * {MOST} * len(ls)) // len(pieces) + len(string_split(body, chr(10))) - CASE WHEN body LIKE '%' || chr(10) THEN 1 ELSE 0 END,
+    byte_start + strlen(array_to_string(pieces[1:k * {MOST}], '')), byte_start + strlen(array_to_string(pieces[1:k * {MOST} + {MOST}], '')), len(pieces[k * {MOST} + 1:k * {MOST} + {MOST}])
+  FROM (SELECT *, array_to_string(pieces[k * {MOST} + 1:k * {MOST} + {MOST}], '') AS body FROM (
+    SELECT *, unnest(range(0, ceil(len(pieces) / {MOST}::DOUBLE)::BIGINT)) AS k FROM loose WHERE len(pieces) > {MOST}))
+  UNION ALL
+  SELECT unit, 1, kind || '_part1', start_line, start_line + u, byte_start, byte_start + strlen(array_to_string(ls[1:u], chr(10))), {count_sql("array_to_string(ls[1:u], chr(10))")}
+  FROM (SELECT *, len(ls) // 2 + least(10, len(ls) // 10) AS u FROM loose WHERE len(pieces) <= {MOST})
+  UNION ALL
+  SELECT unit, 2, kind || '_part2', start_line + m, start_line + len(ls) - 1, byte_start + strlen(array_to_string(ls[1:m], chr(10))) + CASE WHEN m > 0 THEN 1 ELSE 0 END, byte_end,
+    {count_sql("array_to_string(ls[m + 1:len(ls)], chr(10))")}
+  FROM (SELECT *, len(ls) // 2 AS m FROM loose WHERE len(pieces) <= {MOST})),
+index_cuts AS (
+  SELECT n.doc_id, (row_number() OVER (PARTITION BY n.doc_id ORDER BY n.i, part) - 1)::INTEGER AS chunk_index, k AS kind, name, a::INTEGER AS start_line, b::INTEGER AS end_line, p, q, c.t::INTEGER AS token_count
+  FROM cuts c JOIN numbered n USING (unit))"""
+
+
+def _with_ids_sql(source: str) -> str:
+    return f"""SELECT doc_id, chunk_index, {c.UUID5_SQL.format(h='h')} AS chunk_id, kind, name, start_line, end_line, token_count FROM (
+  SELECT s.*, {c.sha1_sql("repository_id || ':' || branch || ':' || file_path || ':1:' || p || ':' || q")} AS h FROM {source} s JOIN files f USING (doc_id))"""
+
+
+@query("index_chunks", c.with_sql(c.FILES, c.CODE, _BLOCKS, _SPLIT, select=_with_ids_sql("index_cuts")))
 def index_chunks(spark, folder):
     """Source files to chunks as an index batch makes them, those above 512 tokens in parts."""
     rows = indexing.chunked_files(c.code_files(spark, folder))
     return rows.select("doc_id", "chunk_index", "chunk_id", "kind", "name", "start_line", "end_line", "token_count")
 
 
-@query("index_packed_chunks")
+_BOUNDARIES = ", ".join(f"'{k}'" for k in chunking.BOUNDARY_KINDS)
+_BUDGET = chunking.TokenBudget(MOST, 64)
+_ORDERED = f"""spans AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY byte_start, byte_end) AS i, {count_sql('content')} AS t FROM code_spans)"""
+_PACKED = """index_packed AS (
+  SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY unit, i) - 1)::INTEGER AS chunk_index, kind, name, start_line::INTEGER AS start_line, end_line::INTEGER AS end_line, p, q, token_count FROM (
+    SELECT doc_id, first_i AS unit, 0 AS i, kind, name, start_line, end_line, byte_start AS p, byte_end AS q, token_count FROM grouped WHERE NOT big AND content <> ''
+    UNION ALL SELECT doc_id, unit, i, kind, name, start_line, end_line, byte_start, byte_end, token_count FROM parts))"""
+
+
+@query("index_packed_chunks", c.with_sql(
+    c.FILES, c.CODE, _BLOCKS, _ORDERED, _pack_sql(_BUDGET.hard, _BUDGET.soft, _BOUNDARIES), _GROUPED, _big_sql(_BUDGET.hard), _split_sql("big_spans", _BUDGET.soft, _BUDGET.overlap), _PACKED,
+    select=_with_ids_sql("index_packed")))
 def index_packed_chunks(spark, folder):
     """Source files packed to the default token budget."""
-    rows = indexing.packed_files(c.code_files(spark, folder), chunking.TokenBudget(512, 64))
+    rows = indexing.packed_files(c.code_files(spark, folder), _BUDGET)
     return rows.select("doc_id", "chunk_index", "chunk_id", "kind", "name", "start_line", "end_line", "token_count")
 
 
