@@ -80,33 +80,34 @@ MOST = 512
 _CONTAINERS = ", ".join(f"'{k}'" for k in chunking.CONTAINER_KINDS)
 
 # Spans in the order of their file, each whole or cut: behind a header, in windows of pieces, or in two halves.
-_SPLIT = f"""numbered AS MATERIALIZED (
+def _split_spans_sql(most: int) -> str:
+    return f"""numbered AS MATERIALIZED (
   SELECT *, doc_id * 100000 + i AS unit, {count_sql('content')} AS t FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY byte_start, byte_end) AS i FROM code_spans)),
-code_units AS (SELECT unit AS doc_id, {_LS} AS ls FROM (SELECT unit, string_split(content, chr(10)) AS l FROM numbered WHERE t > {MOST} AND kind IN ({_CONTAINERS}))),
-{_container_sql(MOST)},
+code_units AS (SELECT unit AS doc_id, {_LS} AS ls FROM (SELECT unit, string_split(content, chr(10)) AS l FROM numbered WHERE t > {most} AND kind IN ({_CONTAINERS}))),
+{_container_sql(most)},
 loose AS MATERIALIZED (
   SELECT *, {_LS} AS ls, regexp_extract_all(content, '(\\S+\\s*|\\s+)', 1) AS pieces FROM (
-    SELECT *, string_split(content, chr(10)) AS l FROM numbered WHERE t > {MOST} AND coalesce(kind NOT IN ({_CONTAINERS}), true))),
+    SELECT *, string_split(content, chr(10)) AS l FROM numbered WHERE t > {most} AND coalesce(kind NOT IN ({_CONTAINERS}), true))),
 cuts AS (
-  SELECT unit, 0 AS part, kind AS k, start_line AS a, end_line AS b, byte_start AS p, byte_end AS q, t FROM numbered WHERE t <= {MOST}
+  SELECT unit, 0 AS part, kind AS k, start_line AS a, end_line AS b, byte_start AS p, byte_end AS q, t FROM numbered WHERE t <= {most}
   UNION ALL
   SELECT n.unit, r.f, n.kind || '_part', n.start_line + r.f - 1, n.start_line + r.t - 1, n.byte_start + strlen(array_to_string(ls[1:r.f - 1], chr(10))) + 1,
     n.byte_start + strlen(array_to_string(ls[1:r.t], chr(10))), {count_sql("(head || chr(10) || array_to_string(ls[r.f:r.t], chr(10)))")}
   FROM runs JOIN numbered n ON n.unit = runs.doc_id
   UNION ALL
-  SELECT unit, k, kind || '_part' || (k + 1), start_line + (k * {MOST} * len(ls)) // len(pieces),
-    start_line + (k * {MOST} * len(ls)) // len(pieces) + len(string_split(body, chr(10))) - CASE WHEN body LIKE '%' || chr(10) THEN 1 ELSE 0 END,
-    byte_start + strlen(array_to_string(pieces[1:k * {MOST}], '')), byte_start + strlen(array_to_string(pieces[1:k * {MOST} + {MOST}], '')), len(pieces[k * {MOST} + 1:k * {MOST} + {MOST}])
-  FROM (SELECT *, array_to_string(pieces[k * {MOST} + 1:k * {MOST} + {MOST}], '') AS body FROM (
-    SELECT *, unnest(range(0, ceil(len(pieces) / {MOST}::DOUBLE)::BIGINT)) AS k FROM loose WHERE len(pieces) > {MOST}))
+  SELECT unit, k, kind || '_part' || (k + 1), start_line + (k * {most} * len(ls)) // len(pieces),
+    start_line + (k * {most} * len(ls)) // len(pieces) + len(string_split(body, chr(10))) - CASE WHEN body LIKE '%' || chr(10) THEN 1 ELSE 0 END,
+    byte_start + strlen(array_to_string(pieces[1:k * {most}], '')), byte_start + strlen(array_to_string(pieces[1:k * {most} + {most}], '')), len(pieces[k * {most} + 1:k * {most} + {most}])
+  FROM (SELECT *, array_to_string(pieces[k * {most} + 1:k * {most} + {most}], '') AS body FROM (
+    SELECT *, unnest(range(0, ceil(len(pieces) / {most}::DOUBLE)::BIGINT)) AS k FROM loose WHERE len(pieces) > {most}))
   UNION ALL
   SELECT unit, 1, kind || '_part1', start_line, start_line + u, byte_start, byte_start + strlen(array_to_string(ls[1:u], chr(10))), {count_sql("array_to_string(ls[1:u], chr(10))")}
-  FROM (SELECT *, len(ls) // 2 + least(10, len(ls) // 10) AS u FROM loose WHERE len(pieces) <= {MOST})
+  FROM (SELECT *, len(ls) // 2 + least(10, len(ls) // 10) AS u FROM loose WHERE len(pieces) <= {most})
   UNION ALL
   SELECT unit, 2, kind || '_part2', start_line + m, start_line + len(ls) - 1, byte_start + strlen(array_to_string(ls[1:m], chr(10))) + CASE WHEN m > 0 THEN 1 ELSE 0 END, byte_end,
     {count_sql("array_to_string(ls[m + 1:len(ls)], chr(10))")}
-  FROM (SELECT *, len(ls) // 2 AS m FROM loose WHERE len(pieces) <= {MOST})),
+  FROM (SELECT *, len(ls) // 2 AS m FROM loose WHERE len(pieces) <= {most})),
 index_cuts AS (
   SELECT n.doc_id, (row_number() OVER (PARTITION BY n.doc_id ORDER BY n.i, part) - 1)::INTEGER AS chunk_index, k AS kind, name, a::INTEGER AS start_line, b::INTEGER AS end_line, p, q, c.t::INTEGER AS token_count
   FROM cuts c JOIN numbered n USING (unit))"""
@@ -117,7 +118,7 @@ def _with_ids_sql(source: str) -> str:
   SELECT s.*, {c.sha1_sql("repository_id || ':' || branch || ':' || file_path || ':1:' || p || ':' || q")} AS h FROM {source} s JOIN files f USING (doc_id))"""
 
 
-@query("index_chunks", c.with_sql(c.FILES, c.CODE, _BLOCKS, _SPLIT, select=_with_ids_sql("index_cuts")))
+@query("index_chunks", c.with_sql(c.FILES, c.CODE, _BLOCKS, _split_spans_sql(MOST), select=_with_ids_sql("index_cuts")))
 def index_chunks(spark, folder):
     """Source files to chunks as an index batch makes them, those above 512 tokens in parts."""
     rows = indexing.chunked_files(c.code_files(spark, folder))
@@ -155,11 +156,24 @@ def _fresh_tables(spark) -> IndexTables:
     return IndexTables(f"{shared_dir(spark)}/index-{uuid.uuid4().hex}").create(spark)
 
 
-@query("index_incremental", c.with_sql(c.FILES, c.CODE, select="""
-SELECT tenant_id, repository_id, branch, count(*) AS files, count(*) FILTER (WHERE doc_id % 10 = 0) AS second_generation
-FROM files GROUP BY tenant_id, repository_id, branch"""))
+# The source files once more, every tenth with a line at its end.
+_CHANGED = c.CODE.replace("code_lines AS (", "code_once AS (") + """,
+code_lines AS (
+  SELECT * FROM code_once UNION ALL SELECT doc_id, any_value(language), max(k) + 1, '// changed' FROM code_once WHERE doc_id % 10 = 0 GROUP BY doc_id)"""
+_INDEXED = f"""index_named AS MATERIALIZED (
+  SELECT tenant_id, repository_id, branch, file_path, chunk_index, x.doc_id, kind, name, start_line, end_line, token_count, generation, {c.UUID5_SQL.format(h='h')} AS chunk_id FROM (
+    SELECT *, {c.sha1_sql("repository_id || ':' || branch || ':' || file_path || ':' || generation || ':' || p || ':' || q")} AS h FROM (
+      SELECT s.*, tenant_id, repository_id, branch, file_path, CASE WHEN s.doc_id % 10 = 0 THEN 2 ELSE 1 END AS generation FROM index_cuts s JOIN files f USING (doc_id))) x),
+index_texts AS (
+  SELECT n.doc_id::VARCHAR || '/' || (row_number() OVER (PARTITION BY n.doc_id ORDER BY n.i, part) - 1) AS key, decode(encode(code)[p + 1:q]) AS content
+  FROM cuts JOIN numbered n USING (unit) JOIN code_text t ON t.doc_id = n.doc_id)"""
+
+
+@query("index_incremental", c.with_sql(c.FILES, _CHANGED, _BLOCKS, _split_spans_sql(LARGE), _INDEXED, features_sql("index_texts", "key", "content"), select="""
+SELECT tenant_id, repository_id, branch, file_path, n.chunk_index, chunk_id, generation::BIGINT AS generation, kind, name, start_line, end_line, token_count, coalesce(components, 0)::BIGINT AS components
+FROM index_named n LEFT JOIN (SELECT key, count(*) FILTER (x <> 0) AS components FROM buckets GROUP BY key) b ON b.key = n.doc_id::VARCHAR || '/' || n.chunk_index"""))
 def index_incremental(spark, folder):
-    """Index all source files, then again with every tenth changed: only those move to generation 2."""
+    """Index all source files, then again with every tenth changed: the points that are left, those of the changed files in generation 2."""
     tables = _fresh_tables(spark)
     provider, at = embedding.HashedEmbedding(D), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     code = c.code_files(spark, folder)
@@ -167,8 +181,9 @@ def index_incremental(spark, folder):
     changed = F.when(F.col("doc_id") % 10 == 0, F.concat("file_content", F.lit("\n// changed"))).otherwise(F.col("file_content"))
     again = code.withColumn("file_content", changed).withColumn("content_hash", F.sha2("file_content", 256))
     indexing.index_batch(spark, tables, _pushes(again), provider, "two", at, LARGE)
-    return tables.read(spark, "indexed_files").groupBy("tenant_id", "repository_id", "branch").agg(
-        F.count("*").alias("files"), F.count_if(F.col("generation") == 2).alias("second_generation"))
+    return tables.read(spark, "vectors").select(
+        "tenant_id", "repository_id", "branch", "file_path", "chunk_index", "chunk_id", "generation", "kind", "name", "start_line", "end_line", "token_count",
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("components"))
 
 
 @query("stream_index", c.with_sql(c.FILES, select="""
