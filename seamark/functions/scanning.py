@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
+from . import markup
+
 _ID = r"[\w$\x80-\xff]+"
 
 # ------------------------------------------------------------------ strings and comments
@@ -105,11 +107,12 @@ _HEADS = {
         (?=[ \t]*(?:[({{<:=;]|->|$|(?:extends|implements|where)\b))""",
 }
 _SAME_HEAD = {**_SAME, "cpp": "c"}
-# Data and markup: nothing in them is a definition.
-NO_DEFINITIONS = ("json", "yaml", "xml", "html")
+# Data: nothing in it is a definition.
+NO_DEFINITIONS = ("json", "yaml")
+MARKUP = ("html", "xml")
 
 KINDS = ["", "function", "method", "class", "struct", "enum", "trait", "impl", "module", "interface", "type", "union", "namespace", "record", "property",
-         "procedure", "table", "view", "index", "trigger", "filter", "workflow", "object", "protocol"]
+         "procedure", "table", "view", "index", "trigger", "filter", "workflow", "object", "protocol", *markup.KINDS]
 _WORD_KINDS = {b"fn": "function", b"def": "function", b"func": "function", b"fun": "function", b"sub": "function", b"mod": "module"}
 CALLED = ("function", "method", "procedure", "filter", "workflow")
 HOLDERS = ("class", "struct", "enum", "trait", "impl", "interface", "type", "union", "record", "object", "protocol")
@@ -236,18 +239,34 @@ def _plain_ends(text: bytes, found: list[Head]) -> list[int]:
 _SOLID = re.compile(rb"\S(?:.*\S)?", re.S)
 _TELLING = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
+def _with_gaps(code: bytes, kept: list[tuple[int, int, str, int, int]]) -> list[tuple[int, ...]]:
+    """Spans with their lines, and between the outermost what holds a letter or a digit; nothing if there is no span."""
+    if not kept:
+        return []
+    feeds = np.flatnonzero(np.frombuffer(code, dtype=np.uint8) == 10).tolist()
+    gaps, covered = [], 0
+    for a, b, *_ in [*sorted(kept), (len(code), len(code))]:
+        solid = _SOLID.search(code, covered, a) if a > covered else None
+        if solid and _TELLING.search(code, *solid.span()):
+            gaps.append((*solid.span(), "", 0, 0))
+        covered = max(covered, b)
+    return [(a, b, bisect_left(feeds, a) + 1, bisect_left(feeds, max(a, b - 1)) + 1, KINDS.index(kind), c, d) for a, b, kind, c, d in sorted(kept + gaps)]
+
+
 # Byte range, line range, kind as a place in KINDS, byte range of the name.
 FIELDS = ["byte_start", "byte_end", "start_line", "end_line", "kind", "name_start", "name_end"]
 
 
 def definitions(code: bytes, language: str, style: str) -> list[tuple[int, ...]]:
-    """All definitions and, without a kind, what lies between the outermost; nothing if there is no definition.
+    """All definitions (of a page: all elements) and, without a kind, what lies between the outermost; nothing if there are none.
 
     Nested definitions overlap those around them.  A stretch between definitions that holds no letter or digit (a bracket,
     a separator) is left out.
     """
     if language in NO_DEFINITIONS:
         return []
+    if language in MARKUP:
+        return _with_gaps(code, markup.elements(code, language))
     text = masked(code, language)
     found = heads(text, language)
     if not found:
@@ -257,9 +276,7 @@ def definitions(code: bytes, language: str, style: str) -> list[tuple[int, ...]]
     else:
         ends = [(end, True) for end in (_indent_ends if style == "indent" else _plain_ends)(text, found)]
     kept: list[tuple[int, int, str, int, int]] = []
-    gaps: list[tuple[int, int]] = []
     around: list[tuple[int, str]] = []      # end and kind of the definitions a head lies in
-    covered = 0
     for head, (end, block) in zip(found, ends):
         while around and around[-1][0] <= head.start:
             around.pop()
@@ -269,20 +286,10 @@ def definitions(code: bytes, language: str, style: str) -> list[tuple[int, ...]]
             if within in CALLED or (_SAME.get(language, language) == "javascript" and (within not in HOLDERS or not block)):
                 continue
         kind = "method" if head.kind == "function" and any(k in HOLDERS for _, k in around) else head.kind
-        if not around:
-            gaps.append((covered, head.start))
-            covered = max(covered, end)
         kept.append((head.start, end, kind, *head.name))
         around.append((min(end, around[-1][0]) if around else end, kind))
-    if not kept:
-        return []
-    feeds = np.flatnonzero(np.frombuffer(code, dtype=np.uint8) == 10).tolist()
-    out = []
-    for a, b in [*gaps, (covered, len(code))]:
-        solid = _SOLID.search(code, a, b)
-        if solid and _TELLING.search(code, *solid.span()):
-            out.append((*solid.span(), "", 0, 0))
-    return [(a, b, bisect_left(feeds, a) + 1, bisect_left(feeds, max(a, b - 1)) + 1, KINDS.index(kind), c, d) for a, b, kind, c, d in sorted(kept + out)]
+    return _with_gaps(code, kept)
+
 
 
 _TYPE = "array<struct<" + ",".join(f"{f}:bigint" for f in FIELDS) + ">>"

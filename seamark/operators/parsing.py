@@ -94,7 +94,8 @@ def parse_spans(files: DataFrame, mode: str = "definitions", max_tokens: int = M
     `definitions` captures whole definitions, a class and its methods overlapping, and between them what the file
     holds beside them, as spans without kind or name; only brackets and separators are left out.  A file without
     a definition goes to the line machine.  `heuristic` is the line machine alone: text outside definitions goes in
-    front of the next one or, from `max_tokens` on, becomes an unnamed span.
+    front of the next one or, from `max_tokens` on, becomes an unnamed span.  Of markup files the elements are the
+    definitions, each with all that is in it, named by their tags.
     """
     if mode not in ("definitions", "heuristic"):
         raise ValueError("mode must be definitions or heuristic")
@@ -127,21 +128,3 @@ def parse_composite(files: DataFrame, parsers: list[tuple[set[str], Parser]], fa
         out = part if out is None else out.unionByName(part)
     rest = fallback(df.filter(~F.coalesce(F.col("language").isin(sorted(taken)), F.lit(False))))
     return rest if out is None else out.unionByName(rest)
-
-
-# ---------------------------------------------------------------- markup
-
-# Elements whose text is taken from markup pages.
-MARKUP_KINDS = {"script": "script", "style": "style"}
-
-
-def markup_spans(content: Column) -> Column:
-    """Array of (kind, content): script and style elements, then leaf elements of a page."""
-    def of_kind(pattern: str, kind: str, source: Column) -> Column:
-        return F.transform(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)),
-                           lambda x: struct(kind=F.lit(kind), content=x))
-
-    raw = [of_kind(rf"(?is)(<{tag}\b[^>]*>.*?</{tag}\s*>)", kind, content) for tag, kind in MARKUP_KINDS.items()]
-    rest = F.regexp_replace(content, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->", " ")
-    leaf = of_kind(r"(?s)(<[a-zA-Z][a-zA-Z0-9]*\b[^<>]*>[^<]*</[a-zA-Z][a-zA-Z0-9]*\s*>)", "element", rest)
-    return F.concat(*raw, leaf)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, walks
+from ..functions import markup, text, walks
 from ..functions.columns import struct
 from ..operators import chunking as C
 from ..operators import parsing as P
@@ -395,13 +395,45 @@ def definition_names(spark, folder):
                         bit(walks.CLASS).alias("is_class"), "name")
 
 
-@query("parse_html", """
-SELECT page_id, kind, content FROM (
-  SELECT page_id, 'script' AS kind, unnest(regexp_extract_all(html, '(?is)(<script\\b[^>]*>.*?</script\\s*>)', 1)) AS content FROM pages
-  UNION ALL SELECT page_id, 'style', unnest(regexp_extract_all(html, '(?is)(<style\\b[^>]*>.*?</style\\s*>)', 1)) FROM pages
-  UNION ALL SELECT page_id, 'element', unnest(regexp_extract_all(
-    regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)\\s*>|<!--.*?-->', ' ', 'g'),
-    '(?s)(<[a-zA-Z][a-zA-Z0-9]*\\b[^<>]*>[^<]*</[a-zA-Z][a-zA-Z0-9]*\\s*>)', 1)) FROM pages)""")
+_TAG_SQL = (r"(?is)<!--.*?-->|<[!?][^>]*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</[a-z][\w:.-]*[^>]*>"
+            r'''|<[a-z][\w:.-]*(?:"[^"]*"|\''[^\'']*\''|[^<>"\''])*>|[^<]+|<''')
+_ELEMENT = "STRUCT(a BIGINT, b BIGINT, name VARCHAR)[]"
+_ENDED_SQL = "(CASE open_[-1].name " + " ".join(f"WHEN '{a}' THEN tag IN ({', '.join(repr(b) for b in bs)})" for a, bs in markup.ENDED_BY.items()) + " ELSE false END)"
+
+# Tags one after the other, with the open elements in a list.
+_ELEMENTS = f"""page_tokens AS (
+  SELECT page_id, unnest(tokens) AS token, unnest(range(1, len(tokens) + 1)) AS no FROM (SELECT page_id, regexp_extract_all(html, '{_TAG_SQL}') AS tokens FROM pages)),
+page_places AS (
+  SELECT *, sum(length(token)) OVER (PARTITION BY page_id ORDER BY no) AS b FROM page_tokens),
+page_tags AS MATERIALIZED (
+  SELECT page_id, b - length(token) AS a, b, row_number() OVER (PARTITION BY page_id ORDER BY no) AS k, lower(regexp_extract(token, '^</?([A-Za-z][\\w:.-]*)', 1)) AS tag,
+    starts_with(token, '</') AS ends FROM page_places WHERE regexp_matches(token, '^</?[A-Za-z]')),
+{_RECURSIVE} page_walk AS (
+  SELECT page_id, 0::BIGINT AS k, []::{_ELEMENT} AS open_, []::{_ELEMENT} AS done FROM pages
+  UNION ALL
+  SELECT page_id, k, CASE WHEN ends THEN CASE WHEN hit > 0 THEN open_[:hit - 1] ELSE open_ END WHEN alone THEN kept ELSE list_append(kept, {{'a': a, 'b': NULL::BIGINT, 'name': tag}}) END,
+    CASE WHEN ends AND hit > 0 THEN list_concat(done, list_transform(open_[hit:], lambda x, i: {{'a': x.a, 'b': CASE WHEN i = 1 THEN b ELSE a END, 'name': x.name}}))
+      WHEN ends THEN done
+      ELSE list_concat(done, CASE WHEN ended THEN [{{'a': open_[-1].a, 'b': a, 'name': open_[-1].name}}] ELSE [] END, CASE WHEN alone THEN [{{'a': a, 'b': b, 'name': tag}}] ELSE [] END) END
+  FROM (SELECT *, CASE WHEN ended THEN open_[:-2] ELSE open_ END AS kept FROM (
+    SELECT w.page_id, t.k, w.open_, w.done, t.a::BIGINT AS a, t.b::BIGINT AS b, t.tag, t.ends, t.tag IN ({', '.join(repr(v) for v in (*markup.VOID, 'script', 'style'))}) AS alone,
+      coalesce(list_max(list_filter(range(1, len(w.open_) + 1), lambda i: w.open_[i].name = t.tag)), 0) AS hit, NOT t.ends AND len(w.open_) > 0 AND coalesce({_ENDED_SQL}, false) AS ended
+    FROM page_walk w JOIN page_tags t ON t.page_id = w.page_id AND t.k = w.k + 1))),
+page_ends AS (SELECT page_id, max(k) AS last_ FROM page_walk GROUP BY page_id),
+page_elements AS (
+  SELECT page_id, html, unnest(list_concat(done, list_transform(open_, lambda x: {{'a': x.a, 'b': length(html)::BIGINT, 'name': x.name}}))) AS x
+  FROM page_walk JOIN page_ends USING (page_id) JOIN pages USING (page_id) WHERE k = last_),
+page_outer AS (
+  SELECT page_id, html, x.a AS a, max(x.b) OVER (PARTITION BY page_id ORDER BY x.a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM page_elements
+  UNION ALL SELECT page_id, any_value(html), any_value(length(html)), max(x.b) FROM page_elements GROUP BY page_id),
+page_gaps AS (SELECT page_id, trim(substr(html, coalesce(reach, 0) + 1, a - coalesce(reach, 0)), {_WS}) AS content FROM page_outer WHERE a > coalesce(reach, 0))"""
+
+
+@query("parse_html", c.with_sql(_ELEMENTS, select="""
+SELECT page_id, CASE WHEN x.name IN ('script', 'style') THEN x.name ELSE 'element' END AS kind, x.name AS name, substr(html, x.a + 1, x.b - x.a) AS content, strlen(left(html, x.a)) AS byte_start FROM page_elements
+UNION ALL SELECT page_id, NULL, NULL, content, NULL FROM page_gaps WHERE regexp_matches(content, '[0-9A-Za-z]|[^\\x00-\\x7F]')"""))
 def parse_html(spark, folder):
-    pages = c.table(spark, folder, "pages")
-    return pages.select("page_id", F.inline(P.markup_spans(F.col("html"))))
+    """Elements of every page, nested ones too, and what lies outside of any."""
+    pages = c.table(spark, folder, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"), F.col("html").alias("file_content"))
+    rows = C.rows_of(P.parse_spans(pages), "spans", "i", "page_id")
+    return rows.select("page_id", "kind", F.lower("name").alias("name"), "content", F.when(F.col("kind").isNotNull(), F.col("byte_start")).alias("byte_start"))

@@ -70,7 +70,7 @@ def test_other_languages(spark, path, code, expected):
     assert all(raw[r.byte_start:r.byte_end].decode() == r.content for r in found)
 
 
-@pytest.mark.parametrize("path", ["a.rs", "a.py", "a.js", "a.java", "a.c", "a.zz", "a.sql", "a.json"])
+@pytest.mark.parametrize("path", ["a.rs", "a.py", "a.js", "a.java", "a.c", "a.zz", "a.sql", "a.json", "a.html"])
 def test_spans_cover_every_word(spark, path):
     """Whatever a file holds, each letter and digit is in some span."""
     rng = random.Random(path)
@@ -140,11 +140,36 @@ def test_bad_mode(spark):
         spans(spark, "a.rs", "x", mode="other")
 
 
-def test_markup(spark):
-    html = "<html><style>p{}</style><p>one</p><!-- <p>no</p> --><script>\nvar t='</p>';</script><b>two</b></html>"
-    got = spark.createDataFrame([(html,)], "h string").select(F.inline(P.markup_spans(F.col("h")))).collect()
-    assert [(r.kind, r.content) for r in got] == [
-        ("script", "<script>\nvar t='</p>';</script>"), ("style", "<style>p{}</style>"), ("element", "<p>one</p>"), ("element", "<b>two</b>")]
+@pytest.mark.parametrize("html, expected", [
+    ("<html><style>p{}</style><p>one</p><!-- <p>no</p> --><script>\nvar t='</p>';</script><b>two</b></html>",
+     [("element", "html", None), ("style", "style", "<style>p{}</style>"), ("element", "p", "<p>one</p>"), ("script", "script", "<script>\nvar t='</p>';</script>"), ("element", "b", "<b>two</b>")]),
+    ("top <div><p>a<br>b<p>c</div> tail </i>", [(None, None, "top"), ("element", "div", "<div><p>a<br>b<p>c</div>"), ("element", "p", "<p>a<br>b"), ("element", "br", "<br>"),
+                                                ("element", "p", "<p>c"), (None, None, "tail </i>")]),
+    ("<ul><li>1<li><b>2</ul>", [("element", "ul", "<ul><li>1<li><b>2</ul>"), ("element", "li", "<li>1"), ("element", "li", "<li><b>2"), ("element", "b", "<b>2")]),
+    ("<a title='x>y'><img src=a/></a", [("element", "a", None), ("element", "img", "<img src=a/>")]),
+    ("é <p>ü", [(None, None, "é"), ("element", "p", "<p>ü")])])
+def test_markup(spark, html, expected):
+    found = spans(spark, "a.html", html)
+    assert [(r.kind, r.name) for r in found] == [e[:2] for e in expected]
+    assert all(e[2] in (None, r.content) for r, e in zip(found, expected))
+    assert all(html.encode()[r.byte_start:r.byte_end].decode() == r.content for r in found)
+
+
+def test_xml_has_no_void_elements(spark):
+    found = spans(spark, "a.xml", "<?xml version='1'?><A><br>x</br><a/><![CDATA[<no>]]></A>")
+    assert [(r.kind, r.name) for r in found] == [("element", "A"), ("element", "br"), ("element", "a")]
+
+
+def test_many_open_tags_take_time_in_proportion():
+    import time
+
+    from seamark.functions.markup import elements
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        assert len(elements(b"<div><p>x</i>" * n)) == 2 * n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 10 * took[0]
 
 
 # ------------------------------------------------------------------- packing
