@@ -10,6 +10,7 @@ from .functions.embedding import EmbeddingProvider, HashedEmbedding, embed_text
 from .functions.ids import NIL_TENANT
 from .operators import catalog, changes, context, indexing, jobs, search as S
 from .operators.parsing import MAX_TOKENS
+from .sources.files import tree_push
 from .sources.tables import IndexTables
 
 
@@ -76,6 +77,13 @@ class Index:
         return indexing.index_batch(self.spark, self.tables, changes.pushed_files(files, tenant_id), self.provider, batch, at,
                                     max_tokens)
 
+    def sync(self, root: str, repository_id: str, branch: str, batch: str, tenant_id: str = NIL_TENANT, indexed_at: Column | None = None,
+             max_tokens: int = MAX_TOKENS, glob: str | None = None) -> DataFrame:
+        """Make the index of a branch what the text files below `root` are: new and changed ones are indexed, vanished ones leave."""
+        at = F.localtimestamp() if indexed_at is None else indexed_at
+        return indexing.index_batch(self.spark, self.tables, tree_push(self.spark, root, tenant_id, repository_id, branch, glob), self.provider, batch, at,
+                                    max_tokens, complete={(tenant_id, repository_id, branch)})
+
     def job_status(self, job_id: str) -> DataFrame:
         found = jobs.job_row(self.table("indexing_jobs"), job_id).withColumn("progress_percent", jobs.progress_percent())
         if found.isEmpty():

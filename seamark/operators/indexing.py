@@ -53,7 +53,8 @@ def _given(incoming: DataFrame) -> DataFrame:
 
 
 def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, provider: EmbeddingProvider,
-                batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS, mark: tuple[str, int] | None = None) -> DataFrame:
+                batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS, mark: tuple[str, int] | None = None,
+                complete: set[tuple[str, str, str]] | None = None) -> DataFrame:
     """Bring the index up to date with `incoming` files; returns the job of each branch with its counts.
 
     The push is staged once.  Its jobs are `running` in a version of their own; all new files, chunks, points, jobs and
@@ -61,6 +62,7 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
     the batch is simply done again.  Of a file pushed twice the later push counts (`pushed_at`; without it, or
     at the same time, the smaller content hash).  If another writer was faster, the merge is made again on what it left.
     `mark` names a stream and the number of its batch; a batch that the index holds already changes nothing.
+    Of the branches in `complete` (tenant, repository, branch) the push is all there is: their other files leave the index.
     """
     tables = tables.latest()
     known = _held(spark, tables, tables.current(spark), mark)
@@ -70,7 +72,7 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
     staged = tables.staging(run, "push")
     _given(incoming).write.parquet(staged)
     push = spark.read.parquet(staged)
-    branches = partition_keys(push, BRANCH_KEY)
+    branches = partition_keys(push, BRANCH_KEY) | (complete or set())
     at = spark.range(1).select(indexed_at.alias("at")).first()["at"]
     moment = F.lit(at).cast("timestamp_ntz")
     started = push.groupBy(*BRANCH_KEY).agg(F.countDistinct("file_path").cast("int").alias("files_total"), F.max(F.struct(
@@ -78,7 +80,7 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
         "*", "_commit.*", F.lit(batch).alias("correlation_id"), moment.alias("started_at"), F.lit(0).alias("files_processed"), F.lit(0).alias("chunks_created"))
     _jobs_only(spark, tables, started.withColumn("status", F.lit("running")), branches, batch)
     try:
-        report = _merged(spark, tables, push, branches, provider, batch, run, moment, max_tokens, mark)
+        report = _merged(spark, tables, push, branches, provider, batch, run, moment, max_tokens, mark, complete)
     except Exception as error:
         failed = started.withColumn("status", F.lit("failed")).withColumn("completed_at", moment).withColumn("error_message", F.lit(str(error)[:500]))
         try:
@@ -137,7 +139,7 @@ def _with_jobs(spark: SparkSession, tables: IndexTables, jobs: DataFrame, branch
 
 
 def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches: set, provider: EmbeddingProvider, batch: str, run: str,
-            at: Column, max_tokens: int, mark: tuple[str, int] | None = None) -> DataFrame:
+            at: Column, max_tokens: int, mark: tuple[str, int] | None = None, complete: set[tuple[str, str, str]] | None = None) -> DataFrame:
     def attempt() -> DataFrame:
         base, own = tables.current(spark), unique_batch(batch)
         known = _held(spark, tables, base, mark)
@@ -163,8 +165,9 @@ def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches:
             "size_bytes", F.coalesce("size_bytes", F.octet_length("file_content").cast("long"))).withColumn("indexed_at", at), "files")
         points = stage(_conformed(embedded(chunked_files(changed, max_tokens), provider), VECTORS), "points")
 
-        touched = partition_keys(changed, BRANCH_KEY)
-        rewritten = changed.select(*FILE_KEY)
+        vanished = stage(seen_from.read(spark, "indexed_files", complete or set()).select(*FILE_KEY).join(unique.select(*FILE_KEY), FILE_KEY, "left_anti"), "vanished")
+        rewritten = changed.select(*FILE_KEY).unionByName(vanished)
+        touched = partition_keys(rewritten, BRANCH_KEY)
 
         def merge(name: str, fresh: DataFrame) -> None:
             old = seen_from.read(spark, name, touched).join(rewritten, FILE_KEY, "left_anti").select(*ALL[name].names)
@@ -175,7 +178,7 @@ def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches:
             merge("chunk_metadata", changes.unique_chunks(_conformed(points.withColumn("created_at", at), CHUNK_METADATA)))
             merge("indexed_files", _conformed(changed, INDEXED_FILES))
 
-        report = _batch_report(seen, points, batch)
+        report = _batch_report(seen, points, vanished, batch)
         done = report.select("*", "_commit.*").withColumn("status", F.lit("completed")).withColumn(
             "files_total", F.col("files_processed")).withColumn("started_at", at).withColumn("completed_at", at)
         tenants = _with_jobs(spark, seen_from, done, branches, own)
@@ -184,14 +187,14 @@ def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches:
         now = changes.upsert_branches(known, arrived).join(arrived.select(*BRANCH_KEY, "seen_at"), BRANCH_KEY, "left")
         tables.write(now.withColumn("last_indexed", F.coalesce("seen_at", "last_indexed")), "project_branches", own)
         kept = _report_of(tables, own)
-        report.select("job_id", *BRANCH_KEY, "files_processed", "new_files", "updated_files", "unchanged_files", "chunks_created").write.parquet(kept)
+        report.select("job_id", *BRANCH_KEY, "files_processed", "new_files", "updated_files", "unchanged_files", "chunks_created", "deleted_files").write.parquet(kept)
         tables.commit(spark, base, own, {"vectors": touched, "chunk_metadata": touched, "indexed_files": touched, "indexing_jobs": tenants, "project_branches": tenants}, mark)
         return spark.read.parquet(kept)
 
     return _retried(attempt)
 
 
-def _batch_report(seen: DataFrame, points: DataFrame, batch: str) -> DataFrame:
+def _batch_report(seen: DataFrame, points: DataFrame, vanished: DataFrame, batch: str) -> DataFrame:
     """Per branch: job id, counts, and the commit it was pushed with."""
     files_done = seen.groupBy(*BRANCH_KEY).agg(
         F.count("*").alias("files_processed"), F.count_if(F.col("state") == "new").alias("new_files"),
@@ -199,8 +202,10 @@ def _batch_report(seen: DataFrame, points: DataFrame, batch: str) -> DataFrame:
         F.count_if(F.col("state") == "unchanged").alias("unchanged_files"),
         F.max(F.struct("commit_date", "commit_sha", "commit_message", "author", "repository_url")).alias("_commit"))
     chunks_done = points.groupBy(*BRANCH_KEY).agg(F.count("*").alias("chunks_created"))
-    return files_done.join(chunks_done, BRANCH_KEY, "left").withColumn("job_id", _job_id(batch)).withColumn(
-        "chunks_created", F.coalesce("chunks_created", F.lit(0).cast("long"))).withColumn("correlation_id", F.lit(batch))
+    gone = vanished.groupBy(*BRANCH_KEY).agg(F.count("*").alias("deleted_files"))
+    counts = ["files_processed", "new_files", "updated_files", "unchanged_files", "chunks_created", "deleted_files"]
+    return files_done.join(chunks_done, BRANCH_KEY, "left").join(gone, BRANCH_KEY, "full").withColumns(
+        {n: F.coalesce(n, F.lit(0).cast("long")) for n in counts}).withColumn("job_id", _job_id(batch)).withColumn("correlation_id", F.lit(batch))
 
 
 def clean(spark: SparkSession, tables: IndexTables, removed: DataFrame) -> None:

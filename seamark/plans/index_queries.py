@@ -10,7 +10,7 @@ from ..functions import embedding, ids, vectors
 from ..functions.columns import struct
 from ..operators import chunking, indexing, parsing
 from ..operators import search as S
-from ..schemas import FILE_KEY
+from ..schemas import BRANCH_KEY, FILE_KEY
 from ..session import shared_dir
 from ..sources.tables import IndexTables
 from ..streaming.index_stream import start_indexing
@@ -186,6 +186,23 @@ def index_incremental(spark, folder):
         F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("components"))
 
 
+@query("index_vanished", c.with_sql(c.FILES, c.CODE, _BLOCKS, _split_spans_sql(LARGE), select="""
+SELECT tenant_id, repository_id, branch, file_path, 1::BIGINT AS generation, count(index_cuts.doc_id)::BIGINT AS chunks, count(index_cuts.doc_id)::BIGINT AS points
+FROM files LEFT JOIN index_cuts USING (doc_id) WHERE branch = 'release' OR doc_id % 3 <> 0 GROUP BY tenant_id, repository_id, branch, file_path"""))
+def index_vanished(spark, folder):
+    """Index all source files, then say that every third of all branches but one is gone: files with their chunks and points after that."""
+    tables = _fresh_tables(spark)
+    provider, at = embedding.HashedEmbedding(D), F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    code = c.code_files(spark, folder)
+    indexing.index_batch(spark, tables, _pushes(code), provider, "one", at, LARGE)
+    left = code.filter(F.col("doc_id") % 3 != 0)
+    complete = {tuple(r) for r in code.select(*BRANCH_KEY).distinct().collect() if r["branch"] != "release"}
+    indexing.index_batch(spark, tables, _pushes(left), provider, "two", at, LARGE, complete=complete)
+    counted = lambda name, into: tables.read(spark, name).groupBy(*FILE_KEY).agg(F.count("*").alias(into))
+    files = tables.read(spark, "indexed_files").select(*FILE_KEY, "generation")
+    return files.join(counted("chunk_metadata", "chunks"), FILE_KEY, "left").join(counted("vectors", "points"), FILE_KEY, "left").fillna(0, ["chunks", "points"])
+
+
 @query("stream_index", c.with_sql(c.FILES, select="""
 SELECT 'stream' AS tenant_id, repository_id, branch, count(*) AS files FROM files WHERE NOT contains(file_content, chr(0)) GROUP BY repository_id, branch"""))
 def stream_index(spark, folder):

@@ -23,6 +23,12 @@ def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
         ids.content_hash(F.col("file_content")).alias("content_hash"))
 
 
+def tree_push(spark: SparkSession, root: str, tenant_id: str, repository_id: str, branch: str, glob: str | None = None) -> DataFrame:
+    """The files of a tree as a push of one branch."""
+    return read_tree(spark, root, glob).select(
+        F.lit(tenant_id).alias("tenant_id"), F.lit(repository_id).alias("repository_id"), F.lit(branch).alias("branch"), "*")
+
+
 def stream_pushes(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """Content pushes arriving as JSON files; the bound per trigger is the back-pressure."""
     return spark.readStream.schema(PUSH_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).json(folder)

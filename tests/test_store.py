@@ -9,7 +9,7 @@ from seamark.api import Index
 from seamark.functions.embedding import HashedEmbedding
 from seamark.sources import files as sources
 from seamark.sources.tables import CHECKPOINT, IndexTables, Version
-from seamark.streaming.index_stream import start_indexing
+from seamark.streaming.index_stream import start_indexing, start_watching
 
 PUSH = "project_id string, path string, content string"
 
@@ -148,3 +148,46 @@ def test_a_stream_killed_after_its_commit_changes_nothing_when_it_goes_on(spark,
     spark.createDataFrame([("r:main", "a.py", "def other():\n    pass\n")], PUSH).coalesce(1).write.mode("append").json(source)
     run()
     assert {(r.name, r.generation) for r in index.table("vectors").collect()} == {("other", 2), ("two", 1)}
+
+
+def files_of(index):
+    return sorted((r.file_path, r.name, r.generation) for r in index.table("vectors").collect())
+
+
+def test_a_tree_is_followed_through_changes_and_deletions(spark, index, tmp_path):
+    root, reports = tmp_path / "tree", []
+    (root / "src").mkdir(parents=True)
+    (root / "src" / "a.py").write_text("def one():\n    pass\n")
+    (root / "b.rs").write_text("pub fn two() {\n}\n")
+    push(index, "other", ("r:dev", "z.py", "def kept():\n    pass\n"))
+
+    def change(batch, report):
+        reports.append([(r.new_files, r.updated_files, r.unchanged_files, r.deleted_files) for r in report.collect()])
+        if batch == 0:
+            assert files_of(index) == [("b.rs", "two", 1), ("src/a.py", "one", 1), ("z.py", "kept", 1)]
+            (root / "src" / "a.py").write_text("def changed():\n    pass\n")
+            (root / "c.py").write_text("def three():\n    pass\n")
+        elif batch == 1:
+            assert files_of(index) == [("b.rs", "two", 1), ("c.py", "three", 1), ("src/a.py", "changed", 2), ("z.py", "kept", 1)]
+            (root / "b.rs").unlink()
+        elif batch == 2:
+            assert files_of(index) == [("c.py", "three", 1), ("src/a.py", "changed", 2), ("z.py", "kept", 1)]
+            for path in (root / "src" / "a.py", root / "c.py"):
+                path.unlink()
+        elif batch == 3:
+            raise RuntimeError("enough")
+
+    running = start_watching(spark, str(root), index.tables, index.provider, str(tmp_path / "cp"), "t", "r", "main", at(), on_report=change, processingTime="0 seconds")
+    with pytest.raises(Exception, match="enough"):
+        running.awaitTermination()
+    assert reports == [[(2, 0, 0, 0)], [(1, 1, 1, 0)], [(0, 0, 2, 1)], [(0, 0, 0, 2)]]
+    assert files_of(index) == [("z.py", "kept", 1)] and index.table("indexed_files").count() == 1 and index.table("chunk_metadata").count() == 1
+
+
+def test_sync_of_an_empty_tree(index, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.py").write_text("def x():\n    pass\n")
+    assert index.sync(str(tmp_path / "t"), "r", "main", "one", "t", at()).first().new_files == 1
+    (tmp_path / "t" / "x.py").unlink()
+    row = index.sync(str(tmp_path / "t"), "r", "main", "two", "t", at()).first()
+    assert (row.deleted_files, row.files_processed) == (1, 0) and index.table("vectors").count() == 0
