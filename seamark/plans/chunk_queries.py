@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import markup, text, walks
 from ..functions.columns import struct
 from ..operators import chunking as C
+from ..operators import parsers
 from ..operators import parsing as P
 from . import corpus as c
 from .registry import query
@@ -395,6 +396,38 @@ def definition_names(spark, folder):
                         bit(walks.CLASS).alias("is_class"), "name")
 
 
+def _paragraphs(content, language, path):
+    """Blank lines part spans: a parser as a user might bring one."""
+    import re
+
+    code = content.encode()
+    for m in re.finditer(rb"[^\n]+(?:\n[^\n]+)*", code):
+        yield *m.span(), "paragraph", None
+
+
+def _lines_of_use(content, language, path):
+    at = 0
+    for line in content.split("\n"):
+        size = len(line.encode())
+        if line.startswith("use "):
+            yield at, at + size, "import", line[4:].rstrip(";")
+        at += size + 1
+
+
+@query("parse_table_function", c.with_sql(c.FILES, c.CODE, _BLOCKS, select="""
+SELECT doc_id, 'fallback' AS parser, kind, name, start_line, end_line, content, byte_start FROM code_spans JOIN code_text USING (doc_id) WHERE language NOT IN ('python', 'go', 'c')
+UNION ALL
+SELECT doc_id, 'imports', 'import', rtrim(substr(raw, 5), ';'), no, no, raw, at_byte FROM seen WHERE language IN ('go', 'c') AND starts_with(raw, 'use ')
+UNION ALL
+SELECT doc_id, 'paragraphs', 'paragraph', NULL, min(no), max(no), string_agg(raw, chr(10) ORDER BY no), min(at_byte) FROM (
+  SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS island FROM seen WHERE language = 'python' AND raw <> '') GROUP BY doc_id, island"""))
+def parse_table_function(spark, folder):
+    """Every source file once through two parsers of a user's own and the library's for the rest."""
+    parsers.register_parsers(spark, "parse_code_files", [("paragraphs", {"python"}, _paragraphs), ("imports", {"go", "c", "python"}, _lines_of_use)])
+    rows = parsers.span_rows(c.code_files(spark, folder).select("doc_id", "file_path", "file_content", "language"), "parse_code_files", "doc_id")
+    return rows.select("doc_id", "parser", "kind", "name", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content", "byte_start")
+
+
 _TAG_SQL = (r"(?is)<!--.*?-->|<[!?][^>]*>|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|</[a-z][\w:.-]*[^>]*>"
             r'''|<[a-z][\w:.-]*(?:"[^"]*"|\''[^\'']*\''|[^<>"\''])*>|[^<]+|<''')
 _ELEMENT = "STRUCT(a BIGINT, b BIGINT, name VARCHAR)[]"

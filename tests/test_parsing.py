@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seamark.operators import chunking as C
+from seamark.operators import parsers
 from seamark.operators import parsing as P
 
 RUST = "use x;\n\nfn main() {\n    println!(\"hi\");\n}\n\nstruct Point {\n    x: i32,\n}\n\nimpl Point {\n    fn new() -> Self {\n        Point { x: 0 }\n    }\n}\n"
@@ -135,6 +136,31 @@ def test_composite_parser_takes_the_first_that_fits(spark):
     assert kinds["a.py"] == [r.kind for r in spans(spark, "a.py", PYTHON, mode="heuristic")]
 
 
+def test_parsers_as_a_table_function(spark):
+    def words(content, language, path):
+        if "never" in content:
+            raise NotImplementedError
+        at = 0
+        for word in content.split(" "):
+            yield at, at + len(word.encode()), "word", word
+            at += len(word.encode()) + 1
+
+    parsers.register_parsers(spark, "parse_words", [("words", {"python"}, words), ("second", {"python", "go"}, lambda c, l, p: [(0, 1, None, p)])])
+    df = spark.createDataFrame([("a.py", "é b\nc"), ("b.py", "def never():\n    pass"), ("c.go", "xy"), ("d.rs", RUST), ("e.py", None), ("f.zz", "text"), ("g.py", "")], "file_path string, file_content string")
+    rows = parsers.span_rows(df, "parse_words", "file_path")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Exchange" not in plan
+    got = {}
+    for r in rows.orderBy("file_path", "span").collect():
+        got.setdefault(r.file_path, []).append((r.parser, r.kind, r.name, r.start_line, r.end_line, r.content))
+    assert got["a.py"] == [("words", "word", "é", 1, 1, "é"), ("words", "word", "b\nc", 1, 2, "b\nc")]
+    assert got["b.py"] == [("fallback", "function", "never", 1, 2, "def never():\n    pass")] and got["c.go"] == [("second", None, "c.go", 1, 1, "x")]
+    assert [g[:4] for g in got["d.rs"]][:2] == [("fallback", None, None, 1), ("fallback", "function", "main", 3)]
+    assert "e.py" not in got and got["f.zz"] == [("fallback", None, None, 1, 1, "text")]
+    with pytest.raises(Exception, match="must be a string"):
+        spark.sql("SELECT * FROM parse_words(1, 'python', 'a.py')").collect()
+
+
 def test_bad_mode(spark):
     with pytest.raises(ValueError):
         spans(spark, "a.rs", "x", mode="other")
