@@ -9,6 +9,7 @@ from .functions.durations import seconds
 from .functions.embedding import EmbeddingProvider, HashedEmbedding, embed_text
 from .functions.ids import NIL_TENANT
 from .operators import catalog, changes, context, indexing, jobs, search as S
+from .operators.chunking import TokenBudget
 from .operators.parsing import MAX_TOKENS
 from .sources.files import tree_push
 from .sources.tables import IndexTables
@@ -65,17 +66,17 @@ class Index:
     # -------------------------------------------------------------- indexing
 
     def index(self, files: DataFrame, batch: str, tenant_id: str = NIL_TENANT, indexed_at: Column | None = None,
-              max_tokens: int = MAX_TOKENS) -> DataFrame:
+              max_tokens: int = MAX_TOKENS, budget: TokenBudget | None = None) -> DataFrame:
         """Index a push of (project_id, path, content) rows; `batch` names it, repeating a name repeats the batch.
 
         repository_url, commit_sha, commit_message, commit_date, author and pushed_at are kept if present;
-        `content` may be bytes, which are decoded.
+        `content` may be bytes, which are decoded.  With a `budget` small definitions share chunks up to its soft limit.
         """
         if files.isEmpty():
             raise InvalidRequest("files cannot be empty")
         at = F.localtimestamp() if indexed_at is None else indexed_at
         return indexing.index_batch(self.spark, self.tables, changes.pushed_files(files, tenant_id), self.provider, batch, at,
-                                    max_tokens)
+                                    max_tokens, budget=budget)
 
     def sync(self, root: str, repository_id: str, branch: str, batch: str, tenant_id: str = NIL_TENANT, indexed_at: Column | None = None,
              max_tokens: int = MAX_TOKENS, glob: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ their running sums answer with index ranges, and the text is cut once at the end
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,14 +17,20 @@ from ..functions.columns import let, running_starts, struct
 
 @dataclass(frozen=True)
 class TokenBudget:
+    """How many tokens a chunk may hold; `counter` maps a text column to its tokens where the heuristic is not wanted."""
+
     hard: int = 512
     overlap: int = 0
     chars_per_token: float = tokens.DEFAULT_CHARS_PER_TOKEN
+    counter: Callable[[Column], Column] | None = None
 
     @property
     def soft(self) -> int:
         return tokens.soft_limit(self.hard)
 
+    def count(self, content: Column) -> Column:
+        return self.counter(content).cast("int") if self.counter else tokens.token_count(content, self.chars_per_token)
+
 
 # Kinds that may start a chunk of their own.
 BOUNDARY_KINDS = ["function", "method", "class", "struct", "enum", "trait", "impl", "interface"]
@@ -51,8 +58,8 @@ def pack_spans(files: DataFrame, budget: TokenBudget = TokenBudget()) -> DataFra
     starts a new one once the chunk is a quarter full; a span above the hard
     limit is cut by lines, trailing lines repeated up to the overlap.
     """
-    ratio, hard = budget.chars_per_token, budget.hard
-    df = files.withColumn("_tokens", F.transform("spans", lambda x: tokens.token_count(x["content"], ratio)))
+    hard = budget.hard
+    df = files.withColumn("_tokens", F.transform("spans", lambda x: budget.count(x["content"])))
     df = df.withColumn("_cut", F.transform("spans", lambda x, i: F.when(
         F.element_at("_tokens", i + 1) > hard, text.lines(x["content"])).otherwise(F.expr("cast(array() as array<string>)"))))
     each_line = lambda count: F.transform("_cut", lambda ls: F.transform(ls, count))
@@ -62,7 +69,7 @@ def pack_spans(files: DataFrame, budget: TokenBudget = TokenBudget()) -> DataFra
         boundary=F.transform("spans", lambda x: F.coalesce(x["kind"].isin(*BOUNDARY_KINDS), F.lit(False))),
         names=F.transform("spans", lambda x: F.when(x["name"].isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(x["name"]))),
         filled=F.transform("spans", lambda x: x["content"] != ""),
-        line_tokens=each_line(lambda line: tokens.token_count(F.concat(line, F.lit("\n")), ratio)),
+        line_tokens=each_line(lambda line: budget.count(F.concat(line, F.lit("\n")))),
         line_sizes=each_line(lambda line: F.octet_length(line)))
 
     def chunk(p):

@@ -54,7 +54,7 @@ def _given(incoming: DataFrame) -> DataFrame:
 
 def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, provider: EmbeddingProvider,
                 batch: str, indexed_at: Column, max_tokens: int = parsing.MAX_TOKENS, mark: tuple[str, int] | None = None,
-                complete: set[tuple[str, str, str]] | None = None) -> DataFrame:
+                complete: set[tuple[str, str, str]] | None = None, budget: chunking.TokenBudget | None = None) -> DataFrame:
     """Bring the index up to date with `incoming` files; returns the job of each branch with its counts.
 
     The push is staged once.  Its jobs are `running` in a version of their own; all new files, chunks, points, jobs and
@@ -63,6 +63,7 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
     at the same time, the smaller content hash).  If another writer was faster, the merge is made again on what it left.
     `mark` names a stream and the number of its batch; a batch that the index holds already changes nothing.
     Of the branches in `complete` (tenant, repository, branch) the push is all there is: their other files leave the index.
+    With a `budget` small neighbours share a chunk, and its counter and limit hold; else each span of up to `max_tokens` is one.
     """
     tables = tables.latest()
     known = _held(spark, tables, tables.current(spark), mark)
@@ -80,7 +81,7 @@ def index_batch(spark: SparkSession, tables: IndexTables, incoming: DataFrame, p
         "*", "_commit.*", F.lit(batch).alias("correlation_id"), moment.alias("started_at"), F.lit(0).alias("files_processed"), F.lit(0).alias("chunks_created"))
     _jobs_only(spark, tables, started.withColumn("status", F.lit("running")), branches, batch)
     try:
-        report = _merged(spark, tables, push, branches, provider, batch, run, moment, max_tokens, mark, complete)
+        report = _merged(spark, tables, push, branches, provider, batch, run, moment, max_tokens, mark, complete, budget)
     except Exception as error:
         failed = started.withColumn("status", F.lit("failed")).withColumn("completed_at", moment).withColumn("error_message", F.lit(str(error)[:500]))
         try:
@@ -139,7 +140,9 @@ def _with_jobs(spark: SparkSession, tables: IndexTables, jobs: DataFrame, branch
 
 
 def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches: set, provider: EmbeddingProvider, batch: str, run: str,
-            at: Column, max_tokens: int, mark: tuple[str, int] | None = None, complete: set[tuple[str, str, str]] | None = None) -> DataFrame:
+            at: Column, max_tokens: int, mark: tuple[str, int] | None = None, complete: set[tuple[str, str, str]] | None = None, budget: chunking.TokenBudget | None = None) -> DataFrame:
+    cut = (lambda files: packed_files(files, budget)) if budget else (lambda files: chunked_files(files, max_tokens))
+
     def attempt() -> DataFrame:
         base, own = tables.current(spark), unique_batch(batch)
         known = _held(spark, tables, base, mark)
@@ -163,7 +166,7 @@ def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches:
         changed = stage(changes.first_per_key(with_text.drop("_hash"), FILE_KEY, F.asc("content_hash")).withColumn(
             "encoding", F.coalesce("encoding", F.lit("UTF-8"))).withColumn(
             "size_bytes", F.coalesce("size_bytes", F.octet_length("file_content").cast("long"))).withColumn("indexed_at", at), "files")
-        points = stage(_conformed(embedded(chunked_files(changed, max_tokens), provider), VECTORS), "points")
+        points = stage(_conformed(embedded(cut(changed), provider), VECTORS), "points")
 
         vanished = stage(seen_from.read(spark, "indexed_files", complete or set()).select(*FILE_KEY).join(unique.select(*FILE_KEY), FILE_KEY, "left_anti"), "vanished")
         rewritten = changed.select(*FILE_KEY).unionByName(vanished)

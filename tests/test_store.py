@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark.api import Index
 from seamark.functions.embedding import HashedEmbedding
+from seamark.operators.chunking import TokenBudget
 from seamark.sources import files as sources
 from seamark.sources.tables import CHECKPOINT, IndexTables, Version
 from seamark.streaming.index_stream import start_indexing, start_watching
@@ -191,3 +192,13 @@ def test_sync_of_an_empty_tree(index, tmp_path):
     (tmp_path / "t" / "x.py").unlink()
     row = index.sync(str(tmp_path / "t"), "r", "main", "two", "t", at()).first()
     assert (row.deleted_files, row.files_processed) == (1, 0) and index.table("vectors").count() == 0
+
+
+def test_an_index_packed_to_a_budget(spark, index):
+    code = "".join(f"def f{i}(a):\n    return a + {i}\n\n" for i in range(12))
+    words = lambda content: F.size(F.split(F.trim(content), r"\\s+"))
+    index.index(spark.createDataFrame([("r:main", "a.py", code)], PUSH), "one", "t", at(), budget=TokenBudget(20, counter=words))
+    rows = index.table("vectors").orderBy("chunk_index").collect()
+    assert 1 < len(rows) < 12 and all(r.token_count <= 20 for r in rows)
+    assert sum(len(r.content.split()) for r in rows) == len(code.split()) and [r.chunk_index for r in rows] == list(range(len(rows)))
+    assert index.table("chunk_metadata").count() == len(rows)
