@@ -46,8 +46,13 @@ def _at(base: str, amount: Column, unit: str) -> Column:
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """documents as indexed files: four branches hold versions of one path."""
+    return files_of(table(spark, folder, "documents"))
+
+
+def files_of(documents: DataFrame) -> DataFrame:
+    """The same of documents however they come, as a table or as a stream."""
     d, group = F.col("doc_id"), F.expr("doc_id div 4")
-    return table(spark, folder, "documents").select(
+    return documents.select(
         "doc_id",
         F.concat(F.lit("t"), (group % 3).cast("string")).alias("tenant_id"),
         F.concat(F.lit("org/repo-"), (group % 25).cast("string")).alias("repository_id"),
@@ -271,11 +276,16 @@ def _templates() -> list[tuple[str, bool, int, list[str]]]:
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
-    """documents written as source code: each run of four lines becomes a definition, every third one a class with a method.
+    """documents written as source code."""
+    return code_of(files(spark, folder))
+
+
+def code_of(base: DataFrame) -> DataFrame:
+    """Files as source code: each run of four lines becomes a definition, every third one a class with a method.
 
     Every line is kept whole, in a string or a comment; there the signs that end it are escaped or parted.
     """
-    base = files(spark, folder).withColumn("language", language_of(F.col("file_path")))
+    base = base.withColumn("language", language_of(F.col("file_path")))
     name = lambda line, k: F.concat(let(F.lower(F.regexp_extract(line, r"([\p{IsAlphabetic}]+)", 1)), lambda w: F.when(w == "", "unnamed").otherwise(w)), F.lit("_"), k.cast("string"))
     replaced = lambda value, *pairs: value if not pairs else replaced(F.replace(value, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:])
     quoted = replaced(F.col("file_content"), ("\\", "\\\\"), ('"', '\\"'), ("`", "\\`"), ('"#', '" #'))

@@ -160,16 +160,18 @@ def _fresh_tables(spark) -> IndexTables:
 _CHANGED = c.CODE.replace("code_lines AS (", "code_once AS (") + """,
 code_lines AS (
   SELECT * FROM code_once UNION ALL SELECT doc_id, any_value(language), max(k) + 1, '// changed' FROM code_once WHERE doc_id % 10 = 0 GROUP BY doc_id)"""
-_INDEXED = f"""index_named AS MATERIALIZED (
+def _indexed_sql(generation: str) -> str:
+    """Chunks of `index_cuts` with keys and ids, and their texts."""
+    return f"""index_named AS MATERIALIZED (
   SELECT tenant_id, repository_id, branch, file_path, chunk_index, x.doc_id, kind, name, start_line, end_line, token_count, generation, {c.UUID5_SQL.format(h='h')} AS chunk_id FROM (
     SELECT *, {c.sha1_sql("repository_id || ':' || branch || ':' || file_path || ':' || generation || ':' || p || ':' || q")} AS h FROM (
-      SELECT s.*, tenant_id, repository_id, branch, file_path, CASE WHEN s.doc_id % 10 = 0 THEN 2 ELSE 1 END AS generation FROM index_cuts s JOIN files f USING (doc_id))) x),
+      SELECT s.*, tenant_id, repository_id, branch, file_path, {generation} AS generation FROM index_cuts s JOIN files f USING (doc_id))) x),
 index_texts AS (
   SELECT n.doc_id::VARCHAR || '/' || (row_number() OVER (PARTITION BY n.doc_id ORDER BY n.i, part) - 1) AS key, decode(encode(code)[p + 1:q]) AS content
   FROM cuts JOIN numbered n USING (unit) JOIN code_text t ON t.doc_id = n.doc_id)"""
 
 
-@query("index_incremental", c.with_sql(c.FILES, _CHANGED, _BLOCKS, _split_spans_sql(LARGE), _INDEXED, features_sql("index_texts", "key", "content"), select="""
+@query("index_incremental", c.with_sql(c.FILES, _CHANGED, _BLOCKS, _split_spans_sql(LARGE), _indexed_sql("CASE WHEN s.doc_id % 10 = 0 THEN 2 ELSE 1 END"), features_sql("index_texts", "key", "content"), select="""
 SELECT tenant_id, repository_id, branch, file_path, n.chunk_index, chunk_id, generation::BIGINT AS generation, kind, name, start_line, end_line, token_count, coalesce(components, 0)::BIGINT AS components
 FROM index_named n LEFT JOIN (SELECT key, count(*) FILTER (x <> 0) AS components FROM buckets GROUP BY key) b ON b.key = n.doc_id::VARCHAR || '/' || n.chunk_index"""))
 def index_incremental(spark, folder):
@@ -203,22 +205,26 @@ def index_vanished(spark, folder):
     return files.join(counted("chunk_metadata", "chunks"), FILE_KEY, "left").join(counted("vectors", "points"), FILE_KEY, "left").fillna(0, ["chunks", "points"])
 
 
-@query("stream_index", c.with_sql(c.FILES, select="""
-SELECT 'stream' AS tenant_id, repository_id, branch, count(*) AS files FROM files WHERE NOT contains(file_content, chr(0)) GROUP BY repository_id, branch"""))
+_TOLD = "chunk_index, chunk_id, generation::BIGINT AS generation, kind, name, start_line, end_line, token_count, coalesce(components, 0)::BIGINT AS components"
+
+
+@query("stream_index", c.with_sql(c.FILES, c.CODE, _BLOCKS, _split_spans_sql(LARGE), _indexed_sql("1"), features_sql("index_texts", "key", "content"), select=f"""
+SELECT 'stream' AS tenant_id, repository_id, branch, file_path, {_TOLD}
+FROM index_named n LEFT JOIN (SELECT key, count(*) FILTER (x <> 0) AS components FROM buckets GROUP BY key) b ON b.key = n.doc_id::VARCHAR || '/' || n.chunk_index
+WHERE doc_id IN (SELECT doc_id FROM files WHERE NOT contains(file_content, chr(0)))"""))
 def stream_index(spark, folder):
-    """The documents table read as a stream of pushes and indexed micro-batch by micro-batch."""
+    """The documents, as source code, read as a stream of pushes and indexed micro-batch by micro-batch: all points."""
     tables = _fresh_tables(spark)
     schema = c.table(spark, folder, "documents").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1000).parquet(folder)
-    group = F.expr("doc_id div 4")
-    pushes = docs.select(
-        F.concat(F.lit("org/repo-"), (group % 25).cast("string"), F.lit(":"),
-                 c._pick(F.col("doc_id") % 4, ["main", "master", "dev", "release"])).alias("project_id"),
-        c.path_of(group, "doc").alias("path"), F.col("text").alias("content"))
+    pushes = c.code_of(c.files_of(docs)).select(
+        F.concat("repository_id", F.lit(":"), "branch").alias("project_id"), F.col("file_path").alias("path"), F.col("file_content").alias("content"))
     running = start_indexing(pushes, tables, embedding.HashedEmbedding(D), f"{tables.root}/checkpoint", "stream",
                              F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), LARGE)
     running.awaitTermination()
-    return tables.read(spark, "indexed_files").groupBy("tenant_id", "repository_id", "branch").agg(F.count("*").alias("files"))
+    return tables.read(spark, "vectors").select(
+        "tenant_id", "repository_id", "branch", "file_path", "chunk_index", "chunk_id", "generation", "kind", "name", "start_line", "end_line", "token_count",
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("components"))
 
 
 @query("stream_queue_state")
