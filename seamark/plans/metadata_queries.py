@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import catalog, changes, context, jobs as J
-from ..schemas import FILE_KEY
+from ..schemas import BRANCH_KEY, CHUNK_KEY, FILE_KEY
 from . import corpus as c
 from .registry import query
 
@@ -226,20 +226,20 @@ def moves_processed(spark, folder):
 
 
 @query("cascade_delete", c.with_sql(*_CB, c.BRANCHES, c.JOBS, select="""
-SELECT 'project_branches' AS entity, count(*) AS kept FROM branches WHERE tenant_id <> 't1'
-UNION ALL SELECT 'indexed_files', count(*) FROM files WHERE tenant_id <> 't1'
-UNION ALL SELECT 'chunk_metadata', count(*) FROM chunks WHERE tenant_id <> 't1'
-UNION ALL SELECT 'indexing_jobs', count(*) FROM jobs j WHERE EXISTS (SELECT 1 FROM branches b WHERE b.tenant_id <> 't1'
+SELECT 'project_branches' AS entity, tenant_id || '/' || repository_id || '/' || branch AS kept FROM branches WHERE tenant_id <> 't1'
+UNION ALL SELECT 'indexed_files', tenant_id || '/' || repository_id || '/' || branch || '/' || file_path FROM files WHERE tenant_id <> 't1'
+UNION ALL SELECT 'chunk_metadata', tenant_id || '/' || chunk_id FROM chunks WHERE tenant_id <> 't1'
+UNION ALL SELECT 'indexing_jobs', job_id FROM jobs j WHERE EXISTS (SELECT 1 FROM branches b WHERE b.tenant_id <> 't1'
   AND b.tenant_id = j.tenant_id AND b.repository_id = j.repository_id AND b.branch = j.branch)"""))
 def cascade_delete(spark, folder):
-    """Deleting one tenant takes everything below it along."""
+    """Deleting one tenant takes everything below it along: the rows that stay."""
     tenants = c.files(spark, folder).select("tenant_id").distinct().filter(F.col("tenant_id") != "t1")
     kept = changes.cascade({
         "tenants": tenants, "project_branches": c.branches(spark, folder), "indexed_files": c.files(spark, folder),
         "chunk_metadata": c.chunks(spark, folder, with_content=False), "indexing_jobs": c.jobs(spark, folder)})
-    counts = [kept[name].agg(F.count("*").alias("kept")).select(F.lit(name).alias("entity"), "kept")
-              for name in ("project_branches", "indexed_files", "chunk_metadata", "indexing_jobs")]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    keys = {"project_branches": BRANCH_KEY, "indexed_files": FILE_KEY, "chunk_metadata": CHUNK_KEY, "indexing_jobs": ["job_id"]}
+    rows = [kept[name].select(F.lit(name).alias("entity"), F.concat_ws("/", *key).alias("kept")) for name, key in keys.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 @query("vector_upsert", c.with_sql(c.POINTS, select="""
@@ -256,11 +256,10 @@ def vector_upsert(spark, folder):
         "vec_id", "chunk_id", "generation", (F.col("p") + 1).cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
-@query("vector_delete", c.with_sql(c.POINTS, select="""
-SELECT repository_id, count(*) AS points FROM points WHERE vec_id % 4 <> 0 GROUP BY repository_id"""))
+@query("vector_delete", c.with_sql(c.POINTS, select="SELECT vec_id, chunk_id, repository_id FROM points WHERE vec_id % 4 <> 0"))
 def vector_delete(spark, folder):
     p = c.points(spark, folder)
-    return changes.delete_points(p, p.filter(F.col("vec_id") % 4 == 0)).groupBy("repository_id").agg(F.count("*").alias("points"))
+    return changes.delete_points(p, p.filter(F.col("vec_id") % 4 == 0)).select("vec_id", "chunk_id", "repository_id")
 
 
 @query("vector_count", "SELECT count(*) AS vector_count FROM embeddings")
