@@ -8,7 +8,7 @@ import re
 _TOKEN = re.compile(rb"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>
     |<(?P<raw>script|style)\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)
     |</(?P<end>[A-Za-z][\w:.-]*)[^>]*>
-    |<(?P<start>[A-Za-z][\w:.-]*)(?:"[^"]*"|'[^']*'|[^<>"'])*>""", re.S | re.I | re.X)
+    |<(?P<start>[A-Za-z][\w:.-]*)(?:[^<>"']++|"[^"]*"|'[^']*')*+>""", re.S | re.I | re.X)
 _XML_TOKEN = re.compile(_TOKEN.pattern.replace(rb"(?P<raw>script|style)\b", rb"(?P<raw>(?!))"), re.S | re.X)
 
 # Elements without an end tag.

@@ -23,23 +23,24 @@ _ID = r"[\w$\x80-\xff]+"
 # ------------------------------------------------------------------ strings and comments
 
 _BLOCK_COMMENT = r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))"
-_DOUBLE, _SINGLE = r'"(?:\\.|[^"\\\n])*"?', r"'(?:\\.|[^'\\\n])*'?"
-_TRIPLE = r'"""(?:\\.|.)*?(?:"""|\Z)'
+# Possessive, so that a long string leaves nothing to go back to.
+_DOUBLE, _SINGLE = r'"(?:[^"\\\n]++|\\.)*+"?', r"'(?:[^'\\\n]++|\\.)*+'?"
+_TRIPLE = r'"""(?:[^"\\]++|\\.|"(?!""))*+(?:"""|\Z)'
 
 # What opens a comment or a string in each language; the rest of it is in the pattern, but for nested comments.
 _TOKENS = {
-    "rust": r'(?P<comment>//[^\n]*)|(?P<nested>/\*)|(?P<string>\bb?r(?P<mark>\#*)".*?(?:"(?P=mark)|\Z)|"(?:\\.|[^"\\])*"?'
+    "rust": r'(?P<comment>//[^\n]*)|(?P<nested>/\*)|(?P<string>\bb?r(?P<mark>\#*)".*?(?:"(?P=mark)|\Z)|"(?:[^"\\]++|\\.)*+"?'
             r"|'(?:\\[^\n][^'\n]*|[^\\'\n][\x80-\xbf]*)')",
-    "python": rf"(?P<comment>\#[^\n]*)|(?P<string>{_TRIPLE}|'''(?:\\.|.)*?(?:'''|\Z)|{_DOUBLE}|{_SINGLE})",
-    "javascript": rf"{_BLOCK_COMMENT}|(?P<string>`(?:\\.|[^`\\])*`?|{_DOUBLE}|{_SINGLE})",
+    "python": rf"(?P<comment>\#[^\n]*)|(?P<string>{_TRIPLE}|'''(?:[^'\\]++|\\.|'(?!''))*+(?:'''|\Z)|{_DOUBLE}|{_SINGLE})",
+    "javascript": rf"{_BLOCK_COMMENT}|(?P<string>`(?:[^`\\]++|\\.)*+`?|{_DOUBLE}|{_SINGLE})",
     "go": rf"{_BLOCK_COMMENT}|(?P<string>`[^`]*`?|{_DOUBLE}|{_SINGLE})",
     "java": rf"{_BLOCK_COMMENT}|(?P<string>{_TRIPLE}|{_DOUBLE}|{_SINGLE})",
     "c": rf"{_BLOCK_COMMENT}|(?P<string>{_DOUBLE}|{_SINGLE})",
     "cpp": rf'{_BLOCK_COMMENT}|(?P<string>\bR"(?P<mark>\w*)\(.*?(?:\)(?P=mark)"|\Z)|{_DOUBLE}|{_SINGLE})',
-    "csharp": rf'{_BLOCK_COMMENT}|(?P<string>\$?@"(?:""|[^"])*"?|{_TRIPLE}|{_DOUBLE}|{_SINGLE})',
-    "bash": r"""(?P<comment>(?<![\w$\\{])\#[^\n]*)|(?P<string>"(?:\\.|[^"\\])*"?|'[^']*'?)""",
-    "powershell": r"""(?P<comment><\#.*?(?:\#>|\Z)|\#[^\n]*)|(?P<string>"(?:`.|[^"`])*"?|'[^']*'?)""",
-    "sql": r"(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>'(?:''|[^'])*'?|(?P<mark>\$\w*\$).*?(?:(?P=mark)|\Z))",
+    "csharp": rf'{_BLOCK_COMMENT}|(?P<string>\$?@"(?:[^"]++|"")*+"?|{_TRIPLE}|{_DOUBLE}|{_SINGLE})',
+    "bash": r"""(?P<comment>(?<![\w$\\{])\#[^\n]*)|(?P<string>"(?:[^"\\]++|\\.)*+"?|'[^']*'?)""",
+    "powershell": r"""(?P<comment><\#.*?(?:\#>|\Z)|\#[^\n]*)|(?P<string>"(?:[^"`]++|`.)*+"?|'[^']*'?)""",
+    "sql": r"(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>'(?:[^']++|'')*+'?|(?P<mark>\$\w*\$).*?(?:(?P=mark)|\Z))",
     "other": rf"{_BLOCK_COMMENT}|(?P<string>{_DOUBLE})",
 }
 _SAME = {"typescript": "javascript", "tsx": "javascript"}

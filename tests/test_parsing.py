@@ -186,6 +186,20 @@ def test_xml_has_no_void_elements(spark):
     assert [(r.kind, r.name) for r in found] == [(None, None), ("element", "A"), ("element", "br"), ("element", "a")]
 
 
+@pytest.mark.parametrize("language, code", [
+    ("python", 'def a():\n    """%s'), ("rust", 'fn a() { "%s'), ("javascript", "function a() { `%s"), ("c", "int a() { /* %s"), ("java", 'void a() { """%s'), ("sql", "CREATE VIEW a AS SELECT '%s"), ("html", '<p title="%s')])
+def test_a_string_that_never_ends(language, code):
+    import tracemalloc
+
+    from seamark.functions.scanning import definitions
+    long = (code % ("x \\ y\n{ ' " * 100_000)).encode()
+    tracemalloc.start()
+    found = definitions(long, language, {"python": "indent", "sql": "none"}.get(language, "braces"))
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(long)
+    tracemalloc.stop()
+    assert language == "html" or (found and found[-1][1] <= len(long))
+
+
 def test_many_open_tags_take_time_in_proportion():
     import time
 
