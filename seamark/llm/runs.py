@@ -18,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import let
 from .common import SPACE_CLASS, bounded_batches, unused
 from .textbytes import mix, powers
 
