@@ -32,13 +32,24 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/seamark-llm/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._tables: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
         """Write `df` and read it back: lineage is cut, and any executor may be lost afterwards."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._tables[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables this folder holds that nothing reads any more; others are left alone."""
+        for table in tables:
+            if id(table) in self._tables:
+                _, path = self._tables.pop(id(table))
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

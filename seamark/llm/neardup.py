@@ -2,16 +2,20 @@
 
 Each of `trees` roots chooses one minwise coordinate; documents with the same
 minimum there share a node.  Small nodes are compared exhaustively.  A large node
-compares all its documents with one leader and branches again: it chooses
-1 / threshold coordinates on average, so that a pair at the threshold keeps one
-common path on average however deep the tree gets, while unlike pairs part
-quickly.  Nothing ends before it is small or compared.  A pair is lost only if all trees lose it.
+compares all its documents with one leader, and what is linked by then is one
+component, in which nothing is left to compare.  If few documents of the node are
+outside its largest component, they are compared with all others and the node is done.
+Otherwise it branches again: it chooses 1 / threshold coordinates on average, so
+that a pair at the threshold keeps one common path on average however deep the tree
+gets, while unlike pairs part quickly.  Nothing ends before it is compared.  A pair
+is lost only if all trees lose it.
 
 What keeps the work linear:
 
 * Documents with equal shingle sets are one class from the start; the rest works on classes.
-* A node whose documents are all linked with one leader, by their full sets, is done.
-* Pairs are compared on whole signatures before any set is fetched.
+* A node whose documents hang together, by links confirmed on full sets in any node, is done.
+* Pairs are compared on whole signatures (eight bits a coordinate) before any set is fetched.
+* The tables of a level are deleted when the next one stands.
 * Hot nodes never meet in a task.  Nodes are counted with map-side sums, rows join these
   counts (adaptive execution splits the hot side), and only nodes of at most `small` rows are collected.
 
@@ -35,7 +39,8 @@ COORDINATES = 128
 _SALTS = [np.uint64(s) for s in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F,
                                  0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("b1", T.LongType()),
-                       T.StructField("b2", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+                       T.StructField("b2", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType())),
+                       T.StructField("roots", T.ArrayType(T.IntegerType()))])
 
 
 def _shingles(w: textbytes.Words, size: int) -> Iterator[np.ndarray]:
@@ -82,14 +87,18 @@ def _minwise(values: np.ndarray, factor: np.ndarray, shift: np.ndarray, block: i
     return winner
 
 
-def sketch(text: Column, size: int) -> Column:
-    """Set size, class, 128 one-bit and 128 full minwise values of each text; class null without words."""
+def sketch(text: Column, size: int, trees: int = 16) -> Column:
+    """Of each text: set size, class (null without words), 128 minwise values of one bit, of eight bits, the first `trees` whole."""
+
+    def lists(rows: list[np.ndarray], kind: type) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, kind)))
 
     @F.arrow_udf(SKETCH)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         factor, shift = _coefficients()
         for batch in batches:
-            n, cid, bits, sig, empty = [], [], [], [], []
+            n, cid, bits, sig, roots, empty = [], [], [], [], [], []
             for w in textbytes.words(batch):
                 for values in _shingles(w, size):
                     n.append(len(values))
@@ -97,19 +106,19 @@ def sketch(text: Column, size: int) -> Column:
                     if len(values):
                         cid.append(int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True))
                         ids = _minwise(values, factor, shift)
-                        sig.append(ids.view(np.int32))
+                        sig.append((ids & 255).astype(np.uint8).view(np.int64))
+                        roots.append(ids[:trees].view(np.int32))
                         bits.append(np.packbits(ids & 1).view(np.int64))
                     else:
                         cid.append(0)
-                        sig.append(np.zeros(0, np.int32))
+                        sig.append(np.zeros(0, np.int64))
+                        roots.append(np.zeros(0, np.int32))
                         bits.append(np.zeros(2, np.int64))
             mask = np.array(empty, dtype=bool)
             bits = np.array(bits, dtype=np.int64).reshape(-1, 2)
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sig])]).astype(np.int32)
-            flat = pa.array(np.concatenate(sig) if sig else np.zeros(0, np.int32))
             yield pa.StructArray.from_arrays(
                 [pa.array(n, pa.int64()), pa.array(np.array(cid, dtype=np.int64), mask=mask), pa.array(bits[:, 0], mask=mask),
-                 pa.array(bits[:, 1], mask=mask), pa.ListArray.from_arrays(pa.array(ends), flat)], names=SKETCH.names)
+                 pa.array(bits[:, 1], mask=mask), lists(sig, np.int64), lists(roots, np.int32)], names=SKETCH.names)
 
     return run(text)
 
@@ -162,8 +171,11 @@ def _pair(x: Column, y: Column) -> Column:
 
 
 def _equal(x: Column, y: Column) -> Column:
-    """On how many coordinates two minwise signatures agree."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda total, one: total + one)
+    """On how many coordinates two minwise signatures agree: bytes of their words that do not differ."""
+    differ = F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    for step in (4, 2, 1):      # the lowest bit of a byte becomes the union of its bits
+        differ = F.transform(differ, lambda w: w.bitwiseOR(F.shiftrightunsigned(w, step)))
+    return F.lit(COORDINATES) - F.aggregate(differ, F.lit(0), lambda total, w: total + F.bit_count(w.bitwiseAND(F.lit(0x0101010101010101))))
 
 
 def _least_equal(percent: int, deviations: float = 3.3) -> int:
@@ -173,12 +185,12 @@ def _least_equal(percent: int, deviations: float = 3.3) -> int:
 
 
 def _pairs_in_small_nodes(rows: DataFrame, percent: int, signed: bool, blocks: bool = False) -> DataFrame:
-    """All plausible pairs of nodes that hold few rows; pairs known to hang together are left out.
+    """All plausible pairs of nodes that hold few rows; pairs known to hang together (the same label) are left out.
 
-    `signed`: the rows have their whole signatures and `home`, the first leader they are linked with.
+    `signed`: the rows have their whole signatures.
     `blocks`: a node holds two blocks of a larger one, and only pairs across them are meant, or one block alone.
     """
-    members = F.collect_list(F.struct("cid", "n", "b1", "b2", "label", *(["home", "sig"] if signed else []), *(["block", "alone"] if blocks else [])))
+    members = F.collect_list(F.struct("cid", "n", "b1", "b2", "label", *(["sig"] if signed else []), *(["block", "alone"] if blocks else [])))
     nodes = rows.groupBy("node").agg(members.alias("m"))
 
     def open_(x: Column, y: Column) -> Column:
@@ -186,7 +198,7 @@ def _pairs_in_small_nodes(rows: DataFrame, percent: int, signed: bool, blocks: b
         if blocks:
             apart = (x["alone"] | (x["block"] != y["block"])) & apart
         if signed:
-            apart = apart & ~F.coalesce(x["home"] == y["home"], F.lit(False)) & (_equal(x["sig"], y["sig"]) >= _least_equal(percent))
+            apart = apart & (_equal(x["sig"], y["sig"]) >= _least_equal(percent))
         return apart
 
     found = F.flatten(F.transform("m", lambda x, i: F.transform(
@@ -203,6 +215,15 @@ def _pairs_in_blocks(rows: DataFrame, percent: int, small: int) -> DataFrame:
         F.col("node"), F.least("block", "other"), F.greatest("block", "other"))), percent, True, True)
 
 
+def _pairs_with_few(rows: DataFrame, percent: int) -> DataFrame:
+    """All plausible pairs across labels of nodes of any size with few rows whose label is not `main`: those against all rows."""
+    sides = ("cid", "n", "b1", "b2", "label", "sig")
+    few = rows.filter("label <> main").groupBy("node").agg(F.collect_list(F.struct(*sides)).alias("few"))
+    own = F.struct(*sides)
+    open_ = F.filter("few", lambda x: (x["label"] != F.col("label")) & _plausible(x, own, percent) & (_equal(x["sig"], F.col("sig")) >= _least_equal(percent)))
+    return rows.select("node", *sides).join(few, "node").select(F.explode(F.transform(open_, lambda x: _pair(x["cid"], F.col("cid")))).alias("p")).select("p.a", "p.b")
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked by their full sets."""
     sides = pairs.join(full.select(F.col("cid").alias("a"), F.col("shingles").alias("left")), "a").join(
@@ -212,73 +233,75 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         F.col("both") * 100 >= (size - F.col("both")) * percent).select("a", "b")
 
 
-def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, sets_of: Callable[[DataFrame], DataFrame], trees: int = 16,
-                         small: int = 48, depth: int = 10) -> DataFrame:
-    """Links (a, b) of classes, confirmed on the full sets.
+def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, sets_of: Callable[[DataFrame], DataFrame], small: int = 48,
+                         depth: int = 10) -> DataFrame:
+    """Pairs (a, b) of classes that lead to all that links lead to; links are confirmed on the full sets.
 
-    `classes` has cid, n, b1, b2, sig; `sets_of` gives (cid, shingles) of the classes in a table with cid.  `trees` times
-    independent roots; a pair at the threshold of 0.8 meets in the first level of one tree with a chance of 0.8.
-    Nodes branch until none is large; those that after `depth` levels still hold up to 16 times as many as a
-    small one are compared exhaustively, block by block, and so are all that are left after 8 * `depth` levels.
+    `classes` has cid, n, b1, b2, sig, roots; `sets_of` gives (cid, shingles) of the classes in a table with cid.  Each
+    of the roots is a tree; a pair at the threshold of 0.8 meets in the first level of one tree with a chance of 0.8.
+    Nodes branch until at most `small` rows are outside the largest component of the node; those with more that after
+    `depth` levels hold up to 16 times as many are compared exhaustively, block by block, and so are all that are left
+    after 8 * `depth` levels.
     """
-    def coordinate(*parts: Column) -> Column:
-        return F.element_at("sig", (F.pmod(_node(*parts), F.lit(COORDINATES)) + 1).cast("int"))
-
-    base = ("cid", "n", "b1", "b2", "label")
-    roots = F.array(*[F.struct(F.lit(t).alias("tree"), coordinate(F.lit("root"), F.lit(t)).alias("value")) for t in range(trees)])
-    rows = classes.withColumn("label", F.col("cid")).select(*base, F.explode(roots).alias("r")).select(
-        *base, _node(F.lit("tree"), F.col("r.tree"), F.col("r.value")).alias("node"))
+    base = ("cid", "n", "b1", "b2")
+    rows = classes.select(*base, F.posexplode("roots").alias("tree", "value")).select(*base, _node(F.lit("tree"), F.col("tree"), F.col("value")).alias("node"))
     counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
     shared = scratch.keep(rows.join(counts, "node"), "nodes")
-    pairs = [scratch.keep(_pairs_in_small_nodes(shared.filter(F.col("size") <= small), percent, False).distinct(), "pairs")]
-
+    pairs = scratch.keep(_pairs_in_small_nodes(shared.filter(F.col("size") <= small).withColumn("label", F.col("cid")), percent, False).distinct(), "pairs")
     large = shared.filter(F.col("size") > small)
     # how many others a document met in large nodes: the centre of a group of near copies meets most
     weight = large.groupBy("cid").agg(F.sum("size").alias("weight"))
-    large = scratch.keep(large.join(weight, "cid").join(classes.select("cid", "sig"), "cid").drop("size").withColumn("home", F.lit(None).cast("long")), "large")
-    full = sets_of(pairs[0].select(F.explode(F.array("a", "b")).alias("cid")).unionByName(large.select("cid")).distinct())
-    links = []
+    rows = scratch.keep(large.join(weight, "cid").join(classes.select("cid", "sig"), "cid").drop("size").withColumn("label", F.col("cid")), "large")
+    full = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(rows.select("cid")).distinct())
+    links = scratch.keep(_confirmed(pairs, full, percent), "links")
+    scratch.drop(shared, pairs)
+
+    def open_nodes(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """(rows of nodes that go on, links of those that are done); nodes within one component end without a word."""
+        labels = rows.groupBy("node", "label").agg(F.count("*").alias("rows"))
+        nodes = labels.groupBy("node").agg(F.sum("rows").alias("size"), F.max("rows").alias("most"), F.max_by("label", F.struct("rows", "label")).alias("main"))
+        nodes = scratch.keep(nodes.filter("size > most"), "open")
+        rest = F.col("size") - F.col("most")
+        met = rows.join(nodes, "node")
+        found = _pairs_with_few(met.filter(rest <= small), percent)
+        on = rest > small
+        if level >= depth:
+            ripe = on & (F.col("size") <= 16 * small) if level < 8 * depth else on
+            found = found.unionByName(_pairs_in_blocks(met.filter(ripe), percent, small))
+            on = on & ~ripe
+        done = scratch.keep(_confirmed(found.distinct(), full, percent), "links")
+        further = scratch.keep(met.filter(on).select(*rows.columns), "further")
+        scratch.drop(nodes, rows)
+        return further, done
+
     level = 0
-    while not large.isEmpty():
+    while not rows.isEmpty():
         rank = F.col("weight") if level == 0 else _node(F.lit(level), F.col("node"), F.col("cid"))
-        own = F.col("label") == F.col("cid")   # from the second level on, lead by one that no leader has taken
-        best = F.max_by(F.struct("cid", "n", "b1", "b2", "sig"), F.struct(*([] if level == 0 else [own.cast("int").alias("own")]), rank.alias("rank"), "cid"))
-        leads = scratch.keep(large.groupBy("node").agg(best.alias("lead")), "leads")
-        met = large.join(leads, "node")
-        asked = ((F.col("label") != F.col("lead.cid")) & (F.col("cid") != F.col("lead.cid")) & _plausible(F.struct("cid", "n", "b1", "b2"), F.col("lead"), percent)
+        own = F.col("label") == F.col("cid")   # from the second level on, lead by one that hangs together with none
+        best = F.max_by(F.struct(*base, "label", "sig"), F.struct(*([] if level == 0 else [own.cast("int").alias("own")]), rank.alias("rank"), "cid"))
+        met = rows.join(rows.groupBy("node").agg(best.alias("lead")), "node")
+        asked = ((F.col("label") != F.col("lead.label")) & _plausible(F.struct(*base), F.col("lead"), percent)
                  & (_equal(F.col("sig"), F.col("lead.sig")) >= _least_equal(percent)))
-        asked = scratch.keep(met.filter(asked).select("node", "cid", F.col("lead.cid").alias("by"), _pair(F.col("cid"), F.col("lead.cid")).alias("p")).select(
-            "node", "cid", "by", "p.a", "p.b"), "asked")
-        links.append(scratch.keep(_confirmed(asked.select("a", "b").distinct(), full, percent), "links"))
-        # only a link confirmed on the full sets makes a leader stand for a row; a leader stands for itself
-        taken = asked.join(links[-1], ["a", "b"]).select("node", "cid", "by").unionByName(
-            leads.select("node", F.col("lead.cid").alias("cid"), F.col("lead.cid").alias("by")))
-        led = scratch.keep(large.join(taken, ["node", "cid"], "left").withColumn("home", F.coalesce("home", "by")).withColumn(
-            "label", F.coalesce("by", "label")).drop("by"), "led")
+        asked = met.filter(asked).select(_pair(F.col("cid"), F.col("lead.cid")).alias("p")).select("p.a", "p.b").distinct()
+        led = scratch.keep(_confirmed(asked, full, percent), "links")
+        parts = connected_components(links.unionByName(led), scratch)
+        links = parts.filter("vertex <> component").select(F.col("component").alias("a"), F.col("vertex").alias("b"))
+        labelled = scratch.keep(rows.drop("label").join(parts.select(F.col("vertex").alias("cid"), F.col("component").alias("label")), "cid", "left").withColumn(
+            "label", F.coalesce("label", "cid")), "labelled")
+        scratch.drop(rows)
+        rows, done = open_nodes(labelled, level)
+        links = links.unionByName(done)
         # one coordinate, and another in part of the nodes: 1 / threshold on average
         second = F.pmod(_node(F.lit("more"), F.lit(level), F.col("node")), F.lit(percent)) < 100 - percent
         steps = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        rows = led.select("*", F.explode(steps).alias("step")).withColumn("node", _node(
-            F.col("node"), F.col("step"), coordinate(F.lit("next"), F.lit(level), F.col("node"), F.col("step")))).drop("step")
-        kept = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"),
-                                        F.min(F.coalesce("home", "cid")).alias("first"), F.max(F.coalesce("home", "cid")).alias("last")).filter(
-            "size > 1 and low <> high and first <> last").select("node", "size")
-        rows = scratch.keep(rows.join(kept, "node"), "nodes")
-        pairs.append(_pairs_in_small_nodes(rows.filter(F.col("size") <= small), percent, True))
+        at = F.pmod(_node(F.lit("next"), F.lit(level), F.col("node"), F.col("step")), F.lit(COORDINATES)).cast("int")
+        value = F.call_function("shiftright", F.element_at("sig", (at / 8).cast("int") + 1), at % 8 * 8).bitwiseAND(F.lit(255))
+        branched = scratch.keep(rows.withColumn("step", F.explode(steps)).withColumn("node", _node(F.col("node"), F.col("step"), value)).drop("step"), "branched")
+        scratch.drop(rows)
         level += 1
-        rest = F.col("size") > small
-        if level >= depth:
-            ripe = rest & (F.col("size") <= 16 * small) if level < 8 * depth else rest
-            pairs.append(_pairs_in_blocks(rows.filter(ripe), percent, small))
-            rest = rest & ~ripe
-        large = rows.filter(rest).drop("size")
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.unionByName(more)
-    out = _confirmed(out.distinct() if len(pairs) > 1 else out, full, percent)
-    for more in links:
-        out = out.unionByName(more)
-    return out.distinct()
+        rows, done = open_nodes(branched, level)
+        links = links.unionByName(done)
+    return links
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -293,9 +316,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     """
     scratch = Scratch(spark, "neardup")
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = scratch.keep(given.select("id", sketch(F.col("text"), shingle).alias("s")).select("id", "s.*"), "sketches")
-    classes = scratch.keep(sets.filter("cid is not null").groupBy("cid").agg(
-        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b1", "b2", "sig")]), "classes")
+    sketches = scratch.keep(given.select("id", sketch(F.col("text"), shingle, trees).alias("s")).select("id", "s.*"), "sketches")
+    classes = scratch.keep(sketches.filter("cid is not null").groupBy("cid").agg(
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b1", "b2", "sig", "roots")]), "classes")
+    sets = scratch.keep(sketches.select("id", "n", "cid"), "sizes")
+    scratch.drop(sketches)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         wanted = scratch.keep(wanted.join(classes.select("cid", "rep"), "cid"), "wanted")
@@ -303,7 +328,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
             shingle_set(F.col("text"), shingle).alias("s")).select("s.*")
         return scratch.keep(texts.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
-    links = scratch.keep(near_duplicate_links(classes, scratch, percent, sets_of, trees), "links")
+    links = scratch.keep(near_duplicate_links(classes, scratch, percent, sets_of), "links")
     parts = connected_components(links, scratch)
     named = parts.join(classes.select(F.col("cid").alias("vertex"), "rep"), "vertex")
     lowest = named.groupBy("component").agg(F.min("rep").alias("lowest"))
