@@ -143,6 +143,35 @@ def check_talks(spark, rows):
     return out
 
 
+def test_vectors_of_a_dense_cone(spark):
+    """All vectors lie round one axis (cosines about 0.9), a few have a partner just above the threshold."""
+    rng = np.random.default_rng(7)
+    n, planted, size = 6000, 100, 128
+    axis = np.eye(size)[0]
+
+    def around(residuals):
+        residuals[:, 0] = 0
+        return axis * np.sqrt(0.9) + residuals / np.linalg.norm(residuals, axis=1, keepdims=True) * np.sqrt(0.1)
+
+    vectors = around(rng.normal(size=(n, size)))
+    chosen = rng.choice(n, planted, replace=False)
+    near = (vectors[chosen] - axis * np.sqrt(0.9)) / np.sqrt(0.1)
+    aside = rng.normal(size=(planted, size))
+    aside[:, 0] = 0
+    aside -= near * np.sum(aside * near, axis=1, keepdims=True)
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    vectors = np.concatenate([vectors, around(near * 0.52 + aside * np.sqrt(1 - 0.52 ** 2))])
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    found = {r.vec_id: r.n_links for r in embeddup.near_duplicate_vectors(spark, df).collect()}
+    assert len(found) == len(vectors)
+    assert all(found[i] <= links[i] for i in found)
+    linked = np.flatnonzero(links)
+    assert len(linked) >= 2 * planted
+    assert sum(found[i] == links[i] for i in linked) >= 0.99 * len(linked)
+
+
 def test_chat_round_trip(spark):
     rows = [(c, t, role, text) for c, role in enumerate(["assistant", "user", "a\nb", "<|x\\n", None, "", "\\"]) for t, text in enumerate(HARD)]
     rows += [(50, 1, "user", "q"), (50, 2, "assistant", "a"), (51, 1, "system", "s"), (51, 2, "user", "q"), (51, 3, "assistant", "a"), (52, 1, "user", "q"),
