@@ -1,9 +1,11 @@
 """Personal data: fixed forms as seeds, then contextual patterns bootstrapped from them; built-in functions only.
 
-Seed entities found by their form lend their kind to the words around them.  A pattern is one
-such word on one side.  Patterns and instances form a graph; in rounds, patterns are scored
-by the known instances they surround, unknown instances by the patterns around them, and those of
-high confidence become known.  Everything is an aggregation over distinct (pattern, instance) pairs,
+Seed entities found by their form lend their kind to the words around them.  A pattern is one to
+three such words on one side, or one on each.  Patterns and instances form a graph; in rounds, patterns are
+scored by the known instances they surround, unknown instances by the best pattern around them, and those of
+high confidence become known, until a round adds none.  Against a pattern counts what is known as another kind
+or cannot be of its own; an unknown instance that could be is what the pattern is there to find and counts
+neither way.  Everything is an aggregation over distinct (pattern, instance) pairs,
 summed on the map side, so a word that stands beside a third of all numbers costs one row per task.
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import let, running_starts, struct
 from .common import Scratch, of_kind
@@ -33,7 +35,8 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORDY = r"[^\s0-9@]*+[0-9@]\S*+"
 _CANDIDATE = rf"(?<!\S){_WORDY}(?:\x20{_WORDY})*+"
 _EDGE_LEFT, _EDGE_RIGHT = r"^[^A-Za-z0-9+(]+", r"[^A-Za-z0-9)]+$"
-CONTEXT = 64   # characters of a context word that are looked at
+LONG_WORD = 64   # characters from which a context word is named by its hash
+_DATE_OR_TIME = r"^(?:[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./][0-9]{4})(?:[\x20T]|$)"
 
 
 def _digits(value: Column) -> Column:
@@ -70,7 +73,7 @@ def _fits(kind: str, value: Column) -> Column:
     return {"email": value.rlike("[A-Za-z]") & value.rlike(r"^[^@\s]+@[^@\s]+$"),
             "ip": value.rlike(r"^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,7}$") & (n >= 4),
             "card": value.rlike(r"^[0-9][0-9\x20.-]*[0-9]$") & n.between(12, 19),
-            "phone": value.rlike(r"^[+(]?[0-9][0-9\x20().-]*[0-9]$") & n.between(7, 15)}[kind]
+            "phone": value.rlike(r"^[+(]?[0-9][0-9\x20().-]*[0-9]$") & n.between(7, 15) & ~value.rlike(_DATE_OR_TIME)}[kind]
 
 
 def located(text: Column, pattern: str, hint: Column | None = None) -> Column:
@@ -103,48 +106,56 @@ def _base(text: Column) -> list[Column]:
     return spans
 
 
+def _words(piece: Column, blanks: int) -> Column:
+    """Whole words up to so many blanks from the end (negative) or the start, in reading order, lower case."""
+    near = F.filter(F.split(F.lower(F.substring_index(piece, " ", blanks)), r"\s+"), lambda w: w != "")
+    return F.transform(near, lambda w: F.when(F.char_length(w) > LONG_WORD, F.sha2(w, 256)).otherwise(w))
+
+
 def _candidates(text: Column) -> Column:
-    """Candidates without the punctuation around them, and the lower-case words before and after."""
+    """Candidates without the punctuation around them, and up to three lower-case words before and after."""
     def trimmed(m: Column) -> Column:
         value = F.regexp_replace(m["value"], _EDGE_LEFT, "")
         return let(value, lambda v: let(F.regexp_replace(v, _EDGE_RIGHT, ""), lambda core: struct(
             value=core, start=m["end"] - F.char_length(v), end=m["end"] - F.char_length(v) + F.char_length(core),
-            left=F.lower(F.regexp_extract(F.substring(m["before"], -CONTEXT, CONTEXT), r"(\S+)\s*$", 1)),
-            right=F.lower(F.regexp_extract(F.substring(m["after"], 1, CONTEXT), r"^\s*(\S+)", 1)))))
+            left=_words(m["before"], -4), right=_words(m["after"], 4))))
     return F.filter(F.transform(located(text, _CANDIDATE, text.rlike("[0-9@]")), trimmed), lambda c: F.char_length(c["value"]) > 3)
 
 
+def _patterns(left: Column, right: Column) -> Column:
+    """One to three words before, one to three after, and one on each side."""
+    before = [F.when(F.size(left) >= n, F.concat(F.lit("before "), F.array_join(F.slice(left, -n, n), " "))) for n in (1, 2, 3)]
+    after = [F.when(F.size(right) >= n, F.concat(F.lit("after "), F.array_join(F.slice(right, 1, n), " "))) for n in (1, 2, 3)]
+    around = F.when((F.size(left) > 0) & (F.size(right) > 0), F.concat(F.lit("around "), F.element_at(left, -1), F.lit(" "), right[0]))
+    return F.array_compact(F.array(*before, *after, around))
+
+
 @dataclass(frozen=True)
 class Bootstrap:
     """When a pattern and an instance are believed."""
 
-    rounds: int = 3
     support: int = 5          # known distinct instances a pattern needs
-    precision: float = 0.75   # known of a kind, among all instances a pattern surrounds and one more
-    confidence: float = 0.8   # of an instance: 1 - product of (1 - precision) over its patterns
+    precision: float = 0.8    # known of a kind, among those, the counter-examples and one more
 
 
-def _bootstrap(graph: DataFrame, scratch: Scratch, rule: Bootstrap) -> tuple[DataFrame, DataFrame]:
-    """(patterns, instances) believed in the end; `graph` has pattern, instance and the seed kind or null, each pair once."""
+def _bootstrap(graph: DataFrame, scratch: Scratch, rule: Bootstrap) -> DataFrame:
+    """(instance, kind) believed in the end; `graph` has pattern, instance, the seed kind or null, and the kinds it may be, each pair once."""
     learned = None
-    patterns = None
-    for _ in range(rule.rounds):
+    while True:
         known = graph if learned is None else graph.join(learned.withColumnRenamed("kind", "new"), "instance", "left").withColumn(
             "kind", F.coalesce("kind", "new")).drop("new")
-        total = F.sum("n").over(Window.partitionBy("pattern"))
-        # one row per pattern and kind (five at most), so the window is small whatever the word
-        sums = known.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-        patterns = scratch.keep(sums.withColumn("of", total).filter(F.col("kind").isNotNull()).withColumn("precision", F.col("n") / (F.col("of") + 1)).filter(
-            (F.col("n") >= rule.support) & (F.col("precision") >= rule.precision)).select("pattern", "kind", "precision", "n"), "patterns")
-        unknown = graph.filter(F.col("kind").isNull()).select("pattern", "instance")
-        scored = unknown.join(patterns.select("pattern", F.col("kind").alias("guess"), "precision"), "pattern").groupBy("instance", "guess").agg(
-            (1 - F.exp(F.sum(F.log(1 - F.least("precision", F.lit(0.999)))))).alias("confidence")).filter(F.col("confidence") >= rule.confidence)
-        fits = F.lit(False)
-        for kind in KINDS:
-            fits = fits | ((F.col("guess") == kind) & _fits(kind, F.col("instance")))
-        best = scored.filter(fits).groupBy("instance").agg(F.max_by("guess", F.struct("confidence", "guess")).alias("kind"))
-        learned = scratch.keep(best, "instances")
-    return patterns, learned
+        known = scratch.keep(known, "known")
+        own = [F.count_if(F.col("kind") == kind) for kind in KINDS]
+        unfit = [F.count_if(F.col("kind").isNull() & ~F.array_contains("fits", kind)) for kind in KINDS]
+        sums = known.groupBy("pattern").agg(F.count("kind").alias("of"), F.array(*[
+            struct(guess=F.lit(kind), n=n, unfit=u) for kind, n, u in zip(KINDS, own, unfit)]).alias("kinds"))
+        trusted = sums.select("pattern", "of", F.inline("kinds")).withColumn("precision", F.col("n") / (F.col("of") + F.col("unfit") + 1)).filter(
+            (F.col("n") >= rule.support) & (F.col("precision") >= rule.precision)).select("pattern", "guess", "precision")
+        asked = known.filter(F.col("kind").isNull() & (F.size("fits") > 0)).join(trusted, "pattern").filter(F.array_contains("fits", F.col("guess")))
+        more = scratch.keep(asked.groupBy("instance").agg(F.max_by("guess", F.struct("precision", "guess")).alias("kind")), "instances")
+        if more.isEmpty():
+            return more if learned is None else learned
+        learned = more if learned is None else scratch.keep(learned.unionByName(more), "learned")
 
 
 def _joined(spans: Column) -> Column:
@@ -156,8 +167,8 @@ def find_pii(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
 
     base: the forms, leftmost and without overlap within a kind.  added: spans that the bootstrapped
     contexts discover; they never touch a base span.  A null or empty text has none.  Repeated rows and
-    ties are judged each by itself; among equals the later kind in alphabetical order wins.  An empty table
-    gives an empty result; other columns are not read.
+    ties are judged each by itself; among equals the later kind in alphabetical order wins.  Very long texts are read
+    whole, in time that grows with their length.  An empty table gives an empty result; other columns are not read.
     """
     scratch = Scratch(spark, "pii")
     given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -165,10 +176,10 @@ def find_pii(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     first = scratch.keep(found.withColumn("row", F.monotonically_increasing_id()), "spans")
     seen = F.coalesce(*[F.when(F.exists(kind, lambda s: (s["start"] < F.col("c.end")) & (F.col("c.start") < s["end"])), F.lit(kind)) for kind in KINDS])
     occurrences = first.select("row", *KINDS, F.explode("candidates").alias("c")).select("row", "c.*", seen.alias("kind"))
-    words = F.filter(F.array(F.when(F.col("left") != "", F.concat(F.lit("before "), "left")), F.when(F.col("right") != "", F.concat(F.lit("after "), "right"))), lambda w: w.isNotNull())
-    graph = scratch.keep(occurrences.select(F.lower("value").alias("instance"), "kind", F.explode(words).alias("pattern")).groupBy("pattern", "instance").agg(
-        F.max("kind").alias("kind")), "graph")
-    _, learned = _bootstrap(graph, scratch, rule)
+    may_be = F.array_compact(F.array(*[F.when(_fits(kind, F.col("instance")), F.lit(kind)) for kind in KINDS]))
+    pairs = occurrences.select(F.lower("value").alias("instance"), "kind", F.explode(_patterns(F.col("left"), F.col("right"))).alias("pattern"))
+    graph = scratch.keep(pairs.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")).withColumn("fits", may_be), "graph")
+    learned = _bootstrap(graph, scratch, rule)
     added = occurrences.filter(F.col("kind").isNull()).select("row", F.lower("value").alias("instance"), "start", "end").join(learned, "instance").groupBy("row").agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("more"))   # spans of one text
     base = F.concat(*[F.transform(kind, _named(kind)) for kind in KINDS])

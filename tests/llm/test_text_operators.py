@@ -59,6 +59,26 @@ def test_pii_bootstrap_finds_unseen(spark):
     assert all(out[i].n_added == 0 for i in (*range(40), 101, 102, 103))
 
 
+def test_pii_bootstrap_with_as_many_unseen_as_seeds(spark):
+    rows = [(i, f"call me on phone: +1 ({200 + i}) 555-{1000 + i} today") for i in range(200)]
+    rows += [(1000 + i, f"write to us or phone: ({200 + i}) 777-{1000 + i} at once") for i in range(200)]
+    rows += [(2000 + i, f"it was opened on 2024-03-{10 + i} at noon, order {5000000 + i} was sent") for i in range(15)]
+    out = {r.doc_id: r for r in pii.digest(pii.find_pii(spark, documents(spark, rows))).collect()}
+    assert all(out[1000 + i].spans == "phone:22:36" for i in range(200))
+    assert all(out[i].n_added == 0 for i in (*range(200), *range(2000, 2015)))
+
+
+def test_pii_second_round_finds_what_the_first_cannot(spark):
+    rows = [(i, f"please dial +1 ({200 + i}) 555-{1000 + i}") for i in range(20)]
+    rows += [(100 + i, f"please dial (345) 666-{2000 + i}") for i in range(10)]      # learned in the first round
+    rows += [(200 + i, f"her mobile (345) 666-{2000 + i}") for i in range(10)]       # and so their other context
+    rows += [(300, "her mobile (345) 777-9876"), (301, "her bicycle (345) 777-9877"), (302, None), (303, "")]
+    found = pii.find_pii(spark, documents(spark, rows))
+    out = {r.doc_id: r.spans for r in pii.digest(found).collect()}
+    assert out[300] == "phone:11:25" and out[301] == out[302] == out[303] == ""
+    assert pii.find_pii(spark, documents(spark, rows).limit(0)).count() == 0
+
+
 def test_secret_base_spans_and_learned(spark, odd):
     net = secrets.CharNet(np.zeros((secrets.WIDTH, secrets.SIGNS, secrets.FILTERS)), np.zeros(secrets.FILTERS), np.zeros(2 * secrets.FILTERS), 0.0)
     found = secrets.find_secrets(odd, net)
