@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import ids, tokens
 from ..functions.embedding import EmbeddingProvider
 from ..schemas import (
-    ALL, BRANCH_KEY, CHUNK_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, VECTORS,
+    ALL, BRANCH_KEY, CHUNK_METADATA, COMMIT_COLUMNS, FILE_KEY, INDEXED_FILES, INDEXING_JOBS, VECTORS,
 )
 from ..sources.tables import IndexTables, Version, VersionTaken, partition_keys, unique_batch
 from . import changes, chunking, parsing
@@ -177,8 +177,9 @@ def _merged(spark: SparkSession, tables: IndexTables, push: DataFrame, branches:
             tables.write(old.unionByName(fresh.select(*ALL[name].names)), name, own)
 
         if touched:
-            merge("vectors", changes.first_per_key(points, CHUNK_KEY, F.asc("chunk_index")))
-            merge("chunk_metadata", changes.unique_chunks(_conformed(points.withColumn("created_at", at), CHUNK_METADATA)))
+            # a file is one row and cut once, so a chunk is unique by its place; parts of a class and of its method may share range and id
+            merge("vectors", points)
+            merge("chunk_metadata", _conformed(points.withColumn("created_at", at), CHUNK_METADATA))
             merge("indexed_files", _conformed(changed, INDEXED_FILES))
 
         report = _batch_report(seen, points, vanished, batch)

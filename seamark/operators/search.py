@@ -53,6 +53,10 @@ def scoped(points: DataFrame, tenant_id: str | None, repository_id: str | None =
     return points
 
 
+def _ties(df: DataFrame, name: str) -> list[Column]:
+    return [F.asc(c) for c in (name, "chunk_index") if c == name or c in df.columns]
+
+
 def nearest(points: DataFrame, query_vector: Sequence[float], limit: int, tie_break: str = "chunk_id") -> DataFrame:
     """Exact top-`limit` by cosine; each task keeps its own top rows, only those meet.
 
@@ -60,7 +64,7 @@ def nearest(points: DataFrame, query_vector: Sequence[float], limit: int, tie_br
     """
     scored = points.filter(F.col("embedding").isNotNull()).withColumn(
         "similarity", vectors.cosine_to(F.col("embedding"), query_vector))
-    return scored.drop("embedding").orderBy(F.desc("similarity"), F.asc(tie_break)).limit(limit)
+    return scored.drop("embedding").orderBy(F.desc("similarity"), *_ties(scored, tie_break)).limit(limit)
 
 
 def rerank(candidates: DataFrame, query: str) -> DataFrame:
@@ -71,8 +75,8 @@ def rerank(candidates: DataFrame, query: str) -> DataFrame:
 
 
 def top(candidates: DataFrame, limit: int, tie_break: str = "chunk_id") -> DataFrame:
-    """Total order: similarity descending, nulls last, then id."""
-    return candidates.orderBy(F.desc_nulls_last("similarity"), F.asc(tie_break)).limit(limit)
+    """Total order: similarity descending, nulls last, then id and place."""
+    return candidates.orderBy(F.desc_nulls_last("similarity"), *_ties(candidates, tie_break)).limit(limit)
 
 
 def search(points: DataFrame, query: str, query_vector: Sequence[float], tenant_id: str,
@@ -114,10 +118,12 @@ def with_content(found: DataFrame, points: DataFrame, most: int = MAX_LIMIT) ->
     then read by literal keys, which skips all other partitions and row groups.
     """
     pin, rows = pinned(found, most)
-    wanted = points.select(*FILE_KEY, "chunk_id", "content")
+    # two chunks of a file may share their range and so their id; then their place tells them apart
+    keys = [*CHUNK_KEY, "chunk_index"] if "chunk_index" in found.columns and "chunk_index" in points.columns else CHUNK_KEY
+    wanted = points
     for key in (*FILE_KEY, "chunk_id"):
         wanted = wanted.filter(F.col(key).isin(sorted({row[key] for row in rows})))
-    return pin.join(wanted.select(*CHUNK_KEY, "content"), CHUNK_KEY, "left")
+    return pin.join(wanted.select(*keys, "content"), keys, "left")
 
 
 def with_file_context(matches: DataFrame, files: DataFrame) -> DataFrame:
@@ -185,7 +191,7 @@ def classified(results: DataFrame, symbol: str, usage_type: str = "all") -> Data
 def ranked_usages(labelled: DataFrame, limit: int) -> DataFrame:
     return labelled.orderBy(
         F.when(F.col("usage_type") == "definition", 0).otherwise(1),
-        F.desc_nulls_last("similarity"), F.asc("chunk_id"),
+        F.desc_nulls_last("similarity"), *_ties(labelled, "chunk_id"),
     ).limit(limit)
 
 

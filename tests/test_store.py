@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from seamark.api import Index
 from seamark.functions.embedding import HashedEmbedding
+from seamark.operators import search
+from seamark.operators.changes import pushed_files
 from seamark.operators.chunking import TokenBudget
+from seamark.operators.indexing import chunked_files, index_batch
+from seamark.plans import corpus
 from seamark.sources import files as sources
 from seamark.sources.tables import CHECKPOINT, IndexTables, Version
 from seamark.streaming.index_stream import start_indexing, start_watching
@@ -202,3 +206,28 @@ def test_an_index_packed_to_a_budget(spark, index):
     assert 1 < len(rows) < 12 and all(r.token_count <= 20 for r in rows)
     assert sum(len(r.content.split()) for r in rows) == len(code.split()) and [r.chunk_index for r in rows] == list(range(len(rows)))
     assert index.table("chunk_metadata").count() == len(rows)
+
+
+def test_chunks_of_one_range_are_both_kept(spark, index):
+    """The last part of the class and the second half of its method are the same lines, so their ids are equal."""
+    code = f"impl a {{\n    fn b() {{\n        s = {'x' * 60}\n        t = {'y' * 22}\n    }}\n}}\n"
+    pushed = pushed_files(spark.createDataFrame([("r:main", "a.rs", code)], PUSH), "t")
+    index_batch(spark, index.tables, pushed, index.provider, "one", at(), 20)
+    cut = chunked_files(pushed.withColumn("generation", F.lit(1).cast("long")), 20).select("chunk_index", "chunk_id", "kind").collect()
+    assert len({r.chunk_id for r in cut}) < len(cut)
+    for name in ("vectors", "chunk_metadata"):
+        assert sorted(map(tuple, index.table(name).select("chunk_index", "chunk_id", "kind").collect())) == sorted(map(tuple, cut))
+    points = index.table("vectors")
+    found = search.with_content(search.top(points.drop("content").withColumn("similarity", F.lit(1.0)), 10), points)
+    assert sorted((r.chunk_index, r.content) for r in found.collect()) == sorted((r.chunk_index, r.content) for r in points.collect())
+
+
+def test_a_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path):
+    folder, own = "/root/testdata/sf0.001", str(tmp_path / "tables")
+    corpus.table(spark, folder, "documents").repartition(3).write.parquet(f"{own}/documents.parquet")
+    corpus.table(spark, folder, "customer").write.parquet(f"{own}/more_documents.parquet")
+    for where in (folder, own):
+        seen = []
+        corpus.table_stream(spark, where, "documents").writeStream.foreachBatch(lambda batch, _: seen.extend(r.doc_id for r in batch.collect())).option(
+            "checkpointLocation", str(tmp_path / f"checkpoint{len(where)}")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(seen) == sorted(r.doc_id for r in corpus.table(spark, where, "documents").collect())
