@@ -21,6 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, **options) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them.
+
+    A stream takes a single file only by a pattern; one without other signs fits the table alone.
+    """
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).options(**options).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
+
+
 def _pick(index: Column, values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])[index.cast("int")]
 

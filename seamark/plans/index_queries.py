@@ -215,8 +215,7 @@ WHERE doc_id IN (SELECT doc_id FROM files WHERE NOT contains(file_content, chr(0
 def stream_index(spark, folder):
     """The documents, as source code, read as a stream of pushes and indexed micro-batch by micro-batch: all points."""
     tables = _fresh_tables(spark)
-    schema = c.table(spark, folder, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1000).parquet(folder)
+    docs = c.table_stream(spark, folder, "documents", maxFilesPerTrigger=1000)
     pushes = c.code_of(c.files_of(docs)).select(
         F.concat("repository_id", F.lit(":"), "branch").alias("project_id"), F.col("file_path").alias("path"), F.col("file_content").alias("content"))
     running = start_indexing(pushes, tables, embedding.HashedEmbedding(D), f"{tables.root}/checkpoint", "stream",
