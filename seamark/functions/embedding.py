@@ -11,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
+from ..session import bounded_batches
+
 DIMENSION = 768  # Fixed value: dimension of the vector collection.
 
 
@@ -31,6 +33,13 @@ def word_number(word: str) -> int:
     return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
 
 
+def _bounded() -> None:
+    """Texts go to Python in bounded batches, also where no operator has seen to that."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        bounded_batches(session)
+
+
 class HashedEmbedding:
     """Signed feature hashing of words, scaled to unit length.
 
@@ -45,6 +54,7 @@ class HashedEmbedding:
         self.name = f"hashed-words-{dimension}"
 
     def embed(self, content: Column) -> Column:
+        _bounded()
         dimension = self.dimension
 
         @F.arrow_udf("array<float>")
@@ -73,6 +83,7 @@ class ModelEmbedding:
         self.name, self.dimension, self._load = name, dimension, load
 
     def embed(self, content: Column) -> Column:
+        _bounded()
         load = self._load
 
         @F.pandas_udf("array<float>")

@@ -6,24 +6,12 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_dir
+from ..session import bounded_batches, shared_dir
 
 # The characters that part words when a contract says "white space": blank, tab, line feed, vertical tab, form feed, return.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
-# A batch sent to Python holds so many rows and bytes at most: rows are whole texts here, and 10,000 of them,
-# Spark's own bound, can be any size.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, where the session still has Spark's defaults."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 class Scratch:
     """A folder of its own, below the shared folder, for the tables one call writes."""
 
