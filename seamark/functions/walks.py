@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import bounded_batches
 from .tokens import DEFAULT_CHARS_PER_TOKEN, OTHER_WEIGHT, PUNCTUATION_WEIGHT, WHITESPACE_WEIGHT
 
 
@@ -65,6 +66,7 @@ def with_walk(df: DataFrame, into: str, decide: Callable[..., list[tuple]], fiel
     take out a Python function whose arguments hold nested lambdas.  Two
     references to them keep the projections apart; the column is sent once.
     """
+    bounded_batches(df.sparkSession)
     names = list(inputs)
 
     @F.arrow_udf("array<struct<" + ",".join(f"{f}:bigint" for f in fields) + ">>")
