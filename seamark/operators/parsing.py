@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import languages, scanning, text, tokens, walks
 from ..functions.columns import let, struct
+from ..session import bounded_batches
 
 MAX_TOKENS = 512
 
@@ -99,6 +100,7 @@ def parse_spans(files: DataFrame, mode: str = "definitions", max_tokens: int = M
     """
     if mode not in ("definitions", "heuristic"):
         raise ValueError("mode must be definitions or heuristic")
+    bounded_batches(files.sparkSession)
     df = _known(files).withColumn("_style", languages.block_style(F.col("language")))
     if mode == "heuristic":
         return _line_spans(with_lines(df), max_tokens).withColumn("spans", F.transform("_walk", _from_lines)).drop("_lines", "_style", "_facts", "_counts", "_walk")
