@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark.errors import InvalidRequest
 from seamark.functions import durations, embedding, ids, languages, paths, text, tokens, vectors
-from seamark.operators import catalog, payload
+from seamark.operators import catalog, chunking, parsing, payload
 
 
 def one(spark, column, value=None, kind="string"):
@@ -177,3 +177,20 @@ def test_many_highlights_in_one_text(spark):
     content = "é x " * 3000
     got = [tuple(r) for r in one(spark, text.highlight_ranges(F.col("x"), "X"), content)]
     assert got == [(3 + 5 * i, 4 + 5 * i) for i in range(3000)]
+
+
+@pytest.mark.parametrize("of", ["embedding", "parsing", "packing"])
+def test_texts_go_to_python_in_bounded_batches(spark, of):
+    """A thousand texts at most are sent to a worker at once, where the session has Spark's default."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    files = spark.createDataFrame([("a.html", "<p>one two</p>")], "file_path string, file_content string")
+    spans = files.withColumn("spans", F.expr("array(named_struct('content', file_content, 'start_line', 1, 'end_line', 1, 'byte_start', 0L, 'byte_end', 14L, 'kind', 'element', 'name', 'p'))"))
+    before = {key: spark.conf.get(key) for key in (rows, size)}
+    try:
+        spark.conf.unset(rows)
+        spark.conf.unset(size)
+        {"embedding": lambda: embedding.HashedEmbedding(8).embed(F.col("file_content")), "parsing": lambda: parsing.parse_spans(files), "packing": lambda: chunking.pack_spans(spans)}[of]()
+        assert (spark.conf.get(rows), spark.conf.get(size).rstrip("b")) == ("1000", str(8 << 20))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
