@@ -14,7 +14,7 @@ from ..schemas import BRANCH_KEY, FILE_KEY
 from ..session import shared_dir
 from ..sources.tables import IndexTables
 from ..streaming.index_stream import start_indexing
-from ..streaming.queue_stream import queue_states
+from ..streaming.queue_stream import current_states, start_queue
 from . import corpus as c
 from .chunk_queries import _BLOCKS, _GROUPED, _LS, _big_sql, _container_sql, _pack_sql, _split_sql
 from .registry import query
@@ -229,8 +229,7 @@ def stream_index(spark, folder):
 @query("stream_queue_state")
 def stream_queue_state(spark, folder):
     """The events table as a stream of queue operations, five per item; final state of every item."""
-    schema = c.table(spark, folder, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1000).parquet(folder)
+    events = c.table_stream(spark, folder, "events", maxFilesPerTrigger=1000)
     k = F.col("event_id") % 5
     op = F.when(k == 0, "enqueue").when(k.isin(1, 3), "claim").when(F.col("event_type") == "error", "fail") \
         .when(F.col("event_type") == "view", "recover").otherwise("ack")
@@ -239,14 +238,5 @@ def stream_queue_state(spark, folder):
         F.col("ts").cast("timestamp").alias("at"), F.concat(F.lit("w"), (F.col("user_id") % 8).cast("string")).alias("worker"),
         F.col("event_type").alias("error"))
     root = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/states/batch={batch_id}")
-
-    running = queue_states(operations).writeStream.outputMode("update").foreachBatch(keep).option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    running.awaitTermination()
-    seen = spark.read.parquet(f"{root}/states")
-    latest = seen.groupBy("id").agg(F.max_by(struct(
-        status=F.col("status"), retry_count=F.col("retry_count"), claimed_by=F.col("claimed_by"), last_error=F.col("last_error")), "batch").alias("s"))
-    return latest.select("id", "s.*")
+    start_queue(operations, f"{root}/states", f"{root}/checkpoint").awaitTermination()
+    return current_states(spark, f"{root}/states").select("id", "status", "retry_count", "claimed_by", "last_error")

@@ -1,6 +1,7 @@
 """File states, merges, queues, jobs; skew; the whole index with batches, stream, clean-up."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from seamark.schemas import ALL
 from seamark.sources import files as sources
 from seamark.sources.tables import IndexTables
 from seamark.streaming.index_stream import start_indexing
-from seamark.streaming.queue_stream import apply_operation, queue_states
+from seamark.streaming.queue_stream import apply_operation, current_states, queue_states, start_queue
 
 def at():
     return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -127,6 +128,22 @@ def test_stream_states_follow_the_batch_rules(spark, tmp_path):
     assert got == {"a": ("completed", 1, "boom"), "b": ("queued", 0, None)}
 
 
+def test_a_table_of_states_follows_the_operations_batch_by_batch(spark, tmp_path):
+    rng, schema = random.Random(5), "id string, op string, at timestamp, worker string, error string"
+    begin, items, read = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc), {}, str(tmp_path / "ops")
+    for n in range(4):
+        ops = [(f"i{rng.randrange(60)}", rng.choice(["enqueue", "claim", "claim", "ack", "fail", "fail", "recover"]), begin + datetime.timedelta(seconds=rng.randrange(900), microseconds=k),
+                rng.choice(["w", None]), rng.choice(["e", None])) for k in range(400 if n else 60)]
+        for i, op, t, worker, error in sorted(ops, key=lambda o: o[2]):
+            items[i] = apply_operation(items.get(i), op, int(t.timestamp()), worker, error, 2, 300)
+        spark.createDataFrame(ops, schema).coalesce(1).write.mode("append").parquet(read)
+        start_queue(spark.readStream.schema(schema).parquet(read), str(tmp_path / "states"), str(tmp_path / "cp"), 2, 300).awaitTermination()
+        got = current_states(spark, str(tmp_path / "states")).select(
+            "id", "status", "claimed_by", F.unix_seconds("claimed_at"), F.unix_seconds("visible_after"), "retry_count", "last_error").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(((i, *item) for i, item in items.items() if item), key=str)
+    assert sorted(f.name for f in (tmp_path / "states").iterdir()) == ["batch=2", "batch=3"]
+
+
 def test_operations_that_do_not_fit_change_nothing():
     item = apply_operation(None, "enqueue", 0, None, None, 3, 300)
     assert apply_operation(item, "enqueue", 5, None, None, 3, 300) == item
