@@ -108,7 +108,7 @@ def split_large_spans(files: DataFrame, max_tokens: int, tokenize=pieces) -> Dat
 
     A class-like span is cut into runs of its body, each behind the header; any
     other into windows of `max_tokens` pieces, or in two halves of lines if it
-    has no more pieces than that.
+    has no more pieces than that.  `own` is what a run holds beside the header, null for the others.
     """
     empty = lambda t: F.expr(f"cast(array() as array<{t}>)")
     df = files.withColumn("_tokens", F.transform("spans", lambda x: tokens.token_count(x["content"])))
@@ -153,6 +153,7 @@ def split_large_spans(files: DataFrame, max_tokens: int, tokenize=pieces) -> Dat
             byte_start=span["byte_start"] + p["byte_start"],
             byte_end=F.when(whole, span["byte_end"]).otherwise(span["byte_start"] + p["byte_start"] + p["byte_len"]),
             kind=F.when(whole, span["kind"]).otherwise(F.concat(span["kind"], suffix)), name=span["name"],
+            own=F.when(mode == walks.PART, text.join_lines(some("_cut"))),
             token_count=F.when(whole, F.element_at("_tokens", unit)).when(mode == walks.WINDOW, p["n"].cast("int"))
             .otherwise(tokens.token_count(c))))
 

@@ -33,9 +33,11 @@ def packed_files(files: DataFrame, budget: chunking.TokenBudget, mode: str = "de
 
 
 def embedded(chunks: DataFrame, provider: EmbeddingProvider) -> DataFrame:
+    """Chunks with the vector of the text in their byte range; a header repeated in front of it does not count."""
     sized = chunks if "token_count" in chunks.columns else chunks.withColumn(
         "token_count", tokens.token_count(F.col("content")))
-    return sized.withColumn("embedding", provider.embed(F.col("content")))
+    ranged = F.coalesce("own", "content") if "own" in chunks.columns else F.col("content")
+    return sized.withColumn("embedding", provider.embed(ranged))
 
 
 def _conformed(df: DataFrame, schema) -> DataFrame:

@@ -218,6 +218,9 @@ def test_chunks_of_one_range_are_both_kept(spark, index):
     for name in ("vectors", "chunk_metadata"):
         assert sorted(map(tuple, index.table(name).select("chunk_index", "chunk_id", "kind").collect())) == sorted(map(tuple, cut))
     points = index.table("vectors")
+    ranged = HashedEmbedding(16).embed(F.expr("cast(substring(encode(code, 'utf-8'), cast(byte_start as int) + 1, cast(byte_end - byte_start as int)) as string)"))
+    told = points.withColumn("code", F.lit(code)).withColumn("ranged", ranged).select("kind", "embedding", "ranged").collect()
+    assert all(r.embedding == r.ranged for r in told) and "impl_part" in {r.kind for r in told}      # not of the header in front
     found = search.with_content(search.top(points.drop("content").withColumn("similarity", F.lit(1.0)), 10), points)
     assert sorted((r.chunk_index, r.content) for r in found.collect()) == sorted((r.chunk_index, r.content) for r in points.collect())
 
