@@ -1,26 +1,22 @@
-"""Near duplicates by chosen paths: documents branch by minwise shingles until the nodes are small.
-
-Each of `trees` roots chooses one minwise coordinate; documents with the same
-minimum there share a node.  Small nodes are compared exhaustively.  A large node
-compares all its documents with one leader, and what is linked by then is one
-component, in which nothing is left to compare.  If few documents of the node are
-outside its largest component, they are compared with all others and the node is done.
-Otherwise it branches again: it chooses 1 / threshold coordinates on average, so
-that a pair at the threshold keeps one common path on average however deep the tree
-gets, while unlike pairs part quickly.  Nothing ends before it is compared.  A pair
-is lost only if all trees lose it.
+"""Near duplicates by banded minwise values: rows that agree on a whole band meet, and full sets decide.
+
+Each of `trees` bands joins `BAND` minwise coordinates; documents that agree on all of
+them share a node.  Within a node signatures tell which pairs may be linked, and a forest
+of the most alike of these pairs hangs together all rows that have one.  Then the full sets
+of just these rows travel to the node, where all pairs are compared, and again a forest of
+the links is what leaves it.  A pair is lost only if no band holds it or its signatures mislead.
 
 What keeps the work linear:
 
 * Documents with equal shingle sets are one class from the start; the rest works on classes.
-* A node whose documents hang together, by links confirmed on full sets in any node, is done.
-* Pairs are compared on whole signatures (eight bits a coordinate) before any set is fetched.
-* The tables of a level are deleted when the next one stands.
+* Bands part unlike documents before anything is compared, so nodes hold copies and little else.
+* No table holds a row for a pair: a node of n rows makes n - 1 rows at most, of candidates as of links.
+* A pair counts only in the first band that both rows share, so later bands carry only what earlier ones parted.
 * Hot nodes never meet in a task.  Nodes are counted with map-side sums, rows join these
-  counts (adaptive execution splits the hot side), and only nodes of at most `small` rows are collected.
+  counts (adaptive execution splits the hot side), and of a node above `small` rows, or as
+  many words as `small` rows of `ROW` words have, every two blocks meet in a node of their own.
 
-Candidates are confirmed on the full shingle sets.  A class is named by a 64-bit
-hash of its set; among n classes two share a name with a chance of n * n / 2**65.
+A class is named by a 64-bit hash of its set; among n classes two share a name with a chance of n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -36,11 +32,14 @@ from . import textbytes
 from .common import Scratch, connected_components
 
 COORDINATES = 128
+BAND = 3        # minwise coordinates a node's rows agree on; a pair at the threshold of 0.8 shares one of 16 bands but for 1 in 90,000
+ROW = 256       # words that count as a row when a node is cut into blocks
 _SALTS = [np.uint64(s) for s in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F,
                                  0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 SKETCH = T.StructType([T.StructField("n", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("b1", T.LongType()),
                        T.StructField("b2", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType())),
                        T.StructField("roots", T.ArrayType(T.IntegerType()))])
+PAIRS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
 def _shingles(w: textbytes.Words, size: int) -> Iterator[np.ndarray]:
@@ -87,8 +86,17 @@ def _minwise(values: np.ndarray, factor: np.ndarray, shift: np.ndarray, block: i
     return winner
 
 
+def _band_hashes(values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values), dtype=np.uint64)
+        for k in range(values.shape[1]):
+            total = textbytes.mix(total + (values[:, k].astype(np.uint64) + np.uint64(1)) * _SALTS[k % len(_SALTS)])
+    return total.astype(np.uint32).view(np.int32)
+
+
 def sketch(text: Column, size: int, trees: int = 16) -> Column:
-    """Of each text: set size, class (null without words), 128 minwise values of one bit, of eight bits, the first `trees` whole."""
+    """Of each text: set size, class (null without words), 128 minwise values of one bit, of eight bits, a hash of each of `trees` bands."""
+    bands = np.arange(trees * BAND) % COORDINATES
 
     def lists(rows: list[np.ndarray], kind: type) -> pa.Array:
         ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -107,7 +115,7 @@ def sketch(text: Column, size: int, trees: int = 16) -> Column:
                         cid.append(int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True))
                         ids = _minwise(values, factor, shift)
                         sig.append((ids & 255).astype(np.uint8).view(np.int64))
-                        roots.append(ids[:trees].view(np.int32))
+                        roots.append(_band_hashes(ids[bands].reshape(trees, BAND)))
                         bits.append(np.packbits(ids & 1).view(np.int64))
                     else:
                         cid.append(0)
@@ -141,167 +149,138 @@ def shingle_set(text: Column, size: int) -> Column:
     return run(text)
 
 
-@F.arrow_udf(T.LongType())
-def _common(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Size of the intersection of two sorted sets."""
-    out = np.zeros(len(left), dtype=np.int64)
-    for i, (a, b) in enumerate(zip(left, right)):
-        both = np.concatenate([np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)])
-        both.sort()
-        out[i] = np.count_nonzero(both[1:] == both[:-1])
-    return pa.array(out)
-
-
 def _node(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
 
-def _plausible(a: Column, b: Column, percent: int) -> Column:
-    """What two linked sets always fulfil (sizes), or all but once in a million pairs (one-bit minwise values)."""
-    share = percent / 100
-    apart = (1 - share) / 2 * COORDINATES
-    most = int(apart + 4.8 * (apart * (1 - apart / COORDINATES)) ** 0.5) + 1
-    sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
-    differ = F.bit_count(a["b1"].bitwiseXOR(b["b1"])) + F.bit_count(a["b2"].bitwiseXOR(b["b2"]))
-    return sizes & (differ <= most)
-
-
-def _pair(x: Column, y: Column) -> Column:
-    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-
-def _equal(x: Column, y: Column) -> Column:
-    """On how many coordinates two minwise signatures agree: bytes of their words that do not differ."""
-    differ = F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
-    for step in (4, 2, 1):      # the lowest bit of a byte becomes the union of its bits
-        differ = F.transform(differ, lambda w: w.bitwiseOR(F.shiftrightunsigned(w, step)))
-    return F.lit(COORDINATES) - F.aggregate(differ, F.lit(0), lambda total, w: total + F.bit_count(w.bitwiseAND(F.lit(0x0101010101010101))))
-
-
 def _least_equal(percent: int, deviations: float = 3.3) -> int:
     """Coordinates on which a linked pair agrees at least, but for one in 2,000 of those right at the threshold."""
     mean = COORDINATES * percent / 100
     return int(mean - deviations * (mean * (1 - percent / 100)) ** 0.5)
 
 
-def _pairs_in_small_nodes(rows: DataFrame, percent: int, signed: bool, blocks: bool = False) -> DataFrame:
-    """All plausible pairs of nodes that hold few rows; pairs known to hang together (the same label) are left out.
+def _lists(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), len(values) // max(1, len(column)))
 
-    `signed`: the rows have their whole signatures.
-    `blocks`: a node holds two blocks of a larger one, and only pairs across them are meant, or one block alone.
-    """
-    members = F.collect_list(F.struct("cid", "n", "b1", "b2", "label", *(["sig"] if signed else []), *(["block", "alone"] if blocks else [])))
-    nodes = rows.groupBy("node").agg(members.alias("m"))
 
-    def open_(x: Column, y: Column) -> Column:
-        apart = (x["label"] != y["label"]) & (x["cid"] != y["cid"]) & _plausible(x, y, percent)
-        if blocks:
-            apart = (x["alone"] | (x["block"] != y["block"])) & apart
-        if signed:
-            apart = apart & (_equal(x["sig"], y["sig"]) >= _least_equal(percent))
-        return apart
+def _per_node(of_node: Callable[..., list[tuple[int, int]]], *names: str):
+    """Column of the pairs that `of_node` makes of a node's members, given their fields `names`."""
 
-    found = F.flatten(F.transform("m", lambda x, i: F.transform(
-        F.filter(F.slice("m", i + 2, F.size("m")), lambda y: open_(x, y)), lambda y: _pair(x["cid"], y["cid"]))))
-    return nodes.select(F.explode(found).alias("p")).select("p.a", "p.b")
+    @F.arrow_udf(PAIRS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for nodes in batches:
+            members, ends = nodes.flatten(), np.concatenate([[0], np.cumsum(nodes.value_lengths().to_numpy(zero_copy_only=False))])
+            fields = [members.field(name) for name in names]
+            yield pa.array([[{"a": a, "b": b} for a, b in of_node(*[f.slice(i, j - i) for f in fields])] for i, j in zip(ends[:-1], ends[1:])],
+                           pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+    return run
+
+
+def _forest(percent: int) -> Callable[..., list[tuple[int, int]]]:
+    """The most alike pairs that hang together all that signatures and sizes say may hang together."""
+    least = _least_equal(percent)
+
+    def run(cid: pa.Array, n: pa.Array, sig: pa.Array, roots: pa.Array, tree: pa.Array, block: pa.Array, alone: pa.Array) -> list[tuple[int, int]]:
+        cid, n, block = (c.to_numpy(zero_copy_only=False) for c in (cid, n, block))
+        own, sig, earlier = alone.to_numpy(zero_copy_only=False).all(), np.ascontiguousarray(_lists(sig)).view(np.uint8), _lists(roots)[:, :tree[0].as_py()]
+        left, best, to, found = np.ones(len(cid), dtype=bool), np.zeros(len(cid), dtype=np.int64), np.zeros(len(cid), dtype=np.int64), []
+        at = 0
+        for _ in range(len(cid) - 1):
+            left[at] = False
+            equal = (sig == sig[at]).sum(axis=1)
+            better = left & (equal >= least) & (equal > best) & (np.minimum(n, n[at]) * 100 >= np.maximum(n, n[at]) * percent)
+            if not own:
+                better &= block != block[at]
+            rows = np.flatnonzero(better)
+            if len(rows):
+                rows = rows[~(earlier[rows] == earlier[at]).any(axis=1)]    # others met in an earlier band
+                best[rows], to[rows] = equal[rows], at
+            at = int(np.where(left, best, -1).argmax())
+            if best[at]:
+                found.append((int(min(cid[at], cid[to[at]])), int(max(cid[at], cid[to[at]]))))
+        return found
+
+    return run
+
+
+def _linked(percent: int) -> Callable[..., list[tuple[int, int]]]:
+    """Links that lead to all that links between the full sets of a node lead to."""
+
+    def run(cid: pa.Array, shingles: pa.Array) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in shingles]
+        cid, n = cid.to_numpy(zero_copy_only=False), np.array([len(x) for x in sets])
+        parent, found = list(range(len(sets))), []
+        for i, row in enumerate(_common(sets)):
+            for j in np.flatnonzero(row * 100 >= (n[i] + n - row) * percent):
+                x, y = _root(parent, i), _root(parent, int(j))
+                if x != y:
+                    parent[x] = y
+                    found.append((int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))))
+        return found
+
+    return run
+
+
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _common(sets: list[np.ndarray], columns: int = 512, rows: int = 256) -> Iterator[np.ndarray]:
+    """For each set the sizes of its intersections with all."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = values.argsort(kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.concatenate([[True], values[1:] != values[:-1]])
+    alone = first & np.concatenate([first[1:], [True]])     # a shingle of one set is in no intersection but that with itself
+    own = np.bincount(owner[alone], minlength=len(sets))
+    column, owner = np.cumsum(first[~alone]) - 1, owner[~alone]
+    cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + columns, columns))
+    for start in range(0, len(sets), rows):
+        size = np.zeros((min(rows, len(sets) - start), len(sets)), dtype=np.float32)    # whole numbers below 2**24 are exact
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            holds = np.zeros((len(sets), columns), dtype=np.float32)
+            holds[owner[a:b], column[a:b] - k * columns] = 1
+            size += holds[start:start + rows] @ holds.T
+        size = size.astype(np.int64)
+        size[np.arange(len(size)), np.arange(start, start + len(size))] += own[start:start + rows]
+        yield from size
 
 
 def _pairs_in_blocks(rows: DataFrame, percent: int, small: int) -> DataFrame:
-    """The same of nodes of any `size`: every two blocks of a node meet in a small node of their own."""
-    count = F.ceil(F.col("size") * 2 / small)
-    spread = rows.withColumn("block", F.pmod(_node(F.lit("block"), F.col("cid")), count)).withColumn(
+    """(node, a, b): in every two blocks of a node the pairs of a forest of all that may be linked; nodes of up to `small` are one block."""
+    count = F.when(F.col("size") <= small, F.lit(1)).otherwise(F.ceil(F.col("size") * 2 / small)).cast("long")
+    given = rows if "roots" in rows.columns else rows.withColumn("roots", F.array().cast("array<int>")).withColumn("tree", F.lit(0))
+    spread = given.withColumn("block", F.pmod(_node(F.lit("block"), F.col("cid")), count)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn("alone", F.col("block") == F.col("other"))
-    return _pairs_in_small_nodes(spread.withColumn("node", _node(
-        F.col("node"), F.least("block", "other"), F.greatest("block", "other"))), percent, True, True)
-
-
-def _pairs_with_few(rows: DataFrame, percent: int) -> DataFrame:
-    """All plausible pairs across labels of nodes of any size with few rows whose label is not `main`: those against all rows."""
-    sides = ("cid", "n", "b1", "b2", "label", "sig")
-    few = rows.filter("label <> main").groupBy("node").agg(F.collect_list(F.struct(*sides)).alias("few"))
-    own = F.struct(*sides)
-    open_ = F.filter("few", lambda x: (x["label"] != F.col("label")) & _plausible(x, own, percent) & (_equal(x["sig"], F.col("sig")) >= _least_equal(percent)))
-    return rows.select("node", *sides).join(few, "node").select(F.explode(F.transform(open_, lambda x: _pair(x["cid"], F.col("cid")))).alias("p")).select("p.a", "p.b")
-
-
-def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that are linked by their full sets."""
-    sides = pairs.join(full.select(F.col("cid").alias("a"), F.col("shingles").alias("left")), "a").join(
-        full.select(F.col("cid").alias("b"), F.col("shingles").alias("right")), "b")
-    size = F.octet_length("left") / 8 + F.octet_length("right") / 8
-    return sides.withColumn("both", _common("left", "right")).filter(
-        F.col("both") * 100 >= (size - F.col("both")) * percent).select("a", "b")
+    names = ("cid", "n", "sig", "roots", "tree", "block", "alone")
+    nodes = spread.groupBy(_node(F.col("node"), F.least("block", "other"), F.greatest("block", "other")).alias("node")).agg(
+        F.collect_list(F.struct(*names)).alias("m"))
+    found = _per_node(_forest(percent), *names)
+    return nodes.select("node", F.explode(found("m")).alias("p")).select("node", "p.a", "p.b")
 
 
-def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, sets_of: Callable[[DataFrame], DataFrame], small: int = 48,
-                         depth: int = 10) -> DataFrame:
+def near_duplicate_links(classes: DataFrame, scratch: Scratch, percent: int, sets_of: Callable[[DataFrame], DataFrame], small: int = 4096) -> DataFrame:
     """Pairs (a, b) of classes that lead to all that links lead to; links are confirmed on the full sets.
 
-    `classes` has cid, n, b1, b2, sig, roots; `sets_of` gives (cid, shingles) of the classes in a table with cid.  Each
-    of the roots is a tree; a pair at the threshold of 0.8 meets in the first level of one tree with a chance of 0.8.
-    Nodes branch until at most `small` rows are outside the largest component of the node; those with more that after
-    `depth` levels hold up to 16 times as many are compared exhaustively, block by block, and so are all that are left
-    after 8 * `depth` levels.
+    `classes` has cid, n, sig, roots; `sets_of` gives (cid, shingles) of the classes in a table with cid.
     """
-    base = ("cid", "n", "b1", "b2")
-    rows = classes.select(*base, F.posexplode("roots").alias("tree", "value")).select(*base, _node(F.lit("tree"), F.col("tree"), F.col("value")).alias("node"))
-    counts = rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = scratch.keep(rows.join(counts, "node"), "nodes")
-    pairs = scratch.keep(_pairs_in_small_nodes(shared.filter(F.col("size") <= small).withColumn("label", F.col("cid")), percent, False).distinct(), "pairs")
-    large = shared.filter(F.col("size") > small)
-    # how many others a document met in large nodes: the centre of a group of near copies meets most
-    weight = large.groupBy("cid").agg(F.sum("size").alias("weight"))
-    rows = scratch.keep(large.join(weight, "cid").join(classes.select("cid", "sig"), "cid").drop("size").withColumn("label", F.col("cid")), "large")
-    full = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(rows.select("cid")).distinct())
-    links = scratch.keep(_confirmed(pairs, full, percent), "links")
-    scratch.drop(shared, pairs)
-
-    def open_nodes(rows: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-        """(rows of nodes that go on, links of those that are done); nodes within one component end without a word."""
-        labels = rows.groupBy("node", "label").agg(F.count("*").alias("rows"))
-        nodes = labels.groupBy("node").agg(F.sum("rows").alias("size"), F.max("rows").alias("most"), F.max_by("label", F.struct("rows", "label")).alias("main"))
-        nodes = scratch.keep(nodes.filter("size > most"), "open")
-        rest = F.col("size") - F.col("most")
-        met = rows.join(nodes, "node")
-        found = _pairs_with_few(met.filter(rest <= small), percent)
-        on = rest > small
-        if level >= depth:
-            ripe = on & (F.col("size") <= 16 * small) if level < 8 * depth else on
-            found = found.unionByName(_pairs_in_blocks(met.filter(ripe), percent, small))
-            on = on & ~ripe
-        done = scratch.keep(_confirmed(found.distinct(), full, percent), "links")
-        further = scratch.keep(met.filter(on).select(*rows.columns), "further")
-        scratch.drop(nodes, rows)
-        return further, done
-
-    level = 0
-    while not rows.isEmpty():
-        rank = F.col("weight") if level == 0 else _node(F.lit(level), F.col("node"), F.col("cid"))
-        own = F.col("label") == F.col("cid")   # from the second level on, lead by one that hangs together with none
-        best = F.max_by(F.struct(*base, "label", "sig"), F.struct(*([] if level == 0 else [own.cast("int").alias("own")]), rank.alias("rank"), "cid"))
-        met = rows.join(rows.groupBy("node").agg(best.alias("lead")), "node")
-        asked = ((F.col("label") != F.col("lead.label")) & _plausible(F.struct(*base), F.col("lead"), percent)
-                 & (_equal(F.col("sig"), F.col("lead.sig")) >= _least_equal(percent)))
-        asked = met.filter(asked).select(_pair(F.col("cid"), F.col("lead.cid")).alias("p")).select("p.a", "p.b").distinct()
-        led = scratch.keep(_confirmed(asked, full, percent), "links")
-        parts = connected_components(links.unionByName(led), scratch)
-        links = parts.filter("vertex <> component").select(F.col("component").alias("a"), F.col("vertex").alias("b"))
-        labelled = scratch.keep(rows.drop("label").join(parts.select(F.col("vertex").alias("cid"), F.col("component").alias("label")), "cid", "left").withColumn(
-            "label", F.coalesce("label", "cid")), "labelled")
-        scratch.drop(rows)
-        rows, done = open_nodes(labelled, level)
-        links = links.unionByName(done)
-        # one coordinate, and another in part of the nodes: 1 / threshold on average
-        second = F.pmod(_node(F.lit("more"), F.lit(level), F.col("node")), F.lit(percent)) < 100 - percent
-        steps = F.when(second, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        at = F.pmod(_node(F.lit("next"), F.lit(level), F.col("node"), F.col("step")), F.lit(COORDINATES)).cast("int")
-        value = F.call_function("shiftright", F.element_at("sig", (at / 8).cast("int") + 1), at % 8 * 8).bitwiseAND(F.lit(255))
-        branched = scratch.keep(rows.withColumn("step", F.explode(steps)).withColumn("node", _node(F.col("node"), F.col("step"), value)).drop("step"), "branched")
-        scratch.drop(rows)
-        level += 1
-        rows, done = open_nodes(branched, level)
-        links = links.unionByName(done)
-    return links
+    rows = classes.select("cid", "n", F.posexplode("roots").alias("tree", "value")).select(
+        "cid", "n", "tree", _node(F.col("tree"), F.col("value")).alias("node"))
+    counts = rows.groupBy("node").agg(F.count("*").alias("rows"), F.sum("n").alias("words")).filter("rows > 1").select(
+        "node", F.greatest("rows", F.ceil(F.col("words") / ROW)).alias("size"))
+    shared = scratch.keep(rows.drop("n").join(counts, "node"), "nodes")
+    pairs = scratch.keep(_pairs_in_blocks(shared.join(classes.select("cid", "n", "sig", "roots"), "cid"), percent, small), "pairs")
+    scratch.drop(shared)
+    met = scratch.keep(pairs.select("node", F.explode(F.array("a", "b")).alias("cid")).distinct(), "met")
+    scratch.drop(pairs)
+    nodes = met.join(sets_of(met.select("cid").distinct()), "cid").groupBy("node").agg(F.collect_list(F.struct("cid", "shingles")).alias("m"))
+    found = _per_node(_linked(percent), "cid", "shingles")
+    return nodes.select(F.explode(found("m")).alias("p")).select("p.a", "p.b").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -318,7 +297,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = scratch.keep(given.select("id", sketch(F.col("text"), shingle, trees).alias("s")).select("id", "s.*"), "sketches")
     classes = scratch.keep(sketches.filter("cid is not null").groupBy("cid").agg(
-        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "b1", "b2", "sig", "roots")]), "classes")
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sig", "roots")]), "classes")
     sets = scratch.keep(sketches.select("id", "n", "cid"), "sizes")
     scratch.drop(sketches)
 
@@ -326,7 +305,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         wanted = scratch.keep(wanted.join(classes.select("cid", "rep"), "cid"), "wanted")
         texts = given.join(wanted.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi").select(
             shingle_set(F.col("text"), shingle).alias("s")).select("s.*")
-        return scratch.keep(texts.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+        return texts.dropDuplicates(["cid"])
 
     links = scratch.keep(near_duplicate_links(classes, scratch, percent, sets_of), "links")
     parts = connected_components(links, scratch)

@@ -193,6 +193,30 @@ def test_near_duplicates_compares_what_is_left_block_by_block(spark):
     assert {(i, i + 1) for i in range(0, 60, 2)} <= pairs
 
 
+def test_near_duplicates_make_no_row_for_each_pair(spark):
+    # 120 copies, all linked with all: 7,140 pairs
+    rows = [(i, " ".join([f"c{k}" for k in range(150)] + [f"o{i}x{k}" for k in range(8)])) for i in range(120)]
+    scratch = Scratch(spark, "t")
+    classes = scratch.keep(spark.createDataFrame(rows, "doc_id long, text string").select(neardup.sketch(F.col("text"), 1).alias("s")).select("s.*"))
+    flat = classes.select("cid", "n", "b1", "b2", "sig").selectExpr("*", "cid label", "1L node", "120L size")
+    pairs = [(r.a, r.b) for r in neardup._pairs_in_blocks(flat, 80, 200).collect()]
+    assert len(pairs) == 119 and len({c for p in pairs for c in p}) == 120
+    sets = scratch.keep(spark.createDataFrame(rows, "doc_id long, text string").select(neardup.shingle_set(F.col("text"), 1).alias("s")).select("s.*"))
+    links = [(r.a, r.b) for r in neardup.near_duplicate_links(classes, scratch, 80, lambda wanted: sets.join(wanted, "cid")).collect()]
+    assert len(links) <= 16 * 119
+    place = {c: k for k, c in enumerate(sorted({c for p in links for c in p}))}
+    linked = {frozenset((place[a], place[b])) for a, b in links}
+    assert len(place) == 120 and len(set(brute.components(list(range(120)), lambda x, y: frozenset((x, y)) in linked))) == 1
+
+
+def test_sizes_of_intersections():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, top, size).astype(np.uint64)) for top, size in ((3000, 2000), (3000, 1500), (40, 30), (40, 10), (10**15, 700))] + [np.arange(1, dtype=np.uint64)]
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    for columns, rows in ((512, 256), (7, 2)):
+        assert [list(r) for r in neardup._common(sets, columns, rows)] == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(spark, documents(spark, [])).collect() == []
 
